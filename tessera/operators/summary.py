@@ -20,8 +20,7 @@ from tessera.operators.prefix import (
     running_min_from_above,
     value_counts,
 )
-
-_NULL = F.lit(None).cast
+from tessera.session import cut, is_small
 
 
 def long_values(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -197,6 +196,8 @@ def summarise(
 
     Groups below ``min_cells`` rows are left out, but their control rows still count.
     """
+    if spread is None:
+        spread = not is_small(df)
     known = df.where(F.col(group).isNotNull())
     sizes = known.groupBy(group).agg(
         F.count(F.lit(1)).alias("__rows"),
@@ -258,7 +259,8 @@ def summarise(
         ),
         welch_p(F.when(tested, t), dof).alias("p_replicates_welch"),
     )
-    out = adjust_p(out, ["column"], "p_cells_mannwhitney", "q_cells_BH", spread)
+    # the adjustment reads the table several times
+    out = adjust_p(cut(out), ["column"], "p_cells_mannwhitney", "q_cells_BH", spread)
     return adjust_p(out, ["column"], "p_replicates_welch", "q_replicates_BH", spread)
 
 

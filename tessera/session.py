@@ -21,15 +21,20 @@ DEFAULTS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
-# Inputs whose planner-known size is below this are handled by one built-in operator;
-# larger ones go through the spread forms, which give the same answer.
+# Inputs stored in less than this are handled by one built-in operator; larger ones go
+# through the spread forms, which give the same answer.
 SMALL_BYTES = 64 << 20
 
 
 def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
-    """Whether the optimizer's size for ``df`` is below ``limit`` (no job is run)."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) < limit
+    """Whether everything ``df`` is computed from is stored in less than ``limit`` bytes.
+
+    Only the sizes the planner knows for the leaves of the plan are added up; no job is
+    run.  Operators here add at most a constant number of rows per input row.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return total < limit
 
 
 def build_session(app: str = "tessera", master: str | None = None, **conf) -> SparkSession:
