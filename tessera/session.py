@@ -17,6 +17,7 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # rows of the image plane carry a whole tile, so few rows make a batch
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.python.filterPushdown.enabled": "true",
     # call sites of every column expression are only needed while debugging
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
