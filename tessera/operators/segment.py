@@ -8,6 +8,7 @@ from typing import Any
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.operators import graph
 from tessera.operators import kernels as k
@@ -617,8 +618,8 @@ def junction_seeds(t: Tiles, image: str, out: str, sigma: float, min_depth: floa
 
 
 def per_image_counts(t: Tiles, layer: str, name: str) -> DataFrame:
-    """(keys, name): number of labels of every image, zero included."""
-    every = t.df.select(*t.keys).distinct()
+    """(keys, height, width, name): number of labels of every image, zero included."""
+    every = t.df.groupBy(*t.keys).agg(F.max("height").alias("height"), F.max("width").alias("width"))
     n = label_sizes(t, layer).groupBy(*t.keys).agg(F.count(F.lit(1)).alias(name))
     return every.join(n, list(t.keys), "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
@@ -626,6 +627,8 @@ def per_image_counts(t: Tiles, layer: str, name: str) -> DataFrame:
 def segment_cells(t: Tiles, nuclei_image: str | None, edge_image: str, p: Mapping[str, Any]) -> dict[str, Any]:
     """The complete segmentation of a table of images, all sizes of ``p`` in pixels.
 
+    ``min_nuclei_confluent`` is a number or a column over ``height`` and ``width``.
+
     Returns tiles with ``nuclei_mask``, ``nuclei`` and ``cells`` layers and the tables
     summary, adjacency, nuclei, cells, raw_areas.
     """
@@ -634,7 +637,7 @@ def segment_cells(t: Tiles, nuclei_image: str | None, edge_image: str, p: Mappin
     if p["segment_objects"] == "nuclei_only":
         t, raw = segment_nuclei(t, nuclei_image, p["nuclei_sigma"], p["min_nucleus_size"], p["min_distance"], p["split_touching_nuclei"])
         t = number(finish_cells(t, "nuclei", 0, border), "nuclei").cut()
-        summary = per_image_counts(t, "nuclei", "n_nuclei").withColumn("status", F.lit("ok"))
+        summary = per_image_counts(t, "nuclei", "n_nuclei").drop("height", "width").withColumn("status", F.lit("ok"))
         return {"tiles": t, "summary": summary, "raw_areas": raw, "nuclei": objects(t, "nuclei"), "adjacency": None, "cells": None}
     if p["seed_source"] == "junctions":
         return _from_junctions(t, edge_image, p, border)
@@ -683,6 +686,21 @@ def segment_cells(t: Tiles, nuclei_image: str | None, edge_image: str, p: Mappin
             "adjacency": contacts(t, "cells", "edge").withColumn("junction_intensity", F.round("junction_intensity", 3))}
 
 
+def offset_slices(t: Tiles, layer: str, z: str) -> Tiles:
+    """Labels of z slices that were segmented one by one, made distinct within their stack.
+
+    Every slice continues after the largest label of the slices before it; the window is
+    over the slices of one stack.
+    """
+    keys = [c for c in t.keys if c != z]
+    top = label_sizes(t, layer).groupBy(*t.keys).agg(F.max("label").alias("__max"))
+    every = t.df.select(*t.keys).distinct().join(top, list(t.keys), "left").na.fill(0, ["__max"])
+    before = Window.partitionBy(*keys).orderBy(z).rowsBetween(Window.unboundedPreceding, -1)
+    shift = every.select(*t.keys, F.coalesce(F.sum("__max").over(before), F.lit(0)).alias("shift"))
+    moved = t.with_scalar(shift)
+    return pointwise(moved, [layer], layer, LABEL, lambda b: np.where(b[layer] > 0, b[layer] + b.shift, 0), per_image=["shift"])
+
+
 def _from_junctions(t: Tiles, edge_image: str, p: Mapping[str, Any], border: int | None) -> dict[str, Any]:
     keys = list(t.keys)
     t = junction_seeds(t, edge_image, "seeds", p["seed_sigma"], p["seed_min_depth"]).cut()
@@ -692,7 +710,7 @@ def _from_junctions(t: Tiles, edge_image: str, p: Mapping[str, Any], border: int
     t = _drop(watershed(t, "__h", "seeds", "cells"), "__h").cut()
     t, taken = merge_without_junction(t, "cells", "edge", "seeds", p["junction_merge_ratio"], p["max_cell_area"], p["multinuc_band_px"])
     t = number(t, "cells").cut()
-    counts = seeds.join(per_image_counts(t, "cells", "n_regions"), keys).withColumn(
+    counts = seeds.join(per_image_counts(t, "cells", "n_regions").drop("height", "width"), keys).withColumn(
         "confluent", F.col("n_regions") >= p["min_nuclei_confluent"]
     )
     skipped = F.lit(False)
@@ -709,7 +727,7 @@ def _from_junctions(t: Tiles, edge_image: str, p: Mapping[str, Any], border: int
     t = finish_cells(t, "cells", p["min_label_size"], border).cut()
     shapes = objects(t, "cells").withColumn("n_nuclei", F.lit(None).cast("bigint"))
     n = shapes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells"))
-    summary = counts.join(n, keys, "left").na.fill(0, ["n_cells"]).withColumn("n_nuclei", F.lit(None).cast("bigint")).withColumn(
+    summary = counts.drop("height", "width").join(n, keys, "left").na.fill(0, ["n_cells"]).withColumn("n_nuclei", F.lit(None).cast("bigint")).withColumn(
         "n_multinucleated", F.lit(0).cast("bigint")
     ).withColumn("status", F.when(skipped, "skipped_sparse").otherwise("ok"))
     return {"tiles": t, "summary": summary, "raw_areas": None, "nuclei": None, "cells": shapes, "merged_pairs": taken,

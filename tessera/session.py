@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,9 +34,13 @@ def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
     Only the sizes the planner knows for the leaves of the plan are added up; no job is
     run.  Operators here add at most a constant number of rows per input row.
     """
+    # the planner's product of guesses can be a number too long to read: then it is not small
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return total < limit
+    try:
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    except ValueError:
+        return False
+    return sum(sizes) < limit
 
 
 def build_session(app: str = "tessera", master: str | None = None, **conf) -> SparkSession:
@@ -70,6 +75,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a table in the shared checkpoint folder and forget its lineage.
+
+    A lost executor costs nothing that was cut, and unlike a checkpointed RDD the table has
+    known sizes, so later joins and ``is_small`` are decided from facts.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
