@@ -19,7 +19,7 @@ from tessera.operators import kernels as k
 from tessera.operators import pixels as px
 from tessera.operators import segment as sg
 from tessera.operators.prefix import quantiles_of_counts
-from tessera.operators.tiles import Tiles
+from tessera.operators.tiles import Tiles, gather
 
 
 def unique_names(names: Sequence[str], n: int) -> list[str]:
@@ -192,13 +192,13 @@ def solidity(t: Tiles, labels: str) -> DataFrame:
     )
     schema = StructType([ends.schema[c] for c in [*t.keys, "label"]] + [StructField("convex_px", LongType())])
 
-    def hull(pdf):
-        one = pdf.iloc[[0]][[*schema.fieldNames()[:-1]]].copy()
-        one["convex_px"] = hull_area(pdf["y"], pdf["lo"], pdf["hi"])
-        return one
+    def hull(batches):
+        for pdf in batches:
+            pdf["convex_px"] = [hull_area(*r) for r in zip(pdf["y"], pdf["lo"], pdf["hi"])]
+            yield pdf[schema.fieldNames()]
 
-    # a group has one row per image row of one object
-    return ends.groupBy(*t.keys, "label").applyInPandas(hull, schema)
+    # a list has one entry per image row of one object
+    return gather(ends, [*t.keys, "label"], ["y", "lo", "hi"]).mapInPandas(hull, schema)
 
 
 def ruggedness_of(segments: np.ndarray, smooth: float, least: float) -> float | None:
@@ -271,13 +271,15 @@ def ruggedness(t: Tiles, labels: str, smooth: float = 0.02, least: float = 1.5)
     lines = t.select(labels).rows([labels], "label bigint, ya int, xa int, yb int, xb int", run, halo=1)
     schema = StructType([lines.schema[c] for c in [*t.keys, "label"]] + [StructField("ruggedness", DoubleType())])
 
-    def trace(pdf):
-        one = pdf.iloc[[0]][schema.fieldNames()[:-1]].copy()
-        one["ruggedness"] = ruggedness_of(pdf[["ya", "xa", "yb", "xb"]].to_numpy(), smooth, least)
-        return one
+    ends = ["ya", "xa", "yb", "xb"]
 
-    # a group is the outline of one object
-    return lines.groupBy(*t.keys, "label").applyInPandas(trace, schema)
+    def trace(batches):
+        for pdf in batches:
+            pdf["ruggedness"] = [ruggedness_of(np.stack(r, 1), smooth, least) for r in zip(*[pdf[c] for c in ends])]
+            yield pdf[schema.fieldNames()]
+
+    # a list is the outline of one object
+    return gather(lines, [*t.keys, "label"], ends).mapInPandas(trace, schema)
 
 
 # ---------------------------------------------------------------- rings

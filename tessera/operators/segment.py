@@ -14,7 +14,7 @@ from tessera.operators import graph
 from tessera.operators import kernels as k
 from tessera.operators import pixels as px
 from tessera.operators.prefix import quantiles_of_counts, running_below
-from tessera.operators.tiles import POSITION, Tiles
+from tessera.operators.tiles import POSITION, Tiles, gather
 
 LABEL = "i8"
 
@@ -327,7 +327,7 @@ def contacts(t: Tiles, labels: str, value: str | None = None) -> DataFrame:
             m = own[p] & (lab[p] > 0) & (lab[q] > 0) & (lab[p] != lab[q])
             a_all.append(np.minimum(lab[p][m], lab[q][m]))
             b_all.append(np.maximum(lab[p][m], lab[q][m]))
-            e_all.append((b[value][p][m] + b[value][q][m]) / 2 if value else np.zeros(int(m.sum())))
+            e_all.append((b[value][p][m].astype(float) + b[value][q][m]) / 2 if value else np.zeros(int(m.sum())))
         pair = np.stack([np.concatenate(a_all), np.concatenate(b_all)])
         uniq, inv, n = np.unique(pair, axis=1, return_inverse=True, return_counts=True)
         total = np.bincount(inv.ravel(), weights=np.concatenate(e_all), minlength=uniq.shape[1])
@@ -558,18 +558,24 @@ def tiles_from_pixels(pixels: DataFrame, keys, value: str, out: str, dtype: str,
     schema = StructType([pixels.schema[c] for c in keys] + [StructField(p, IntegerType()) for p in POSITION]
                         + [StructField(out, BinaryType())])
 
-    def pack(pdf):
-        first = pdf.iloc[0]
-        h = min(size, int(first["height"]) - int(first["ty"]) * size)
-        w = min(size, int(first["width"]) - int(first["tx"]) * size)
-        a = np.zeros((h, w), dtype)
-        a[pdf["y"] - pdf["ty"] * size, pdf["x"] - pdf["tx"] * size] = pdf[value]
-        row = {c: first[c] for c in [*keys, *POSITION]}
-        return pd.DataFrame([{**row, out: a.tobytes()}], columns=schema.fieldNames())
+    columns = ["y", "x", "height", "width", value]
 
+    def pack(batches):
+        for pdf in batches:
+            out = []
+            for g in pdf.to_dict("records"):
+                height, width = int(g["height"][0]), int(g["width"][0])
+                y0, x0 = g["ty"] * size, g["tx"] * size
+                a = np.zeros((min(size, height - y0), min(size, width - x0)), dtype)
+                a[np.asarray(g["y"]) - y0, np.asarray(g["x"]) - x0] = g[value]
+                out.append({**{c: g[c] for c in [*keys, "ty", "tx"]}, "height": height, "width": width, out_name: a.tobytes()})
+            yield pd.DataFrame(out, columns=schema.fieldNames())
+
+    out_name = out
     placed = pixels.withColumn("ty", F.floor(F.col("y") / size).cast("int")).withColumn("tx", F.floor(F.col("x") / size).cast("int"))
     # one group is one tile
-    return Tiles(placed.groupBy(*keys, "ty", "tx").applyInPandas(pack, schema), tuple(keys), size, {out: dtype}, single)
+    packed = gather(placed, [*keys, "ty", "tx"], columns).mapInPandas(pack, schema)
+    return Tiles(packed, tuple(keys), size, {out: dtype}, single)
 
 
 def junction_seeds(t: Tiles, image: str, out: str, sigma: float, min_depth: float) -> Tiles:

@@ -30,6 +30,15 @@ from tessera.session import cut
 POSITION = ("ty", "tx", "height", "width")
 
 
+def gather(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """One row per group with its values as parallel lists, for groups of a known size.
+
+    Unlike a function per group, many small groups share one Arrow batch.
+    """
+    packed = df.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("__s"))
+    return packed.select(*keys, *[F.col("__s")[c].alias(c) for c in columns])
+
+
 class Block:
     """What a tile function sees: the tile, its surroundings, and where they are."""
 
@@ -203,22 +212,29 @@ class Tiles:
                             out.append(one)
                 yield pd.DataFrame(out, columns=piece.fieldNames())
 
-        def assemble(pdf):
-            rows = pdf.to_dict("records")
-            mine = next(r for r in rows if r["own"])
-            y, x, h, w = shape_of(mine)
-            y0, x0 = max(0, y - halo), max(0, x - halo)
-            y1, x1 = min(mine["height"], y + h + halo), min(mine["width"], x + w + halo)
-            arrays = {n: np.zeros((y1 - y0, x1 - x0), dtypes[n]) for n in inputs}
-            for r in rows:
-                at = slice(r["py"] - y0, r["py"] - y0 + r["ph"]), slice(r["px"] - x0, r["px"] - x0 + r["pw"])
-                for n in inputs:
-                    arrays[n][at] = np.frombuffer(r[f"p_{n}"], dtypes[n]).reshape(r["ph"], r["pw"])
-            row = {**mine, **{n: mine[f"k_{n}"] for n in keep}}
-            return pd.DataFrame(emit(block_of(mine, arrays, halo), row, mine), columns=columns)
+        lists = [f for f in piece.fieldNames() if f not in (*keys, "ty", "tx")]
+
+        def assemble(batches):
+            for pdf in batches:
+                out = []
+                for group in pdf.to_dict("records"):
+                    n = int(np.argmax(group["own"]))
+                    mine = {k: group[k] for k in (*keys, "ty", "tx")}
+                    mine.update({c: group[c][n] for c in ("height", "width", *per_image)})
+                    y, x, h, w = shape_of(mine)
+                    y0, x0 = max(0, y - halo), max(0, x - halo)
+                    y1, x1 = min(mine["height"], y + h + halo), min(mine["width"], x + w + halo)
+                    arrays = {m: np.zeros((y1 - y0, x1 - x0), dtypes[m]) for m in inputs}
+                    for i, (py, px_, ph, pw) in enumerate(zip(group["py"], group["px"], group["ph"], group["pw"])):
+                        at = slice(py - y0, py - y0 + ph), slice(px_ - x0, px_ - x0 + pw)
+                        for m in inputs:
+                            arrays[m][at] = np.frombuffer(group[f"p_{m}"][i], dtypes[m]).reshape(ph, pw)
+                    row = {**mine, **{m: group[f"k_{m}"][n] for m in keep}}
+                    out += emit(block_of(mine, arrays, halo), row, mine)
+                yield pd.DataFrame(out, columns=columns)
 
         # at most (2 * reach + 1)^2 pieces meet in one group
-        return source.mapInPandas(ship, piece).groupBy(*keys, "ty", "tx").applyInPandas(assemble, schema)
+        return gather(source.mapInPandas(ship, piece), [*keys, "ty", "tx"], lists).mapInPandas(assemble, schema)
 
     def repeat(self, inputs, outputs, fn, halo: int = 1, rounds: int = 10_000) -> Tiles:
         """Apply a relaxing ``fn`` until no tile reports a change (its ``changed`` counter)."""
@@ -244,21 +260,31 @@ class Tiles:
         across, axis = ("tx", 0) if along == "y" else ("ty", 1)
         order = "ty" if along == "y" else "tx"
 
-        def run(pdf):
-            pdf = pdf.sort_values(order)
-            parts = []
-            for row in pdf.to_dict("records"):
-                h = min(size, row["height"] - row["ty"] * size)
-                w = min(size, row["width"] - row["tx"] * size)
-                parts.append(np.frombuffer(row[layer], from_dtype).reshape(h, w))
-            made = fn(np.concatenate(parts, axis=axis))
-            ends = np.cumsum([p.shape[axis] for p in parts])[:-1]
-            cutup = np.split(made, ends, axis=axis)
-            pdf = pdf.copy()
-            pdf[output] = [np.ascontiguousarray(c, dtype=dtype).tobytes() for c in cutup]
-            return pdf[schema.fieldNames()]
-
-        df = self.df.groupBy(*keys, across).applyInPandas(run, schema)
+        if self.single:
+            return self.transform([layer], {output: dtype}, lambda b: {output: fn(b[layer])})
+        columns = [order, "height", "width", *dict.fromkeys([*keep, layer])]
+
+        def run(batches):
+            for pdf in batches:
+                out = []
+                for g in pdf.to_dict("records"):
+                    at = np.argsort(g[order])
+                    rows, parts = [], []
+                    for i in at:
+                        row = {k: g[k] for k in (*keys, across)}
+                        row.update({c: g[c][i] for c in columns})
+                        h = min(size, row["height"] - row["ty"] * size)
+                        w = min(size, row["width"] - row["tx"] * size)
+                        parts.append(np.frombuffer(row[layer], from_dtype).reshape(h, w))
+                        rows.append(row)
+                    made = fn(np.concatenate(parts, axis=axis))
+                    ends = np.cumsum([p.shape[axis] for p in parts])[:-1]
+                    for row, a in zip(rows, np.split(made, ends, axis=axis)):
+                        row[output] = np.ascontiguousarray(a, dtype=dtype).tobytes()
+                    out += rows
+                yield pd.DataFrame(out)[schema.fieldNames()]
+
+        df = gather(self.df, [*keys, across], columns).mapInPandas(run, schema)
         return self._with(df, {**{n: self.layers[n] for n in keep}, output: dtype})
 
     def relabel(self, layer: str, mapping: DataFrame, missing: str = "keep") -> Tiles:

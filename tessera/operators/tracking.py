@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from tessera.operators import graph
 from tessera.operators import pixels as px
-from tessera.operators.tiles import Tiles
+from tessera.operators.tiles import Tiles, gather
 from tessera.session import cut
 
 
@@ -197,12 +197,18 @@ def assign(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
         )
         schema = StructType([rest.schema[c] for c in [*keys, "a", "b"]] + [StructField("iou", DoubleType())])
 
-        def solve(pdf):
-            pdf = pdf.sort_values(["a", "b"]).reset_index(drop=True)
-            picked = best_assignment(pdf["a"].tolist(), pdf["b"].tolist(), pdf["iou"].tolist())
-            return pdf.loc[sorted(picked), schema.fieldNames()]
-
-        solved = cut(tagged.groupBy(*keys, "root").applyInPandas(solve, schema))
+        def solve(batches):
+            for pdf in batches:
+                out = []
+                for g in pdf.to_dict("records"):
+                    at = sorted(range(len(g["a"])), key=lambda i: (g["a"][i], g["b"][i]))
+                    a, b, iou = ([g[c][i] for i in at] for c in ("a", "b", "iou"))
+                    base = [g[c] for c in keys]
+                    out += [(*base, a[i], b[i], iou[i]) for i in sorted(best_assignment(a, b, iou))]
+                yield pd.DataFrame(out, columns=schema.fieldNames())
+
+        # a list holds the overlaps of one connected part of one frame pair
+        solved = cut(gather(tagged, [*keys, "root"], ["a", "b", "iou"]).mapInPandas(solve, schema))
         settled = solved if settled is None else settled.unionByName(solved)
     return settled if settled is not None else rest
 
