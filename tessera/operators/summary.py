@@ -20,14 +20,13 @@ from tessera.operators.prefix import (
     running_min_from_above,
     value_counts,
 )
-from tessera.session import cut, is_small
+from tessera.session import cut, deal, is_small
 
 
 def long_values(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """(keys, column, value) with NULL and NaN values dropped."""
-    out = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        list(keys), list(columns), "column", "value"
-    )
+    slim = df.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    out = deal(slim).unpivot(list(keys), list(columns), "column", "value")
     return out.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
@@ -204,7 +203,8 @@ def summarise(
         (F.avg(F.coalesce(F.col(control), F.lit(False)).cast("int")) > 0.5).alias("__ctrl"),
     )
     flagged = known.join(sizes, group)
-    long = long_values(flagged, [group, "__ctrl", "__rows", replicate], columns)
+    # seven passes follow; they read columns of one written table instead of redoing the joins
+    long = cut(long_values(flagged, [group, "__ctrl", "__rows", replicate], columns))
     shown = long.where(F.col("__rows") >= min_cells)
 
     cells = describe_groups(shown.select(group, "column", "value"), ["column", group], spread)

@@ -43,6 +43,17 @@ def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
     return sum(sizes) < limit
 
 
+def deal(df: DataFrame) -> DataFrame:
+    """Deal a small input out over all cores.
+
+    A small file is often a single row group, which one task would read and process alone.
+    Large inputs have splits enough and are left as they are.
+    """
+    if not is_small(df):
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def build_session(app: str = "tessera", master: str | None = None, **conf) -> SparkSession:
     """A session with the defaults above; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
