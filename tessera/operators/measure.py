@@ -20,6 +20,7 @@ from tessera.operators import pixels as px
 from tessera.operators import segment as sg
 from tessera.operators.prefix import quantiles_of_counts
 from tessera.operators.tiles import Tiles, gather
+from tessera.session import cut
 
 
 def unique_names(names: Sequence[str], n: int) -> list[str]:
@@ -31,61 +32,97 @@ def unique_names(names: Sequence[str], n: int) -> list[str]:
 # ---------------------------------------------------------------- intensity
 
 
+def _moments_of(labels: np.ndarray, values: np.ndarray) -> pd.DataFrame:
+    """n, mean, squared deviations and median per label of one tile."""
+    order = np.lexsort((values, labels))
+    lab, v = labels[order], values[order]
+    u, first, n = np.unique(lab, return_index=True, return_counts=True)
+    group = np.repeat(np.arange(len(u)), n)
+    mean = np.bincount(group, weights=v, minlength=len(u)) / np.maximum(n, 1)
+    dev = np.bincount(group, weights=(v - mean[group]) ** 2, minlength=len(u))
+    low, high = first + (n - 1) // 2, first + n // 2
+    median = (v[low] + v[high]) / 2 if len(v) else np.zeros(0)
+    return pd.DataFrame({"label": u, "n": n, "mean": mean, "dev": dev, "median": median})
+
+
+_MOMENTS = "label bigint, channel string, n bigint, mean double, dev double, median double"
+
+
+def _pooled(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Tile moments of the same object put together."""
+    n, m = F.col("n"), F.col("mean")
+    g = parts.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum(n * m).alias("sum"), F.sum(F.col("dev") + n * m * m).alias("__q"),
+        F.max("dev").alias("__dev"), F.count(F.lit(1)).alias("tiles"), F.max("median").alias("median"),
+    )
+    mean = F.col("sum") / F.col("n")
+    dev = F.when(F.col("tiles") == 1, F.col("__dev")).otherwise(F.greatest(F.col("__q") - F.col("n") * mean * mean, F.lit(0.0)))
+    return g.withColumn("mean", mean).withColumn("std", F.sqrt(dev / F.col("n"))).drop("__q", "__dev")
+
+
 def channel_stats(t: Tiles, labels: str, channels: Mapping[str, str]) -> DataFrame:
     """(keys, label, channel, n, mean, std, sum, median) for channel name -> layer.
 
-    Distinct values are counted per object inside each tile, which serves all statistics.
+    An object inside one tile is finished there.  Only objects that lie in several tiles
+    send their values (counted per tile) for an exact median.
     """
+    inputs = [labels, *channels.values()]
 
-    def run(b):
+    def moments(b):
+        parts = []
+        for name, layer in channels.items():
+            v = b[layer].astype(float)
+            inside = (b[labels] > 0) & ~np.isnan(v)
+            parts.append(_moments_of(b[labels][inside], v[inside]).assign(channel=name))
+        return {c: pd.concat(parts)[c].tolist() for c in ("label", "channel", "n", "mean", "dev", "median")}
+
+    keys = [*t.keys, "label", "channel"]
+    out = _pooled(t.rows(inputs, _MOMENTS, moments), keys)
+    if t.single:
+        return out.drop("tiles")
+    out = cut(out)
+    split = out.where("tiles > 1").select(*t.keys, "label").distinct()
+    # the labels of one image that cross tile borders: a small part of its objects
+    lists = split.groupBy(*t.keys).agg(F.collect_list("label").alias("split_labels"))
+
+    def values(b):
         lab = b[labels]
-        inside = lab > 0
-        out = {"label": [], "channel": [], "value": [], "cnt": []}
+        inside = np.isin(lab, b.split_labels)
+        rows = {"label": [], "channel": [], "value": [], "cnt": []}
         for name, layer in channels.items():
             pair = pd.DataFrame({"l": lab[inside], "v": b[layer][inside].astype(float)})
             n = pair.groupby(["l", "v"]).size()
-            out["label"] += n.index.get_level_values(0).tolist()
-            out["value"] += n.index.get_level_values(1).tolist()
-            out["cnt"] += n.tolist()
-            out["channel"] += [name] * len(n)
-        return out
-
-    keys = [*t.keys, "label", "channel"]
-    parts = t.rows([labels, *channels.values()], "label bigint, channel string, value double, cnt bigint", run)
-    counts = parts.where(~F.isnan("value")).groupBy(*keys, "value").agg(F.sum("cnt").alias("cnt"))
-    return _stats_of_counts(counts, keys)
-
-
-def _stats_of_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    v, c = F.col("value"), F.col("cnt")
-    base = counts.groupBy(*keys).agg(F.sum("cnt").alias("n"), F.sum(v * c).alias("sum"))
-    base = base.withColumn("mean", F.col("sum") / F.col("n"))
-    # squared deviations from the known mean: no cancellation
-    dev = counts.join(base.select(*keys, "mean"), list(keys)).groupBy(*keys).agg(
-        F.sum(c * (v - F.col("mean")) * (v - F.col("mean"))).alias("__d")
-    )
-    med = quantiles_of_counts(counts, keys, "value", {"median": 0.5})
-    return (
-        base.join(dev, list(keys)).join(med, list(keys))
-        .withColumn("std", F.sqrt(F.col("__d") / F.col("n"))).drop("__d")
-    )
+            rows["label"] += n.index.get_level_values(0).tolist()
+            rows["value"] += n.index.get_level_values(1).tolist()
+            rows["cnt"] += n.tolist()
+            rows["channel"] += [name] * len(n)
+        return rows
+
+    shared = t.with_scalar(lists).rows(inputs, "label bigint, channel string, value double, cnt bigint", values, per_image=["split_labels"])
+    counts = shared.groupBy(*keys, "value").agg(F.sum("cnt").alias("cnt"))
+    exact = quantiles_of_counts(counts, keys, "value", {"__median": 0.5})
+    return out.join(exact, keys, "left").withColumn(
+        "median", F.when(F.col("tiles") > 1, F.col("__median")).otherwise(F.col("median"))
+    ).drop("__median", "tiles")
+
+
+def _rim(b, labels: str, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Core labels and the mask of pixels an erosion of ``band`` steps with 4 neighbours removes."""
+    pad = b.padded(labels, "constant", constant_values=0)
+    core = b[labels][b.core]
+    h, w = core.shape
+    inner = core > 0
+    for dy in range(-band, band + 1):
+        for dx in range(abs(dy) - band, band - abs(dy) + 1):
+            inner &= pad[band + dy: band + dy + h, band + dx: band + dx + w] == core
+    return core, (core > 0) & ~inner
 
 
 def boundary_values(t: Tiles, labels: str, channels: Mapping[str, str], band: int = 1) -> DataFrame:
-    """(keys, label, channel, value, cnt): intensities on the rim of every object.
-
-    The rim is what an erosion of ``band`` steps with 4 neighbours removes.
-    """
+    """(keys, label, channel, value, cnt): intensities on the rim of every object."""
 
     def run(b):
-        pad = b.padded(labels, "constant", constant_values=0)
-        core = b[labels][b.core]
-        h, w = core.shape
-        inner = core > 0
-        for dy in range(-band, band + 1):
-            for dx in range(abs(dy) - band, band - abs(dy) + 1):
-                inner &= pad[band + dy: band + dy + h, band + dx: band + dx + w] == core
-        rim = (core > 0) & ~inner
+        core, rim = _rim(b, labels, band)
         out = {"label": [], "channel": [], "value": [], "cnt": []}
         for name, layer in channels.items():
             pair = pd.DataFrame({"l": core[rim], "v": b[layer][b.core][rim].astype(float)})
@@ -103,8 +140,15 @@ def boundary_values(t: Tiles, labels: str, channels: Mapping[str, str], band: in
 
 def boundary_stats(t: Tiles, labels: str, channels: Mapping[str, str], band: int = 1) -> DataFrame:
     """(keys, label, channel, edge_mean, edge_std, edge_cv)"""
+
+    def run(b):
+        core, rim = _rim(b, labels, band)
+        parts = [_moments_of(core[rim], b[layer][b.core][rim].astype(float)).assign(channel=name) for name, layer in channels.items()]
+        return {c: pd.concat(parts)[c].tolist() for c in ("label", "channel", "n", "mean", "dev", "median")}
+
+    t = t.select(labels, *channels.values())
     keys = [*t.keys, "label", "channel"]
-    s = _stats_of_counts(boundary_values(t, labels, channels, band), keys)
+    s = _pooled(t.rows([labels, *channels.values()], _MOMENTS, run, halo=band), keys)
     return s.select(*keys, F.col("mean").alias("edge_mean"), F.col("std").alias("edge_std"),
                     F.try_divide(F.col("std"), F.col("mean")).alias("edge_cv"))
 

@@ -256,11 +256,10 @@ def frame_pairs(frames: DataFrame, keys: Sequence[str], time: str, levels: int =
     w = Window.partitionBy(*keys).orderBy(time)
     out = frames.select(*keys, time).distinct().withColumn("__p", F.row_number().over(w))
     older = out.select(*keys, F.col(time).alias(f"{time}_prev"), F.col("__p").alias("__q"))
-    return (
-        out.join(older, list(keys))
-        .where((F.col("__q") < F.col("__p")) & (F.col("__q") >= F.col("__p") - levels))
-        .select(*keys, time, f"{time}_prev", (F.col("__p") - F.col("__q") - 1).alias("level"))
+    asked = out.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn(
+        "__q", F.col("__p") - F.col("level") - 1
     )
+    return asked.join(older, [*keys, "__q"]).select(*keys, time, f"{time}_prev", "level")
 
 
 def frame_overlaps(labels: DataFrame, keys: Sequence[str], time: str, pairs: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from tessera.operators import kernels as k
 from tessera.operators import pixels as px
 from tessera.operators.prefix import quantiles_of_counts, running_below
 from tessera.operators.tiles import POSITION, Tiles, gather
+from tessera.session import cut
 
 LABEL = "i8"
 
@@ -86,42 +87,75 @@ def pointwise(t: Tiles, inputs: Sequence[str], out: str, dtype: str, fn, per_ima
 # ---------------------------------------------------------------- thresholds
 
 
-def histogram(t: Tiles, layer: str, bins: int = 256) -> DataFrame:
+def histogram(t: Tiles, layer: str, bins: int = 256, where: str | None = None) -> DataFrame:
     """(keys, lo, hi, bin, n): counted inside each tile before the shuffle."""
     keys = list(t.keys)
-    ends = t.rows([layer], "lo double, hi double", lambda b: {"lo": [float(b[layer].min())], "hi": [float(b[layer].max())]})
+    inputs = [layer] + ([where] if where else [])
+
+    def picked(b):
+        a = b[layer].astype(float)
+        return a[b[where] > 0] if where else a.ravel()
+
+    def extremes(b):
+        a = picked(b)
+        return {"lo": [float(a.min())], "hi": [float(a.max())]} if a.size else {"lo": [], "hi": []}
+
+    ends = t.rows(inputs, "lo double, hi double", extremes)
     ends = ends.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
     def count(b):
-        a = b[layer].ravel()
-        width = b.hi - b.lo
-        at = np.minimum(((a - b.lo) / width * bins).astype(int), bins - 1) if width > 0 else np.zeros(a.size, int)
-        n = np.bincount(at, minlength=bins)
+        n = np.bincount(bin_of(picked(b), b.lo, b.hi, bins), minlength=bins)
         hit = np.nonzero(n)[0]
         return {"lo": [b.lo] * len(hit), "hi": [b.hi] * len(hit), "bin": hit.tolist(), "n": n[hit].tolist()}
 
-    parts = t.with_scalar(ends).rows([layer], "lo double, hi double, bin int, n bigint", count, per_image=["lo", "hi"])
+    parts = t.with_scalar(ends).rows(inputs, "lo double, hi double, bin int, n bigint", count, per_image=["lo", "hi"])
     return parts.groupBy(*keys, "lo", "hi", "bin").agg(F.sum("n").alias("n"))
 
 
+def bin_of(a: np.ndarray, lo: float, hi: float, bins: int) -> np.ndarray:
+    if not hi > lo:
+        return np.zeros(a.size, int)
+    return np.minimum(((a - lo) / (hi - lo) * bins).astype(int), bins - 1)
+
+
 def otsu(t: Tiles, layer: str, bins: int = 256) -> DataFrame:
     """(keys, threshold)"""
     return px.otsu_from_bins(histogram(t, layer, bins), list(t.keys), bins)
 
 
-def image_percentiles(t: Tiles, layer: str, probs: Mapping[str, float], where: str | None = None) -> DataFrame:
-    """Exact percentiles of a layer per image, optionally only where another layer is set."""
-    if where is None:
-        counts = t.value_table(layer)
-    else:
-
-        def run(b):
-            v, n = np.unique(b[layer][b[where] > 0].astype(float), return_counts=True)
-            return {"value": v.tolist(), "cnt": n.tolist()}
+def image_percentiles(
+    t: Tiles, layer: str, probs: Mapping[str, float], where: str | None = None, bins: int = 4096
+) -> DataFrame:
+    """Exact percentiles of a layer per image, optionally only where another layer is set.
 
-        counts = t.rows([layer, where], "value double, cnt bigint", run)
-        counts = counts.groupBy(*t.keys, "value").agg(F.sum("cnt").alias("cnt"))
-    return quantiles_of_counts(counts, list(t.keys), "value", probs)
+    A histogram tells which bins hold the wanted ranks.  Only pixels of those bins leave
+    their tile as values; every other bin takes part as one row with its count.
+    """
+    keys = list(t.keys)
+    hist = cut(histogram(t, layer, bins, where))
+    upto = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = hist.withColumn("__u", F.sum("n").over(upto)).withColumn("__n", F.sum("n").over(Window.partitionBy(*keys)))
+    wanted = F.lit(False)
+    for p in probs.values():
+        at = (F.col("__n") - 1) * F.lit(float(p))
+        for rank in (F.floor(at), F.ceil(at)):
+            wanted = wanted | ((rank < F.col("__u")) & (rank >= F.col("__u") - F.col("n")))
+    ranked = ranked.withColumn("__hit", wanted)
+    hits = ranked.where("__hit").groupBy(*keys, "lo", "hi").agg(F.collect_list("bin").alias("hit_bins"))
+
+    def values(b):
+        a = b[layer].astype(float)
+        a = a[b[where] > 0] if where else a.ravel()
+        v, n = np.unique(a[np.isin(bin_of(a, b.lo, b.hi, bins), b.hit_bins)], return_counts=True)
+        return {"value": v.tolist(), "cnt": n.tolist()}
+
+    inputs = [layer] + ([where] if where else [])
+    exact = t.with_scalar(hits).rows(inputs, "value double, cnt bigint", values, per_image=["lo", "hi", "hit_bins"])
+    exact = exact.groupBy(*keys, "value").agg(F.sum("cnt").alias("cnt"))
+    middle = F.col("lo") + (F.col("bin") + 0.5) * (F.col("hi") - F.col("lo")) / bins
+    rest = ranked.where("not __hit").select(*keys, middle.alias("value"), F.col("n").alias("cnt"))
+    counts = exact.unionByName(rest).groupBy(*keys, "value").agg(F.sum("cnt").alias("cnt"))
+    return quantiles_of_counts(counts, keys, "value", probs)
 
 
 # ---------------------------------------------------------------- components

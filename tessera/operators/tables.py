@@ -221,10 +221,11 @@ def upsert_scenes(old: DataFrame | None, new: DataFrame, done: DataFrame | None
         .groupBy("scene").agg((F.min("timepoint") != F.max("timepoint")).alias("many"))
         .agg(F.coalesce(F.bool_or("many"), F.lit(False)).alias("__series"))
     )
-    keyed = old.crossJoin(F.broadcast(series))  # exactly one row
-    hit = marks.distinct().select(F.col("scene").alias("__sc"), F.col("timepoint").alias("__tp"))
-    same_time = ~F.col("__series") | (F.col("timepoint") == F.col("__tp"))
-    kept = keyed.join(hit, (F.col("scene") == F.col("__sc")) & same_time, "left_anti").drop("__series")
+    # the time is part of the key only in a series, so the join stays an equality
+    time = F.when(F.col("__series"), F.col("timepoint"))
+    hit = marks.crossJoin(F.broadcast(series)).select("scene", F.coalesce(time, F.lit(0)).alias("__t")).distinct()
+    keyed = old.crossJoin(F.broadcast(series)).withColumn("__t", F.coalesce(time, F.lit(0)))  # exactly one row
+    kept = keyed.join(hit, ["scene", "__t"], "left_anti").select(*old.columns)
     return kept.unionByName(new, allowMissingColumns=True)
 
 

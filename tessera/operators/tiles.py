@@ -25,7 +25,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from tessera.session import cut
+from tessera.session import cut, look_up
 
 POSITION = ("ty", "tx", "height", "width")
 
@@ -351,7 +351,7 @@ class Tiles:
 
     def with_scalar(self, values: DataFrame) -> Tiles:
         """Attach per-image columns (for ``per_image``)."""
-        return self._with(self.df.join(values, list(self.keys)), self.layers)
+        return self._with(look_up(self.df, values, list(self.keys)), self.layers)
 
 
 def tile_images(

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from tessera.operators import graph
 from tessera.operators import pixels as px
 from tessera.operators.tiles import Tiles, gather
-from tessera.session import cut
+from tessera.session import cut, look_up
 
 
 # ---------------------------------------------------------------- overlaps from tiles
@@ -37,12 +37,12 @@ def tile_overlaps(t: Tiles, labels: str, time: str, levels: int = 1) -> DataFram
     dtype, size = t.layers[labels], t.size
     # frames are cropped to the smallest frame of the series
     shape = t.df.groupBy(*keys).agg(F.min("height").alias("__h"), F.min("width").alias("__w"))
-    cur = t.df.select(*t.keys, "ty", "tx", "height", "width", F.col(labels).alias("__b")).join(shape, keys)
+    cur = look_up(t.df.select(*t.keys, "ty", "tx", "height", "width", F.col(labels).alias("__b")), shape, keys)
     old = t.df.select(
         *keys, F.col(time).alias(f"{time}_prev"), "ty", "tx", F.col("height").alias("__ph"),
         F.col("width").alias("__pw"), F.col(labels).alias("__a"),
     )
-    met = cur.join(pairs, [*keys, time]).join(old, [*keys, f"{time}_prev", "ty", "tx"])
+    met = look_up(cur, pairs, [*keys, time]).join(old, [*keys, f"{time}_prev", "ty", "tx"])
     fields = [t.df.schema[c] for c in [*keys, time]]
     prev = StructField(f"{time}_prev", t.df.schema[time].dataType)
     schema = StructType([*fields, prev, StructField("level", LongType())]
@@ -81,7 +81,7 @@ def cell_table(t: Tiles, labels: str, shape: DataFrame) -> DataFrame:
     """(keys, label, area) inside the common crop of each series."""
     keys = [c for c in shape.columns if not c.startswith("__")]
     s = t.select(labels)
-    s = s._with(s.df.join(shape, keys), s.layers)
+    s = s._with(look_up(s.df, shape, keys), s.layers)
 
     def run(b):
         a = b[labels][: max(0, b.__dict__["__h"] - b.core_y), : max(0, b.__dict__["__w"] - b.core_x)]

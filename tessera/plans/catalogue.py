@@ -597,7 +597,33 @@ def _(spark, sf):
     return _rounded(summary.adjust_p(_bh_input(spark, sf), ["p_brand"], "p", "q", spread=True).select("p_partkey", "p", "q"), ("p",))
 
 
-@register("summary_statistics")
+def _erfc_tail(x: str) -> str:
+    return f"""CASE WHEN {x} > 6 THEN 0 ELSE least(1, 1 - 2/sqrt(pi())*exp(-{x}*{x})*list_sum(list_transform(range(0,250),
+        lambda n: exp(2*n*ln(2) + (2*n+1)*ln(greatest({x},1e-300)) - lgamma(2*n+2) + lgamma(n+1))))) END"""
+
+
+SUMMARY = f"""WITH {LONG}, {RANKS}, {WELCH},
+  g AS (SELECT "column", treatment, bool_or(is_control) AS is_control, count(value) AS n_cells, avg(value) AS mean, median(value) AS median,
+    stddev_samp(value) AS std, quantile_cont(value,0.25) AS q25, quantile_cont(value,0.75) AS q75 FROM long GROUP BY ALL HAVING count(*) >= 20),
+  r AS (SELECT "column", treatment, count(*) AS n_replicates, avg(med) AS rm, stddev_samp(med) AS rs FROM m GROUP BY ALL),
+  c AS (SELECT "column", median(value) AS cm FROM long WHERE is_control GROUP BY ALL),
+  z AS (SELECT "column", treatment, {_erfc_tail('abs(' + ZED + ')/sqrt(2)')} AS p FROM u),
+  x AS (SELECT *, df/(df+t*t) AS x, df/2 AS a FROM td),
+  b AS (SELECT "column", treatment, CASE WHEN x <= (a+1)/(a+2.5) THEN {_beta_series('a', '0.5', 'x')} ELSE 1 - ({_beta_series('0.5', 'a', '(t*t/(df+t*t))')}) END AS p FROM x),
+  f AS (SELECT g.*, n_replicates, rm, rs, cm, z.p AS pc, b.p AS pr FROM g JOIN r USING ("column", treatment) JOIN c USING ("column")
+    LEFT JOIN z USING ("column", treatment) LEFT JOIN b USING ("column", treatment)),
+  k AS (SELECT *, CASE WHEN pc IS NOT NULL THEN pc * count(pc) OVER (PARTITION BY "column") / rank() OVER (PARTITION BY "column" ORDER BY pc NULLS LAST) END AS kc,
+    CASE WHEN pr IS NOT NULL THEN pr * count(pr) OVER (PARTITION BY "column") / rank() OVER (PARTITION BY "column" ORDER BY pr NULLS LAST) END AS kr FROM f),
+  q AS (SELECT *, min(kc) OVER (PARTITION BY "column" ORDER BY pc NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS qc,
+    min(kr) OVER (PARTITION BY "column" ORDER BY pr NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS qr FROM k)
+  SELECT 'treatment' AS group_by, treatment AS "group", "column", is_control, n_cells, n_replicates, round(mean,6)+0.0 AS mean, round(median,6)+0.0 AS median,
+    round(std,6)+0.0 AS std, round(q25,6)+0.0 AS q25, round(q75,6)+0.0 AS q75, round(rm,6)+0.0 AS replicate_median_mean, round(rs,6)+0.0 AS replicate_median_sd,
+    round(median/nullif(cm,0),6)+0.0 AS median_ratio_vs_ctrl, round(median-cm,6)+0.0 AS median_diff_vs_ctrl, round(pc,6)+0.0 AS p_cells_mannwhitney,
+    round(pr,6)+0.0 AS p_replicates_welch, CASE WHEN pc IS NOT NULL THEN round(least(1,qc),6)+0.0 END AS "q_cells_BH",
+    CASE WHEN pr IS NOT NULL THEN round(least(1,qr),6)+0.0 END AS "q_replicates_BH" FROM q"""
+
+
+@register("summary_statistics", SUMMARY)
 def summary_statistics(spark, sf):
     out = summary.summarise(cells(spark, sf), "treatment", MEASURES, "replicate", min_cells=20)
     return _rounded(out)

@@ -27,6 +27,7 @@ from tessera.operators import background, measure, summary, tables, tracking
 from tessera.operators import segment as sg
 from tessera.operators.tiles import Tiles
 from tessera.plans import config
+from tessera.render import pictures
 from tessera.sources import images, workbook
 
 KEYS = ["dataset", "scene", "timepoint"]
@@ -267,6 +268,20 @@ def segment_stage(spark: SparkSession, cfg: Mapping[str, Any], jobs: DataFrame,
         used = {f"used_{k_}" + ("" if k_.endswith("_px") else "_px"): F.lit(float(p[k_])) for k_ in sizes.KINDS}
         summary_ = got["summary"].join(scene, KEYS).withColumns(used)
         ids = part.select(*KEYS)
+        stem = text.scene_stem(F.col("dataset"), F.col("scene"), F.col("timepoint") if cfg["time_mode"] == "series" else None)
+        folder = store.root / cfg["segmentation_subdir"]
+        for layer in keep:
+            if layer != "nuclei_mask" or cfg["save_nuclei_mask"]:
+                ending = {"nuclei": "_nuclei_labels", "cells": "_cell_labels", "nuclei_mask": "_nuclei_mask"}[layer]
+                images.write_planes(
+                    images.untile(made.select(layer), layer), str(folder), F.concat(stem, F.lit(ending)), [layer], [made.layers[layer]],
+                    mask=layer == "nuclei_mask",
+                ).write.format("noop").mode("overwrite").save()
+        if cfg["save_qc_plot"]:
+            pictures.quality(
+                got["tiles"], None if junctions else f"c{n_ch}", None if nuclei_only else f"c{e_ch}", "nuclei" if nuclei_only else "cells",
+                str(store.root / cfg["qc_subdir"]),
+            ).write.format("noop").mode("overwrite").save()
         store.upsert("labels", made.df, ids)
         store.upsert("segmentation_summary", summary_, ids)
         metric = F.lit(ps).cast("double")
@@ -462,8 +477,6 @@ def analyse(spark: SparkSession, cfg: Mapping[str, Any], df: DataFrame, out: Pat
 
 
 def overview_stage(spark: SparkSession, cfg: Mapping[str, Any], jobs: DataFrame, store: Store, size: int) -> dict[str, int]:
-    from tessera.render import pictures
-
     first = jobs.where(F.col("timepoint") == int(cfg["timepoint"]))
     if cfg["overview_max_scenes"]:
         first = tables.evenly_spaced(first, ["dataset", "scene"], int(cfg["overview_max_scenes"]))

@@ -10,7 +10,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text
@@ -78,10 +78,36 @@ def shrunken(t: Tiles, layers: Sequence[str], most: int) -> DataFrame:
     )
 
 
-def overviews(t: Tiles, layers: Sequence[str], cfg: Mapping[str, Any], folder: str) -> DataFrame:
+def outlines(t: Tiles, labels: str, out: str) -> Tiles:
+    """A layer that is one where a label meets another label or the background below or to the right."""
+
+    def run(b):
+        lab, (cy, cx) = b[labels], b.core
+        line = np.zeros(lab.shape)
+        line[:-1] = np.maximum(line[:-1], lab[:-1] != lab[1:])
+        line[:, :-1] = np.maximum(line[:, :-1], lab[:, :-1] != lab[:, 1:])
+        return {out: line[cy, cx]}
+
+    return t.transform([labels], {out: "f8"}, run, halo=1)
+
+
+def quality(t: Tiles, nuclei: str | None, edge: str | None, labels: str, folder: str, most: int = 2000) -> DataFrame:
+    """One picture per image: nuclei blue, junctions green, object outlines yellow."""
+    t = outlines(t, labels, "__line")
+    layers = [n for n in (nuclei, edge) if n] + ["__line"]
+    cfg = {"overview_max_px": most, "overview_low_percentile": 0.5, "overview_percentile": 99.5, "overview_colored": True,
+           "overview_merge": True, "overview_scalebar": False, "overview_scalebar_um": None,
+           "overview_colors": ", ".join((["blue"] if nuclei else []) + (["green"] if edge else []) + ["yellow"])}
+    name = text.scene_stem(F.col("dataset"), F.col("scene"), F.col("timepoint"))
+    return overviews(t.select(*layers), layers, cfg, folder, name, "_qc", only_merge=True)
+
+
+def overviews(t: Tiles, layers: Sequence[str], cfg: Mapping[str, Any], folder: str, name: Column | None = None,
+              suffix: str = "_overview", only_merge: bool = False) -> DataFrame:
     """Write one picture per scene; returns (keys, file).  A picture has at most ``overview_max_px``
     pixels a side, so drawing it is a small group."""
     keys = list(t.keys)
+    name = text.scene_stem(F.col("dataset"), F.col("scene")) if name is None else name
     small = shrunken(t, layers, int(cfg["overview_max_px"] or 0))
     low = float(cfg["overview_low_percentile"] or 0)
     q = quantiles(small, [*keys, "channel"], "v", {"lo": low / 100, "hi": float(cfg["overview_percentile"]) / 100})
@@ -97,7 +123,7 @@ def overviews(t: Tiles, layers: Sequence[str], cfg: Mapping[str, Any], folder: s
         scaled = scaled.join(t.df.groupBy(*keys).agg(F.max("pixel_size_um").alias("ps")), keys)
     else:
         scaled = scaled.withColumn("ps", F.lit(None).cast("double"))
-    scaled = scaled.withColumn("__name", text.scene_stem(F.col("dataset"), F.col("scene")))
+    scaled = scaled.withColumn("__name", name)
     names = [c.strip() for c in str(cfg["overview_colors"]).split(",") if c.strip()] or ["gray"]
     colours = [COLOURS.get(names[i % len(names)].lower(), (1.0, 1.0, 1.0)) for i in range(len(layers))]
     coloured, merge, bar, bar_um = cfg["overview_colored"], cfg["overview_merge"], cfg["overview_scalebar"], cfg["overview_scalebar_um"]
@@ -116,6 +142,7 @@ def overviews(t: Tiles, layers: Sequence[str], cfg: Mapping[str, Any], folder: s
         panels = [screen([a], [c if coloured else (1, 1, 1)]) for a, c in zip(planes, colours)]
         if merge and len(planes) > 1:
             panels.append(screen(planes, colours))
+        panels = panels[-1:] if only_merge else panels
         ps = first["ps"]
         if bar and ps == ps and ps:
             step_um = ps * first["step"]
@@ -124,7 +151,7 @@ def overviews(t: Tiles, layers: Sequence[str], cfg: Mapping[str, Any], folder: s
                 thick = max(1, int(0.012 * h))
                 p[h - 2 * thick: h - thick, max(0, w - n - thick): w - thick] = 1.0
         picture = (np.concatenate(panels, axis=1) * 255).round()
-        target = os.path.join(folder, first["__name"] + "_overview.png")
+        target = os.path.join(folder, first["__name"] + suffix + ".png")
         part_file = f"{target}.{os.getpid()}.part"
         with open(part_file, "wb") as f:
             f.write(png(picture))

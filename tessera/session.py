@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 # Adaptive execution re-plans joins from measured sizes (nothing is broadcast on a
 # guess) and splits skewed join partitions even when that costs one more shuffle.
@@ -95,3 +96,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def look_up(df: DataFrame, values: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join a table of large rows with small facts per key.
+
+    The facts are written first, so their size is known: a small table is broadcast and the
+    large rows stay where they are, a bigger one takes the ordinary join.
+    """
+    facts = cut(values)
+    return df.join(broadcast(facts) if is_small(facts, 16 << 20) else facts, keys, how)

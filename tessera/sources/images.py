@@ -11,7 +11,7 @@ import json
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
@@ -219,10 +219,10 @@ def image_rows(planes: DataFrame, channels: Sequence[int], z: str = "max") -> Da
     return kept.groupBy(*keys).applyInPandas(stack, schema)
 
 
-def write_planes(images: DataFrame, folder: str, name: str, blobs: Sequence[str], dtypes: Sequence[str], mask: bool = False) -> DataFrame:
+def write_planes(images: DataFrame, folder: str, name: Column, blobs: Sequence[str], dtypes: Sequence[str], mask: bool = False) -> DataFrame:
     """Write label planes as zlib TIFF files, one per row; returns (file, n_bytes).
 
-    The file name is an expression column ``name``.  Files appear under their final name
+    ``name`` is the file name without its ending.  Files appear under their final name
     only when complete, so a repeated task does no harm.
     """
     import os
@@ -251,7 +251,7 @@ def write_planes(images: DataFrame, folder: str, name: str, blobs: Sequence[str]
                     out.append((target, len(data)))
             yield pd.DataFrame(out, columns=["file", "n_bytes"])
 
-    return images.select("height", "width", F.expr(name).alias("__name"), *blobs).mapInPandas(run, "file string, n_bytes long")
+    return images.select("height", "width", name.alias("__name"), *blobs).mapInPandas(run, "file string, n_bytes long")
 
 
 def untile(t: Tiles, layer: str) -> DataFrame:

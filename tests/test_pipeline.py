@@ -37,7 +37,7 @@ SETTINGS = {
     "min_label_size": 30, "clear_border_labels": True, "clear_border_buffer": 0, "multinuc_band_px": 1, "multinuc_max_distance": 10, "nuc_dilation_rad": 2,
     "min_hole_size": 4, "boundary_band_px": 1, "seed_sigma": 3, "max_cell_area": 2000, "min_nuclei_confluent": 4, "channel_names": "DNA, Edge",
     "edge_channels": "1", "zscore_columns": "mean_Edge", "control_wells": "B1", "plot_columns": "mean_*", "min_cells_per_group": 1,
-    "group_by": "well_id", "time_mode": "series",
+    "group_by": "well_id", "time_mode": "series", "run_overview": True, "overview_max_px": 40,
 }
 
 
@@ -62,6 +62,12 @@ def test_run(spark, folder, tmp_path, tile):
     with open(next((tmp_path / "per_file" / "tracking").glob("*.tif")), "rb") as f:
         pages = tiff.read_directory(f)
         assert len(pages) == 2 and tiff.read_page(f, pages[0]).max() == 1
+    for kind in ("cell_labels", "nuclei_labels", "nuclei_mask"):
+        assert len(list((tmp_path / "per_file" / "segmentation").glob(f"*_t000?_{kind}.tif"))) == 4
+    with open(next((tmp_path / "per_file" / "segmentation").glob("*_cell_labels.tif")), "rb") as f:
+        assert set(np.unique(tiff.read_page(f, tiff.read_directory(f)[0]))) == {0, 5}
+    assert len(list((tmp_path / "per_file" / "segmentation_qc").glob("*_qc.png"))) == 4
+    assert len(list((tmp_path / "per_file" / "overview").glob("*_overview.png"))) == 2
     # a second run without overwriting finds nothing to do and keeps everything
     cfg.update(overwrite_segmentation=False, overwrite_measurement=False, run_analysis=False, run_aggregation=False)
     assert pipeline.run(spark, cfg, tile) == "completed"
