@@ -170,10 +170,10 @@ def components(t: Tiles, layer: str, out: str, eight: bool = False, inverse: boo
         where = b.positions().ravel()
         return {out: np.where(first >= 0, where[np.maximum(first, 0)], 0)}
 
-    t = t.transform([layer], {out: LABEL}, local)
+    # callers count, join and relabel what comes next: three reads of one written table
+    t = t.transform([layer], {out: LABEL}, local).cut()
     if t.single:
         return t
-    t = t.cut()
 
     def seams(b):
         lab = b[out]
@@ -283,7 +283,7 @@ def peaks(t: Tiles, value: str, mask: str, out: str, reach: int) -> Tiles:
     t = t.transform([value, mask], {"__state": "u1"}, candidates, halo=reach)
     t = t.repeat([value, "__state"], {"__state": "u1"}, space, halo=reach)
     t = pointwise(t, ["__state"], out, LABEL, lambda b: np.where(b["__state"] == 1, b.positions(), 0))
-    return number(_drop(t, "__state"), out)
+    return number(_drop(t, "__state").cut(), out)
 
 
 def watershed(t: Tiles, surface: str, markers: str, out: str, mask: str | None = None) -> Tiles:
@@ -518,8 +518,7 @@ def segment_nuclei(
     t = peaks(t, "__d", "nuclei_mask", "__m", max(1, min_distance)).cut()
     t = pointwise(t, ["__d"], "__h", "f8", lambda b: -b["__d"])
     t = _drop(watershed(t, "__h", "__m", "nuclei", "nuclei_mask"), "__h", "__m", "__d")
-    if not split:
-        t = components(t, "nuclei", "nuclei", eight=True)
+    t = t.cut() if split else components(t, "nuclei", "nuclei", eight=True)
     return number(t, "nuclei").cut(), raw
 
 

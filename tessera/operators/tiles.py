@@ -25,7 +25,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from tessera.session import cut, look_up
+from tessera.session import cut, deal, look_up
 
 POSITION = ("ty", "tx", "height", "width")
 
@@ -360,7 +360,8 @@ def tile_images(
 ) -> Tiles:
     """Cut image rows (keys, height, width, one binary or array column per layer) into tiles.
 
-    A row is one plane of one file and is cut where it was read, without a shuffle.
+    A row is one plane of one file and is cut where it was read; only a small input is dealt
+    out over the cores first.
     """
     keys, names = list(keys), list(layers)
     dtypes = dict(layers)
@@ -392,5 +393,5 @@ def tile_images(
                         out.append(one)
             yield pd.DataFrame(out, columns=schema.fieldNames())
 
-    df = images.select(*keys, "height", "width", *names).mapInPandas(run, schema)
+    df = deal(images.select(*keys, "height", "width", *names)).mapInPandas(run, schema)
     return Tiles(df, tuple(keys), size, dtypes, single)
