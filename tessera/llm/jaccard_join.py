@@ -3,7 +3,7 @@
 Method.  A text is the set of its distinct shingle hashes (64 bits).  All sets are ordered by one global order,
 rare shingles first, so two sets with Jaccard similarity of at least ``percent`` share an element of their
 prefixes.  Documents with equal sets are one *node*; nodes with equal prefix and size are one *group*, and only
-groups are indexed and filtered (by size and by position in the prefix).  Pairs of groups that pass are expanded to
+groups are indexed and filtered (by size and by the number of shared prefix elements).  Pairs of groups that pass are expanded to
 their nodes, and every expanded pair is verified on whole sets.
 
 Hot groups.  Thousands of near copies share many prefix elements.  Their pairs are not enumerated: first every node is
@@ -109,10 +109,21 @@ def whole_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(items)))
                     yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), lists], ["node", "items"])
 
-    texts = beside(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), members, "doc_id", "inner", 32)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # a null id stands for itself here
+    texts, members = (t.withColumn("doc_id", F.struct("doc_id")) for t in (texts, members))
+    texts = beside(texts, members, "doc_id", "inner", 32)
     return texts.select("text", "node").mapInArrow(run, "node long, items array<long>")
 
 
+def sets_for(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """Sets of all nodes in the pairs (a, b)."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = cut(ends.join(nodes, "node").select(F.col("least").alias("doc_id"), "node"))
+    found = cut(whole_sets(docs, wanted, size))
+    return found if found.count() == wanted.count() else found.dropDuplicates(["node"])
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) of nodes, those whose whole sets are similar enough."""
     shared = F.size(F.array_intersect("x", "y"))
@@ -124,58 +135,72 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _needed(n: str, m: str, percent: int):
+    """How many prefix elements two sets of sizes n and m must share at least, if they are similar enough.
+
+    Of the prefix that ends earlier in the global order, all elements that the other set holds lie in the other prefix
+    too, and at most (size - overlap) elements are missing there.
+    """
+    overlap = F.ceil((F.col(n) + F.col(m)) * percent / (100 + percent) - 1e-9)
+    spare = [overlap - F.ceil(F.col(c) * percent / 100 - 1e-9) + 1 for c in (n, m)]  # prefix length - (size - overlap)
+    return F.greatest(F.lit(1), F.least(*spare))
+
+
+def _fits(n: str, m: str, percent: int):
+    return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of documents (doc_id, text)."""
     rows = cut(prefixes(docs, size, percent))
-    nodes = cut(
-        rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("least"), F.min_by("prefix", "doc_id").alias("prefix"))
-        .select("node", "n", "least", F.xxhash64("n", "prefix").alias("grp"), "prefix")
-    )
-    groups = nodes.groupBy("grp", "n").agg(F.min("node").alias("head"), F.first("prefix").alias("prefix"))
-    entries = groups.select("grp", "n", "head", F.posexplode("prefix").alias("pos", "item"))
-    shared = entries.groupBy("item").agg(F.min("grp").alias("leader"), F.max("grp").alias("last")).where("leader <> last")
-    entries = cut(entries.join(shared.select("item", "leader"), "item"))  # elements of one group alone pair nothing
-
-    # one link per node: group members to their head, heads to the leader they share most elements with
-    heads = nodes.groupBy("grp").agg(F.min("node").alias("head"))
+    filled = rows.where("n > 0")
+    least = cut(filled.groupBy("node").agg(F.min("doc_id").alias("least")))
+    first = beside(filled.select("doc_id", "node", "n", "prefix"), least, "node", "inner", 32).where(F.col("doc_id").eqNullSafe(F.col("least")))
+    nodes = cut(first.select("node", "n", "least", F.xxhash64("n", "prefix").alias("grp")).distinct())
+    heads = cut(nodes.groupBy("grp", "n").agg(F.min("node").alias("head")))
+    chosen = beside(first.drop("n"), heads.select(F.col("head").alias("node"), "grp"), "node", "inner", 32)
+    if first.count() > nodes.count():  # rows that repeat an id and a text
+        chosen = chosen.dropDuplicates(["node"])
+    entries = chosen.select("grp", F.explode("prefix").alias("item"))
+    shared = entries.groupBy("item").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("item")
+    entries = cut(entries.join(shared, "item"))  # an element of one group alone pairs nothing
+
+    # one link per node: group members to their head, heads to the leader with which they share most elements
     inside = nodes.select("grp", "node").join(heads, "grp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    leaders = entries.groupBy("item").agg(F.min("grp").alias("leader"))
     lead = (
-        entries.where("grp <> leader").groupBy("grp", "head", "leader").agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("grp", "head").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader"))
-        .join(heads.select(F.col("grp").alias("leader"), F.col("head").alias("a")), "leader").select("a", F.col("head").alias("b"))
+        entries.join(leaders, "item").where("grp <> leader").groupBy("grp", "leader").agg(F.count(F.lit(1)).alias("c"))
+        .join(heads.select("grp", "n", "head"), "grp")
+        .join(heads.select(F.col("grp").alias("leader"), F.col("n").alias("m"), F.col("head").alias("a")), "leader")
+        .where(_fits("n", "m", percent) & (F.col("c") >= _needed("n", "m", percent)))
+        .groupBy("head").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("head").alias("b"))
     )
     stars = cut(inside.unionByName(lead))
-    wanted = cut(
-        entries.select("grp").distinct().join(nodes, "grp").select("least", "node")
-        .unionByName(inside.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("least", "node"))
-        .distinct().select(F.col("least").alias("doc_id"), "node")
-    )
-    sets = cut(whole_sets(docs, wanted, size).dropDuplicates(["node"]))
-    links = cut(verified(stars, sets, percent))
+    links = cut(verified(stars, sets_for(docs, stars, nodes, size), percent))
     state = cut(nodes.select("node", "n", "grp").join(components(links), "node", "left").select("node", "n", "grp", F.coalesce("root", "node").alias("root")))
 
-    # groups whose nodes lie in several components, and elements met by several components
-    spread = state.groupBy("grp", "n").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    held = entries.select("item", "grp", "n", "pos").join(spread.select("grp", "low", "high"), "grp")
+    # pairs across components: groups whose nodes lie in several, and elements that several meet in
+    spread = cut(state.groupBy("grp", "n").agg(F.min("root").alias("low"), F.max("root").alias("high")))
+    held = entries.join(spread, "grp")
     mixed = held.groupBy("item").agg(F.min("low").alias("lo"), F.max("high").alias("hi"), F.mode("low").alias("main")).where("lo <> hi")
-    held = cut(held.join(mixed.select("item", "main"), "item"))
-    x, y = (held.select("item", *[F.col(c).alias(f"{c}_{s}") for c in ("grp", "n", "pos", "low", "high")], *(["main"] if s == "x" else [])) for s in "xy")
-    minor = ~((F.col("low_x") == F.col("main")) & (F.col("high_x") == F.col("main")))
-    least = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent) - 1e-9)
-    possible = 1 + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) - 1
-    fits = (F.col("n_x") * 100 >= F.col("n_y") * percent) & (F.col("n_y") * 100 >= F.col("n_x") * percent) & (possible >= least)
+    held = held.join(mixed.select("item", "main"), "item")
+    held = cut(held.withColumn("minor", ~((F.col("low") == F.col("main")) & (F.col("high") == F.col("main")))))
+    x, y = (held.select("item", *[F.col(c).alias(f"{c}_{s}") for c in ("grp", "n", "low", "high", "minor")]) for s in "xy")
     differ = ~((F.col("low_x") == F.col("high_x")) & (F.col("low_y") == F.col("high_y")) & (F.col("low_x") == F.col("low_y")))
+    once = F.when(F.col("minor_y"), F.col("grp_x") < F.col("grp_y")).otherwise(F.col("grp_x") != F.col("grp_y"))
     group_pairs = (
-        x.where(minor).join(y, "item").where((F.col("grp_x") != F.col("grp_y")) & fits & differ)
-        .select(F.least("grp_x", "grp_y").alias("g"), F.greatest("grp_x", "grp_y").alias("h")).distinct()
+        x.where("minor_x").join(y, "item").where(once & _fits("n_x", "n_y", percent) & differ)
+        .groupBy(F.least("grp_x", "grp_y").alias("g"), F.greatest("grp_x", "grp_y").alias("h"))
+        .agg(F.count(F.lit(1)).alias("c"), F.first("n_x").alias("n"), F.first("n_y").alias("m"))
+        .where(F.col("c") >= _needed("n", "m", percent)).select("g", "h")
     )
     u, v = (state.select(F.col("grp").alias(g), F.col("node").alias(n), F.col("root").alias(r)) for g, n, r in (("g", "a", "ra"), ("h", "b", "rb")))
     across = group_pairs.join(u, "g").join(v, "h").where("ra <> rb").select("a", "b")
     torn = spread.where("low <> high").select(F.col("grp").alias("g"))
     within = torn.join(u, "g").join(v.withColumnRenamed("h", "g"), "g").where("a < b and ra <> rb").select("a", "b")
-    more = cut(verified(cut(across.unionByName(within).distinct()), sets, percent))
+    more = cut(across.unionByName(within).distinct())
     if not more.isEmpty():
-        links = links.unionByName(more)
+        links = links.unionByName(cut(verified(more, sets_for(docs, more, nodes, size), percent)))
         state = nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     state = cut(state.select("node", "root").join(nodes.select("node", "least"), "node"))
     named = state.join(state.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
