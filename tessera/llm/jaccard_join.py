@@ -7,8 +7,8 @@ groups are indexed and filtered (by size and by the number of shared prefix elem
 their nodes, and every expanded pair is verified on whole sets.
 
 Hot groups.  Thousands of near copies share many prefix elements.  Their pairs are not enumerated: first every node is
-verified against one leader (of its group, or of the prefix elements it shares most often), which joins such a family
-by one link per node.  Afterwards only pairs whose nodes lie in different components can add anything,
+verified against one leader (of its group, or, of the leaders of its prefix elements, the one it shares most of them with; an element's
+leader is the group with most elements that others hold too, so it stands in the middle of its family), which joins a family by one link per node.  Afterwards only pairs whose nodes lie in different components can add anything,
 and exactly those are expanded and verified, with the smaller side of each prefix element as the driving side.  No pair that
 passes the filters is skipped unless its nodes are connected already, so components are exact.
 
@@ -167,7 +167,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     # one link per node: group members to their head, heads to the leader with which they share most elements
     inside = nodes.select("grp", "node").join(heads, "grp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    leaders = entries.groupBy("item").agg(F.min("grp").alias("leader"))
+    met = cut(entries.groupBy("grp").agg(F.count(F.lit(1)).alias("met")))  # elements that others hold too: most in the middle of a family
+    leaders = entries.join(met, "grp").groupBy("item").agg(F.max_by("grp", F.struct("met", "grp")).alias("leader"))
     lead = (
         entries.join(leaders, "item").where("grp <> leader").groupBy("grp", "leader").agg(F.count(F.lit(1)).alias("c"))
         .join(heads.select("grp", "n", "head"), "grp")
@@ -181,15 +182,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     # pairs across components: groups whose nodes lie in several, and elements that several meet in
     spread = cut(state.groupBy("grp", "n").agg(F.min("root").alias("low"), F.max("root").alias("high")))
-    held = entries.join(spread, "grp")
+    held = entries.join(spread, "grp").join(met, "grp")
     mixed = held.groupBy("item").agg(F.min("low").alias("lo"), F.max("high").alias("hi"), F.mode("low").alias("main")).where("lo <> hi")
     held = held.join(mixed.select("item", "main"), "item")
     held = cut(held.withColumn("minor", ~((F.col("low") == F.col("main")) & (F.col("high") == F.col("main")))))
-    x, y = (held.select("item", *[F.col(c).alias(f"{c}_{s}") for c in ("grp", "n", "low", "high", "minor")]) for s in "xy")
+    x, y = (held.select("item", *[F.col(c).alias(f"{c}_{s}") for c in ("grp", "n", "met", "low", "high", "minor")]) for s in "xy")
     differ = ~((F.col("low_x") == F.col("high_x")) & (F.col("low_y") == F.col("high_y")) & (F.col("low_x") == F.col("low_y")))
     once = F.when(F.col("minor_y"), F.col("grp_x") < F.col("grp_y")).otherwise(F.col("grp_x") != F.col("grp_y"))
     group_pairs = (
-        x.where("minor_x").join(y, "item").where(once & _fits("n_x", "n_y", percent) & differ)
+        x.where("minor_x").join(y, "item").where(once & _fits("n_x", "n_y", percent) & differ & (F.least("met_x", "met_y") >= _needed("n_x", "n_y", percent)))
         .groupBy(F.least("grp_x", "grp_y").alias("g"), F.greatest("grp_x", "grp_y").alias("h"))
         .agg(F.count(F.lit(1)).alias("c"), F.first("n_x").alias("n"), F.first("n_y").alias("m"))
         .where(F.col("c") >= _needed("n", "m", percent)).select("g", "h")
