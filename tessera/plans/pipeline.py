@@ -16,6 +16,7 @@ from collections.abc import Mapping
 from datetime import datetime
 from pathlib import Path
 from typing import Any
+from urllib.parse import unquote
 
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +41,7 @@ class RunLog:
         folder.mkdir(parents=True, exist_ok=True)
         self.path = folder / f"run_{datetime.now():%Y%m%d_%H%M%S}.json"
         self.data: dict[str, Any] = {
-            "config": dict(cfg), "inputs": [], "stages": [], "status": "running", "started": datetime.now().isoformat(),
+            "config": dict(cfg), "inputs": None, "stages": [], "status": "running", "started": datetime.now().isoformat(),
             "environment": {"python": platform.python_version(), "spark": pyspark.__version__, "version": tessera.__version__},
         }
         self.write()
@@ -60,7 +61,7 @@ class RunLog:
             entry["counts"] = result if isinstance(result, dict) else None
             return result
         except Exception as e:
-            entry.update(status="error", message=str(e)[:2000], trace=traceback.format_exc()[-4000:])
+            entry.update(status="error", message=str(e), trace=traceback.format_exc())
             raise
         finally:
             entry["seconds"] = round(time.time() - begin, 2)
@@ -68,6 +69,13 @@ class RunLog:
             print(f"[PROGRESS] {name} {len(self.data['stages'])}", flush=True)
             self.write()
 
+    def list_inputs(self, files: DataFrame) -> None:
+        """All input files, as a table beside the log."""
+        path = self.path.with_suffix(".inputs.parquet")
+        files.write.mode("overwrite").parquet(str(path))
+        self.data["inputs"] = str(path)
+        self.write()
+
     def close(self, status: str) -> None:
         self.data["status"] = status
         self.data["finished"] = datetime.now().isoformat()
@@ -85,8 +93,15 @@ class Store:
     def path(self, name: str) -> str:
         return str(self.root / name)
 
+    def _partitions(self, name: str) -> dict[str, Any]:
+        """Dataset names and folders of a table, listed by the file system that holds the store."""
+        jvm = self.spark.sparkContext._jvm
+        below = jvm.org.apache.hadoop.fs.Path(self.path(name), "dataset=*")
+        found = below.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(below)
+        return {unquote(s.getPath().getName().partition("=")[2]): s.getPath() for s in found or ()}
+
     def has(self, name: str) -> bool:
-        return next((self.root / name).glob("dataset=*"), None) is not None
+        return bool(self._partitions(name))
 
     def read(self, name: str) -> DataFrame | None:
         return self.spark.read.parquet(self.path(name)) if self.has(name) else None
@@ -106,7 +121,16 @@ class Store:
         touched = old.join(done.select("dataset").distinct(), "dataset", "left_semi")
         keys = done.select(*KEYS)
         merged = tables.upsert(touched, new, KEYS, keys)
-        return self.write(name, cut(merged))
+        merged = cut(merged)
+        # a dataset without rows is no partition of the result, so nothing would replace its old rows
+        emptied = {r.dataset for r in done.select("dataset").distinct().join(merged, "dataset", "left_anti").collect()}
+        self.write(name, merged)
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for dataset, folder in self._partitions(name).items():
+            if dataset in emptied:
+                folder.getFileSystem(conf).delete(folder, True)
+        self.spark.catalog.refreshByPath(self.path(name))
+        return self.read(name)
 
 
 def discover(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
@@ -250,7 +274,7 @@ def segment_stage(spark: SparkSession, cfg: Mapping[str, Any], jobs: DataFrame,
     channels = [n_ch] if nuclei_only else [e_ch] if junctions else [n_ch, e_ch]
     for ps in scales:
         part = todo.where(F.col("pixel_size_um").eqNullSafe(F.lit(ps).cast("double")))
-        p = {**cfg, **sizes.sizes_px(cfg, ps)}
+        p = {**cfg, **sizes.sizes_of(spark, cfg, ps)}
         p["min_nuclei_confluent"] = sizes.confluent_count(cfg, F.col("height"), F.col("width"), F.lit(ps).cast("double"))
         t = load_tiles(spark, part, channels, "max", size)
         t = t._with(t.df.drop("pixel_size_um"), t.layers)
@@ -265,7 +289,7 @@ def segment_stage(spark: SparkSession, cfg: Mapping[str, Any], jobs: DataFrame,
         scene = part.select(*KEYS, "file", "pixel_size_um").withColumn("seed_source", F.lit(cfg["seed_source"])).withColumn(
             "scene_stem", text.scene_stem(F.col("dataset"), F.col("scene"), F.col("timepoint"))
         )
-        used = {f"used_{k_}" + ("" if k_.endswith("_px") else "_px"): F.lit(float(p[k_])) for k_ in sizes.KINDS}
+        used = {f"used_{k_}" + ("" if k_.endswith("_px") else "_px"): F.lit(float(p[k_])) for k_ in sizes.SIZES}
         summary_ = got["summary"].join(scene, KEYS).withColumns(used)
         ids = part.select(*KEYS)
         stem = text.scene_stem(F.col("dataset"), F.col("scene"), F.col("timepoint") if cfg["time_mode"] == "series" else None)
@@ -333,6 +357,7 @@ def measure_stage(spark: SparkSession, cfg: Mapping[str, Any], jobs: DataFrame,
     nuclei_only = cfg["segment_objects"] == "nuclei_only"
     for ps in [r[0] for r in have.select("pixel_size_um").distinct().collect()]:
         part = have.where(F.col("pixel_size_um").eqNullSafe(F.lit(ps).cast("double")))
+        band = int(sizes.sizes_of(spark, cfg, ps, or_least=True)["boundary_band_px"])
         t = load_tiles(spark, part, channels, "max", size)
         if cfg["correct_in_measurement"]:
             for c in channels:
@@ -349,7 +374,7 @@ def measure_stage(spark: SparkSession, cfg: Mapping[str, Any], jobs: DataFrame,
                 t, names, layers, config.int_list(cfg["edge_channels"]), "cells",
                 "nuclei" if cfg["measure_nuclei"] and "nuclei" in t.layers else None,
                 store.read("cell_adjacency"), store.read("cell_statistics").select(*KEYS, "label", "n_nuclei"),
-                cfg["seed_source"] == "junctions", int(sizes.one_size_px(cfg, "boundary_band_px", ps)),
+                cfg["seed_source"] == "junctions", band,
                 float(cfg["ruggedness_smooth_frac"]), float(cfg["ruggedness_min_sigma"]),
             )
         out = measure.add_scene_columns(got, part.select(*KEYS, "file", "frame_interval_min"), KEYS, cfg, scenes)
@@ -359,7 +384,6 @@ def measure_stage(spark: SparkSession, cfg: Mapping[str, Any], jobs: DataFrame,
         if cfg["save_pickle"] and not nuclei_only:
             edge = {names[c]: f"c{c}" for c in config.int_list(cfg["edge_channels"]) if c < n}
             if edge:
-                band = int(sizes.one_size_px(cfg, "boundary_band_px", ps))
                 store.upsert("boundary_intensities", measure.boundary_arrays(t, "cells", edge, band), part.select(*KEYS))
     return {"measured": store.read("cell_measurements").count()}
 
@@ -518,7 +542,7 @@ def run(spark: SparkSession, settings: Mapping[str, Any], tile: int = 1024) -> s
             from tessera.session import cut
 
             jobs = cut(discover(spark, cfg))
-            log.data["inputs"] = [r.asDict() for r in jobs.groupBy("dataset", "file").count().limit(1000).collect()]
+            log.list_inputs(jobs.groupBy("dataset", "file").agg(F.count(F.lit(1)).alias("images")))
         if cfg["run_overview"]:
             log.stage("overview", overview_stage, spark, cfg, jobs, store, tile)
         if cfg["background_mode"] == "image" and cfg["background_metadata_check"] != "off":

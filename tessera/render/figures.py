@@ -170,9 +170,9 @@ class Book:
             c = canvas("replicates")
             violins(c)
             reps = quantiles(long, ["__g", "__replicate"], "value", {"median": 0.5})
-            # at most a page of dots per group is drawn; the mean is over all replicates
+            # the setting bounds the dots of a group; the mean is over all replicates
             means = {r["__g"]: r.m for r in reps.groupBy("__g").agg(F.avg("median").alias("m")).collect()}
-            dots = summary.subsample(reps, "__g", ["__replicate"], 400)
+            dots = summary.subsample(reps, "__g", ["__replicate"], int(self.cfg["max_points_per_group"]))
             at = {g["__g"]: i for i, g in enumerate(groups)}
             for r in dots.toLocalIterator():
                 spread = ((zlib.crc32(r["__replicate"].encode()) % 1000) / 1000 - 0.5) * min(24, step * 0.4)

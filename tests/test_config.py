@@ -1,7 +1,9 @@
 import json
 import os
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions import sizes
 from tessera.plans import config as cf
@@ -57,10 +59,32 @@ def test_run_log_reproduces(tmp_path):
     assert "[Analysis]" in cf.as_text(c)
 
 
-def test_sizes():
-    px = sizes.sizes_px({}, 0.5, (2000, 1000))
+def test_sizes(spark):
+    px = sizes.sizes_of(spark, {}, 0.5)
     assert px["min_distance"] == 7 and px["min_label_size"] == 400 and px["nuclei_sigma"] == 0.5 and px["boundary_band_px"] == 1
-    assert px["min_nuclei_confluent"] == 150
+    count = sizes.confluent_count({}, F.lit(2000), F.lit(1000), F.lit(0.5))
+    assert spark.range(1).select(count.alias("n")).first().n == 150
     with pytest.raises(sizes.MissingPixelSize):
-        sizes.sizes_px({}, None)
-    assert sizes.one_size_px({}, "min_distance", None) == 1
+        sizes.sizes_of(spark, {}, None)
+    assert sizes.sizes_of(spark, {}, None, or_least=True)["min_distance"] == 1
+    given = {"size_units": "px"} | {name: 3.4 for name in sizes.SIZES}
+    assert sizes.sizes_of(spark, given, None)["min_distance"] == 3 and sizes.sizes_of(spark, given, None)["edge_sigma"] == 3.4
+
+
+def test_settings_without_effect_are_refused(tmp_path):
+    ok = cf.normalise({"input_path": str(tmp_path), "output_root": str(tmp_path)})
+    for name in cf.WITHOUT_EFFECT:
+        other = {str: "other", int: 7, bool: False}[type(ok[name])]
+        assert len(cf.problems({**ok, name: other})) == 1, name
+
+
+def test_every_other_setting_is_read_somewhere():
+    package = Path(cf.__file__).parents[1]
+    code = "".join(p.read_text() for p in package.rglob("*.py") if p.name != "config.py" and "llm" not in p.parts) + Path(cf.__file__).read_text().split("ALL = {")[1]
+    unread = [name for name in cf.ALL if name not in cf.WITHOUT_EFFECT and f'"{name}"' not in code and f"{{{name}}}" not in code]
+    assert unread == []
+
+
+def test_pixel_settings_include_the_confluent_count():
+    assert cf.normalise({"min_nuclei_confluent": 5})["size_units"] == "px"
+    assert cf.problems(cf.normalise({"min_nuclei_confluent": -5, "input_path": "/", "output_root": "/"})) == ["min_nuclei_confluent cannot be negative"]
