@@ -5,9 +5,10 @@ They run on one row per (column, group), after everything large has been aggrega
 
 from __future__ import annotations
 
+import functools
 import math
+from fractions import Fraction
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -44,22 +45,43 @@ def student_two_sided(t: float, df: float) -> float:
     return _incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
 
 
+@functools.cache
+def _numerator(parts: int) -> tuple[int, list[int]]:
+    """L and the coefficients of (1 - q**L)**(parts + 1) / ((1 - q) (1 - q)(1 - q**2)...(1 - q**parts)), L a multiple of 1..parts."""
+    period, made = math.lcm(*range(1, parts + 1)), [1]
+    for step in (1, *range(1, parts + 1)):
+        longer = [0] * (len(made) + period - step)
+        for t in range(len(longer)):  # times 1 + q**step + ... + q**(period - step)
+            longer[t] = (made[t] if t < len(made) else 0) + (longer[t - step] if t >= step else 0) - (made[t - period] if 0 <= t - period < len(made) else 0)
+        made = longer
+    return period, made
+
+
+def _partitions_up_to(total: int, parts: int) -> int:
+    """How many partitions into at most ``parts`` parts the numbers 0..total have together, exactly."""
+    if total < 0:
+        return 0
+    period, numerator = _numerator(parts)
+    return sum(
+        numerator[t] * math.comb((total - t) // period + parts, parts) for t in range(total % period, min(total + 1, len(numerator)), period)
+    )
+
+
 def exact_rank_sum_two_sided(u: float, n1: int, n2: int) -> float:
-    """Two-sided p of U without ties, from the exact null distribution."""
-    counts = np.zeros(n1 * n2 + 1)
-    counts[0] = 1.0
-    # U is distributed like the coefficients of the Gaussian binomial (n1+n2 choose n1)
-    for i in range(1, n1 + 1):
-        up = np.zeros_like(counts)
-        k = n2 + i
-        up[:] = counts
-        up[k:] -= counts[: len(counts) - k] if k < len(counts) else 0.0
-        for r in range(min(i, len(up))):
-            up[r::i] = np.cumsum(up[r::i])
-        counts = up
-    upper = max(u, n1 * n2 - u)
-    tail = counts[math.ceil(upper - 1e-9):].sum() / counts.sum()
-    return min(1.0, 2.0 * tail)
+    """Two-sided p of U without ties, from the exact null distribution, in whole numbers.
+
+    The arrangements with U = t are the partitions of t into at most n parts of at most m, n the smaller sample.  Parts that are too
+    large are taken out by inclusion and exclusion, so the work depends on the smaller sample alone.
+    """
+    n, m = sorted((n1, n2))
+    low = math.floor(min(u, n1 * n2 - u) + 1e-9)
+    if n == 0:
+        return 1.0
+    taken = [(0, 1)]
+    for i in range(1, n + 1):
+        taken += [(shift + m + i, -sign) for shift, sign in taken]
+    tail = sum(sign * _partitions_up_to(low - shift, n) for shift, sign in taken if shift <= low)
+    return float(min(Fraction(1), Fraction(2 * tail, math.comb(n1 + n2, n))))
 
 
 @F.pandas_udf(DoubleType())
@@ -78,8 +100,7 @@ def rank_sum_p(u: pd.Series, n1: pd.Series, n2: pd.Series, tie: pd.Series) -> pd
         if pd.isna(ui):
             out.append(None)
             continue
-        # beyond this size the null distribution itself would not fit a task
-        if min(a, b) <= 8 and ti == 0 and a * b <= 20_000_000:
+        if min(a, b) <= 8 and ti == 0:
             out.append(exact_rank_sum_two_sided(float(ui), int(a), int(b)))
             continue
         a, b, n = float(a), float(b), float(a + b)

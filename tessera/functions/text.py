@@ -182,11 +182,15 @@ def row_index(row: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """Sort key where digit runs compare as numbers (runs of up to 18 digits)."""
+    """Sort key where digit runs of any length compare as numbers."""
     runs = F.split(F.lower(text.cast("string")), r"(?<=\d)(?=\D)|(?<=\D)(?=\d)")
-    return F.array_join(
-        F.transform(runs, lambda r: F.when(r.rlike(r"^\d+$"), F.lpad(r, 18, "0")).otherwise(r)), ""
-    )
+    def number(run: Column) -> Column:
+        digits = F.regexp_replace(run, r"^0+(?=\d)", "")
+        n = F.length(digits)
+        # a longer number sorts after all padded ones, by its number of digits first
+        return F.when(n <= 18, F.lpad(digits, 18, "0")).otherwise(F.concat(F.lit("~"), F.lpad(n.cast("string"), 10, "0"), digits))
+
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"^\d+$"), number(r)).otherwise(r)), "")
 
 
 def safe_token(text: Column) -> Column:

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from tessera.session import cut
 
 
-def connected(edges: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b", rounds: int = 200) -> DataFrame:
+def connected(edges: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b") -> DataFrame:
     """(keys, node, root): the smallest node of every component of an undirected graph."""
     keys = list(keys)
     both = edges.select(*keys, F.col(a).alias("u"), F.col(b).alias("v"))
     both = cut(both.unionByName(both.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     state = both.groupBy(*keys, F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("root"))
-    for _ in range(rounds):
+    while True:  # ends: roots only fall
         near = (
             both.join(state.select(*keys, F.col("node").alias("v"), "root"), [*keys, "v"])
             .groupBy(*keys, F.col("u").alias("node")).agg(F.min("root").alias("near"))
@@ -42,11 +42,10 @@ def connected(edges: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b",
         state = step.drop("was")
         if step.where("root <> was").isEmpty():
             return state
-    raise RuntimeError("components did not settle")
 
 
 def merge_weakest_first(
-    edges: DataFrame, nodes: DataFrame, keys: Sequence[str], cap: Column, rounds: int = 10_000
+    edges: DataFrame, nodes: DataFrame, keys: Sequence[str], cap: Column
 ) -> tuple[DataFrame, DataFrame]:
     """Union nodes along edges (keys, a, b, weight), weakest first, unless the union exceeds ``cap``.
 
@@ -59,9 +58,7 @@ def merge_weakest_first(
     state = cut(nodes.select(*keys, "node", F.col("node").alias("root"), "load"))
     open_edges = cut(edges.select(*keys, "a", "b", "weight", F.col("a").alias("ra"), F.col("b").alias("rb")))
     taken = None
-    for _ in range(rounds):
-        if open_edges.isEmpty():
-            break
+    while not open_edges.isEmpty():  # ends: each round takes an edge or finds none to take
         loads = state.where("node = root").select(*keys, F.col("root").alias("r"), "load")
         e = (
             open_edges.join(loads.select(*keys, F.col("r").alias("ra"), F.col("load").alias("la")), [*keys, "ra"])

@@ -283,23 +283,27 @@ def frame_overlaps(labels: DataFrame, keys: Sequence[str], time: str, pairs: Dat
     )
 
 
-def nearest_neighbour(points: DataFrame, keys: Sequence[str], ident: str, first_cell: float = 8.0,
-                      rounds: int = 24) -> DataFrame:
+def nearest_neighbour(points: DataFrame, keys: Sequence[str], ident: str, first_cell: float = 8.0) -> DataFrame:
     """Exact distance to the nearest other point of the same image, NULL when it is alone.
 
     Points are hashed into square cells and compared with the 3 x 3 cells around them.  A
     hit no farther than the cell size is final; the rest go on with cells four times as
     wide.  Points found are cut per round, and only unfinished points take part again, so
-    the number of compared pairs stays near the number of points.
+    the number of compared pairs stays near the number of points.  A point without a place or name has no distance and is
+    nobody's neighbour, and points of one name are not neighbours.
     """
     from tessera.session import cut
 
     pts = points.select(*keys, ident, F.col("centroid_y").alias("py"), F.col("centroid_x").alias("px"))
-    alone = pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    # NaN counts as larger than any number
+    placed = F.coalesce((F.abs("py") < float("inf")) & (F.abs("px") < float("inf")) & F.col(ident).isNotNull(), F.lit(False))
+    nowhere = pts.where(~placed).select(*keys, ident, F.lit(None).cast("double").alias("distance"))
+    pts = pts.where(placed)
+    alone = pts.groupBy(*keys).agg((F.min(ident) != F.max(ident)).alias("__others"))
     pts = cut(pts.join(alone, list(keys)))
-    todo = pts.where("__n > 1")
-    done, size = pts.where("__n <= 1").select(*keys, ident, F.lit(None).cast("double").alias("distance")), first_cell
-    for _ in range(rounds):
+    todo = pts.where("__others")
+    done, size = pts.where("not __others").select(*keys, ident, F.lit(None).cast("double").alias("distance")).unionByName(nowhere), first_cell
+    while not todo.isEmpty():  # ends: some cell size covers the image
         gy, gx = F.floor(F.col("py") / size), F.floor(F.col("px") / size)
         around = F.sequence(F.lit(-1), F.lit(1))
         asking = (
@@ -318,7 +322,5 @@ def nearest_neighbour(points: DataFrame, keys: Sequence[str], ident: str, first_
         found = cut(best.where(F.col("distance") <= size))
         done = done.unionByName(found)
         todo = cut(todo.join(found, [*keys, ident], "left_anti"))
-        if todo.isEmpty():
-            break
         size *= 4
     return done

@@ -20,7 +20,7 @@ from tessera.operators.prefix import (
     running_min_from_above,
     value_counts,
 )
-from tessera.session import cut, deal, is_small
+from tessera.session import cut, deal, is_small, side
 
 
 def long_values(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -41,7 +41,7 @@ def replicate_key(level: str, dataset: Column, scene: Column, well: Column | Non
 def keep_large_groups(df: DataFrame, group: str, least: int) -> DataFrame:
     """Drop rows of groups with fewer than ``least`` rows."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least)
-    return df.join(sizes.select(group), group, "left_semi")
+    return df.join(side(sizes.select(group)), group, "left_semi")
 
 
 def group_flags(df: DataFrame, group: str, control: str = "is_control") -> DataFrame:
@@ -202,6 +202,7 @@ def summarise(
         F.count(F.lit(1)).alias("__rows"),
         (F.avg(F.coalesce(F.col(control), F.lit(False)).cast("int")) > 0.5).alias("__ctrl"),
     )
+    sizes = side(sizes)
     flagged = known.join(sizes, group)
     # seven passes follow; they read columns of one written table instead of redoing the joins
     long = cut(long_values(flagged, [group, "__ctrl", "__rows", replicate], columns))
@@ -273,7 +274,7 @@ def robust_shift(
     group.  The scale is 1.4826 times the median absolute deviation, else the sample
     standard deviation, else 1.
     """
-    flags = group_flags(df, group, control)
+    flags = side(group_flags(df, group, control))
     any_control = flags.agg(F.coalesce(F.bool_or("is_control"), F.lit(False)).alias("__any"))
     flagged = df.where(F.col(group).isNotNull()).join(flags.withColumnRenamed("is_control", "__ctrl"), group)
     flagged = flagged.crossJoin(F.broadcast(any_control))  # exactly one row
@@ -356,7 +357,7 @@ def box_stats(long: DataFrame, keys: Sequence[str], spread: bool | None = None)
     cuts = quantiles(long, keys, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, spread)
     counts = value_counts(long, keys, "value")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    joined = counts.join(cuts, list(keys))
+    joined = counts.join(side(cuts), list(keys))
     v = F.col("value")
     return joined.groupBy(*keys).agg(
         F.max("q1").alias("q1"),
@@ -390,7 +391,7 @@ def subsample(df: DataFrame, group: str, key: Sequence[str], most: int) -> DataF
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
     place = (F.xxhash64(*key) % F.lit(1 << 40) + F.lit(1 << 40)) / F.lit(float(1 << 41))
-    return df.join(sizes, group).where(place < F.lit(float(most)) / F.col("__n")).drop("__n")
+    return df.join(side(sizes), group).where(place < F.lit(float(most)) / F.col("__n")).drop("__n")
 
 
 def histogram(long: DataFrame, keys: Sequence[str], bins: int = 50, include: Sequence[float] = (),
@@ -437,7 +438,7 @@ def log_histogram(long: DataFrame, keys: Sequence[str], bins: int = 50, include:
 def count_bins(long: DataFrame, limits: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
     """(keys, bin, n): equal-width bins from 0; the last bin includes the upper limit."""
     joined = (
-        long.join(limits, list(keys)) if keys else long.crossJoin(F.broadcast(limits))  # one row
+        long.join(side(limits), list(keys)) if keys else long.crossJoin(F.broadcast(limits))  # one row
     )
     at = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
     at = F.when(F.col("value") == F.col("hi"), bins - 1).otherwise(at)

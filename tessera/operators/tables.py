@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import text
 from tessera.operators.prefix import null_safe_join
+from tessera.session import cut, side
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -182,7 +183,7 @@ def zscores(
         aggs += [F.avg(x).alias(f"__m{i}"), F.stddev_samp(x).alias(f"__s{i}")]
     moments = df.groupBy(*reference).agg(*aggs)
     if reference:
-        joined = null_safe_join(df, moments, reference, "left")
+        joined = null_safe_join(df, side(moments), reference, "left")
     else:
         joined = df.crossJoin(F.broadcast(moments))  # exactly one row
     out = {}
@@ -252,7 +253,6 @@ def with_row_number(df: DataFrame, order: Sequence[str]) -> DataFrame:
     Rows are range-partitioned and sorted; partition sizes are added up from a checkpoint,
     so no single task sees all rows.
     """
-    from tessera.session import cut
 
     spread = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
     placed = cut(

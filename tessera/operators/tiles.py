@@ -236,10 +236,10 @@ class Tiles:
         # at most (2 * reach + 1)^2 pieces meet in one group
         return gather(source.mapInPandas(ship, piece), [*keys, "ty", "tx"], lists).mapInPandas(assemble, schema)
 
-    def repeat(self, inputs, outputs, fn, halo: int = 1, rounds: int = 10_000) -> Tiles:
+    def repeat(self, inputs, outputs, fn, halo: int = 1) -> Tiles:
         """Apply a relaxing ``fn`` until no tile reports a change (its ``changed`` counter)."""
         now = self
-        for _ in range(rounds):
+        while True:  # a relaxing function changes every pixel finitely often
             step = now.transform(inputs, outputs, fn, halo, counters=["changed"])
             if self.single:
                 return now._with(step.df.drop("changed"), step.layers)
@@ -247,7 +247,6 @@ class Tiles:
             now = now._with(done.drop("changed"), step.layers)
             if not done.agg(F.coalesce(F.sum("changed"), F.lit(0))).first()[0]:
                 return now
-        raise RuntimeError("tiles did not settle")
 
     def strips(self, layer: str, output: str, dtype: str, fn: Callable, along: str) -> Tiles:
         """``fn(array)`` over whole columns (``along='y'``) or rows of tiles.

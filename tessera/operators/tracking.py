@@ -359,15 +359,19 @@ def displacement(points: DataFrame, keys: Sequence[str], time: str, y: str = "ce
     return points.withColumn("displacement_px", d)
 
 
-def ancestors(summary: DataFrame, keys: Sequence[str], rounds: int = 64) -> DataFrame:
-    """(keys, track_id, ancestor, generations) by repeated joins on the parent."""
+def ancestors(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, track_id, ancestor, generations): all ancestors of every track, by joining known lines of descent with each other.
+
+    After round r lines of up to 2 ** r generations are known; it ends when a round finds none.
+    """
     keys = list(keys)
-    parents = cut(summary.where("parent_track_id is not null").select(*keys, "track_id", F.col("parent_track_id").alias("ancestor")))
-    level, out = parents.withColumn("generations", F.lit(1)), None
-    for g in range(2, rounds + 2):
-        out = level if out is None else out.unionByName(level)
-        up = parents.select(*keys, F.col("track_id").alias("ancestor"), F.col("ancestor").alias("next"))
-        level = cut(level.join(up, [*keys, "ancestor"]).select(*keys, "track_id", F.col("next").alias("ancestor"), F.lit(g).alias("generations")))
-        if level.isEmpty():
-            break
-    return out
+    known = cut(summary.where("parent_track_id is not null").select(*keys, "track_id", F.col("parent_track_id").alias("ancestor"), F.lit(1).alias("generations")))
+    reach = 1
+    while True:
+        # lines of more than ``reach`` generations are new: one of exactly ``reach``, continued by any known line
+        first = known.where(F.col("generations") == reach).select(*keys, "track_id", F.col("ancestor").alias("via"))
+        then = known.select(*keys, F.col("track_id").alias("via"), "ancestor", "generations")
+        longer = cut(first.join(then, [*keys, "via"]).select(*keys, "track_id", "ancestor", (F.col("generations") + reach).alias("generations")))
+        if longer.isEmpty():
+            return known
+        known, reach = known.unionByName(longer), 2 * reach

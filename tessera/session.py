@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import broadcast
 
 # Adaptive execution re-plans joins from measured sizes (nothing is broadcast on a
@@ -98,11 +99,25 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def look_up(df: DataFrame, values: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join a table of large rows with small facts per key.
+#: A side of a join is broadcast when its rows, as counted and measured, take no more than this.
+BROADCAST_BYTES = 32 << 20
+
+
+def side(values: DataFrame) -> DataFrame:
+    """Facts for a join with large rows: written first, then measured, and marked for broadcast when they are small.
 
-    The facts are written first, so their size is known: a small table is broadcast and the
-    large rows stay where they are, a bigger one takes the ordinary join.
+    The size is the number of rows times their width, with texts and binaries as long as they are, so neither a guess of the
+    planner nor compression decides.  A larger table takes part in the join as any other.
     """
     facts = cut(values)
-    return df.join(broadcast(facts) if is_small(facts, 16 << 20) else facts, keys, how)
+    flat = [f.name for f in facts.schema if f.dataType.typeName() in ("string", "binary")]
+    nested = [f.name for f in facts.schema if f.dataType.typeName() in ("struct", "array", "map")]
+    lengths = [F.coalesce(F.octet_length(c), F.lit(0)) for c in flat] + [F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) for c in nested]
+    width = 16 + 16 * len(facts.columns)
+    size = facts.agg((F.count(F.lit(1)) * width + F.coalesce(F.sum(sum(lengths, F.lit(0))), F.lit(0))).alias("bytes")).first().bytes
+    return broadcast(facts) if size <= BROADCAST_BYTES else facts
+
+
+def look_up(df: DataFrame, values: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join a table of large rows with facts per key, which stay where they are if the facts are small."""
+    return df.join(side(values), keys, how)
