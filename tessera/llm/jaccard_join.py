@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import beside, components
 from tessera.llm.text import mix, shingles, slices, words
@@ -161,7 +162,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     chosen = beside(first.drop("n"), heads.select(F.col("head").alias("node"), "grp"), "node", "inner", 32)
     if first.count() > nodes.count():  # rows that repeat an id and a text
         chosen = chosen.dropDuplicates(["node"])
-    entries = chosen.select("grp", F.explode("prefix").alias("item"))
+    entries = chosen.select("grp", F.posexplode("prefix").alias("place", "item"))
     shared = entries.groupBy("item").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("item")
     entries = cut(entries.join(shared, "item"))  # an element of one group alone pairs nothing
 
@@ -182,18 +183,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     # pairs across components: groups whose nodes lie in several, and elements that several meet in
     spread = cut(state.groupBy("grp", "n").agg(F.min("root").alias("low"), F.max("root").alias("high")))
-    held = entries.join(spread, "grp").join(met, "grp")
+    held = entries.join(spread, "grp")
     mixed = held.groupBy("item").agg(F.min("low").alias("lo"), F.max("high").alias("hi"), F.mode("low").alias("main")).where("lo <> hi")
-    held = held.join(mixed.select("item", "main"), "item")
-    held = cut(held.withColumn("minor", ~((F.col("low") == F.col("main")) & (F.col("high") == F.col("main")))))
-    x, y = (held.select("item", *[F.col(c).alias(f"{c}_{s}") for c in ("grp", "n", "met", "low", "high", "minor")]) for s in "xy")
+    # a group's elements are at most as many as a prefix has
+    own = Window.partitionBy("grp")
+    held = held.join(mixed.select("item", "main"), "item").select(
+        "item", "grp", "n", "low", "high", (~((F.col("low") == F.col("main")) & (F.col("high") == F.col("main")))).alias("minor"),
+        F.count(F.lit(1)).over(own).alias("met"), F.row_number().over(own.orderBy("place")).alias("rank"),
+    )
+    held = cut(held)
+    x, y = (held.select("item", *[F.col(c).alias(f"{c}_{s}") for c in ("grp", "n", "met", "rank", "low", "high", "minor")]) for s in "xy")
     differ = ~((F.col("low_x") == F.col("high_x")) & (F.col("low_y") == F.col("high_y")) & (F.col("low_x") == F.col("low_y")))
     once = F.when(F.col("minor_y"), F.col("grp_x") < F.col("grp_y")).otherwise(F.col("grp_x") != F.col("grp_y"))
+    # two groups that share so many elements meet already in an element that has the others behind it, in both
+    needed = _needed("n_x", "n_y", percent)
+    early = (F.col("rank_x") + needed <= F.col("met_x") + 1) & (F.col("rank_y") + needed <= F.col("met_y") + 1)
+    met_pairs = (
+        x.where("minor_x").join(y, "item").where(once & _fits("n_x", "n_y", percent) & differ & early)
+        .select(F.least("grp_x", "grp_y").alias("g"), F.greatest("grp_x", "grp_y").alias("h")).distinct()
+    )
+    lists = cut(held.groupBy("grp", "n").agg(F.collect_list("item").alias("items")))
     group_pairs = (
-        x.where("minor_x").join(y, "item").where(once & _fits("n_x", "n_y", percent) & differ & (F.least("met_x", "met_y") >= _needed("n_x", "n_y", percent)))
-        .groupBy(F.least("grp_x", "grp_y").alias("g"), F.greatest("grp_x", "grp_y").alias("h"))
-        .agg(F.count(F.lit(1)).alias("c"), F.first("n_x").alias("n"), F.first("n_y").alias("m"))
-        .where(F.col("c") >= _needed("n", "m", percent)).select("g", "h")
+        met_pairs.join(lists.select(F.col("grp").alias("g"), "n", "items"), "g")
+        .join(lists.select(F.col("grp").alias("h"), F.col("n").alias("m"), F.col("items").alias("others")), "h")
+        .where(F.size(F.array_intersect("items", "others")) >= _needed("n", "m", percent)).select("g", "h")
     )
     u, v = (state.select(F.col("grp").alias(g), F.col("node").alias(n), F.col("root").alias(r)) for g, n, r in (("g", "a", "ra"), ("h", "b", "rb")))
     across = group_pairs.join(u, "g").join(v, "h").where("ra <> rb").select("a", "b")
