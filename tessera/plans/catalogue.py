@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import sizes, text
 from tessera.operators import pixels as px
-from tessera.operators import prefix, summary, tables
+from tessera.operators import prefix, summary, tables, tracking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1001,3 +1001,56 @@ def _(spark, sf):
 def _(spark, sf):
     n = px.normalise_percentiles(images(spark, sf), ["vec_id"], 2, 98)
     return n.groupBy("vec_id").agg(r6(F.avg("v")).alias("mean"), F.count_if(F.col("v") >= 1).alias("at_top"))
+
+
+# small groups of suppliers with values that never tie; every arrangement of a group among the controls is counted
+EXACT = """s AS (SELECT (s_suppkey % (SELECT greatest(2, count(*) // 6) FROM supplier))::BIGINT AS g, round(s_acctbal * 100) * 1000000 + s_suppkey AS v FROM supplier),
+  u AS (SELECT a.g, count(DISTINCT a.v) AS n, count(DISTINCT c.v) AS m, count(*) FILTER (a.v > c.v) AS u FROM s a JOIN s c ON c.g = 0 AND a.g <> 0 GROUP BY a.g),
+  sizes AS (SELECT DISTINCT n, m FROM u),
+  masks AS (SELECT n, m, unnest(range(0, (1 << (n + m))::BIGINT)) AS t FROM sizes),
+  places AS (SELECT n, m, list_sum(list_transform(range(0, n + m), lambda i: i * ((t >> i) & 1))) - n * (n - 1) // 2 AS x FROM masks WHERE bit_count(t) = n),
+  counts AS (SELECT n, m, x, count(*) AS c FROM places GROUP BY ALL)"""
+
+
+@register(
+    "mannwhitney_p_exact",
+    f"""WITH {EXACT} SELECT g, n::BIGINT AS n1, m::BIGINT AS n2, u::DOUBLE AS u,
+      (SELECT round(least(1, 2 * sum(c) FILTER (x >= greatest(u.u, u.n * u.m - u.u)) / sum(c)), 9) + 0.0 FROM counts k WHERE k.n = u.n AND k.m = u.m) AS p FROM u""",
+)
+def _(spark, sf):
+    s = table(spark, sf, "supplier")
+    # the number of groups follows the number of suppliers: about six each
+    groups = s.agg(F.greatest(F.lit(2), F.floor(F.count(F.lit(1)) / 6)).alias("groups"))
+    s = s.crossJoin(F.broadcast(groups))  # one row
+    v = (F.round(F.col("s_acctbal") * 100) * 1000000 + F.col("s_suppkey")).alias("value")
+    long = s.select(F.lit("v").alias("column"), (F.col("s_suppkey") % F.col("groups")).cast("bigint").alias("g"), v)
+    r = summary.rank_sums(long, "g", F.col("g") == 0, spread=True)
+    p = summary.rank_sum_p(F.col("u"), F.col("n1"), F.col("n2"), F.col("tie_term"))
+    return r.select("g", "n1", "n2", "u", (F.round(p, 9) + 0.0).alias("p"))
+
+
+@register(
+    "natural_key_long",
+    """SELECT s_suppkey, 'g~' || lpad(CAST(18 + length(CAST(s_suppkey AS VARCHAR)) AS VARCHAR), 10, '0') || repeat('7', 18) || s_suppkey AS sort_key,
+       row_number() OVER (ORDER BY s_suppkey) AS place FROM supplier""",
+)
+def _(spark, sf):
+    name = F.concat(F.lit("G" + "7" * 18), F.col("s_suppkey").cast("string"))
+    keyed = table(spark, sf, "supplier").select("s_suppkey", text.natural_key(name).alias("sort_key"))
+    return tables.with_row_number(keyed, ["sort_key"]).select("s_suppkey", "sort_key", (F.col("__rn") + 1).cast("bigint").alias("place"))
+
+
+@register(
+    "lineage_ancestors",
+    """WITH RECURSIVE step AS (SELECT CAST(ceil(count(*) / 80.0) AS BIGINT) AS s FROM events),
+       parents AS (SELECT e.event_id AS track_id, p.event_id AS parent FROM events e, step JOIN events p ON p.event_id = e.event_id - step.s),
+       up AS (SELECT track_id, parent AS ancestor, 1 AS generations FROM parents
+         UNION ALL SELECT up.track_id, parents.parent, up.generations + 1 FROM up JOIN parents ON parents.track_id = up.ancestor)
+       SELECT track_id, ancestor, generations FROM up""",
+)
+def _(spark, sf):
+    events = table(spark, sf, "events").select("event_id")
+    step = events.agg(F.ceil(F.count(F.lit(1)) / 80.0).cast("bigint").alias("step"))
+    older = events.crossJoin(F.broadcast(step)).select(F.col("event_id").alias("track_id"), (F.col("event_id") - F.col("step")).alias("wanted"))  # one row
+    lines = older.join(events.select(F.col("event_id").alias("wanted")), "wanted").select("track_id", F.col("wanted").alias("parent_track_id"))
+    return tracking.ancestors(lines, [])
