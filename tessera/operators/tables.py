@@ -282,9 +282,9 @@ def sorted_slice(df: DataFrame, order: Sequence[str], skip: int = 0, limit: int
 
 
 def first_known(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
-    """First non-null value per group in row order."""
+    """First non-null value per group in row order; of rows that share a place, the smallest value."""
     return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.min_by(value, F.struct(*order)).alias(value)
+        F.min_by(value, F.struct(*order, value)).alias(value)
     )
 
 

@@ -12,7 +12,7 @@ import platform
 import sys
 import time
 import traceback
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 from pathlib import Path
 from typing import Any
@@ -106,25 +106,27 @@ class Store:
     def read(self, name: str) -> DataFrame | None:
         return self.spark.read.parquet(self.path(name)) if self.has(name) else None
 
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        """Replace the partitions (datasets) that ``df`` contains and keep the others."""
+    def write(self, name: str, df: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+        """Replace the partitions (datasets) that ``df`` contains and keep the others; files follow ``order``."""
+        if order:
+            df = df.repartitionByRange("dataset", *order).sortWithinPartitions("dataset", *order)
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset").parquet(self.path(name))
         return self.read(name)
 
-    def upsert(self, name: str, new: DataFrame, done: DataFrame) -> DataFrame:
+    def upsert(self, name: str, new: DataFrame, done: DataFrame, order: Sequence[str] = ()) -> DataFrame:
         """Rows of finished scenes replace their old rows; done before the old table is touched."""
         from tessera.session import cut
 
         old = self.read(name)
         if old is None:
-            return self.write(name, new)
+            return self.write(name, new, order)
         touched = old.join(done.select("dataset").distinct(), "dataset", "left_semi")
         keys = done.select(*KEYS)
         merged = tables.upsert(touched, new, KEYS, keys)
         merged = cut(merged)
         # a dataset without rows is no partition of the result, so nothing would replace its old rows
         emptied = {r.dataset for r in done.select("dataset").distinct().join(merged, "dataset", "left_anti").collect()}
-        self.write(name, merged)
+        self.write(name, merged, order)
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for dataset, folder in self._partitions(name).items():
             if dataset in emptied:
@@ -380,7 +382,7 @@ def measure_stage(spark: SparkSession, cfg: Mapping[str, Any], jobs: DataFrame,
         out = measure.add_scene_columns(got, part.select(*KEYS, "file", "frame_interval_min"), KEYS, cfg, scenes)
         if cfg["time_mode"] == "series" and store.has("tracks"):
             out = tracking.add_tracks(out, store.read("tracks"), store.read("track_summary"), ["dataset", "scene"])
-        store.upsert("cell_measurements", out, part.select(*KEYS))
+        store.upsert("cell_measurements", out, part.select(*KEYS), ["scene", "timepoint", "cell_id"])
         if cfg["save_pickle"] and not nuclei_only:
             edge = {names[c]: f"c{c}" for c in config.int_list(cfg["edge_channels"]) if c < n}
             if edge:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import probability, text
-from tessera.operators import graph, pixels, tracking
+from tessera.operators import graph, pixels, summary, tables, tracking
 from tessera.plans.pipeline import KEYS, Store
 from tessera.streaming import incremental
 
@@ -88,3 +88,23 @@ def test_the_stream_replaces_scenes(spark, tmp_path):
     stream = incremental.arriving_tables(spark, str(tmp_path / "in"), store.read("t").select("dataset", "scene", "timepoint", "value").schema)
     incremental.keep_current(stream, store, "t", str(tmp_path / "checkpoint")).awaitTermination()
     assert sorted((r.scene, r.value) for r in store.read("t").collect()) == [("x", 7), ("y", 2)]
+
+
+def test_group_facts_do_not_move_the_rows(spark):
+    rows = spark.range(1000).select("id", (F.col("id") % 5).cast("string").alias("plate"), (F.col("id") * 0.5).alias("value"), (F.col("id") % 2 == 0).alias("is_control"))
+    limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for name in limits:
+            spark.conf.set(name, "1")
+        for made in (tables.zscores(rows, ["value"], ["plate"]), summary.keep_large_groups(rows, "plate", 10), summary.subsample(rows, "plate", ["id"], 10)):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+            assert made.count() > 0
+    finally:
+        for name in limits:
+            spark.conf.unset(name)
+
+
+def test_first_known_label_does_not_depend_on_the_order_of_rows(spark):
+    rows = spark.createDataFrame([("g", 1, "b"), ("g", 1, "a"), ("g", 1, None), ("g", 2, "0")], "g string, r int, label string")
+    assert tables.first_known(rows, ["g"], "label", ["r"]).first().label == "a"
