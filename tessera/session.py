@@ -80,7 +80,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     wanted = spark.conf.get("spark.checkpoint.dir", None)
     if not wanted:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         wanted = tempfile.mkdtemp(prefix="tessera-checkpoint-")
     sc.setCheckpointDir(wanted)
