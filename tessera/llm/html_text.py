@@ -373,7 +373,8 @@ def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Boosted | None:
     if not n:
         return None
     draw = F.xxhash64("html").bitwiseAND((1 << 53) - 1).cast("double") / float(1 << 53)
-    rows = known.select("html", draw.alias("draw")).where(F.col("draw") < min(1.0, 2.0 * sample / n)).orderBy("draw", "html").limit(sample).collect()
+    near = known.select("html", draw.alias("draw")).where(F.col("draw") < min(1.0, 2.0 * sample / n))
+    rows = near.groupBy("draw").agg(F.min("html").alias("html")).orderBy("draw").limit(sample).collect()  # copies of a page count once
     x, y, chance = [], [], random.Random(17)
     for r in rows:
         page = Page(r.html)

@@ -55,7 +55,8 @@ def dictionaries(training: DataFrame, sample_docs: int = SAMPLE_DOCS, size: int
     # a longer excerpt is kept, in case that there are fewer documents than the sample holds
     rows = (
         known.withColumn("draw", draw).where(F.col("draw") < share)
-        .select("lang", "draw", F.substring("text", 1, 16 * each).alias("text")).collect()
+        .select("lang", "draw", F.substring("text", 1, 16 * each).alias("text"))
+        .groupBy("lang", "draw").agg(F.min("text").alias("text")).collect()  # rows that repeat count once, however many there are
     )
     made = {}
     for lang in sorted(counts):
