@@ -14,7 +14,14 @@ from tessera.session import cut
 SMALL_SIDE = 32 << 20
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers in batches of bounded size: whole texts are long, and a worker keeps the memory of its largest batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
