@@ -1,17 +1,18 @@
 """Scores of whole texts by a log-bilinear neural model trained with noise-contrastive estimation.
 
-Tokens are words (A-Z lower-cased), then one end per text.  The ``CLASSES - 1`` most frequent tokens are classes of their own, all
-others form the class *rare*.  The model predicts the vector of the next class from the vectors of the ``CONTEXT`` tokens before it,
-each scaled by its place; the product with a class vector and a bias give the logit.  Vectors of rare words are shared by their last letters.
+Tokens are words (A-Z lower-cased), then one end per text.  Every hot word (see below) has an input and an output vector; all other
+words are the one output *rare*, and as input share vectors by their last letters.  The vectors of the ``CONTEXT`` tokens before a token, each scaled
+by its place, predict its vector in two levels: first a class, then the word inside it.  The most frequent words and *rare* are classes of their own, the
+other words share about as many classes as each has words, by frequency.  The product with a vector and a bias give the logit at either level.
 
 Training is data-parallel: each task runs over a fixed share of the windows of all its training documents, in minibatches that share their
-noise samples, and starts from common parameters; tasks' results are averaged by weight, and a second round goes on from
-there.  Scoring normalises over all classes: one matrix product a batch gives every token's log-probability.
+noise classes, and starts from common parameters; a vector is averaged over the tasks that used it, by how often they did, and a second round goes on
+from there.  Scoring normalises over all classes and over all words of the class.
 
 Inside *rare*, a known word has ``(1 - u) * count / count of rare tokens``, and all unknown words share u, the Good-Turing estimate (the share of rare
 tokens that occur once).  So the model is a distribution over the known words and the unknown one, like the base.
 
-Counting.  The most frequent words (``HOT`` at most, from each task's own heavy hitters) are counted exactly in place and sent to all
+Counting.  The most frequent words (``hot`` at most, which grows with the training tokens; from each task's own heavy hitters) are counted exactly in place and sent to all
 tasks: they are few and would be hot keys.  All other tokens are shuffled once, by word, and counted there, whatever their number.
 Words are 64-bit hashes.
 
@@ -21,6 +22,8 @@ unknown; repeated rows are separate texts; rows without a doc_id are training te
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,20 +33,28 @@ from pyspark.sql.window import Window
 from tessera.llm.text import FOLD, SPACE, buffers, run_hashes, slices, spans
 from tessera.session import cut
 
+#: The first words and the rare ones are classes of one; all further words share classes.
 CLASSES = 128
 SUFFIXES = 32
 CONTEXT = 3
 WIDTH = 16
 NOISE = 32
+#: Noise words of the target's own class.
+INSIDE = 8
 BATCH = 512
 RATE = 0.15
 #: One of so many windows is trained on in a round.
 THIN = 8
 ROUNDS = 2
 HOT = 1 << 16
+BLOCK = 1 << 18
 SEED = 7
 END = np.uint64(0x0E4D)  # no word's hash but by chance
-RARE = CLASSES - 1
+
+
+def hot(total: int) -> int:
+    """The most words with vectors of their own, for so many training tokens."""
+    return max(HOT, 8 * math.isqrt(total))
 
 
 def held_out() -> F.Column:
@@ -62,99 +73,137 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Vocabulary:
-    """The hot words with their counts, and which of them are classes."""
+    """The hot words, numbered from the most frequent one on; the number after the last one stands for all other words."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.lexsort((hashes, -counts))
-        front = order[hashes[order] != END][: CLASSES - 2]
-        self.classes = np.append(hashes[front], END)
-        self.hot = np.unique(np.append(hashes, END))
-        self.class_of = np.full(len(self.hot), RARE, np.int16)
-        self.class_of[np.searchsorted(self.hot, self.classes)] = np.arange(len(self.classes))
+        known = np.append(hashes[np.lexsort((hashes, -counts))], END)
+        self.hot, first = np.unique(known, return_index=True)
+        self.number = np.empty(len(self.hot), np.int32)
+        self.number[np.argsort(first)] = np.arange(len(self.hot))
+        self.size = len(self.hot) + 1
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place among the hot words (-1: none) and class of each token."""
+        """Place among the hot words (-1: none) and number of each token."""
         at = np.searchsorted(self.hot, h)
         at[at == len(self.hot)] = 0
         at[self.hot[at] != h] = -1
-        return at, np.where(at < 0, RARE, self.class_of[at])
+        return at, np.where(at < 0, self.size - 1, self.number[at])
 
 
-def contexts(cls: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> np.ndarray:
+def contexts(number: np.ndarray, suffix: np.ndarray, n: np.ndarray, size: int = CLASSES) -> np.ndarray:
     """(tokens, CONTEXT) input numbers of the tokens before each; one number stands for places before the text."""
-    start = CLASSES + SUFFIXES - 1
-    inputs = np.where(cls == RARE, RARE + suffix, cls).astype(np.int16)
-    place = np.arange(len(cls)) - np.repeat(np.cumsum(n) - n, n)
-    out = np.full((len(cls), CONTEXT), start, np.int16)
+    start = size + SUFFIXES - 1
+    inputs = np.where(number == size - 1, size - 1 + suffix, number).astype(np.int32)
+    place = np.arange(len(number)) - np.repeat(np.cumsum(n) - n, n)
+    out = np.full((len(number), CONTEXT), start, np.int32)
     for j in range(CONTEXT):
-        out[j + 1 :, j] = np.where(place[j + 1 :] > j, inputs[: len(cls) - j - 1], start)
+        out[j + 1 :, j] = np.where(place[j + 1 :] > j, inputs[: len(number) - j - 1], start)
     return out
 
 
 class LogBilinear:
-    """Input vectors, place weights, class vectors and biases."""
+    """Rows of WIDTH numbers and a bias: input vectors, place weights, class vectors, and vectors of words inside classes."""
 
     def __init__(self, unigram: np.ndarray, flat: np.ndarray | None = None):
-        g = np.random.Generator(np.random.PCG64(SEED))
-        self.noise = unigram
-        shapes = [(CLASSES + SUFFIXES, WIDTH), (CONTEXT, WIDTH), (CLASSES, WIDTH), (CLASSES,)]
+        v = len(unigram)
+        self.single = min(v, CLASSES) - 1  # classes of one word each, then the rare words, then the groups
+        grouped = v - 1 - self.single
+        self.share = max(1, int(np.ceil(np.sqrt(grouped))))
+        self.class_of = np.arange(v)
+        self.class_of[self.single : v - 1] = self.single + 1 + np.arange(grouped) // self.share
+        self.class_of[v - 1] = self.single
+        classes = self.single + 1 + -(-grouped // self.share)
+        self.noise = np.bincount(self.class_of, unigram, classes)
+        self.unigram, self.inside = unigram, unigram / self.noise[self.class_of]
+        sizes = (v + SUFFIXES, CONTEXT, classes, v)
+        self.at = np.cumsum((0, *sizes))
         if flat is None:
-            flat = np.concatenate([g.normal(0, 0.1, shapes[0][0] * WIDTH), np.ones(CONTEXT * WIDTH), g.normal(0, 0.1, CLASSES * WIDTH), np.log(unigram)])
-        ends = np.cumsum([int(np.prod(x)) for x in shapes])
+            g = np.random.Generator(np.random.PCG64(SEED))
+            table = g.normal(0, 0.1, (self.at[-1], WIDTH + 1))
+            table[self.at[1] : self.at[2]] = 1
+            table[self.at[2] : self.at[3], -1], table[self.at[3] :, -1] = np.log(self.noise), np.log(self.inside)
+            flat = table.reshape(-1)
         self.flat = flat.astype(np.float32)
-        self.r, self.c, self.q, self.b = (self.flat[e - int(np.prod(x)) : e].reshape(x) for e, x in zip(ends, shapes))
+        self.table = self.flat.reshape(-1, WIDTH + 1)
+        self.r, self.c, self.q, self.w = (self.table[a:b] for a, b in zip(self.at, self.at[1:]))
+        self.used = np.zeros(len(self.table))
 
     def predicted(self, ctx: np.ndarray) -> np.ndarray:
-        return sum(self.c[j] * self.r[ctx[:, j]] for j in range(CONTEXT))
+        """The predicted vectors, with a one for the bias."""
+        out = np.ones((len(ctx), WIDTH + 1), np.float32)
+        out[:, :-1] = sum(self.c[j, :-1] * self.r[ctx[:, j], :-1] for j in range(CONTEXT))
+        return out
 
     def train(self, ctx: np.ndarray, target: np.ndarray, draw: np.random.Generator, squares: np.ndarray) -> None:
-        """Noise-contrastive steps with Adagrad; ``squares`` are the sums of squared gradients so far."""
-        shift = np.log(NOISE * self.noise).astype(np.float32)
-        cumulative = np.cumsum(self.noise)
-        at = np.cumsum([self.r.size, self.c.size, self.q.size])
+        """Noise-contrastive steps with Adagrad, for the class and for the word inside it; ``squares`` are the sums of squared gradients so far."""
+        shift, within = np.log(NOISE * self.noise).astype(np.float32), np.log(INSIDE * self.inside).astype(np.float32)
+        cumulative, running = np.cumsum(self.noise), np.append(0, np.cumsum(self.unigram))
+        squares = squares.reshape(self.table.shape)
         for k in range(0, len(target), BATCH):
             x, y = ctx[k : k + BATCH], target[k : k + BATCH]
-            vectors = [self.r[x[:, j]] for j in range(CONTEXT)]
-            p = sum(self.c[j] * vectors[j] for j in range(CONTEXT))
-            noise = np.minimum(np.searchsorted(cumulative, draw.random(NOISE)), CLASSES - 1)
-            q, qn = self.q[y], self.q[noise]
-            right = 1 / (1 + np.exp(np.einsum("ij,ij->i", p, q) + self.b[y] - shift[y]))  # 1 - sigmoid
-            wrong = 1 / (1 + np.exp(-(p @ qn.T + self.b[noise] - shift[noise])))
-            g = np.zeros_like(self.flat)
-            gr, gc, gq, gb = g[: at[0]].reshape(self.r.shape), g[at[0] : at[1]].reshape(self.c.shape), g[at[1] : at[2]].reshape(self.q.shape), g[at[2] :]
+            cls = self.class_of[y]
+            p = self.predicted(x)
+            noise = np.minimum(np.searchsorted(cumulative, draw.random(NOISE)), len(self.noise) - 1)
+            q, qn = self.q[cls], self.q[noise]
+            right = 1 / (1 + np.exp(np.einsum("ij,ij->i", p, q) - shift[cls]))  # 1 - sigmoid
+            wrong = 1 / (1 + np.exp(shift[noise] - p @ qn.T))
             dp = right[:, None] * q - wrong @ qn
-            _add(gq, y, right[:, None] * p)
-            np.add.at(gq, noise, -(wrong.T @ p))
-            gb += np.bincount(y, right, CLASSES)
-            np.add.at(gb, noise, -wrong.sum(axis=0))
+            at, rows = [cls + self.at[2], noise + self.at[2]], [right[:, None] * p, -(wrong.T @ p)]
+            some = np.flatnonzero(cls > self.single)
+            if len(some):
+                own, low = y[some], (cls[some] - self.single - 1) * self.share + self.single
+                high = np.minimum(low + self.share, len(self.unigram) - 1)
+                u = running[low, None] + draw.random((len(some), INSIDE)) * (running[high] - running[low])[:, None]
+                z = np.clip(np.searchsorted(running, u, "right") - 1, low[:, None], high[:, None] - 1)
+                z = np.concatenate([own[:, None], z], axis=1)
+                qz, ps = self.w[z], p[some]
+                e = -1 / (1 + np.exp(within[z] - np.matmul(qz, ps[:, :, None])[:, :, 0]))
+                e[:, 0] += 1
+                dp[some] += np.matmul(e[:, None, :], qz)[:, 0]
+                at.append(z.reshape(-1) + self.at[3]), rows.append((e[:, :, None] * ps[:, None, :]).reshape(-1, WIDTH + 1))
+            dp[:, -1] = 0
             for j in range(CONTEXT):
-                gc[j] = (dp * vectors[j]).sum(axis=0)
-            _add(gr, x.T.reshape(-1), np.concatenate([dp * self.c[j] for j in range(CONTEXT)]))
-            g /= len(y)
-            squares += g * g
-            self.flat += RATE * g / np.sqrt(squares)
-
-    def log_probabilities(self, ctx: np.ndarray, target: np.ndarray, step: int = 1 << 15) -> np.ndarray:
-        """Normalised natural log-probabilities of the target classes."""
+                at += [x[:, j], [j + self.at[1]]]
+                rows += [dp * self.c[j], (dp * self.r[x[:, j]]).sum(axis=0, keepdims=True)]
+            self.step(np.concatenate(at), np.concatenate(rows), squares)
+
+    def step(self, at: np.ndarray, rows: np.ndarray, squares: np.ndarray) -> None:
+        """One step for the rows ``at``, which may repeat."""
+        key = np.sort(at.astype(np.int64) * len(at) + np.arange(len(at)))
+        at, order = np.divmod(key, len(key))
+        begins = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        at = at[begins]
+        g = np.add.reduceat(rows[order], begins, axis=0)
+        s = squares[at] + g * g
+        squares[at] = s
+        self.table[at] += RATE * g / np.sqrt(s)
+        self.used[at] += np.diff(np.append(begins, len(key)))
+
+    def log_probabilities(self, ctx: np.ndarray, target: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+        """Normalised natural log-probabilities of the target words: of the class, and of the word inside it."""
         out = np.empty(len(target), np.float32)
         for k in range(0, len(target), step):
-            logits = self.predicted(ctx[k : k + step]) @ self.q.T + self.b
-            picked = logits[np.arange(len(logits)), target[k : k + step]]
-            np.exp(logits, out=logits)
-            out[k : k + step] = picked - np.log(logits.sum(axis=1))
+            y = target[k : k + step]
+            p, cls = self.predicted(ctx[k : k + step]), self.class_of[y]
+            own = _log_share(p @ self.q.T, cls)
+            order = np.argsort(cls, kind="stable")
+            begins = np.searchsorted(cls[order], np.arange(self.single + 1, len(self.noise) + 1))
+            for g in np.flatnonzero(begins[1:] > begins[:-1]):
+                some, low = order[begins[g] : begins[g + 1]], self.single + g * self.share
+                high = min(low + self.share, len(self.unigram) - 1)
+                own[some] += _log_share(p[some] @ self.w[low:high].T, y[some] - low)
+            out[k : k + step] = own
         return out
 
 
-def _add(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """total[at] += rows, for places that repeat."""
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    begins = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    total[at[begins]] += np.add.reduceat(rows[order], begins, axis=0)
+def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    picked = logits[np.arange(len(logits)), at]
+    np.exp(logits, out=logits)
+    return picked - np.log(logits.sum(axis=1))
 
 
-def heavy_hitters(training: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and approximate counts of at most HOT frequent words of all training texts."""
+def heavy_hitters(training: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes and approximate counts of the frequent words of all training texts (``hot`` at most), and the number of all tokens."""
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -168,12 +217,14 @@ def heavy_hitters(training: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     held = [_merged(held)]
         if held:
             h, n = _merged(held)
-            keep = n >= max(2, total // (4 * HOT))
+            keep = n >= max(2, total // (32 * HOT))
             yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], ["h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([total], pa.int64())], ["h", "n"])
 
-    found = training.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "h").limit(HOT).toPandas()
-    return rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    found = cut(training.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    total = found.where("h is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = found.where("h is not null").orderBy(F.desc("n"), "h").limit(hot(total)).toPandas()
+    return rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64), total
 
 
 def _merged(parts):
@@ -185,49 +236,62 @@ def _merged(parts):
 def fit(training: DataFrame) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
     """The vocabulary, exact counts of its hot words, and the parameters of the trained model."""
     sc = training.sparkSession.sparkContext
-    hashes, counts = heavy_hitters(training)
+    hashes, counts, total = heavy_hitters(training)
     vocabulary = Vocabulary(hashes, counts)
     near = np.zeros(len(vocabulary.hot))
     near[np.searchsorted(vocabulary.hot, hashes)] = counts
-    unigram = np.bincount(vocabulary.class_of, near, CLASSES) + 1.0
-    # the approximate counts miss rare words: the rare class gets its share from the first round on
-    unigram[RARE] = max(unigram[RARE], unigram.sum())
+    unigram = np.bincount(vocabulary.number, near, vocabulary.size) + 1.0
+    unigram[-1] += max(0, total - counts.sum())
     unigram /= unigram.sum()
     flat, exact = LogBilinear(unigram).flat, None
+    # every task sends a whole model: a few tasks a core, however many parts the input has
+    texts = training.select("text").coalesce(4 * sc.defaultParallelism)
     for r in range(ROUNDS):
         sent = sc.broadcast((vocabulary, unigram, flat))
 
         def run(batches, r=r, sent=sent):
             voc, noise, start = sent.value
-            model, seen = LogBilinear(noise, start.copy()), 0
+            model, seen, rare = LogBilinear(noise, start), 0, 0
             squares = np.full(len(start), 1e-3, np.float32)
-            hot, classes = np.zeros(len(voc.hot), np.int64), np.zeros(CLASSES, np.int64)
+            hot = np.zeros(len(voc.hot), np.int64)
             draw = np.random.Generator(np.random.PCG64(SEED + r))
             for b in batches:
                 for part in slices(b, "text"):
                     h, suffix, n = tokens(part.column(0))
-                    at, cls = voc.look_up(h)
+                    at, number = voc.look_up(h)
                     if r == 0:
                         hot += np.bincount(at[at >= 0], minlength=len(hot))
-                    pick = np.arange(r * THIN // ROUNDS, len(cls), THIN)
+                        rare += int((at < 0).sum())
+                    pick = np.arange(r * THIN // ROUNDS, len(number), THIN)
                     pick = draw.permutation(pick)
-                    model.train(contexts(cls, suffix, n)[pick], cls[pick], draw, squares)
-                    classes += np.bincount(cls, minlength=CLASSES)
+                    model.train(contexts(number, suffix, n, voc.size)[pick], number[pick], draw, squares)
                     seen += len(pick)
             if seen:
-                for kind, values in ((0, model.flat.astype(float) * seen), (1, hot.astype(float)), (2, classes.astype(float)), (3, np.array([float(seen)]))):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), kind, np.int32)), pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["kind", "i", "x"])
-
-        got = training.select("text").mapInArrow(run, "kind int, i int, x double").groupBy("kind", "i").agg(F.sum("x").alias("x")).toPandas()
-        if got.empty:
+                sums = np.column_stack([model.table * model.used[:, None], model.used])
+                for kind, values in ((0, sums.reshape(-1)), (1, np.append(hot, rare))):
+                    for i in range(0, len(values), BLOCK):
+                        x = values[i : i + BLOCK].astype(np.float64 if kind else np.float32)
+                        yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([i // BLOCK], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["kind", "i", "x"])
+
+        def added(blocks):
+            kind = blocks.column("kind")[0].as_py()
+            x = sum(np.frombuffer(x.as_py(), np.float64 if kind else np.float32).astype(np.float64) for x in blocks.column("x"))
+            return pa.table({"kind": blocks.column("kind")[:1], "i": blocks.column("i")[:1], "x": pa.array([x.tobytes()], pa.binary())})
+
+        got = texts.mapInArrow(run, "kind int, i int, x binary").groupBy("kind", "i").applyInArrow(added, "kind int, i int, x binary").collect()
+        if not got:
             return vocabulary, np.zeros(len(vocabulary.hot), np.int64), flat
-        values = {k: g.sort_values("i")["x"].to_numpy() for k, g in got.groupby("kind")}
-        flat = (values[0] / values[3][0]).astype(np.float32)
+        summed, seen = (np.concatenate([np.frombuffer(x.x) for x in sorted(got, key=lambda x: x.i) if x.kind == kind]) for kind in (0, 1))
+        # a row is averaged over the tasks that used it, by how often they did
+        summed = summed.reshape(-1, WIDTH + 2)
+        table, used = flat.reshape(-1, WIDTH + 1).copy(), summed[:, -1] > 0
+        table[used] = summed[used, :-1] / summed[used, -1:]
+        flat = table.reshape(-1)
         if r == 0:
-            exact = values[1].astype(np.int64)
-            better = values[2] + 1.0
-            better /= better.sum()
-            unigram = better
+            exact = seen[:-1].astype(np.int64)
+            unigram = np.bincount(vocabulary.number, seen[:-1], vocabulary.size) + 1.0
+            unigram[-1] += seen[-1]
+            unigram /= unigram.sum()
     return vocabulary, exact, flat
 
 
@@ -239,37 +303,33 @@ def score(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         voc, counts, flat = sent.value
-        model = LogBilinear(np.full(CLASSES, 1 / CLASSES), flat)
-        with np.errstate(divide="ignore"):
-            logs = np.log10(counts)
-        near, logs = np.log10(counts + 0.5), np.where(counts > 0, logs, 0.0)
-        plain = voc.class_of == RARE
+        model = LogBilinear(np.full(voc.size, 1 / voc.size), flat)
+        near = np.log10(counts + 0.5)
         for b in batches:
             for part in slices(b, "text"):
                 h, suffix, n = tokens(part.column(2))
-                at, cls = voc.look_up(h)
+                at, number = voc.look_up(h)
                 begins = np.cumsum(n) - n
                 hot = at >= 0
                 known = hot & (counts[at] > 0)
-                rare = hot & plain[at] & known
                 lost = hot & ~known
 
                 def total(x, begins=begins):
                     return np.add.reduceat(x, begins) if len(begins) else np.zeros(0)
 
-                chance = model.log_probabilities(contexts(cls, suffix, n), cls) / np.log(10)
+                chance = model.log_probabilities(contexts(number, suffix, n, voc.size), number) / np.log(10)
                 tail = np.flatnonzero(~hot)
                 ends = np.searchsorted(tail, np.append(begins, len(h)))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[tail].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(n.astype(np.int64)), pa.array(total(known.astype(np.int64)).astype(np.int64)), pa.array(total(np.where(hot, near[at], 0.0))),
-                     pa.array(total(chance.astype(float))), pa.array(total(np.where(rare, logs[at], 0.0))), pa.array(total(rare.astype(np.int64)).astype(np.int64)), pa.array(total(lost.astype(np.int64)).astype(np.int64)), lists],
-                    ["doc_id", "held_out", "n_tokens", "known", "near", "chance", "rare_logs", "rare", "lost", "tail"],
+                     pa.array(total(chance.astype(float))), pa.array(total(lost.astype(np.int64)).astype(np.int64)), lists],
+                    ["doc_id", "held_out", "n_tokens", "known", "near", "chance", "lost", "tail"],
                 )
 
     kind = dict(docs.dtypes)["doc_id"]
     first = cut(rows.mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, near double, chance double, rare_logs double, rare long, lost long, tail array<long>"
+        run, f"doc_id {kind}, held_out boolean, n_tokens long, known long, near double, chance double, lost long, tail array<long>"
     )).withColumn("row", F.monotonically_increasing_id())  # of a stored table: the same whenever it is read
 
     # all other tokens meet once, by word
@@ -286,17 +346,16 @@ def score(docs: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("one"), F.col("c")).otherwise(0)).alias("tokens"),
     ))
     sums = of_tail.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "singles", "tokens")]).first()
-    rare_hot = exact[vocabulary.class_of == RARE]
     n_train = int(exact.sum()) + sums.tokens
     types = int((exact > 0).sum()) + sums.types
-    rare_tokens = int(rare_hot.sum()) + sums.tokens
-    unseen = min(0.9, max(1.0, int((rare_hot == 1).sum()) + sums.singles) / max(1, rare_tokens)) if rare_tokens else 1.0
+    rare_tokens = sums.tokens
+    unseen = min(0.9, max(1.0, sums.singles) / rare_tokens) if rare_tokens else 1.0
     known_rare = float(np.log10((1 - unseen) / rare_tokens)) if rare_tokens else 0.0
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("t_near", "t_logs", "t_known", "t_lost")}
     lost = F.col("lost") + zero["t_lost"]
     return first.drop("tail").join(of_tail, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + zero["t_known"]).cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("near") + zero["t_near"] - F.col("n_tokens") * float(np.log10(n_train + 0.5 * (types + 1)))).alias("base_score"),
-        (F.col("chance") + F.col("rare_logs") + zero["t_logs"] + (F.col("rare") + zero["t_known"]) * known_rare + lost * float(np.log10(unseen))).alias("score"),
+        (F.col("chance") + zero["t_logs"] + zero["t_known"] * known_rare + lost * float(np.log10(unseen))).alias("score"),
         lost.cast("long").alias("n_unknown"),
     )

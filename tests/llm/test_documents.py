@@ -330,6 +330,30 @@ def test_class_probabilities_sum_to_one_and_training_helps():
     assert model.log_probabilities(ctx, cls).mean() > before + 0.5
 
 
+def test_words_inside_classes_are_predicted_from_their_context():
+    draw = np.random.default_rng(4)
+    size, k = 400, 60_000
+    word = draw.integers(0, size - 1, k)  # far more words than classes of one word, each mostly followed by its successor
+    for t in range(1, k):
+        if draw.random() < 0.8:
+            word[t] = (word[t - 1] + 1) % (size - 1)
+    vocabulary = language_model.Vocabulary(np.arange(1, size - 1, dtype=np.uint64) * np.uint64(10**6), np.arange(size - 2, 0, -1))
+    assert vocabulary.size == size and len(set(vocabulary.number.tolist())) == size - 1
+    n = np.full(k // 100, 100)
+    ctx = language_model.contexts(word, np.zeros(k, np.int64), n, size)
+    unigram = (np.bincount(word, minlength=size) + 1) / (k + size)
+    model = language_model.LogBilinear(unigram)
+    every = [model.log_probabilities(ctx[:20], np.full(20, y)) for y in range(size)]
+    assert np.exp(every).sum(axis=0) == pytest.approx(np.ones(20), rel=1e-4)
+    squares = np.full(len(model.flat), 1e-3, np.float32)
+    for _ in range(6):
+        model.train(ctx, word, np.random.default_rng(2), squares)
+    inside = word > language_model.CLASSES
+    assert np.exp([model.log_probabilities(ctx[:20], np.full(20, y)) for y in range(size)]).sum(axis=0) == pytest.approx(np.ones(20), rel=1e-4)
+    assert model.log_probabilities(ctx[inside], word[inside]).mean() > np.log(unigram[word[inside]]).mean() + 0.5
+    assert language_model.hot(10**12) > language_model.hot(10**6) >= 1 << 16
+
+
 def test_license_scan(docs, rows, none, spark):
     made = [
         (1, "Released under the MIT License."), (2, "X. This work is licensed under the GNU\n# General Public License, version 3."), (3, "Licensed under CC BY-NC 4.0."),
