@@ -5,7 +5,7 @@ words are the one output *rare*, and as input share vectors by their last letter
 by its place, predict its vector in two levels: first a class, then the word inside it.  The most frequent words and *rare* are classes of their own, the
 other words share about as many classes as each has words, by frequency.  The product with a vector and a bias give the logit at either level.
 
-Training is data-parallel: each task runs over a fixed share of the windows of all its training documents, in minibatches that share their
+Training is data-parallel: each task runs over all windows of its training documents, half of them in either round, in minibatches that share their
 noise classes, and starts from common parameters; a vector is averaged over the tasks that used it, by how often they did, and a second round goes on
 from there.  Scoring normalises over all classes and over all words of the class.
 
@@ -43,8 +43,6 @@ NOISE = 32
 INSIDE = 8
 BATCH = 512
 RATE = 0.15
-#: One of so many windows is trained on in a round.
-THIN = 8
 ROUNDS = 2
 HOT = 1 << 16
 BLOCK = 1 << 18
@@ -202,6 +200,11 @@ def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return picked - np.log(logits.sum(axis=1))
 
 
+def dealt(r: int, count: int) -> np.ndarray:
+    """The windows of a round: each window has its round."""
+    return np.arange(r, count, ROUNDS)
+
+
 def heavy_hitters(training: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     """Hashes and approximate counts of the frequent words of all training texts (``hot`` at most), and the number of all tokens."""
 
@@ -262,8 +265,7 @@ def fit(training: DataFrame) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
                     if r == 0:
                         hot += np.bincount(at[at >= 0], minlength=len(hot))
                         rare += int((at < 0).sum())
-                    pick = np.arange(r * THIN // ROUNDS, len(number), THIN)
-                    pick = draw.permutation(pick)
+                    pick = draw.permutation(dealt(r, len(number)))
                     model.train(contexts(number, suffix, n, voc.size)[pick], number[pick], draw, squares)
                     seen += len(pick)
             if seen:

@@ -354,6 +354,10 @@ def test_words_inside_classes_are_predicted_from_their_context():
     assert language_model.hot(10**12) > language_model.hot(10**6) >= 1 << 16
 
 
+def test_rounds_train_on_every_window():
+    assert sorted(np.concatenate([language_model.dealt(r, 1001) for r in range(language_model.ROUNDS)]).tolist()) == list(range(1001))
+
+
 def test_license_scan(docs, rows, none, spark):
     made = [
         (1, "Released under the MIT License."), (2, "X. This work is licensed under the GNU\n# General Public License, version 3."), (3, "Licensed under CC BY-NC 4.0."),
