@@ -40,7 +40,7 @@ LICENSES = [
     ("agpl", ["agpl-1.0", "agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later"], ["(?:gnu )?affero general public licen[sc]e", r"gnu agpl", r"agpl\s*v?3"], r"gnu\.org/licenses/agpl",
      [r"you should have received a copy of the gnu affero general public license"]),
     ("gfdl", ["gfdl-1.1", "gfdl-1.2", "gfdl-1.3"], ["(?:gnu )?free documentation licen[sc]e"], r"gnu\.org/licenses/fdl", [r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free"]),
-    ("bsd", ["bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "0bsd"], [r"(?:new |modified |simplified |revised |[234][- ]clause )*bsd(?:[- ][234][- ]clause)? licen[sc]e", "freebsd licen[sc]e"], r"opensource\.org/licenses?/bsd-[23]-clause",
+    ("bsd", ["bsd-2-clause", "bsd-3-clause", "bsd-4-clause", "0bsd"], [r"(?:new |modified |simplified |revised |[234][- ]clause )*bsd(?:[- ][234][- ]clause)? licen[sc]e", "freebsd licen[sc]e", "bsd [234][- ]clause"], r"opensource\.org/licenses?/bsd-[23]-clause",
      [r"redistribution and use in source and binary forms, with or without modification", r"neither the name of .{1,80}? nor the names of its contributors may be used"]),
     ("isc", ["isc"], ["isc licen[sc]e"], r"opensource\.org/licenses?/isc", [r"permission to use, copy, modify, and/or distribute this software for any purpose with or without fee"]),
     ("zlib", ["zlib", "zlib-acknowledgement"], ["zlib(?:/libpng)? licen[sc]e"], r"zlib\.net/zlib_license", [r"this software is provided 'as-is', without any express or implied warranty\. in no event will the authors"]),
@@ -63,7 +63,7 @@ LICENSES = [
     ("postgresql", ["postgresql"], ["postgresql licen[sc]e"], r"postgresql\.org/about/licence", []),
     ("openssl", ["openssl", "ssleay"], ["openssl licen[sc]e", "ssleay licen[sc]e"], r"openssl\.org/source/license", []),
     ("ofl", ["ofl-1.0", "ofl-1.1"], ["(?:sil )?open font licen[sc]e"], r"scripts\.sil\.org/ofl", []),
-    ("cecill", ["cecill-1.0", "cecill-2.0", "cecill-2.1", "cecill-b", "cecill-c"], ["cecill(?:-[bc])? licen[sc]e", "licence cecill"], r"cecill\.info", []),
+    ("cecill", ["cecill-1.0", "cecill-2.0", "cecill-2.1", "cecill-b", "cecill-c"], ["cecill(?:-[bc])?(?: free software)? licen[sc]e", "licence cecill"], r"cecill\.info", []),
     ("mulan", ["mulanpsl-1.0", "mulanpsl-2.0"], ["mulan p(?:ermissive )?s(?:oftware )?l(?:icense)?"], r"license\.coscl\.org\.cn/mulanpsl", []),
     ("ms-pl", ["ms-pl"], ["microsoft public licen[sc]e"], r"opensource\.org/licenses?/ms-pl", []),
     ("ms-rl", ["ms-rl"], ["microsoft reciprocal licen[sc]e"], r"opensource\.org/licenses?/ms-rl", []),
@@ -75,13 +75,13 @@ LICENSES = [
     ("upl", ["upl-1.0"], ["universal permissive licen[sc]e"], r"oss\.oracle\.com/licenses/upl", []),
     ("odbl", ["odbl-1.0"], ["open(?: data(?:commons)?)? database licen[sc]e"], r"opendatacommons\.org/licenses/odbl", []),
     ("odc-by", ["odc-by-1.0"], ["open data commons attribution licen[sc]e"], r"opendatacommons\.org/licenses/by", []),
-    ("pddl", ["pddl-1.0"], ["public domain dedication and licen[sc]e"], r"opendatacommons\.org/licenses/pddl", []),
+    ("pddl", ["pddl-1.0"], ["public domain dedication (?:and|&) licen[sc]e"], r"opendatacommons\.org/licenses/pddl", []),
     ("cc0", ["cc0-1.0"], ["cc0(?: 1\\.0)?", "cc zero", "creative commons zero"], r"creativecommons\.org/publicdomain/zero", []),
-    ("cc-by-nc-nd", ["cc-by-nc-nd-3.0", "cc-by-nc-nd-4.0"], ["cc[- ]by[- ]nc[- ]nd", "creative commons attribution[- ]non-?commercial[- ]no ?deriv\\w*"], r"creativecommons\.org/licenses/by-nc-nd", []),
-    ("cc-by-nc-sa", ["cc-by-nc-sa-3.0", "cc-by-nc-sa-4.0"], ["cc[- ]by[- ]nc[- ]sa", "creative commons attribution[- ]non-?commercial[- ]share-? ?alike"], r"creativecommons\.org/licenses/by-nc-sa", []),
+    ("cc-by-nc-nd", ["cc-by-nc-nd-3.0", "cc-by-nc-nd-4.0"], ["cc[- ]by[- ]nc[- ]nd", "creative commons attribution[- ]non-?commercial[- ]no[-\\s]?deriv\\w*"], r"creativecommons\.org/licenses/by-nc-nd", []),
+    ("cc-by-nc-sa", ["cc-by-nc-sa-3.0", "cc-by-nc-sa-4.0"], ["cc[- ]by[- ]nc[- ]sa", "creative commons attribution[- ]non-?commercial[- ]share[-\\s]?alike"], r"creativecommons\.org/licenses/by-nc-sa", []),
     ("cc-by-nc", ["cc-by-nc-3.0", "cc-by-nc-4.0"], ["cc[- ]by[- ]nc", "creative commons attribution[- ]non-?commercial"], r"creativecommons\.org/licenses/by-nc", []),
-    ("cc-by-nd", ["cc-by-nd-3.0", "cc-by-nd-4.0"], ["cc[- ]by[- ]nd", "creative commons attribution[- ]no ?deriv\\w*"], r"creativecommons\.org/licenses/by-nd", []),
-    ("cc-by-sa", ["cc-by-sa-3.0", "cc-by-sa-4.0"], ["cc[- ]by[- ]sa", "creative commons attribution[- ]share-? ?alike"], r"creativecommons\.org/licenses/by-sa", []),
+    ("cc-by-nd", ["cc-by-nd-3.0", "cc-by-nd-4.0"], ["cc[- ]by[- ]nd", "creative commons attribution[- ]no[-\\s]?deriv\\w*"], r"creativecommons\.org/licenses/by-nd", []),
+    ("cc-by-sa", ["cc-by-sa-3.0", "cc-by-sa-4.0"], ["cc[- ]by[- ]sa", "creative commons attribution[- ]share[-\\s]?alike"], r"creativecommons\.org/licenses/by-sa", []),
     ("cc-by", ["cc-by-3.0", "cc-by-4.0"], ["cc[- ]by", "creative commons attribution"], r"creativecommons\.org/licenses/by/", []),
     ("public-domain", [], ["dedicated to the public domain", "released into the public domain", "in the public domain"], r"creativecommons\.org/publicdomain/mark", []),
     ("proprietary", [], ["all rights reserved", "proprietary and confidential", "unauthorized copying of this file"], r"licenseref-proprietary", []),
@@ -94,8 +94,8 @@ LEFT, RIGHT = r"(?<![\w-])", r"(?![\w-])"
 
 
 def _flexible(text: str) -> str:
-    """Blanks of a pattern match any run of white space and comment marks."""
-    return text.replace("[- ]", r"\W{1,3}").replace(" ", r"[\s*#/]+")
+    """Blanks of a pattern match any run of white space and comment marks; a blank with a quantifier stays as it is."""
+    return regex.sub(r" (?![?*+{])", lambda _: r"[\s*#/]+", text.replace("[- ]", r"\W{1,3}"))
 
 
 def _keywords(pattern: str) -> frozenset[str]:

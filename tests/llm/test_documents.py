@@ -378,6 +378,32 @@ def test_license_scan(docs, rows, none, spark):
     assert licenses.scan(none).count() == 0
 
 
+def test_licenses_are_found_in_their_official_names():
+    s = licenses.Scanner()
+    names = {
+        "mit": "MIT License", "apache": "Apache License 2.0", "gpl": "GNU General Public License v3.0", "lgpl": "GNU Lesser General Public License v2.1",
+        "agpl": "GNU Affero General Public License v3.0", "gfdl": "GNU Free Documentation License v1.3", "bsd": 'BSD 3-Clause "New" or "Revised" License', "isc": "ISC License",
+        "zlib": "zlib License", "mpl": "Mozilla Public License 2.0", "epl": "Eclipse Public License 2.0", "edl": "Eclipse Distribution License 1.0",
+        "cpl": "Common Public License 1.0", "cddl": "Common Development and Distribution License 1.0", "eupl": "European Union Public License 1.2", "unlicense": "The Unlicense",
+        "wtfpl": "Do What The F*ck You Want To Public License", "boost": "Boost Software License 1.0", "busl": "Business Source License 1.1",
+        "sspl": "Server Side Public License, v 1", "elastic": "Elastic License 2.0", "artistic": "Artistic License 2.0", "python": "Python Software Foundation License 2.0",
+        "php": "PHP License v3.01", "ruby": "Ruby License", "postgresql": "PostgreSQL License", "openssl": "OpenSSL License", "ofl": "SIL Open Font License 1.1",
+        "cecill": "CeCILL Free Software License Agreement v2.1", "mulan": "Mulan Permissive Software License, Version 2", "ms-pl": "Microsoft Public License",
+        "ms-rl": "Microsoft Reciprocal License", "apsl": "Apple Public Source License 2.0", "osl": "Open Software License 3.0", "afl": "Academic Free License v3.0",
+        "ncsa": "University of Illinois/NCSA Open Source License", "qpl": "Q Public License 1.0", "upl": "Universal Permissive License v1.0",
+        "odbl": "Open Data Commons Open Database License v1.0", "odc-by": "Open Data Commons Attribution License v1.0",
+        "pddl": "Open Data Commons Public Domain Dedication & License 1.0", "cc0": "Creative Commons Zero v1.0 Universal",
+        "cc-by-nc-nd": "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International",
+        "cc-by-nc-sa": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International", "cc-by-nc": "Creative Commons Attribution-NonCommercial 4.0 International",
+        "cc-by-nd": "Creative Commons Attribution-NoDerivatives 4.0 International", "cc-by-sa": "Creative Commons Attribution-ShareAlike 4.0 International",
+        "cc-by": "Creative Commons Attribution 4.0 International",
+    }
+    assert set(names) == {label for label, *_ in licenses.LICENSES} - {"public-domain", "proprietary"}
+    for label, name in names.items():
+        assert {r.label for _, _, r in s.settle(s.detections(f"this is under {name.lower()}."))} == {label}, name
+    assert {r.label for _, _, r in s.settle(s.detections("creative commons attribution-share alike 3.0"))} == {"cc-by-sa"}
+
+
 def test_rules_hold_their_keywords_and_settle():
     s = licenses.Scanner()
     assert len(s.rules) > 300 and all(r.keywords for r in s.rules)
