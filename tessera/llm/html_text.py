@@ -45,6 +45,8 @@ CLOSES = {
 }
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 LANDMARKS = frozenset(["article", "main"])
+#: Every page with a landmark matches; a few others may, from comments or scripts.
+LANDMARK = r"(?i)<(?:article|main)(?![a-z0-9-])"
 BOILERPLATE = frozenset("nav footer aside header form menu dialog search fieldset".split())
 BAD = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments reply replies respond discussion cookie cookies consent gdpr footer foot header masthead "
@@ -367,8 +369,8 @@ def choose(parent: list[int], odds: np.ndarray) -> np.ndarray:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Boosted | None:
-    """Trees from a bounded sample of pages; None if no sampled page has a landmark."""
-    known = pages.where("html is not null")
+    """Trees from a bounded sample of the pages with a landmark; None if there is none."""
+    known = pages.where(F.col("html").rlike(LANDMARK))
     n = known.count()
     if not n:
         return None

@@ -45,6 +45,13 @@ def test_pages(spark, trees):
     assert main_text(model, side) == main_text(model, trees[3])
 
 
+def test_one_page_with_a_landmark_among_many_is_learned_from(spark, trees):
+    plain = [f"<html><body><div><p>page {i}</p></div></body></html>" for i in range(3000)]
+    frame = spark.createDataFrame([(i, "u", s) for i, s in enumerate([*plain, trees[0]])], "page_id long, url string, html string")
+    model = html_text.fit(frame, sample=5)
+    assert model is not None and "word" in main_text(model, trees[0])
+
+
 def test_page_reader():
     read = lambda s: [(html_text.Page(s).tag[b], t) for b, t in html_text.Page(s).text]
     assert read("<p><b>One<br>two<p>a&amp;b<i>c</i>&nbsp; d") == [("p", "One two"), ("p", "a&bc d")]
