@@ -4,7 +4,8 @@ Method.  Each language has a raw-content dictionary for zstandard, made of excer
 text (lower case, each run of other characters than letters as one space) is compressed with every dictionary and gets
 the language with the smallest size.  Where the margin to the second best language, as a share of it, is below
 ``CLOSE``, sizes at a slower level are added.  The margin is the score; a text whose margin is below ``margin`` is rejected,
-as are texts without a letter.
+as are texts without a letter.  A text that compresses to ``LEAST`` bytes or more is also rejected if the margin in bytes is narrow on both sides: to the second best
+language and to compression with no dictionary.  Such are letter noise and languages that were not learned.
 
 What is learned.  Dictionaries are fitted on a bounded sample (``SAMPLE_DOCS`` documents a language, chosen by the hash
 of doc_id among the training rows, ``DICT_BYTES`` in all, an equal share of each document); every text is then
@@ -28,8 +29,11 @@ SAMPLE_DOCS = 256
 DICT_BYTES = 96 << 10
 LEVEL, SLOW_LEVEL = 6, 12
 CLOSE = 0.03
-#: By default only texts without a letter are rejected: a short clean text has a narrow margin too.
+#: As a share, the default rejects nothing: a short clean text has a narrow margin too.
 MARGIN = 0.0
+#: From LEAST bytes on, compressed with no dictionary, a text is noise if the best dictionary wins by less than GAP bytes over the second, and saves
+#: GAIN bytes over none at most.
+LEAST, GAP, GAIN = 96, 16, 4
 LETTER = regex.compile(r"\p{L}")
 OTHER = regex.compile(rb"[^a-z\x80-\xff]+")
 
@@ -82,13 +86,18 @@ def predict(docs: DataFrame, raw: dict[str, bytes], margin: float = MARGIN) -> D
     def run(batches):
         made = {lang: (compressor(data, LEVEL), compressor(data, SLOW_LEVEL)) for lang, data in sent.value.items()}
 
-        def best(data: bytes) -> tuple[str, float]:
+        none = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
+
+        def best(data: bytes) -> tuple[str, float, bool]:
             sizes = sorted((len(fast.compress(data)), lang) for lang, (fast, _) in made.items())
+            close = len(sizes) == 1 or sizes[1][0] - sizes[0][0] < GAP
+            alone = len(none.compress(data)) if close and len(data) >= LEAST else 0
+            noise = alone >= LEAST and alone - sizes[0][0] <= GAIN
             gap = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if len(sizes) > 1 else 1.0
             if gap < CLOSE:
                 sizes = sorted((n + len(made[lang][1].compress(data)), lang) for n, lang in sizes)
                 gap = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
-            return sizes[0][1], gap
+            return sizes[0][1], gap, noise
 
         for b in batches:
             names, scores, out = [], [], []
@@ -96,8 +105,8 @@ def predict(docs: DataFrame, raw: dict[str, bytes], margin: float = MARGIN) -> D
                 if not made or not text or not LETTER.search(text):
                     names.append("und"), scores.append(0.0), out.append(True)
                     continue
-                lang, gap = best(letters(text))
-                names.append(lang), scores.append(gap), out.append(gap < margin)
+                lang, gap, noise = best(letters(text))
+                names.append(lang), scores.append(gap), out.append(noise or gap < margin)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(out)], names_out)
 
     schema = StructType(list(kept.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType()).add("rejected", BooleanType())

@@ -164,3 +164,14 @@ def test_rejection_margin(spark):
     docs = spark.createDataFrame([(1, "xyz", "en"), (2, "the thing and the other thing " * 9, "en"), (3, "der die das und die sache " * 9, "de"), (4, "der hund und die katze " * 9, "de"), (6, "the dog and the cat and " * 9, "en")], "doc_id long, text string, lang string")
     strict = language.predict(docs.select("doc_id", "text"), language.learned(docs), margin=0.9).collect()
     assert all(r.rejected == (r.score < 0.9) for r in strict)
+
+
+def test_stage_drops_noise_and_languages_that_were_not_learned(spark):
+    draw = random.Random(6)
+    parts = {"en": "the tion ing er on re th and of in".split(), "de": "ung keit ein sch der ver en ge".split()}
+    say = lambda s, n: " ".join("".join(draw.choice(s) for _ in range(3)) for _ in range(n))
+    made = [(i, say(parts[lang], 60), lang) for i in range(80) for lang in [draw.choice(["en", "de"])]] + [(80, "Hi", None), (81, "der die", None)]
+    odd = lambda s: "".join(draw.choice(s + "    ") for _ in range(600))
+    bad = [(100 + i, odd("abcdefghijklmnopqrstuvwxyz"), None) for i in range(20)] + [(200 + i, odd("абвгдежзиклмнопрстуф"), None) for i in range(20)]
+    docs = spark.createDataFrame(made + bad, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()) == [i for i, *_ in made]
