@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, fingerprints, html_text, jaccard_join, language, language_model, licenses, packing, sharding
+from tessera.llm import chat, decontaminate, fingerprints, html_text, jaccard_join, language, language_model, licenses, negatives, packing, repeats, runs, sharding
 from tessera.llm.common import table
 
 QUERIES: dict = {}
@@ -67,6 +68,20 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.collapse_runs(runs.with_loops(table(spark, sf_dir, "documents"))))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
 @query
@@ -92,3 +107,72 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(7 + marks + body) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id
 """
+
+#: Words of a text, as all operators on words split it.
+WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+ORACLES["op11_substring_dedup"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+starts AS (SELECT r, doc_id, w, unnest(range(0, greatest(len(w) - 19, 0))) AS s FROM d),
+again AS (
+  SELECT r, s, rank() OVER (PARTITION BY array_to_string(w[s + 1:s + 20], ' ') ORDER BY doc_id NULLS FIRST, s) AS place FROM starts
+), gone AS (SELECT DISTINCT r, s + unnest(range(0, 20)) AS i FROM again WHERE place > 1),
+words AS (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
+kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM words LEFT JOIN gone USING (r, i) WHERE gone.r IS NULL GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+ORACLES["op12_periodic_runs"] = rf"""
+WITH raw AS (
+  SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten([[CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0] for c in string_split(CAST(doc_id AS VARCHAR), '')])),
+             lambda a, e: xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1))), 4294967295) AS h
+  FROM documents
+), cut AS (SELECT r, doc_id, w, len(w) AS n, h, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM raw),
+d AS (
+  SELECT r, doc_id, CASE WHEN h % 10 = 0 AND n > 0
+    THEN [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END] for i in range(0, n)] ELSE w END AS w
+  FROM cut
+), words AS (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d),
+equal AS (
+  SELECT x.r, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.r = y.r AND x.word = y.word AND y.i > x.i
+  JOIN d ON d.r = x.r WHERE 3 * (y.i - x.i) <= len(d.w)
+), islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM equal),
+stretches AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY r, q, g HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT r, start, length, min(q) AS period FROM stretches GROUP BY r, start, length),
+dropped AS (SELECT DISTINCT r, start + period + unnest(range(0, CAST(length - period AS BIGINT))) AS i FROM runs),
+collapsed AS (
+  SELECT words.r, string_agg(word, ' ' ORDER BY words.i) AS text FROM words LEFT JOIN dropped USING (r, i) WHERE dropped.r IS NULL GROUP BY words.r
+), per AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+         first(struct_pack(s := start, l := length, p := period) ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS best
+  FROM runs GROUP BY r
+)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.l AS BIGINT) AS length,
+       CAST(best.p AS BIGINT) AS period, CAST(1000 * best.l // best.p AS BIGINT) AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM d LEFT JOIN per USING (r) LEFT JOIN collapsed USING (r)
+"""
+
+ORACLES["op13_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS own, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM v a JOIN v b ON b.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE own
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 10
+"""
