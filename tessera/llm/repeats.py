@@ -39,6 +39,8 @@ ASIDE = 1 << 16
 
 _ROLL = _Powers(0xC2B2AE3D27D4EB4F)
 _KEYS = "id long, none boolean, th long"
+#: Windows of a group of documents: their starts, the places of their documents in the table that follows, and that table.
+_WINDOWS = {"start": np.uint32, "who": np.uint32, "id": np.int64, "none": np.uint8, "th": np.int64}
 
 
 def windows(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,46 +208,59 @@ def later(docs: DataFrame, again: DataFrame, size: int) -> DataFrame:
                     rows.append([planes(x[u], kind) for u, _ in present])
                 yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, [pa.int64()] + [pa.binary()] * 6)], form.replace(",", "").split()[::2])
 
-    def decide(t: pa.Table) -> pa.Table:
-        bucket = t.column("bucket")[0].as_py()
-        parts = {c: [numbers(x.as_py(), k) for x in t.column(c)] for c, k in (("h", np.uint64), ("start", np.uint32), ("who", np.uint32), ("id", np.int64), ("none", np.uint8), ("th", np.int64))}
-        sizes, tables = [len(x) for x in parts["h"]], [len(x) for x in parts["id"]]
-        h, start, who, ids, none, th = (np.concatenate(parts[c]) for c in parts)
+    def ranked(t: pa.Table):
+        """Keys of all windows of a group (rank of the document, start), the documents by rank, and the row of each window."""
+        start, who, ids, none, th = ([numbers(x.as_py(), k) for x in t.column(c)] for c, k in _WINDOWS.items())
+        sizes, tables = [len(x) for x in start], [len(x) for x in ids]
+        start, who, ids, none, th = (np.concatenate(x) for x in (start, who, ids, none, th))
         who = who + np.repeat(np.cumsum(tables) - tables, sizes)
         order = np.lexsort((th, ids, 1 - none))
         ids, none, th = ids[order], none[order], th[order]
         own = np.append(True, (ids[1:] != ids[:-1]) | (th[1:] != th[:-1]) | (none[1:] != none[:-1]))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.cumsum(own) - 1
-        ids, none, th = ids[own], none[own], th[own]
-        key = rank[who].astype(np.uint64) << np.uint64(32) | start.astype(np.uint64)
-        if bucket >= 0:  # the earliest window of each hash stays; a window that came twice is one window
+        return rank[who].astype(np.uint64) << np.uint64(32) | start.astype(np.uint64), ids[own], none[own], th[own]
+
+    def decide(t: pa.Table) -> pa.Table:
+        """Hits of a bucket, packed by the group in which their documents gather."""
+        key, ids, none, th = ranked(t)
+        if t.column("bucket")[0].as_py() >= 0:  # the earliest window of each hash stays; a window that came twice is one window
+            h = np.concatenate([numbers(x.as_py(), np.uint64) for x in t.column("h")])
             order = np.lexsort((key, h))
             h, key = h[order], key[order]
             new = np.append(True, h[1:] != h[:-1])
             key = key[key != key[new][np.cumsum(new) - 1]]
         key = np.unique(key)
-        full, counts = np.unique(key >> np.uint64(32), return_counts=True)
-        full = full.astype(np.int64)
-        starts = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        return pa.table([pa.array(ids[full]), pa.array(none[full].astype(bool)), pa.array(th[full]), _lists(starts, counts)], ["id", "none", "th", "starts"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            low, high = [], []
-            for x in b.column(1):
-                x = np.unique(np.asarray(x.values))
-                apart = np.flatnonzero(np.diff(x) > size)
-                low.append(x[np.append(0, apart + 1)])
-                high.append(x[np.append(apart, len(x) - 1)] + size)
-            counts = [len(x) for x in low]
-            if counts:
-                yield pa.RecordBatch.from_arrays([b.column(0), _lists(np.concatenate(low), counts), _lists(np.concatenate(high), counts)], ["key", "low", "high"])
-
-    hits = look_up(docs, again, ["key"]).mapInArrow(send, form).groupBy("bucket").applyInArrow(decide, f"{_KEYS}, starts array<int>")
-    # a list per document, no longer than the document
-    listed = hits.groupBy(F.struct("id", "none", "th").alias("key")).agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
-    return listed.mapInArrow(merge, f"key struct<{_KEYS.replace(' ', ':').replace(',:', ',')}>, low array<int>, high array<int>")
+        full, counts = np.unique((key >> np.uint64(32)).astype(np.int64), return_counts=True)
+        part = (mix(ids[full].view(np.uint64) ^ mix(th[full].view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+        start, owner = key.astype(np.uint32), np.repeat(np.arange(len(full)), counts)
+        rows = [[] for _ in range(6)]
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(buckets + 1))
+        place = np.empty(len(full), np.int64)
+        place[order] = np.arange(len(full))
+        mine = np.argsort(place[owner], kind="stable")
+        reach = np.append(0, np.cumsum(counts[order]))
+        for k in np.flatnonzero(np.diff(ends)):
+            docs_, hits_ = order[ends[k] : ends[k + 1]], mine[reach[ends[k]] : reach[ends[k + 1]]]
+            values = (start[hits_], place[owner[hits_]] - ends[k], ids[full[docs_]], none[full[docs_]], th[full[docs_]])
+            for r, x in zip(rows, (int(k), *(planes(v, kind) for v, kind in zip(values, _WINDOWS.values())))):
+                r.append(x)
+        return pa.table([pa.array(r, kind) for r, kind in zip(rows, [pa.int64()] + [pa.binary()] * 5)], ["part", *_WINDOWS])
+
+    def merge(t: pa.Table) -> pa.Table:
+        """Maximal intervals of words of the documents of one group."""
+        key, ids, none, th = ranked(t)
+        key = np.unique(key)
+        apart = np.append(True, np.diff(key) > np.uint64(size))  # another document is further away than any window is long
+        low, high = key[apart], key[np.append(apart[1:], True)[: len(key)]] + np.uint64(size)
+        full, counts = np.unique((low >> np.uint64(32)).astype(np.int64), return_counts=True)
+        low, high = (_lists(x & np.uint64(0xFFFFFFFF), counts) for x in (low, high))
+        return pa.table([pa.array(ids[full]), pa.array(none[full].astype(bool)), pa.array(th[full]), low, high], ["id", "none", "th", "low", "high"])
+
+    hits = look_up(docs, again, ["key"]).mapInArrow(send, form).groupBy("bucket").applyInArrow(decide, f"part long, {form.split(', ', 2)[2]}")
+    whole = hits.groupBy("part").applyInArrow(merge, f"{_KEYS}, low array<int>, high array<int>")
+    return whole.select(F.struct("id", "none", "th").alias("key"), "low", "high")
 
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
