@@ -7,6 +7,7 @@ is finished is known from the tables themselves.  Image rows never pass the driv
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import json
 import platform
 import sys
@@ -29,7 +30,7 @@ from tessera.operators import segment as sg
 from tessera.operators.tiles import Tiles
 from tessera.plans import config
 from tessera.render import pictures
-from tessera.sources import images, workbook
+from tessera.sources import images, planes, workbook
 
 KEYS = ["dataset", "scene", "timepoint"]
 
@@ -139,9 +140,7 @@ def discover(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
     """One row per image: dataset, file, path, scene, timepoint, geometry and metadata."""
     files = images.find_inputs(spark, cfg)
     stems = tables.disambiguate_stems(files.withColumn("stem", text.file_stem(F.col("name"))))
-    # file names are the partition list of the image source, so they are known to the driver
-    paths = [r.path for r in files.select("path").toLocalIterator()]
-    heads = images.read_planes(spark, paths, pixels=False, skip_unreadable=True)
+    heads = planes.headers(files, skip_unreadable=True).where("error is null")
     per_scene = heads.groupBy("path", "scene", "n_t").agg(
         F.max("height").alias("height"), F.max("width").alias("width"), F.max("n_c").alias("n_c"), F.max("n_z").alias("n_z"),
         F.max("pixel_size_um").alias("pixel_size_um"), F.max("frame_interval_min").alias("frame_interval_min"),
@@ -173,14 +172,10 @@ def discover(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
 
 def load_tiles(spark: SparkSession, jobs: DataFrame, channels: list[int], z: str, size: int) -> Tiles:
     """Tiles of the wanted channels of the jobs, with ``pixel_size_um`` per image."""
-    paths = [r.path for r in jobs.select("path").distinct().toLocalIterator()]
-    planes = images.read_planes(spark, paths).where(F.col("c").isin(channels))
-    look = jobs.select("path", "scene", F.col("timepoint").alias("t"), "dataset", F.col("pixel_size_um").alias("ps"))
-    wanted = planes.join(look, ["path", "scene", "t"], "left_semi")
-    rows = images.image_rows(wanted, channels, z).drop("pixel_size_um", "frame_interval_min")
-    rows = rows.join(look, ["path", "scene", "t"]).withColumnRenamed("t", "timepoint")
-    t = images.tiles_of(rows, KEYS, [f"c{c}" for c in channels], size)
-    return t.with_scalar(jobs.select(*KEYS, "pixel_size_um"))
+    heads = planes.headers(jobs.select("path").distinct()).where(F.col("c").isin(channels)).drop("pixel_size_um")
+    look = jobs.select("path", "scene", F.col("timepoint").alias("t"), "dataset", "pixel_size_um")
+    found = heads.join(look, ["path", "scene", "t"]).withColumnRenamed("t", "timepoint")
+    return dataclasses.replace(planes.read_tiles(found, [*KEYS, "pixel_size_um"], channels, size, z), keys=tuple(KEYS))
 
 
 def correction_fields(spark: SparkSession, cfg: Mapping[str, Any], jobs: DataFrame, store: Store, size: int) -> dict[int, tuple[DataFrame, list[str]]]:
@@ -232,12 +227,11 @@ def correction_fields(spark: SparkSession, cfg: Mapping[str, Any], jobs: DataFra
 
 
 def _reference_mean(spark, path, channel, cfg, size) -> DataFrame:
-    planes = images.read_planes(spark, [path]).where((F.col("c") == channel) & (F.col("t") == 0))
+    heads = planes.headers(spark.createDataFrame([(path,)], "path string")).where("t = 0")
     include = config.str_list(cfg["background_image_scenes"])
     if include:
-        planes = planes.where(text.name_filter(F.col("scene"), include))
-    rows = images.image_rows(planes, [channel], cfg["background_z_projection"])
-    t = images.tiles_of(rows, ["path", "scene", "t"], [f"c{channel}"], size)
+        heads = heads.where(text.name_filter(F.col("scene"), include))
+    t = planes.read_tiles(heads, ["path", "scene", "t"], [channel], size, cfg["background_z_projection"])
     mean = background.field_images(t, f"c{channel}", [], int(cfg["background_downsample"]), 0.0)
     return mean.select(F.lit(channel).alias("channel"), "height", "width", F.col("field").alias("mean"))
 
@@ -245,7 +239,6 @@ def _reference_mean(spark, path, channel, cfg, size) -> DataFrame:
 def check_reference(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
     """(file, level, message) for every input compared with the reference image."""
     files = images.find_inputs(spark, cfg)
-    paths = [r.path for r in files.select("path").toLocalIterator()]
 
     def facts(df):
         names = F.array_sort(F.collect_set(F.struct("c", "channel_name")))
@@ -255,8 +248,8 @@ def check_reference(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
             F.transform(names, lambda s: s["channel_name"]).alias("channel_names"),
         )
 
-    got = facts(images.read_planes(spark, paths, pixels=False, skip_unreadable=True))
-    ref = facts(images.read_planes(spark, [cfg["background_image_path"]], pixels=False)).drop("path")
+    got = facts(planes.headers(files, skip_unreadable=True).where("error is null"))
+    ref = facts(planes.headers(spark.createDataFrame([(cfg["background_image_path"],)], "path string"))).drop("path")
     both = got.crossJoin(F.broadcast(ref.select(*[F.col(c).alias(f"r_{c}") for c in ref.columns])))  # one row
     ref_side = {c: F.col(f"r_{c}") for c in ref.columns}
     notes = background.acquisition_messages(ref_side, {c: F.col(c) for c in ref.columns})

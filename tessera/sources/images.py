@@ -1,4 +1,4 @@
-"""Image files as tables: a Spark data source with one partition per plane.
+"""Image files as tables: a Spark data source with one partition per file.
 
 ``spark.read.format("tessera_image").option("paths", ...)`` yields one row per plane.
 Filters on scene, t, c and z remove planes before they are read; ``pixels=false`` reads
@@ -16,69 +16,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from tessera.functions import text
-from tessera.operators.tiles import Tiles, tile_images
+from tessera.operators.tiles import Tiles
+from tessera.sources import planes
 
-SCHEMA = (
-    "path string, scene string, t int, c int, z int, height int, width int, dtype string, n_t int, n_c int, n_z int, "
-    "channel_name string, pixel_size_um double, frame_interval_min double, objective_name string, magnification double, "
-    "numerical_aperture double, immersion string, pixels binary"
-)
+SCHEMA = planes.SCHEMA.replace(", scene_index int, error string", ", pixels binary")
 COLUMNS = [c.strip().split()[0] for c in SCHEMA.split(",")]
-OPTIONAL_READERS = (".lif", ".czi", ".nd2")
 
 
-class Plane(InputPartition):
-    def __init__(self, values: dict, page: int, kind: str):
+class File(InputPartition):
+    def __init__(self, path: str):
         super().__init__(0)
-        self.values, self.page, self.kind = values, page, kind
-
-
-def _number(v):
-    try:
-        return float(str(v).lower().replace("x", "").strip())
-    except (TypeError, ValueError):
-        return None
-
-
-def list_planes(path: str) -> list[Plane]:
-    """Planes of one file from its header."""
-    from tessera.sources import tiff
-
-    low = path.lower()
-    if low.endswith(OPTIONAL_READERS):
-        raise tiff.UnsupportedImage(f"no reader installed for {path}")
-    if low.endswith(".npy"):
-        a = np.load(path, mmap_mode="r")
-        full = (1,) * (5 - a.ndim) + a.shape  # t, c, z, y, x; fewer axes are the last ones
-        if a.ndim == 3:
-            full = (1, a.shape[0], 1, *a.shape[1:])  # three axes are channels
-        base = dict.fromkeys(COLUMNS)
-        base.update(path=path, scene="Image:0", height=full[3], width=full[4], dtype=str(a.dtype), n_t=full[0], n_c=full[1], n_z=full[2])
-        return [
-            Plane({**base, "t": t, "c": c, "z": z, "channel_name": f"Channel:0:{c}"}, (t * full[1] + c) * full[2] + z, "npy")
-            for t in range(full[0]) for c in range(full[1]) for z in range(full[2])
-        ]
-    with open(path, "rb") as f:
-        pages = tiff.read_directory(f)
-    out = []
-    for s in tiff.layout(pages):
-        for page, (t, c, z) in s["pages"].items():
-            if page >= len(pages):
-                continue
-            h, w, dtype = tiff.page_shape(pages[page])
-            ob = s["objective"]
-            out.append(Plane({
-                "path": path, "scene": s["scene"], "t": t, "c": c, "z": z, "height": h, "width": w, "dtype": dtype,
-                "n_t": s["sizes"][0], "n_c": s["sizes"][1], "n_z": s["sizes"][2],
-                "channel_name": s["channels"][c] if c < len(s["channels"]) else f"ch{c}",
-                "pixel_size_um": s["pixel_size_um"], "frame_interval_min": s["frame_interval_min"],
-                "objective_name": ob.get("name"), "magnification": _number(ob.get("magnification")),
-                "numerical_aperture": _number(ob.get("na")), "immersion": ob.get("immersion"), "pixels": None,
-            }, page, "tiff"))
-    return out
+        self.path = path
 
 
 class ImageReader(DataSourceReader):
+    """One partition per file: executors read the header, and then only the planes that the filters leave."""
+
     def __init__(self, options):
         self.paths = json.loads(options.get("paths", "[]"))
         self.with_pixels = str(options.get("pixels", "true")).lower() == "true"
@@ -95,32 +48,25 @@ class ImageReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        out = []
-        for p in self.paths:
-            try:
-                planes = list_planes(p)
-            except Exception:
-                if not self.skip_bad:
-                    raise
-                continue
-            out += [q for q in planes if all(q.values[k] in v for k, v in self.wanted.items())]
-        return out or [Plane({}, -1, "none")]
+        return [File(p) for p in self.paths] or [File("")]
 
     def read(self, partition):
-        from tessera.sources import tiff
-
-        if partition.kind == "none":
+        if not partition.path:
             return
-        row = dict(partition.values)
-        if self.with_pixels:
-            if partition.kind == "npy":
-                a = np.load(row["path"], mmap_mode="r")
-                plane = a.reshape(-1, row["height"], row["width"])[partition.page]
-            else:
-                with open(row["path"], "rb") as f:
-                    plane = tiff.read_page(f, tiff.read_directory(f)[partition.page])
-            row["pixels"] = np.ascontiguousarray(plane, dtype="<f4").tobytes()
-        yield tuple(row[c] for c in COLUMNS)
+        try:
+            rows = list(planes.plane_rows(partition.path))
+        except Exception:
+            if not self.skip_bad:
+                raise
+            return
+        for row in rows:
+            if all(row[k] in v for k, v in self.wanted.items()):
+                pixels = None
+                if self.with_pixels:
+                    with planes.open_file(partition.path) as f:
+                        plane = planes.read_region(f, row["store"], row["width"], 0, row["height"], 0, row["width"])
+                    pixels = np.ascontiguousarray(plane, dtype="<f4").tobytes()
+                yield tuple({**row, "pixels": pixels}.get(c) for c in COLUMNS)
 
 
 class ImageSource(DataSource):
@@ -181,44 +127,6 @@ def find_inputs(spark: SparkSession, cfg: dict) -> DataFrame:
     return files.limit(int(cfg["max_files"])) if cfg["max_files"] else files
 
 
-def image_rows(planes: DataFrame, channels: Sequence[int], z: str = "max") -> DataFrame:
-    """(path, scene, t, height, width, c<i>..., pixel_size_um, frame_interval_min): one row per
-    image, with the z axis reduced plane by plane.
-
-    A group is the z stack of the wanted channels of one image, which was one file region.
-    """
-    import pandas as pd
-    from pyspark.sql.types import BinaryType, StructField, StructType
-
-    keys = ["path", "scene", "t", "height", "width"]
-    kept = planes.where(F.col("c").isin([int(c) for c in channels])).select(
-        *keys, "c", "z", "n_z", "pixel_size_um", "frame_interval_min", "pixels"
-    )
-    schema = StructType(
-        [kept.schema[k] for k in [*keys, "pixel_size_um", "frame_interval_min"]]
-        + [StructField(f"c{c}", BinaryType()) for c in channels]
-    )
-
-    def stack(pdf):
-        first = pdf.iloc[0]
-        row = {k: first[k] for k in schema.fieldNames() if k in pdf.columns}
-        for c in channels:
-            zs = pdf[pdf["c"] == c].sort_values("z")
-            if len(zs) == 0:
-                raise IndexError(f"{first['path']}: channel {c} does not exist")
-            if z == "middle":
-                zs = zs.iloc[[len(zs) // 2]]
-            best = None
-            for blob in zs["pixels"]:
-                a = np.frombuffer(blob, "<f4")
-                best = a if best is None else (np.maximum(best, a) if z == "max" else best + a.astype("f8"))
-            best = best / len(zs) if z == "mean" else best
-            row[f"c{c}"] = best.astype("<f4").tobytes()
-        return pd.DataFrame([row], columns=schema.fieldNames())
-
-    return kept.groupBy(*keys).applyInPandas(stack, schema)
-
-
 def write_planes(images: DataFrame, folder: str, name: Column, blobs: Sequence[str], dtypes: Sequence[str], mask: bool = False) -> DataFrame:
     """Write label planes as zlib TIFF files, one per row; returns (file, n_bytes).
 
@@ -292,7 +200,7 @@ def write_movies(t: Tiles, layer: str, folder: str, time: str = "timepoint") ->
 
         os.makedirs(folder, exist_ok=True)
         h, w = int(pdf["height"].min()), int(pdf["width"].min())
-        planes = []
+        made = []
         frames = dict(list(pdf.groupby(time)))
         for f in range(int(min(frames)), int(max(frames)) + 1):
             a = np.zeros((h, w), dtype)
@@ -300,24 +208,19 @@ def write_movies(t: Tiles, layer: str, folder: str, time: str = "timepoint") ->
                 y, x = ty * size, tx * size
                 part = np.frombuffer(blob, dtype).reshape(min(size, fh - y), min(size, fw - x))[: max(0, h - y), : max(0, w - x)]
                 a[y: y + part.shape[0], x: x + part.shape[1]] = part
-            planes.append(a)
-        top = max(int(p.max(initial=0)) for p in planes)
-        planes = [p.astype("u2" if top < 65535 else "u4") for p in planes]
-        text_ = f"ImageJ=1.11a\nimages={len(planes)}\nframes={len(planes)}\n"
+            made.append(a)
+        top = max(int(p.max(initial=0)) for p in made)
+        made = [p.astype("u2" if top < 65535 else "u4") for p in made]
+        text_ = f"ImageJ=1.11a\nimages={len(made)}\nframes={len(made)}\n"
         name = "_".join(str(pdf[k].iloc[0]) for k in keys)
         for ch in '\\/:*?"<>|':
             name = name.replace(ch, "_")
         target = os.path.join(folder, f"{name}_tracked_labels.tif")
         part = f"{target}.{os.getpid()}.part"
         with open(part, "wb") as fh_:
-            fh_.write(tiff.encode(planes, text_))
+            fh_.write(tiff.encode(made, text_))
         os.replace(part, target)
-        return pd.DataFrame([(target, len(planes))], columns=["file", "n_frames"])
+        return pd.DataFrame([(target, len(made))], columns=["file", "n_frames"])
 
     cols = [*keys, time, "ty", "tx", "height", "width", layer]
     return t.df.select(*cols).groupBy(*keys).applyInPandas(run, "file string, n_frames long")
-
-
-def tiles_of(images: DataFrame, keys: Sequence[str], layers: Sequence[str], size: int = 1024) -> Tiles:
-    """Tiles of the float planes of ``image_rows``."""
-    return tile_images(images, keys, {n: "<f4" for n in layers}, size)

@@ -64,8 +64,8 @@ def page_shape(page: dict) -> tuple[int, int, str]:
     return page[257][0], page[256][0], f"{page['order']}{_SAMPLE.get(form, 'u')}{bits // 8}"
 
 
-def read_page(f, page: dict) -> np.ndarray:
-    """One grey plane."""
+def page_store(page: dict) -> dict:
+    """Where the samples of a grey plane lie: strips or stored tiles, their packing and sample type."""
     h, w, dtype = page_shape(page)
     if page.get(277, [1])[0] != 1:
         raise UnsupportedImage("only one sample per pixel is supported")
@@ -73,21 +73,17 @@ def read_page(f, page: dict) -> np.ndarray:
     if packing not in (1, 8, 32946) or predictor not in (1, 2):
         raise UnsupportedImage(f"TIFF compression {packing} (predictor {predictor}) is not supported")
     tiled = 322 in page
-    th, tw = (page[323][0], page[322][0]) if tiled else (page.get(278, [h])[0], w)
+    tall, wide = (page[323][0], page[322][0]) if tiled else (min(h, page.get(278, [h])[0]), w)
     offsets, counts = (page[324], page[325]) if tiled else (page[273], page[279])
-    out = np.zeros((h, w), dtype)
-    across = -(-w // tw)
-    for i, (at, n) in enumerate(zip(offsets, counts)):
-        y, x = (i // across) * th, (i % across) * tw
-        f.seek(at)
-        raw = f.read(n)
-        raw = zlib.decompress(raw) if packing != 1 else raw
-        rows = th if tiled else min(th, h - y)
-        part = np.frombuffer(raw, dtype, count=rows * tw).reshape(rows, tw)
-        if predictor == 2:
-            part = np.cumsum(part, axis=1, dtype=part.dtype)
-        out[y: y + th, x: x + tw] = part[: h - y, : w - x]
-    return out
+    return {"dtype": dtype, "packing": packing, "predictor": predictor, "tall": tall, "wide": wide, "offsets": offsets, "counts": counts}
+
+
+def read_page(f, page: dict) -> np.ndarray:
+    """One grey plane."""
+    from tessera.sources.planes import read_region
+
+    h, w, _ = page_shape(page)
+    return read_region(f, page_store(page), w, 0, h, 0, w)
 
 
 def layout(pages: list[dict]) -> list[dict]:
