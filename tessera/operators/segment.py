@@ -725,19 +725,41 @@ def segment_cells(t: Tiles, nuclei_image: str | None, edge_image: str, p: Mappin
             "adjacency": contacts(t, "cells", "edge").withColumn("junction_intensity", F.round("junction_intensity", 3))}
 
 
-def offset_slices(t: Tiles, layer: str, z: str) -> Tiles:
+def offset_slices(t: Tiles, layers: Sequence[str], z: str, counts: DataFrame) -> Tiles:
     """Labels of z slices that were segmented one by one, made distinct within their stack.
 
-    Every slice continues after the largest label of the slices before it; the window is
-    over the slices of one stack.
+    A slice continues after the ``n`` (keys, n) of the slices before it; the window is over the slices of one stack.
     """
     keys = [c for c in t.keys if c != z]
-    top = label_sizes(t, layer).groupBy(*t.keys).agg(F.max("label").alias("__max"))
-    every = t.df.select(*t.keys).distinct().join(top, list(t.keys), "left").na.fill(0, ["__max"])
     before = Window.partitionBy(*keys).orderBy(z).rowsBetween(Window.unboundedPreceding, -1)
-    shift = every.select(*t.keys, F.coalesce(F.sum("__max").over(before), F.lit(0)).alias("shift"))
+    shift = counts.select(*t.keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     moved = t.with_scalar(shift)
-    return pointwise(moved, [layer], layer, LABEL, lambda b: np.where(b[layer] > 0, b[layer] + b.shift, 0), per_image=["shift"])
+
+    def shifted(b):
+        return {layer: np.where(b[layer] > 0, b[layer] + b.shift, 0) for layer in layers}
+
+    moved = moved.transform(list(layers), {layer: LABEL for layer in layers}, shifted, per_image=["shift"])
+    return moved.select(*t.layers)
+
+
+def stack_slices(got: Mapping[str, Any], z: str) -> dict[str, Any]:
+    """What ``segment_cells`` made of single slices, as stacks: distinct labels, and counts summed over slices.
+
+    Labels go on after the nuclei of the slices before, or after their largest cell label where there are no nuclei.  A stack is confluent
+    if all its slices are.  Objects, contacts and sizes of single slices mean nothing for a stack, so there are none.
+    """
+    t, summary = got["tiles"], got["summary"]
+    keys = [c for c in t.keys if c != z]
+    layers = [n for n in ("nuclei", "cells") if n in t.layers]
+    if "nuclei" in layers:
+        counts = summary.select(*t.keys, F.col("n_nuclei").alias("n"))
+    else:
+        top = label_sizes(t, "cells").groupBy(*t.keys).agg(F.max("label").alias("n"))
+        counts = summary.select(*t.keys).join(top, list(t.keys), "left").na.fill(0, ["n"])
+    sums = [F.sum(c).alias(c) for c in ("n_nuclei", "n_cells", "n_multinucleated", "n_seeds", "n_regions") if c in summary.columns]
+    every = [F.bool_and("confluent").alias("confluent")] if "confluent" in summary.columns else []
+    whole = summary.groupBy(*keys).agg(*sums, *every, F.count(F.lit(1)).alias("n_slices")).withColumn("status", F.lit("ok"))
+    return {**dict.fromkeys(got), "tiles": offset_slices(t, layers, z, counts).cut(), "summary": whole}
 
 
 def _from_junctions(t: Tiles, edge_image: str, p: Mapping[str, Any], border: int | None) -> dict[str, Any]:

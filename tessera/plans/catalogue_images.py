@@ -66,6 +66,27 @@ def _(spark, sf):
     return sg.label_sizes(t, "c").drop("series")
 
 
+@register(
+    "slice_offsets",
+    f"""WITH RECURSIVE {MASK}, {REACH.format(state='on_', bstate='b.on_')},
+      c AS (SELECT vec_id, p, min(q) AS root FROM reach GROUP BY ALL),
+      l AS (SELECT vec_id, p, dense_rank() OVER (PARTITION BY vec_id ORDER BY root) AS label FROM c),
+      s AS (SELECT vec_id, vec_id // 3 AS stack, vec_id % 3 AS z, coalesce(max(label), 0) AS n FROM (SELECT DISTINCT vec_id FROM m) LEFT JOIN l USING (vec_id) GROUP BY ALL),
+      o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY stack ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM s)
+      SELECT stack, z::INT AS z, (label + shift)::BIGINT AS label, count(*) AS n_px FROM o JOIN l USING (vec_id) GROUP BY ALL""",
+)
+def _(spark, sf):
+    # three images are the slices of one stack, and each slice has four tiles
+    e = table(spark, sf, "embeddings").select(
+        F.expr("vec_id div 3").alias("stack"), (F.col("vec_id") % 3).cast("int").alias("z"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.col("embedding").alias("v")
+    )
+    t = sg.pointwise(tile_images(e, ["stack", "z"], {"v": "<f4"}, 4, single=False), ["v"], "m", "u1", lambda b: b["v"] > 0)
+    t = sg.number(sg.components(t, "m", "c"), "c").cut()
+    every = t.df.select("stack", "z").distinct()
+    counts = every.join(sg.label_sizes(t, "c").groupBy("stack", "z").agg(F.max("label").alias("n")), ["stack", "z"], "left").na.fill(0, ["n"])
+    return sg.label_sizes(sg.offset_slices(t, ["c"], "z", counts), "c").select("stack", "z", "label", F.col("n").alias("n_px"))
+
+
 @register(
     "fill_holes",
     f"""WITH RECURSIVE {MASK}, {REACH.format(state='not on_', bstate='not b.on_')},

@@ -31,6 +31,7 @@ from tessera.operators.tiles import Tiles
 from tessera.plans import config
 from tessera.render import pictures
 from tessera.sources import images, planes, workbook
+from tessera.sources.labels import write_labels
 
 KEYS = ["dataset", "scene", "timepoint"]
 
@@ -170,12 +171,13 @@ def discover(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
     return jobs.withColumn("pixel_size_um", ps).withColumn("frame_interval_min", every).drop("scenes", "n_scenes_total")
 
 
-def load_tiles(spark: SparkSession, jobs: DataFrame, channels: list[int], z: str, size: int) -> Tiles:
-    """Tiles of the wanted channels of the jobs, with ``pixel_size_um`` per image."""
+def load_tiles(spark: SparkSession, jobs: DataFrame, channels: list[int], z: str, size: int, slices: bool = False) -> Tiles:
+    """Tiles of the wanted channels of the jobs, with ``pixel_size_um`` per image; with ``slices``, every z slice is an image."""
+    keys = [*KEYS, "z"] if slices else KEYS
     heads = planes.headers(jobs.select("path").distinct()).where(F.col("c").isin(channels)).drop("pixel_size_um")
     look = jobs.select("path", "scene", F.col("timepoint").alias("t"), "dataset", "pixel_size_um")
     found = heads.join(look, ["path", "scene", "t"]).withColumnRenamed("t", "timepoint")
-    return dataclasses.replace(planes.read_tiles(found, [*KEYS, "pixel_size_um"], channels, size, z), keys=tuple(KEYS))
+    return dataclasses.replace(planes.read_tiles(found, [*keys, "pixel_size_um"], channels, size, z), keys=tuple(keys))
 
 
 def correction_fields(spark: SparkSession, cfg: Mapping[str, Any], jobs: DataFrame, store: Store, size: int) -> dict[int, tuple[DataFrame, list[str]]]:
@@ -265,13 +267,14 @@ def segment_stage(spark: SparkSession, cfg: Mapping[str, Any], jobs: DataFrame,
     todo = jobs if done is None else tables.pending_jobs(jobs, done.where("status = 'ok'"), KEYS, cfg["overwrite_segmentation"])
     scales = [r[0] for r in todo.select("pixel_size_um").distinct().collect()]
     nuclei_only, junctions = cfg["segment_objects"] == "nuclei_only", cfg["seed_source"] == "junctions"
+    per_slice = cfg["seg_mode"] == "per_slice"
     n_ch, e_ch = int(cfg["nuclei_channel"]), int(cfg["edge_channel"])
     channels = [n_ch] if nuclei_only else [e_ch] if junctions else [n_ch, e_ch]
     for ps in scales:
         part = todo.where(F.col("pixel_size_um").eqNullSafe(F.lit(ps).cast("double")))
         p = {**cfg, **sizes.sizes_of(spark, cfg, ps)}
         p["min_nuclei_confluent"] = sizes.confluent_count(cfg, F.col("height"), F.col("width"), F.lit(ps).cast("double"))
-        t = load_tiles(spark, part, channels, "max", size)
+        t = load_tiles(spark, part, channels, "max", size, per_slice)
         t = t._with(t.df.drop("pixel_size_um"), t.layers)
         if cfg["correct_in_segmentation"]:
             for c in channels:
@@ -279,6 +282,8 @@ def segment_stage(spark: SparkSession, cfg: Mapping[str, Any], jobs: DataFrame,
                     t = background.correct(t, f"c{c}", *fields[c])
         t = t.cut()
         got = sg.segment_cells(t, None if junctions else f"c{n_ch}", f"c{e_ch}", p)
+        if per_slice:
+            got = sg.stack_slices(got, "z")
         keep = [n for n in ("nuclei_mask", "nuclei", "cells") if n in got["tiles"].layers]
         made = got["tiles"].select(*keep)
         scene = part.select(*KEYS, "file", "pixel_size_um").withColumn("seed_source", F.lit(cfg["seed_source"])).withColumn(
@@ -292,16 +297,14 @@ def segment_stage(spark: SparkSession, cfg: Mapping[str, Any], jobs: DataFrame,
         for layer in keep:
             if layer != "nuclei_mask" or cfg["save_nuclei_mask"]:
                 ending = {"nuclei": "_nuclei_labels", "cells": "_cell_labels", "nuclei_mask": "_nuclei_mask"}[layer]
-                images.write_planes(
-                    images.untile(made.select(layer), layer), str(folder), F.concat(stem, F.lit(ending)), [layer], [made.layers[layer]],
-                    mask=layer == "nuclei_mask",
-                ).write.format("noop").mode("overwrite").save()
-        if cfg["save_qc_plot"]:
+                replaced = {"nuclei": ["_cell_labels.tif"] if nuclei_only else [], "cells": ["_nuclei_labels.tif", "_nuclei_mask.tif"] if junctions else []}
+                write_labels(made, layer, str(folder), stem, f"{ending}.tif", "z" if per_slice else None, layer == "nuclei_mask", replaced.get(layer, []))
+        if cfg["save_qc_plot"] and not per_slice:
             pictures.quality(
                 got["tiles"], None if junctions else f"c{n_ch}", None if nuclei_only else f"c{e_ch}", "nuclei" if nuclei_only else "cells",
                 str(store.root / cfg["qc_subdir"]),
             ).write.format("noop").mode("overwrite").save()
-        store.upsert("labels", made.df, ids)
+        store.upsert("label_slices" if per_slice else "labels", made.df, ids)
         store.upsert("segmentation_summary", summary_, ids)
         metric = F.lit(ps).cast("double")
         for name, df in (("nucleus_statistics", got["nuclei"]), ("cell_statistics", got["cells"]), ("raw_object_areas", got["raw_areas"]),
@@ -334,7 +337,8 @@ def track_stage(cfg: Mapping[str, Any], store: Store, size: int) -> dict[str, in
     store.write("track_summary", tracking.track_summary(tracks, ["dataset", "scene"]))
     if cfg["save_tracked_labels"]:
         moved = tracking.tracked_movie(t.select(layer), layer, tracks)
-        images.write_movies(moved, layer, str(store.root / cfg["tracking_subdir"])).collect()
+        clean = F.regexp_replace(F.concat_ws("_", "dataset", "scene"), r'[\\/:*?"<>|]', "_")
+        write_labels(moved, layer, str(store.root / cfg["tracking_subdir"]), clean, "_tracked_labels.tif", "timepoint")
     return {"tracks": store.read("track_summary").count()}
 
 
@@ -550,7 +554,7 @@ def run(spark: SparkSession, settings: Mapping[str, Any], tile: int = 1024) -> s
             log.stage("segmentation", segment_stage, spark, cfg, jobs, store, fields, tile)
             if cfg["save_size_statistics"]:
                 log.stage("size statistics", size_stage, cfg, store, where["size_statistics"])
-        if cfg["time_mode"] == "series" and cfg["track_cells"] and store.has("labels"):
+        if cfg["time_mode"] == "series" and cfg["track_cells"] and cfg["seg_mode"] == "mip" and store.has("labels"):
             log.stage("tracking", track_stage, cfg, store, tile)
         if cfg["run_measurement"]:
             log.stage("measurement", measure_stage, spark, cfg, jobs, store, fields, tile)

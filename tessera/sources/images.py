@@ -127,41 +127,6 @@ def find_inputs(spark: SparkSession, cfg: dict) -> DataFrame:
     return files.limit(int(cfg["max_files"])) if cfg["max_files"] else files
 
 
-def write_planes(images: DataFrame, folder: str, name: Column, blobs: Sequence[str], dtypes: Sequence[str], mask: bool = False) -> DataFrame:
-    """Write label planes as zlib TIFF files, one per row; returns (file, n_bytes).
-
-    ``name`` is the file name without its ending.  Files appear under their final name
-    only when complete, so a repeated task does no harm.
-    """
-    import os
-
-    import pandas as pd
-
-    def run(batches):
-        from tessera.sources import tiff
-
-        os.makedirs(folder, exist_ok=True)
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                for blob, dtype in zip(blobs, dtypes):
-                    a = np.frombuffer(row[blob], dtype).reshape(row["height"], row["width"])
-                    if mask:
-                        a = (a > 0).astype("u1") * np.uint8(255)
-                    else:
-                        a = a.astype("u2" if a.max(initial=0) < 65535 else "u4")
-                    data = tiff.encode([a])
-                    target = os.path.join(folder, row["__name"] + ".tif")
-                    part = f"{target}.{os.getpid()}.part"
-                    with open(part, "wb") as f:
-                        f.write(data)
-                    os.replace(part, target)
-                    out.append((target, len(data)))
-            yield pd.DataFrame(out, columns=["file", "n_bytes"])
-
-    return images.select("height", "width", name.alias("__name"), *blobs).mapInPandas(run, "file string, n_bytes long")
-
-
 def untile(t: Tiles, layer: str) -> DataFrame:
     """(keys, height, width, layer): whole planes again, one image per group."""
     import pandas as pd
@@ -181,46 +146,3 @@ def untile(t: Tiles, layer: str) -> DataFrame:
         return pd.DataFrame([{**row, "height": h, "width": w, layer: a.tobytes()}], columns=schema.fieldNames())
 
     return t.df.select(*keys, "ty", "tx", "height", "width", layer).groupBy(*keys).applyInPandas(join, schema)
-
-
-def write_movies(t: Tiles, layer: str, folder: str, time: str = "timepoint") -> DataFrame:
-    """One multi-page label file per series (missing frames are black); returns (file, n_frames).
-
-    A movie file is written by one task, because it is one file; tiles arrive sorted.
-    """
-    import os
-
-    import pandas as pd
-
-    keys = [k for k in t.keys if k != time]
-    size, dtype = t.size, t.layers[layer]
-
-    def run(pdf):
-        from tessera.sources import tiff
-
-        os.makedirs(folder, exist_ok=True)
-        h, w = int(pdf["height"].min()), int(pdf["width"].min())
-        made = []
-        frames = dict(list(pdf.groupby(time)))
-        for f in range(int(min(frames)), int(max(frames)) + 1):
-            a = np.zeros((h, w), dtype)
-            for ty, tx, fh, fw, blob in frames[f][["ty", "tx", "height", "width", layer]].itertuples(index=False) if f in frames else ():
-                y, x = ty * size, tx * size
-                part = np.frombuffer(blob, dtype).reshape(min(size, fh - y), min(size, fw - x))[: max(0, h - y), : max(0, w - x)]
-                a[y: y + part.shape[0], x: x + part.shape[1]] = part
-            made.append(a)
-        top = max(int(p.max(initial=0)) for p in made)
-        made = [p.astype("u2" if top < 65535 else "u4") for p in made]
-        text_ = f"ImageJ=1.11a\nimages={len(made)}\nframes={len(made)}\n"
-        name = "_".join(str(pdf[k].iloc[0]) for k in keys)
-        for ch in '\\/:*?"<>|':
-            name = name.replace(ch, "_")
-        target = os.path.join(folder, f"{name}_tracked_labels.tif")
-        part = f"{target}.{os.getpid()}.part"
-        with open(part, "wb") as fh_:
-            fh_.write(tiff.encode(made, text_))
-        os.replace(part, target)
-        return pd.DataFrame([(target, len(made))], columns=["file", "n_frames"])
-
-    cols = [*keys, time, "ty", "tx", "height", "width", layer]
-    return t.df.select(*cols).groupBy(*keys).applyInPandas(run, "file string, n_frames long")
