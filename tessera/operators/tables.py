@@ -85,6 +85,15 @@ def pending_jobs(jobs: DataFrame, done: DataFrame, keys: Sequence[str], overwrit
     return jobs if overwrite else jobs.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def discovered(folders: DataFrame) -> DataFrame:
+    """(dataset, path, discovery_index) of result folders (layout, dataset, path): the first layout of a name counts.
+
+    The index orders by layout, then name; it is a text made of both, so nothing has to be numbered and a later run finds the same one.
+    """
+    first = folders.groupBy("dataset").agg(F.min(F.struct("layout", "path")).alias("__f"))
+    return first.select("dataset", F.col("__f.path").alias("path"), F.format_string("%03d/%s", F.col("__f.layout").cast("int"), "dataset").alias("discovery_index"))
+
+
 def latest_rescans(scans: DataFrame, order: str = "discovery_index") -> DataFrame:
     """The highest rescan per (plate, sample), the last discovered on a tie; scans without a plate stay.
 

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import sizes, text
+from tessera.operators import diagnostics, prefix, summary, tables, tracking
 from tessera.operators import pixels as px
-from tessera.operators import prefix, summary, tables, tracking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -371,6 +371,26 @@ def _(spark, sf):
     return tables.latest_rescans(s).withColumn("plate", F.col("plate").cast("double"))
 
 
+@register(
+    "rescan_by_discovery",
+    """WITH f AS (SELECT o_orderkey % 2 AS layout, 'run' || (o_orderkey % 5) || CASE WHEN o_custkey % 10 > 0 THEN '_Plate' || (o_custkey % 40) || '_Sample' || (o_custkey % 3) ELSE '_other' END
+           || CASE WHEN o_orderkey % 7 > 2 THEN '_' || (o_orderkey % 7) ELSE '' END AS dataset, o_orderkey AS path FROM orders),
+         d AS (SELECT dataset, min(layout) AS layout, arg_min(path, layout * 1000000000 + path) AS path FROM f GROUP BY dataset),
+         p AS (SELECT *, regexp_extract(dataset, 'Plate([0-9]+)', 1) AS plate, regexp_extract(dataset, 'Sample([0-9]+)', 1) AS sample,
+           coalesce(try_cast(regexp_extract(dataset, 'Sample[0-9]+_([0-9]+)', 1) AS BIGINT), 0) AS rescan FROM d)
+       SELECT dataset, path FROM p WHERE plate = ''
+       UNION ALL SELECT dataset, path FROM (SELECT *, row_number() OVER (PARTITION BY plate, sample ORDER BY rescan DESC, layout DESC, dataset DESC) AS n FROM p WHERE plate <> '') WHERE n = 1""",
+)
+def _(spark, sf):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    scan = F.when(c % 10 > 0, F.concat(F.lit("_Plate"), c % 40, F.lit("_Sample"), c % 3)).otherwise("_other")
+    name = F.concat(F.lit("run"), k % 5, scan, F.when(k % 7 > 2, F.concat(F.lit("_"), k % 7)).otherwise(""))
+    found = tables.discovered(table(spark, sf, "orders").select((k % 2).alias("layout"), name.alias("dataset"), k.alias("path")))
+    parsed = text.parse_dataset(F.col("dataset"), text.DATASET_PATTERN)
+    scans = found.select(*[x.alias(n) for n, x in parsed.items()], "dataset", "path", "discovery_index")
+    return tables.latest_rescans(scans).select("dataset", "path")
+
+
 @register(
     "union_by_name_missing_columns",
     """SELECT kind, nation, count(*) AS n, round(sum(acct),6)+0.0 AS acct, count(segment) AS n_segment FROM (
@@ -789,6 +809,47 @@ def _(spark, sf):
     )
 
 
+#: Suppliers as datasets of objects: some have no pixel size, some have several.
+OBJECTS = """objects AS (SELECT 'ds' || (l_suppkey % 7) AS dataset, l_quantity * 10 AS area_px,
+  CASE WHEN l_suppkey % 7 = 0 AND l_linenumber = 1 THEN NULL WHEN l_suppkey % 7 < 3 THEN 0.5 ELSE 0.25 * (1 + l_linenumber % 2) END AS pixel_size_um,
+  CASE WHEN l_suppkey % 7 = 6 THEN NULL ELSE (l_partkey % 3)::BIGINT END AS n_nuclei FROM lineitem),
+  scoped AS (SELECT * FROM objects UNION ALL SELECT 'ALL FILES', area_px, pixel_size_um, n_nuclei FROM objects)"""
+
+
+def objects(spark, sf):
+    li, group, line = table(spark, sf, "lineitem"), F.col("l_suppkey") % 7, F.col("l_linenumber")
+    ps = F.when((group == 0) & (line == 1), None).when(group < 3, 0.5).otherwise(0.25 * (1 + line % 2))
+    o = li.select(
+        F.concat(F.lit("ds"), group).alias("dataset"), (F.col("l_quantity") * 10).cast("double").alias("area_px"), ps.cast("double").alias("pixel_size_um"),
+        F.when(group < 6, F.col("l_partkey") % 3).cast("bigint").alias("n_nuclei"),
+    )
+    return sizes.with_metric_columns(o, F.col("pixel_size_um"))
+
+
+@register(
+    "size_units",
+    f"""WITH {OBJECTS}, u AS (SELECT dataset, bool_and(pixel_size_um IS NOT NULL) AS um, median(pixel_size_um)::DOUBLE AS pixel_size_um,
+        count(DISTINCT pixel_size_um) > 1 AS several, median(area_px)::DOUBLE AS px, median(round(area_px * pixel_size_um * pixel_size_um, 3))::DOUBLE AS um2
+      FROM scoped GROUP BY dataset)
+      SELECT dataset, um, pixel_size_um, um AND several AS mixed, CASE WHEN um THEN 'µm' ELSE 'px' END AS length_unit, CASE WHEN um THEN 'µm²' ELSE 'px' END AS area_unit,
+        round(CASE WHEN um THEN um2 ELSE px END, 3)+0.0 AS median_area FROM u""",
+)
+def _(spark, sf):
+    o = objects(spark, sf)
+    chosen = diagnostics.units({"cells": o})
+    medians = prefix.quantiles(diagnostics.in_unit(o, ["area_px"], chosen), ["dataset", "measure"], "value", {"m": 0.5})
+    return chosen.join(medians, "dataset").drop("measure").withColumn("median_area", F.round("m", 3) + 0.0).drop("m")
+
+
+@register(
+    "multinucleated_fraction",
+    f"""WITH {OBJECTS} SELECT dataset, count(*) AS n, round(avg(CASE WHEN n_nuclei > 1 THEN 1.0 ELSE 0.0 END), 6)+0.0 AS fraction
+      FROM scoped GROUP BY dataset HAVING count(n_nuclei) > 0""",
+)
+def _(spark, sf):
+    return diagnostics.multinucleated(objects(spark, sf)).withColumn("fraction", r6(F.col("fraction")))
+
+
 @register(
     "metric_columns_size_resolution",
     """SELECT p_partkey, round(p_size*0.1*0.1*((p_partkey % 9)+1)*((p_partkey % 9)+1),3)+0.0 AS area_um2,

@@ -20,20 +20,23 @@ from typing import Any
 from urllib.parse import unquote
 
 import pyspark
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 import tessera
 from tessera.functions import sizes, text
-from tessera.operators import background, measure, summary, tables, tracking
+from tessera.operators import background, diagnostics, measure, summary, tables, tracking
 from tessera.operators import segment as sg
 from tessera.operators.tiles import Tiles
 from tessera.plans import config
 from tessera.render import pictures
+from tessera.session import build_session, cut
 from tessera.sources import images, planes, workbook
 from tessera.sources.labels import write_labels
 
 KEYS = ["dataset", "scene", "timepoint"]
+#: Settings that switch a stage on, for the number of stages that a run announces.
+STAGES = ("run_overview", "run_segmentation", "save_size_statistics", "run_measurement", "run_aggregation", "run_analysis")
 
 
 class RunLog:
@@ -41,9 +44,10 @@ class RunLog:
 
     def __init__(self, folder: Path, cfg: Mapping[str, Any]):
         folder.mkdir(parents=True, exist_ok=True)
+        self.planned = sum(bool(cfg.get(k)) for k in STAGES)
         self.path = folder / f"run_{datetime.now():%Y%m%d_%H%M%S}.json"
         self.data: dict[str, Any] = {
-            "config": dict(cfg), "inputs": None, "stages": [], "status": "running", "started": datetime.now().isoformat(),
+            "config": dict(cfg), "inputs": None, "errors": 0, "stages": [], "status": "running", "started": datetime.now().isoformat(),
             "environment": {"python": platform.python_version(), "spark": pyspark.__version__, "version": tessera.__version__},
         }
         self.write()
@@ -55,7 +59,8 @@ class RunLog:
             + "\n" + "\n".join(f"{s['stage']}: {s['status']} ({s['seconds']} s) {s.get('counts', '')}" for s in self.data["stages"]) + "\n"
         )
 
-    def stage(self, name: str, fn, *args):
+    def stage(self, name: str, fn, *args, go_on: bool = False):
+        """Run a stage and record it; with ``go_on`` an error is counted and the run goes on."""
         begin = time.time()
         entry: dict[str, Any] = {"stage": name, "status": "ok"}
         try:
@@ -64,11 +69,13 @@ class RunLog:
             return result
         except Exception as e:
             entry.update(status="error", message=str(e), trace=traceback.format_exc())
-            raise
+            if not go_on:
+                raise
+            self.data["errors"] += 1
         finally:
             entry["seconds"] = round(time.time() - begin, 2)
             self.data["stages"].append(entry)
-            print(f"[PROGRESS] {name} {len(self.data['stages'])}", flush=True)
+            print(f"[PROGRESS] {name} {len(self.data['stages'])}/{max(self.planned, len(self.data['stages']))}", flush=True)
             self.write()
 
     def list_inputs(self, files: DataFrame) -> None:
@@ -78,6 +85,16 @@ class RunLog:
         self.data["inputs"] = str(path)
         self.write()
 
+    def list_errors(self, files: DataFrame, n: int) -> None:
+        """Input files that could not be read, as a table beside the log."""
+        self.data["errors"] += n
+        if n:
+            files.write.mode("overwrite").parquet(str(self.path.with_suffix(".errors.parquet")))
+
+    def finish(self) -> None:
+        n = self.data["errors"]
+        self.close(f"completed_with_{n}_errors" if n else "completed")
+
     def close(self, status: str) -> None:
         self.data["status"] = status
         self.data["finished"] = datetime.now().isoformat()
@@ -89,6 +106,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: Path):
         self.spark, self.root = spark, root
+        self.observed: dict[str, dict[str, int]] = {}
         # a dataset called 007 stays text
         spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
 
@@ -115,10 +133,18 @@ class Store:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset").parquet(self.path(name))
         return self.read(name)
 
-    def upsert(self, name: str, new: DataFrame, done: DataFrame, order: Sequence[str] = ()) -> DataFrame:
-        """Rows of finished scenes replace their old rows; done before the old table is touched."""
-        from tessera.session import cut
-
+    def counted(self, name: str, df: DataFrame, counts: Mapping[str, Column]) -> DataFrame:
+        """``df`` written as a table of its own, with ``counts`` observed while it is written and added up under ``name``."""
+        seen = Observation()
+        out = cut(df.observe(seen, *[c.alias(n) for n, c in counts.items()]))
+        before = self.observed.setdefault(name, dict.fromkeys(counts, 0))
+        for n in counts:
+            before[n] += seen.get.get(n) or 0
+        return out
+
+    def upsert(self, name: str, new: DataFrame, done: DataFrame, order: Sequence[str] = (), counts: Mapping[str, Column] | None = None) -> DataFrame:
+        """Rows of finished scenes replace their old rows; done before the old table is touched.  ``counts`` are observed over the new rows."""
+        new = self.counted(name, new, counts) if counts else new
         old = self.read(name)
         if old is None:
             return self.write(name, new, order)
@@ -137,11 +163,15 @@ class Store:
         return self.read(name)
 
 
-def discover(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
-    """One row per image: dataset, file, path, scene, timepoint, geometry and metadata."""
+def discover(spark: SparkSession, cfg: Mapping[str, Any], log: RunLog | None = None) -> DataFrame:
+    """One row per image: dataset, file, path, scene, timepoint, geometry and metadata; unreadable files go to the log."""
     files = images.find_inputs(spark, cfg)
     stems = tables.disambiguate_stems(files.withColumn("stem", text.file_stem(F.col("name"))))
-    heads = planes.headers(files, skip_unreadable=True).where("error is null")
+    seen = Observation()
+    heads = cut(planes.headers(files, skip_unreadable=True).observe(seen, F.count("error").alias("unreadable")))
+    if log is not None:
+        log.list_errors(heads.where("error is not null").select("path", "error"), seen.get.get("unreadable") or 0)
+    heads = heads.where("error is null")
     per_scene = heads.groupBy("path", "scene", "n_t").agg(
         F.max("height").alias("height"), F.max("width").alias("width"), F.max("n_c").alias("n_c"), F.max("n_z").alias("n_z"),
         F.max("pixel_size_um").alias("pixel_size_um"), F.max("frame_interval_min").alias("frame_interval_min"),
@@ -171,6 +201,14 @@ def discover(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
     return jobs.withColumn("pixel_size_um", ps).withColumn("frame_interval_min", every).drop("scenes", "n_scenes_total")
 
 
+def parameters(jobs: DataFrame, cfg: Mapping[str, Any], run_id: str) -> DataFrame:
+    """(dataset, run_id, version, file, path, scenes, settings): what every dataset was made with; settings as JSON."""
+    scenes = F.sort_array(F.collect_set("scene")).alias("scenes")  # of one file
+    found = jobs.groupBy("dataset", "file", "path").agg(scenes)
+    said = json.dumps(dict(cfg), default=str, sort_keys=True)
+    return found.select("dataset", F.lit(run_id).alias("run_id"), F.lit(tessera.__version__).alias("version"), "file", "path", "scenes", F.lit(said).alias("settings"))
+
+
 def load_tiles(spark: SparkSession, jobs: DataFrame, channels: list[int], z: str, size: int, slices: bool = False) -> Tiles:
     """Tiles of the wanted channels of the jobs, with ``pixel_size_um`` per image; with ``slices``, every z slice is an image."""
     keys = [*KEYS, "z"] if slices else KEYS
@@ -261,6 +299,12 @@ def check_reference(spark: SparkSession, cfg: Mapping[str, Any]) -> DataFrame:
     )
 
 
+def segmented_counts(columns: Sequence[str]) -> dict[str, Column]:
+    """Counters of the images segmented in a run, observed while their summary is written."""
+    out = {"images": F.count(F.lit(1)), **{s: F.count_if(F.col("status") == s) for s in ("ok", "skipped_sparse")}}
+    return out | {name: F.sum(f"n_{name}") for name in ("nuclei", "cells", "multinucleated") if f"n_{name}" in columns}
+
+
 def segment_stage(spark: SparkSession, cfg: Mapping[str, Any], jobs: DataFrame, store: Store, fields, size: int) -> dict[str, int]:
     """Segment all pending images; images of the same pixel size share one plan."""
     done = store.read("segmentation_summary")
@@ -305,16 +349,13 @@ def segment_stage(spark: SparkSession, cfg: Mapping[str, Any], jobs: DataFrame,
                 str(store.root / cfg["qc_subdir"]),
             ).write.format("noop").mode("overwrite").save()
         store.upsert("label_slices" if per_slice else "labels", made.df, ids)
-        store.upsert("segmentation_summary", summary_, ids)
+        store.upsert("segmentation_summary", summary_, ids, counts=segmented_counts(summary_.columns))
         metric = F.lit(ps).cast("double")
         for name, df in (("nucleus_statistics", got["nuclei"]), ("cell_statistics", got["cells"]), ("raw_object_areas", got["raw_areas"]),
                          ("cell_adjacency", got["adjacency"])):
             if df is not None and (name != "cell_adjacency" or cfg["save_adjacency"]):
                 store.upsert(name, sizes.with_metric_columns(df.withColumn("pixel_size_um", metric), metric), ids)
-    counts = store.read("segmentation_summary")
-    if counts is None:
-        return {}
-    return {r.status: r["count"] for r in counts.groupBy("status").count().collect()}
+    return store.observed.get("segmentation_summary", {"images": 0})
 
 
 def stored_tiles(store: Store, size: int) -> Tiles:
@@ -350,7 +391,7 @@ def measure_stage(spark: SparkSession, cfg: Mapping[str, Any], jobs: DataFrame,
         have = tables.pending_jobs(have, old, KEYS, cfg["overwrite_measurement"])
     n = have.agg(F.max("n_c")).first()[0]
     if not n:
-        return {"measured": 0 if old is None else old.count()}
+        return {"measured": 0}
     names = measure.unique_names(config.str_list(cfg["channel_names"]), n)
     channels = list(range(n))
     nuclei_only = cfg["segment_objects"] == "nuclei_only"
@@ -379,12 +420,12 @@ def measure_stage(spark: SparkSession, cfg: Mapping[str, Any], jobs: DataFrame,
         out = measure.add_scene_columns(got, part.select(*KEYS, "file", "frame_interval_min"), KEYS, cfg, scenes)
         if cfg["time_mode"] == "series" and store.has("tracks"):
             out = tracking.add_tracks(out, store.read("tracks"), store.read("track_summary"), ["dataset", "scene"])
-        store.upsert("cell_measurements", out, part.select(*KEYS), ["scene", "timepoint", "cell_id"])
+        store.upsert("cell_measurements", out, part.select(*KEYS), ["scene", "timepoint", "cell_id"], {"measured": F.count(F.lit(1))})
         if cfg["save_pickle"] and not nuclei_only:
             edge = {names[c]: f"c{c}" for c in config.int_list(cfg["edge_channels"]) if c < n}
             if edge:
                 store.upsert("boundary_intensities", measure.boundary_arrays(t, "cells", edge, band), part.select(*KEYS))
-    return {"measured": store.read("cell_measurements").count()}
+    return store.observed.get("cell_measurements", {"measured": 0})
 
 
 def aggregate(spark: SparkSession, cfg: Mapping[str, Any], measurements: DataFrame) -> DataFrame:
@@ -465,8 +506,6 @@ def analyse(spark: SparkSession, cfg: Mapping[str, Any], df: DataFrame, out: Pat
     df = df.withColumn("__replicate", summary.replicate_key(cfg["replicate_level"], F.col("source_dataset"), F.col("scene"), well))
     keep = [c for c in dict.fromkeys([*groups, cfg["label_column"], "plate_num", "sample_num", "source_dataset", "well_row", "well_column",
                                       "well_id", "timepoint", "time_min", "cell_id", "scene", "is_control", "__replicate", *columns]) if c in df.columns]
-    from tessera.session import cut
-
     df = cut(df.select(*[F.col(f"`{c}`") for c in keep]))
     book = figures.Book(out, cfg)
     for g in groups:
@@ -511,20 +550,23 @@ def overview_stage(spark: SparkSession, cfg: Mapping[str, Any], jobs: DataFrame,
 
 
 def size_stage(cfg: Mapping[str, Any], store: Store, out: Path) -> dict[str, int]:
-    """Percentiles of object sizes per dataset and pooled, as one CSV table."""
-    found = {}
-    px_cols = ["area_px", "equivalent_diameter_px", "major_axis_px", "minor_axis_px", "eccentricity"]
-    for name, table in (("nuclei", "nucleus_statistics"), ("cells", "cell_statistics"), ("raw objects (before size filter)", "raw_object_areas")):
-        df = store.read(table)
-        if df is not None:
-            measures = [c for c in [*px_cols, *[c[:-3] + "_um" for c in px_cols[1:4]], "area_um2"] if c in df.columns]
-            found[name] = (df, measures)
+    """Sizes of all objects per dataset and for all files: one CSV report with suggestions, and histograms as a table beside it."""
+    found = {n: df for n, t in (("nuclei", "nucleus_statistics"), ("cells", "cell_statistics"), ("raw", "raw_object_areas")) if (df := store.read(t)) is not None}
     if not found:
         return {}
-    write_table(summary.size_summary(found), str(out), "csv")
+    write_table(diagnostics.report(found, cfg), str(out), "csv")
+    write_table(diagnostics.histograms(found, cfg), str(out) + "_histograms.parquet", "parquet")
     return {"tables": len(found)}
 
 
+def found_measurements(spark: SparkSession, cfg: Mapping[str, Any], root: Path) -> DataFrame:
+    """Measurements of a run's tables, or of result folders with one table per dataset."""
+    if Store(spark, root).has("cell_measurements"):
+        return tables.nan_to_null(spark.read.parquet(str(root / "cell_measurements")))
+    scans = workbook.find_scans(spark, str(root), cfg["dataset_regex"], cfg["measurements_subdir"], cfg["datasets_subdir"], cfg["keep_latest_rescan"])
+    return workbook.read_scans(spark, scans)
+
+
 def run(spark: SparkSession, settings: Mapping[str, Any], tile: int = 1024) -> str:
     """A complete run; returns its status."""
     cfg = config.normalise(settings)
@@ -538,10 +580,10 @@ def run(spark: SparkSession, settings: Mapping[str, Any], tile: int = 1024) -> s
     try:
         jobs = None
         if cfg["run_background"] or cfg["run_segmentation"] or cfg["run_measurement"] or cfg["run_overview"]:
-            from tessera.session import cut
-
-            jobs = cut(discover(spark, cfg))
+            jobs = cut(discover(spark, cfg, log))
             log.list_inputs(jobs.groupBy("dataset", "file").agg(F.count(F.lit(1)).alias("images")))
+            if cfg["write_dataset_params"]:
+                store.write("parameters", parameters(jobs, cfg, log.path.stem))
         if cfg["run_overview"]:
             log.stage("overview", overview_stage, spark, cfg, jobs, store, tile)
         if cfg["background_mode"] == "image" and cfg["background_metadata_check"] != "off":
@@ -560,15 +602,15 @@ def run(spark: SparkSession, settings: Mapping[str, Any], tile: int = 1024) -> s
             log.stage("measurement", measure_stage, spark, cfg, jobs, store, fields, tile)
         if cfg["run_aggregation"]:
             root = Path(cfg["aggregation_input_dir"]) if cfg["aggregation_input_dir"] else where["datasets"]
-            table = aggregate(spark, cfg, tables.nan_to_null(spark.read.parquet(str(root / "cell_measurements"))))
+            table = aggregate(spark, cfg, found_measurements(spark, cfg, root))
             log.stage("aggregation", lambda: write_table(table, str(where["aggregated"]), cfg["aggregation_format"]))
         if cfg["run_analysis"]:
             path = cfg["analysis_input_path"] or str(where["aggregated"])
             fmt_parquet = path.endswith(".parquet")
             df = tables.nan_to_null(spark.read.parquet(path)) if fmt_parquet else workbook.typed(spark.read.csv(path, header=True))
             where["plots"].mkdir(parents=True, exist_ok=True)
-            log.stage("analysis", analyse, spark, cfg, df, where["plots"])
-        log.close("completed")
+            log.stage("analysis", analyse, spark, cfg, df, where["plots"], go_on=True)
+        log.finish()
     except KeyboardInterrupt:
         log.close("stopped")
         raise
@@ -598,8 +640,6 @@ def main(argv: list[str] | None = None) -> int:
     if bad:
         print("\n".join(bad), file=sys.stderr)
         return 2
-    from tessera.session import build_session
-
     print(run(build_session(), cfg, args.tile))
     return 0
 

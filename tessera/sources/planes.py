@@ -60,7 +60,13 @@ def plane_rows(path: str) -> Iterator[dict]:
     if low.endswith(OPTIONAL_READERS):
         raise tiff.UnsupportedImage(f"no reader installed for {path}")
     with open_file(path) as f:
-        yield from _npy(f, path) if low.endswith(".npy") else _tiff(f, path)
+        size = f.seek(0, 2)
+        f.seek(0)
+        for row in _npy(f, path) if low.endswith(".npy") else _tiff(f, path):
+            s = row["store"]
+            if any(at + n > size for at, n in zip(s["offsets"], s["counts"])):
+                raise tiff.UnsupportedImage(f"{path} is cut short")
+            yield row
 
 
 def _npy(f, path: str) -> Iterator[dict]:

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tessera.functions import text
@@ -98,19 +99,20 @@ def find_scans(
 
     ``<root>/<datasets>/*`` comes before ``<root>/*``; the first folder of a name counts.
     """
-    found, seen = [], set()
-    for parent in (Path(root) / datasets, Path(root)):
-        for d in sorted(p for p in parent.iterdir() if p.is_dir()) if parent.is_dir() else ():
-            if d.name in seen or not (d / measurements).is_dir():
-                continue
-            seen.add(d.name)
-            files = sorted(
-                p for p in (d / measurements).iterdir()
-                if re.search(r"_cell_measurements(\.csv|\.parquet)?$", p.name) and not p.name.startswith("._")
-            )
-            if files:
-                found.append((d.name, str(files[0]), len(found)))
-    scans = spark.createDataFrame(found, "dataset string, path string, discovery_index long")
+    form = r"^(.*/([^/]+)/" + re.escape(measurements) + r"/([^/]+_cell_measurements(?:\.csv|\.parquet)?))(?:/.*)?$"
+    listed = None
+    for layout, glob in enumerate((f"{root}/{datasets}/*/{measurements}", f"{root}/*/{measurements}")):
+        try:  # names and sizes only, listed by the file system that holds the results
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(glob).select("path")
+        except AnalysisException:
+            continue  # no folder of this layout
+        table = F.regexp_extract("path", form, 1)
+        one = files.select(F.lit(layout).alias("layout"), F.regexp_extract("path", form, 2).alias("dataset"), F.regexp_replace(table, "^file:/*", "/").alias("path"))
+        one = one.where((F.col("path") != "") & ~text.base_name(F.col("path")).startswith("._"))
+        listed = one if listed is None else listed.unionByName(one)
+    if listed is None:
+        listed = spark.createDataFrame([], "layout int, dataset string, path string")
+    scans = tables.discovered(listed)
     parsed = text.parse_dataset(F.col("dataset"), pattern)
     scans = scans.select(*[c.alias(n) for n, c in parsed.items()], "dataset", "path", "discovery_index")
     return tables.latest_rescans(scans) if keep_latest else scans
@@ -130,6 +132,44 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return tables.nan_to_null(df)
 
 
+def read_scans(spark: SparkSession, scans: DataFrame) -> DataFrame:
+    """Measurements of the found tables (dataset, path) side by side, with the ``dataset`` of each; a column that a table lacks is NULL.
+
+    Tables with the same columns are read together: first lines are read where executors are, and only names reach the driver.
+    """
+
+    def first_lines(batches):
+        import pandas as pd
+
+        from tessera.sources.planes import open_file
+
+        for pdf in batches:
+            heads = []
+            for path in pdf["path"]:
+                if path.endswith(".csv"):
+                    with open_file(path) as f:
+                        heads.append(f.readline().decode("utf-8-sig").strip())
+                else:
+                    heads.append("")
+            yield pd.DataFrame({"dataset": pdf["dataset"], "path": pdf["path"], "head": heads})
+
+    alike: dict[str, list[tuple[str, str]]] = {}
+    for r in scans.select("dataset", "path").mapInPandas(first_lines, "dataset string, path string, head string").orderBy("path").toLocalIterator():
+        alike.setdefault(r.head or r.path, []).append((r.dataset, r.path))
+    parts = []
+    for found in alike.values():
+        paths = [p for _, p in found]
+        if paths[0].endswith(".csv"):
+            df = typed(spark.read.csv(paths, header=True, nullValue="", nanValue="nan").withColumn("__file", F.col("_metadata.file_path")), ["__file"])
+        else:
+            df = spark.read.parquet(*paths).withColumn("__file", F.col("_metadata.file_path"))
+        # the folder above the measurements names the dataset
+        parts.append(tables.nan_to_null(df.drop("dataset")).withColumn("dataset", F.regexp_extract(F.url_decode(F.regexp_replace("__file", r"\+", "%2B")), r"/([^/]+)/[^/]+/[^/]+_cell_measurements[^/]*(?:/[^/]*)?$", 1)).drop("__file"))
+    if not parts:
+        raise FileNotFoundError("no cell measurements found")
+    return tables.union_tables(parts)
+
+
 # Text and whole-number columns of the measurement table.
 TEXT = {"dataset", "source_dataset", "source_file", "file", "scene", "well_row", "well_column", "well_id", "object",
         "Treatment", "Source Name", "Class/Target", "label"}
