@@ -89,63 +89,83 @@ def components(mask: np.ndarray, eight: bool = False) -> np.ndarray:
     return np.where(mask, parent.reshape(mask.shape), -1)
 
 
+def _framed(a, value):
+    """The flat array with a border of one pixel, so that every neighbour has an index."""
+    return np.pad(a, 1, constant_values=value).ravel()
+
+
+def _inner(flat, shape):
+    return flat.reshape(shape[0] + 2, shape[1] + 2)[1:-1, 1:-1]
+
+
 def settle_levels(height, inside, level, steps):
     """Flood levels: lowest possible highest point of a way to a marker, then the number of
-    steps since that level was reached.  Relaxed until nothing changes."""
-    while True:
-        changed = False
-        for a, b in shifted_pairs(height.shape, FOUR):
-            for src, dst in ((a, b), (b, a)):
-                lv = np.maximum(level[src], height[dst])
-                st = np.where(level[src] >= height[dst], steps[src] + 1, 0)
-                better = inside[dst] & np.isfinite(level[src]) & (
-                    (lv < level[dst]) | ((lv == level[dst]) & (st < steps[dst]))
-                )
-                if better.any():
-                    changed = True
-                    level[dst] = np.where(better, lv, level[dst])
-                    steps[dst] = np.where(better, st, steps[dst])
-        if not changed:
-            return level, steps
+    steps since that level was reached.  Only pixels that changed are looked at again."""
+    wide = height.shape[1] + 2
+    hp, ip = _framed(height, np.inf), _framed(inside, False)
+    lp, sp = _framed(level, np.inf), _framed(steps, np.iinfo(np.int64).max // 2)
+    front = np.flatnonzero(np.isfinite(lp))
+    while len(front):
+        moved = []
+        for step in (1, -1, wide, -wide):
+            to = front + step
+            open_ = ip[to]
+            src, to = front[open_], to[open_]
+            lv = np.maximum(lp[src], hp[to])
+            st = np.where(lp[src] >= hp[to], sp[src] + 1, 0)
+            better = (lv < lp[to]) | ((lv == lp[to]) & (st < sp[to]))
+            to = to[better]
+            lp[to], sp[to] = lv[better], st[better]
+            moved.append(to)
+        front = np.unique(np.concatenate(moved))
+    return _inner(lp, height.shape), _inner(sp, height.shape)
 
 
 def settle_labels(level, steps, fixed, label):
     """Every flooded pixel takes the label of its earliest flooded neighbour, the smallest
-    label when several are equally early."""
-    h, w = level.shape
-    pad_l = np.pad(level, 1, constant_values=np.inf)
-    pad_s = np.pad(steps, 1, constant_values=np.iinfo(np.int64).max)
-    around = ((0, 1), (2, 1), (1, 0), (1, 2))
-    lv = np.stack([pad_l[dy: dy + h, dx: dx + w] for dy, dx in around])
-    st = np.stack([pad_s[dy: dy + h, dx: dx + w] for dy, dx in around])
-    best_l = lv.min(axis=0)
-    best_s = np.where(lv == best_l, st, np.iinfo(np.int64).max).min(axis=0)
-    first = (lv == best_l) & (st == best_s) & np.isfinite(best_l)
-    free = np.isfinite(level) & ~fixed
-    top = np.iinfo(np.int64).max
-    while True:
-        pad = np.pad(label, 1)
-        lab = np.stack([pad[dy: dy + h, dx: dx + w] for dy, dx in around])
-        lab = np.where(first & (lab > 0), lab, top).min(axis=0)
-        new = np.where(free & (lab < top), lab, label)
-        if np.array_equal(new, label):
-            return label
-        label = new
+    label when several are equally early.  Only pixels beside a changed one are looked at again."""
+    wide = level.shape[1] + 2
+    most, top = np.iinfo(np.int64).max, np.iinfo(np.int64).max
+    lp, sp, out = _framed(level, np.inf), _framed(steps, most), _framed(label, 0)
+    free = _framed(np.isfinite(level) & ~fixed, False)
+    around = np.array([-1, 1, -wide, wide])
+    at = np.flatnonzero(free)
+    near = at[:, None] + around
+    lv = lp[near]
+    best_l = lv.min(axis=1, keepdims=True)
+    st = np.where(lv == best_l, sp[near], most)
+    first = (lv == best_l) & (st == st.min(axis=1, keepdims=True)) & np.isfinite(best_l)
+    place = np.full(len(lp), -1)
+    place[at] = np.arange(len(at))
+    todo = np.arange(len(at))
+    while len(todo):
+        lab = out[near[todo]]
+        lab = np.where(first[todo] & (lab > 0), lab, top).min(axis=1)
+        moved = (lab < top) & (lab != out[at[todo]])
+        here = at[todo[moved]]
+        out[here] = lab[moved]
+        todo = place[(here[:, None] + around).ravel()] if len(here) else here
+        todo = np.unique(todo[todo >= 0])
+    return _inner(out, level.shape)
 
 
 def settle_fill(image, level):
     """Reconstruction by erosion with 8 neighbours: levels sink as far as the image allows."""
-    while True:
-        changed = False
-        for a, b in shifted_pairs(image.shape, EIGHT):
-            for src, dst in ((a, b), (b, a)):
-                lv = np.maximum(level[src], image[dst])
-                better = lv < level[dst]
-                if better.any():
-                    changed = True
-                    level[dst] = np.where(better, lv, level[dst])
-        if not changed:
-            return level
+    wide = image.shape[1] + 2
+    hp, lp = _framed(image, np.inf), _framed(level, np.inf)
+    real = _framed(np.ones(image.shape, bool), False)
+    front = np.flatnonzero(real)
+    while len(front):
+        moved = []
+        for step in (1, -1, wide, -wide, wide + 1, wide - 1, 1 - wide, -1 - wide):
+            to = front + step
+            lv = np.maximum(lp[front], hp[to])
+            better = real[to] & (lv < lp[to])
+            to = to[better]
+            lp[to] = lv[better]
+            moved.append(to)
+        front = np.unique(np.concatenate(moved))
+    return _inner(lp, image.shape)
 
 
 def settle_peaks(value, state, order, reach, core):

@@ -105,12 +105,13 @@ class Tiles:
 
     def transform(
         self, inputs: Sequence[str], outputs: Mapping[str, str], fn: Callable, halo: int = 0,
-        counters: Sequence[str] = (), per_image: Sequence[str] = (),
+        counters: Sequence[str] = (), per_image: Sequence[str] = (), only: str | None = None,
     ) -> Tiles:
         """``fn(block)`` returns a dict of core arrays (``outputs``) and integer ``counters``.
 
         Other layers stay as they are.  ``per_image`` names plain columns of the table the
-        function reads as scalars (a threshold, for example).
+        function reads as scalars (a threshold, for example).  ``only`` names a boolean column:
+        tiles where it is false lend their edges and are not computed.
         """
         keep = [n for n in self.layers if n not in outputs]
         schema = StructType(
@@ -128,7 +129,7 @@ class Tiles:
                 out[name] = int(made[name])
             return [out]
 
-        df = self._run(list(inputs), keep, finish, halo, schema, per_image)
+        df = self._run(list(inputs), keep, finish, halo, schema, per_image, only)
         return self._with(df, {**{n: self.layers[n] for n in keep}, **outputs})
 
     def rows(self, inputs: Sequence[str], schema: StructType | str, fn: Callable, halo: int = 0,
@@ -145,11 +146,12 @@ class Tiles:
 
         return self._run(list(inputs), [], finish, halo, full, per_image)
 
-    def _run(self, inputs, keep, finish, halo, schema, per_image):
+    def _run(self, inputs, keep, finish, halo, schema, per_image, only=None):
         keys, size, dtypes = list(self.keys), self.size, dict(self.layers)
         columns = schema.fieldNames()
         meta = [*keys, *POSITION]
-        source = self.df.select(*meta, *per_image, *dict.fromkeys([*inputs, *keep]))
+        chosen = F.col(only) if only else F.lit(True)
+        source = self.df.select(*meta, *per_image, *dict.fromkeys([*inputs, *keep]), chosen.alias("__only"))
 
         def emit(block, row, scalars):
             for name in per_image:
@@ -169,7 +171,7 @@ class Tiles:
             def whole(batches):
                 for pdf in batches:
                     out = []
-                    for row in pdf.to_dict("records"):
+                    for row in pdf[pdf["__only"]].to_dict("records"):
                         _, _, h, w = shape_of(row)
                         arrays = {n: np.frombuffer(row[n], dtypes[n]).reshape(h, w).copy() for n in inputs}
                         out += emit(block_of(row, arrays, halo), row, row)
@@ -203,8 +205,9 @@ class Tiles:
                             if a0 >= a1 or b0 >= b1:
                                 continue
                             own = ty == row["ty"] and tx == row["tx"]
+                            # a tile that is not computed is dropped where its pieces would meet
                             one = {k: row[k] for k in [*meta, *per_image]}
-                            one.update(ty=ty, tx=tx, own=own, py=a0, px=b0, ph=a1 - a0, pw=b1 - b0)
+                            one.update(ty=ty, tx=tx, own=own and row["__only"], py=a0, px=b0, ph=a1 - a0, pw=b1 - b0)
                             for n in inputs:
                                 one[f"p_{n}"] = arrays[n][a0 - y: a1 - y, b0 - x: b1 - x].tobytes()
                             for n in keep:
@@ -218,6 +221,8 @@ class Tiles:
             for pdf in batches:
                 out = []
                 for group in pdf.to_dict("records"):
+                    if not any(group["own"]):
+                        continue
                     n = int(np.argmax(group["own"]))
                     mine = {k: group[k] for k in (*keys, "ty", "tx")}
                     mine.update({c: group[c][n] for c in ("height", "width", *per_image)})
@@ -237,16 +242,52 @@ class Tiles:
         return gather(source.mapInPandas(ship, piece), [*keys, "ty", "tx"], lists).mapInPandas(assemble, schema)
 
     def repeat(self, inputs, outputs, fn, halo: int = 1) -> Tiles:
-        """Apply a relaxing ``fn`` until no tile reports a change (its ``changed`` counter)."""
-        now = self
+        """Apply a relaxing ``fn`` until no tile reports a change (its ``changed`` counter).
+
+        ``fn`` settles a tile as far as its surroundings allow, so a tile takes part in a round only if a tile near it changed in the
+        one before; tiles around those lend their edges.  Layers that ``fn`` reads but does not write are written once.  A round
+        writes the tiles that changed, and a small table says which round holds the last state of each tile.
+        """
+        step = self.transform(inputs, outputs, fn, halo, counters=["changed"])
+        if self.single:
+            return self._with(step.df.drop("changed"), step.layers)
+        at, reach = [*self.keys, "ty", "tx"], -(-halo // self.size)
+        raw = self.select(*[n for n in self.layers if n not in outputs]).cut()
+        rounds = [cut(step.df.select(*at, *outputs, "height", "width", "changed"))]
+        last = rounds[0].select(*at, F.lit(0).alias("round"))
+
+        def state(wanted: DataFrame, columns: Sequence[str]) -> DataFrame:
+            """State layers of the tiles in ``wanted`` (at, round, columns), each from its last round."""
+            used = sorted(r[0] for r in wanted.select("round").distinct().collect())
+            parts = [rounds[i].select(*at, *outputs).join(wanted.where(F.col("round") == i).select(*at, *columns), at) for i in used]
+            out = parts[0]
+            for p in parts[1:]:
+                out = out.unionByName(p)
+            return out
+
+        def around(tiles: DataFrame, own: bool) -> DataFrame:
+            """The tiles within reach of ``tiles``, with ``own`` also themselves."""
+            steps = F.sequence(F.lit(-reach), F.lit(reach))
+            moved = tiles.withColumn("__y", F.explode(steps)).withColumn("__x", F.explode(steps)).where(F.lit(own) | (F.col("__y") != 0) | (F.col("__x") != 0)).select(
+                *self.keys, (F.col("ty") + F.col("__y")).alias("ty"), (F.col("tx") + F.col("__x")).alias("tx"), "height", "width"
+            )
+            inside = (F.col("ty") >= 0) & (F.col("tx") >= 0) & (F.col("ty") * self.size < F.col("height")) & (F.col("tx") * self.size < F.col("width"))
+            return moved.where(inside).distinct()
+
         while True:  # a relaxing function changes every pixel finitely often
-            step = now.transform(inputs, outputs, fn, halo, counters=["changed"])
-            if self.single:
-                return now._with(step.df.drop("changed"), step.layers)
-            done = cut(step.df)
-            now = now._with(done.drop("changed"), step.layers)
-            if not done.agg(F.coalesce(F.sum("changed"), F.lit(0))).first()[0]:
-                return now
+            targets = cut(around(rounds[-1].where("changed > 0").select(*at, "height", "width"), False))
+            if targets.isEmpty():
+                break
+            lenders = around(targets, True).join(targets.select(*at, F.lit(True).alias("__t")), at, "left")
+            wanted = cut(last.join(lenders.select(*at, F.coalesce("__t", F.lit(False)).alias("__target")), at))
+            blocks = raw.df.select(*self.keys, *POSITION, *[n for n in inputs if n not in outputs]).join(state(wanted, ["__target"]), at)
+            sub = self._with(blocks, {n: {**self.layers, **outputs}[n] for n in dict.fromkeys([*inputs, *outputs])})
+            step = sub.transform(inputs, outputs, fn, halo, counters=["changed"], only="__target")
+            rounds.append(cut(step.df.where("changed > 0").select(*at, *outputs, "height", "width", "changed")))
+            moved = rounds[-1].select(*at, F.lit(len(rounds) - 1).alias("__new"))
+            last = cut(last.join(moved, at, "left").select(*at, F.coalesce("__new", "round").alias("round")))
+        done = raw.df.join(state(last, []), at).select(*self.keys, *POSITION, *raw.layers, *outputs)
+        return self._with(done, {**raw.layers, **outputs})
 
     def strips(self, layer: str, output: str, dtype: str, fn: Callable, along: str) -> Tiles:
         """``fn(array)`` over whole columns (``along='y'``) or rows of tiles.

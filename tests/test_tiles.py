@@ -203,3 +203,37 @@ def test_hand_made_label_image(spark):
     assert o[2].area_px == 5 and round(o[2].major_axis_px, 6) == 3.098387 and round(o[2].minor_axis_px, 6) == 1.788854
     assert round(o[2].eccentricity, 6) == 0.816497 and round(o[2].equivalent_diameter_px, 6) == 2.523133
     assert round(o[2].extent, 6) == 0.833333
+
+
+def test_only_tiles_near_a_change_take_part(spark, tmp_path):
+    """A wave along a strip of tiles: each round computes the tiles around the last change, not all of them."""
+    h = np.zeros((6, 96))
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    t = make(spark, {1: {"h": h, "m": np.where(np.arange(96) == 0, 1, 0) * np.ones((6, 1))}}, 6, h="f8", m="i8")
+
+    def run(b):
+        with open(seen / f"{b.ty}-{b.tx}", "a") as f:
+            f.write("x")
+        far = b["m"].copy()
+        far[:, 1:] = np.maximum.accumulate(far, axis=1)[:, 1:]
+        after = far[b.core]
+        return {"m": after, "changed": int((after != b["m"][b.core]).sum())}
+
+    got = back(t.repeat(["h", "m"], {"m": "i8"}, run), "m")[1]
+    assert (got == 1).all()
+    counts = {p.name: len(p.read_text()) for p in seen.iterdir()}
+    assert len(counts) == 16 and max(counts.values()) <= 5  # all sixteen rounds would be 17 each
+
+
+@pytest.mark.parametrize("size", [5, 64])
+def test_floods_with_plateaus_and_walls(spark, size):
+    height = RNG.integers(0, 3, (23, 19)).astype(float)
+    mask = np.ones(height.shape, bool)
+    mask[4, :15] = mask[9, 5:] = mask[14, :12] = False  # a winding way through many tiles
+    markers = np.zeros(height.shape, int)
+    markers[0, 0], markers[22, 18], markers[7, 2] = 5, 2, 9
+    t = make(spark, {1: {"h": height, "m": markers, "k": mask}, 2: {"h": height[:5, :5], "m": markers[:5, :5], "k": mask[:5, :5]}}, size, h="f8", m="i8", k="u1")
+    got = back(sg.watershed(t, "h", "m", "w", "k"), "w")
+    assert np.array_equal(got[1], brute_watershed(height, markers, mask))
+    assert np.array_equal(got[2], brute_watershed(height[:5, :5], markers[:5, :5], mask[:5, :5]))
