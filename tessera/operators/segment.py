@@ -339,7 +339,8 @@ def deep_minima(t: Tiles, layer: str, out: str, depth: DataFrame) -> Tiles:
     t = t.repeat([layer, "__fill"], {"__fill": "f8"}, sink).with_scalar(depth)
 
     def deep(b):
-        return (b["__fill"] - b[layer]) >= b.depth - 1e-15 * np.abs(b[layer])
+        # a sum and a difference of rounded numbers are off by less than this
+        return (b["__fill"] - b[layer]) >= b.depth - 1e-15 * (np.abs(b[layer]) + b.depth)
 
     return _drop(pointwise(t, [layer, "__fill"], out, "u1", deep, per_image=["depth"]), "__fill")
 

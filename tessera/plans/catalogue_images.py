@@ -169,22 +169,74 @@ def _(spark, sf):
     return _pixels(sg.peaks(t, "v", "m", "p", 2), "p", "label bigint").where("label > 0")
 
 
-@register("watershed_cells")
-def _(spark, sf):
-    t = sg.pointwise(tiles(spark, sf), ["v"], "m", "u1", lambda b: sg.np.ones(b["v"].shape))
+def _beside(values: str, eight: bool = False) -> str:
+    """The neighbours' values of pixel i (1 to 64) in a list of 8 x 8 values, NULL beyond the edge."""
+    steps = [(0, -1), (0, 1), (-1, 0), (1, 0)] + ([(-1, -1), (-1, 1), (1, -1), (1, 1)] if eight else [])
+    inside = {-1: "(i-1)%8 > 0", 1: "(i-1)%8 < 7", 0: "true"}
+    return ", ".join(f"CASE WHEN {inside[x]} AND i+({8 * y}) BETWEEN 1 AND 64 THEN {values}[i+({8 * y + x})] END" for y, x in steps)
+
+
+#: Levels, steps and labels of a flood of -v from the local maxima, each as a list of 64 pixels that is relaxed until nothing can change.
+FLOOD = f"""seeds AS (SELECT a.vec_id, a.y, a.x, a.v FROM pix a JOIN pix b ON a.vec_id=b.vec_id AND abs(a.y-b.y)<=1 AND abs(a.x-b.x)<=1
+    WHERE a.v > 0 AND a.y BETWEEN 1 AND 6 AND a.x BETWEEN 1 AND 6 GROUP BY ALL HAVING a.v >= max(b.v)),
+  named AS (SELECT vec_id, y, x, row_number() OVER (PARTITION BY vec_id ORDER BY y, x) AS label FROM seeds),
+  start AS (SELECT p.vec_id, list(-p.v::DOUBLE ORDER BY p.y, p.x) AS h, list(coalesce(label, 0) ORDER BY p.y, p.x) AS m FROM pix p LEFT JOIN named n USING (vec_id, y, x) GROUP BY p.vec_id),
+  lv AS (SELECT vec_id, 0 AS n, h, m, [CASE WHEN m[i] > 0 THEN h[i] ELSE 1e9 END for i in range(1, 65)] AS l FROM start
+    UNION ALL SELECT vec_id, n + 1, h, m, [least(l[i], greatest(h[i], least({_beside("l")}))) for i in range(1, 65)] FROM lv WHERE n < 64),
+  st AS (SELECT vec_id, 0 AS n, h, m, l, [CASE WHEN m[i] > 0 THEN 0 ELSE 1000 END for i in range(1, 65)] AS s FROM lv WHERE n = 64
+    UNION ALL SELECT vec_id, n + 1, h, m, l, [CASE WHEN m[i] > 0 THEN 0 ELSE least(s[i],
+      list_min([CASE WHEN greatest(q[1], h[i]) <> l[i] THEN 1000 WHEN q[1] >= h[i] THEN q[2] + 1 ELSE 0 END for q in list_zip([{_beside("l")}], [{_beside("s")}]) if q[1] IS NOT NULL])) END for i in range(1, 65)]
+      FROM st WHERE n < 64),
+  lb AS (SELECT vec_id, 0 AS n, m, l, s, m AS w FROM st WHERE n = 64
+    UNION ALL SELECT vec_id, n + 1, m, l, s, [CASE WHEN m[i] > 0 THEN m[i] ELSE coalesce(list_min([q[3] for q in list_zip([{_beside("l")}], [{_beside("s")}], [{_beside("w")}])
+      if q[3] > 0 AND (q[1], q[2]) = list_min([(r[1], r[2]) for r in list_zip([{_beside("l")}], [{_beside("s")}]) if r[1] IS NOT NULL])]), w[i]) END for i in range(1, 65)]
+      FROM lb WHERE n < 64)"""
+FLOODED = f"""WITH RECURSIVE {PIX}, {FLOOD} SELECT vec_id, label::BIGINT AS label, count(*) AS area_px FROM (SELECT vec_id, unnest(w) AS label FROM lb WHERE n = 64) WHERE label > 0 GROUP BY ALL
+  UNION ALL SELECT vec_id, 0, 64 FROM start WHERE list_max(m) = 0"""
+
+
+def _flooded(spark, sf, size):
+    t = sg.pointwise(tiles(spark, sf, size), ["v"], "m", "u1", lambda b: sg.np.ones(b["v"].shape))
     t = sg.peaks(t, "v", "m", "p", 1)
     t = sg.pointwise(t, ["v"], "h", "f8", lambda b: -b["v"].astype(float))
     return _pixels(sg.watershed(t, "h", "p", "w"), "w", "label bigint").groupBy("vec_id", "label").agg(F.count(F.lit(1)).alias("area_px"))
 
 
-@register("deep_minima")
+@register("watershed_cells", FLOODED)
+def _(spark, sf):
+    return _flooded(spark, sf, 8)
+
+
+@register("watershed_across_tiles", FLOODED)
 def _(spark, sf):
-    t = tiles(spark, sf)
+    return _flooded(spark, sf, 4)
+
+
+#: A minimum is deep if no way to a lower pixel stays below its value plus the depth.
+DEEP = f"""WITH RECURSIVE {PIX}, d AS (SELECT vec_id, 0.3 * (quantile_cont(v::DOUBLE, 0.99) - quantile_cont(v::DOUBLE, 0.01)) AS depth FROM pix GROUP BY vec_id),
+  way(vec_id, p, q, v, depth) AS (SELECT vec_id, y*8+x, y*8+x, v::DOUBLE, depth FROM pix JOIN d USING (vec_id)
+    UNION SELECT w.vec_id, w.p, b.y*8+b.x, w.v, w.depth FROM way w JOIN pix b ON b.vec_id = w.vec_id AND abs(b.y - w.q//8) <= 1 AND abs(b.x - w.q%8) <= 1 AND b.v::DOUBLE < w.v + w.depth),
+  low AS (SELECT w.vec_id, w.p, w.v, min(b.v::DOUBLE) AS least FROM way w JOIN pix b ON b.vec_id = w.vec_id AND b.y*8+b.x = w.q GROUP BY ALL)
+  SELECT vec_id, (p//8)::INT AS y, (p%8)::INT AS x FROM low WHERE least >= v"""
+
+
+def _deep(spark, sf, size):
+    t = tiles(spark, sf, size)
     span = sg.image_percentiles(t, "v", {"lo": 0.01, "hi": 0.99})
     t = sg.deep_minima(t, "v", "o", span.select("series", "vec_id", (0.3 * (F.col("hi") - F.col("lo"))).alias("depth")))
     return _pixels(t, "o", "v int").where("v > 0").drop("v")
 
 
+@register("deep_minima", DEEP)
+def _(spark, sf):
+    return _deep(spark, sf, 8)
+
+
+@register("deep_minima_across_tiles", DEEP)
+def _(spark, sf):
+    return _deep(spark, sf, 4)
+
+
 @register(
     "tile_otsu_threshold",
     f"""WITH {PIX}, e AS (SELECT vec_id, min(v)::DOUBLE AS lo, max(v)::DOUBLE AS hi FROM pix GROUP BY ALL),
