@@ -329,7 +329,7 @@ def watershed(t: Tiles, surface: str, markers: str, out: str, mask: str | None =
 def deep_minima(t: Tiles, layer: str, out: str, depth: DataFrame) -> Tiles:
     """Mask of minima at least ``depth`` (keys, depth) deep, with 8 neighbours."""
     t = t.with_scalar(depth)
-    t = t.transform([layer], {"__fill": "f8"}, lambda b: {"__fill": b[layer] + b.depth}, per_image=["depth"])
+    t = t.transform([layer], {"__fill": "f8"}, lambda b: {"__fill": b[layer].astype(float) + b.depth}, per_image=["depth"])
 
     def sink(b):
         before = b["__fill"][b.core].copy()
@@ -340,7 +340,8 @@ def deep_minima(t: Tiles, layer: str, out: str, depth: DataFrame) -> Tiles:
 
     def deep(b):
         # a sum and a difference of rounded numbers are off by less than this
-        return (b["__fill"] - b[layer]) >= b.depth - 1e-15 * (np.abs(b[layer]) + b.depth)
+        v = b[layer].astype(float)
+        return (b["__fill"] - v) >= b.depth - 1e-15 * (np.abs(v) + b.depth)
 
     return _drop(pointwise(t, [layer, "__fill"], out, "u1", deep, per_image=["depth"]), "__fill")
 
