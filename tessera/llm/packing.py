@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.text import slices
-from tessera.llm.tokens import WordIds
+from tessera.llm.tokens import word_ids
 from tessera.session import cut
 
 CAPACITY = 2048
@@ -45,16 +45,22 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids and the end token 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(path)
+        pa.default_memory_pool().release_unused()  # what earlier stages left in this worker
+        known = word_ids(path)
         for b in batches:
             for part in slices(b, "text"):
                 rows, piece, start, length, crc = [], [], [], [], []
-                for r, text in enumerate(part.column("text").to_pylist()):
-                    data = memoryview(ids.of(text) + b"\0\0\0\0")
-                    for k in range(0, len(data), 4 * capacity):
-                        cut_ids = data[k : k + 4 * capacity]
-                        rows.append(r), piece.append(k // (4 * capacity)), start.append(k // 4)
-                        length.append(len(cut_ids) // 4), crc.append(zlib.crc32(cut_ids))
+                ids, ends = known.of_all(part.column("text"))
+                # the end token behind every document
+                ids = np.insert(ids, ends, 0)
+                data = memoryview(np.ascontiguousarray(ids, "<u4").tobytes())
+                at = 0
+                for r, end in enumerate((ends + np.arange(1, len(ends) + 1)).tolist()):
+                    for k in range(at, end, capacity):
+                        stop = min(end, k + capacity)
+                        rows.append(r), piece.append((k - at) // capacity), start.append(k - at)
+                        length.append(stop - k), crc.append(zlib.crc32(data[4 * k : 4 * stop]))
+                    at = end
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],

@@ -1,23 +1,28 @@
 """Token ids of the public word-level BPE file, quickly and exactly as the ``tokenizers`` library gives them.
 
-A text without unusual characters is cut at white space; the ids of each different chunk are made once per worker and
-kept (at most ``KEEP`` chunks).  A chunk of simple characters goes through the file's merges by tiktoken's byte-pair core, with
-the end-of-word mark as byte 0xFF, which UTF-8 never contains; every other chunk goes through the library itself.
+Texts are cut at white space, and the different chunks of a batch go through tiktoken's byte-pair core in one call: an end mark that no
+such chunk holds is set behind each part of a word, and the tokens that end with it tell the parts apart.  Chunks of other than simple
+characters go through the library itself.  Nothing is remembered from batch to batch, so a worker holds one batch.
 """
 
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-KEEP = 400_000
 #: Characters that neither composition nor lower-casing changes in ways that depend on their neighbours.
-SIMPLE = regex.compile(r"(?:[\x21-\x7EÀ-ÖØ-öø-ÿ](?!\|))+")
+SIMPLE = regex.compile(r"(?:[\x21-\x7EÀ-ÖØ-öø-ÿ](?!\|)| )*")
+OTHER = regex.compile(r"[^ ]*(?:[^\x20-\x7EÀ-ÖØ-öø-ÿ]|[^ ]\|)[^ ]*")
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Ends a part of a word; of three bytes, which merge before all others.
+MARK = "\ue000"
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -27,32 +32,72 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class WordIds(dict):
-    """Maps a chunk (bytes) to its ids as little-endian unsigned 32-bit numbers."""
+class WordIds:
+    """Ids as unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
-        super().__init__()
         self.library = Tokenizer.from_file(path)
+        mark = MARK.encode()
         letters, ranks = _byte_alphabet(), {}
         for token, i in json.load(open(path))["model"]["vocab"].items():
             if not token.startswith("<|"):
                 ends = token.endswith("</w>")
-                ranks[bytes(letters[c] for c in (token[:-4] if ends else token)) + b"\xff" * ends] = i
-        ranks[b"\xff"] = max(ranks.values()) + 10
-        self.pairs = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        if SIMPLE.fullmatch(text):
-            piece = self.pairs.encode_single_piece
-            ids = [i for p in PARTS.findall(text.lower()) for i in piece(p.encode() + b"\xff")]
-        else:
-            ids = self.library.encode(text, add_special_tokens=False).ids
-        if len(self) >= KEEP:
-            self.clear()
-        self[chunk] = made = np.array(ids, "<u4").tobytes()
-        return made
+                ranks[bytes(letters[c] for c in (token[:-4] if ends else token)) + mark * ends] = i + 2
+        ranks |= {mark[:2]: 0, mark: 1}
+        self.last = np.zeros(max(ranks.values()) + 1, bool)
+        self.last[[i for t, i in ranks.items() if t.endswith(mark)]] = True
+        self.pairs = tiktoken.Encoding("words", pat_str=rf"[^\s{MARK}]+{MARK}", mergeable_ranks=ranks, special_tokens={})._core_bpe
+
+    def chunks(self, joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of chunks that are joined by single blanks, and where each chunk's ids begin and how many they are."""
+        others: list[tuple[int, list[int]]] = []
+        if not SIMPLE.fullmatch(joined):
+            pieces, at, number = [], 0, 0
+            for m in OTHER.finditer(joined):
+                number += joined.count(" ", at, m.start())
+                others.append((number, self.library.encode(m.group(), add_special_tokens=False).ids))
+                pieces.append(joined[at : m.start()])
+                at = m.end()
+            joined = "".join([*pieces, joined[at:]])
+        marked = PARTS.sub(rf"\g<0>{MARK}", joined.lower())
+        ids = np.array(self.pairs.encode_ordinary(marked), np.int64)
+        # tokens up to the end of each part, and parts up to the end of each chunk
+        part_ends = np.append(0, np.flatnonzero(self.last[ids]) + 1)
+        data = np.frombuffer(marked.encode(), np.uint8)
+        parts = np.append(0, np.cumsum(data == MARK.encode()[0]))
+        ends = part_ends[parts[np.append(np.flatnonzero(data == 32), len(data))]]
+        begin = np.append(0, ends[:-1])
+        ids, size = (ids - 2).astype("<u4"), ends - begin
+        if others:
+            where, more = [k for k, _ in others], [len(x) for _, x in others]
+            size[where] = more
+            begin[where] = len(ids) + np.cumsum(more) - more
+            ids = np.concatenate([ids, *(np.array(x, "<u4") for _, x in others)])
+        return ids, begin, size
+
+    def of_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's ids end; a null text has none."""
+        chunks = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        if isinstance(chunks, pa.ChunkedArray):
+            chunks = chunks.combine_chunks()
+        coded = chunks.flatten().dictionary_encode()
+        words = np.append(0, np.cumsum(pc.list_value_length(chunks).to_numpy()))[1:]
+        if not len(coded):
+            return np.zeros(0, "<u4"), np.zeros(len(words), np.int64)
+        codes, different = coded.indices.to_numpy(), coded.dictionary
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(different)], pa.int32()), different.cast(pa.string())), " ")[0].as_py()
+        flat, begin, size = self.chunks(joined)
+        n = size[codes]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(begin[codes] - (ends - n), n) + np.arange(ends[-1])]
+        return ids, np.append(0, ends)[words]
 
     def of(self, text: str | None) -> bytes:
-        """Ids of a whole text; white space only separates."""
-        return b"".join(map(self.__getitem__, (text or "").encode().split()))
+        """Ids of a whole text as little-endian bytes."""
+        return self.of_all(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The one map of a worker."""
+    return WordIds(path)
