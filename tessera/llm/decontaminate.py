@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import beside
+from tessera.llm.common import beside, tidied
 from tessera.llm.text import FOLD, ODD, buffers, mix, run_hashes, slices, spans
 from tessera.session import cut
 
@@ -84,7 +84,7 @@ def hash_windows(rows: DataFrame, masks: list[str], table=None) -> DataFrame:
                             [pa.array(h.view(np.int64)), pa.array(keys[text[at]]), pa.array(at - first[text[at]])], ["h", "key", "at"]
                         )
 
-    return rows.mapInArrow(run, "h long, key long, at long")
+    return rows.mapInArrow(tidied(run), "h long, key long, at long")
 
 
 def bit_tables(bench_windows: DataFrame) -> np.ndarray:
@@ -98,7 +98,7 @@ def bit_tables(bench_windows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["bits"])
 
     seen = np.zeros((2, 1 << TABLE_BITS), bool)
-    for row in bench_windows.select("h").mapInArrow(run, "bits binary").toLocalIterator():
+    for row in bench_windows.select("h").mapInArrow(tidied(run), "bits binary").toLocalIterator():
         seen |= np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool).reshape(seen.shape)
     return seen
 

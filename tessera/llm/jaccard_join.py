@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import beside, components
+from tessera.llm.common import beside, components, tidied
 from tessera.llm.text import mix, shingles, slices, words
 from tessera.session import cut
 
@@ -65,7 +65,7 @@ def shingle_counts(docs: DataFrame, size: int = 5) -> np.ndarray:
         at = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at])], ["cell", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInArrow(tidied(run), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     cells = np.zeros(1 << SKETCH_BITS, np.int64)
     cells[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return cells
@@ -91,7 +91,7 @@ def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), lists], ["doc_id", "node", "n", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, node long, n long, prefix array<long>")
 
 
 def whole_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
@@ -114,7 +114,7 @@ def whole_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     # a null id stands for itself here
     texts, members = (t.withColumn("doc_id", F.struct("doc_id")) for t in (texts, members))
     texts = beside(texts, members, "doc_id", "inner", 32)
-    return texts.select("text", "node").mapInArrow(run, "node long, items array<long>")
+    return texts.select("text", "node").mapInArrow(tidied(run), "node long, items array<long>")
 
 
 def sets_for(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:

@@ -23,6 +23,8 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from tessera.llm.common import tidied
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
 SAMPLE_DOCS = 256
@@ -110,7 +112,7 @@ def predict(docs: DataFrame, raw: dict[str, bytes], margin: float = MARGIN) -> D
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(out)], names_out)
 
     schema = StructType(list(kept.schema.fields)).add("lang_pred", StringType()).add("score", DoubleType()).add("rejected", BooleanType())
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidied(run), schema)
 
 
 def learned(docs: DataFrame) -> dict[str, bytes]:

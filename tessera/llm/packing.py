@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tidied
 from tessera.llm.text import slices
 from tessera.llm.tokens import word_ids
 from tessera.session import cut
@@ -45,7 +46,6 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids and the end token 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()  # what earlier stages left in this worker
         known = word_ids(path)
         for b in batches:
             for part in slices(b, "text"):
@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length int, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, piece int, start long, length int, ids_crc32 long")
 
 
 class Packer:
@@ -170,7 +170,7 @@ def evolved(islands: DataFrame, capacity: int, epoch: int) -> DataFrame:
                     ["grp", "island", "lengths", "own", "n_bins", "loss"],
                 )
 
-    return islands.select("grp", "island", "lengths", "own", "guest").mapInArrow(run, "grp long, island int, lengths array<int>, own array<int>, n_bins int, loss double")
+    return islands.select("grp", "island", "lengths", "own", "guest").mapInArrow(tidied(run), "grp long, island int, lengths array<int>, own array<int>, n_bins int, loss double")
 
 
 def pack_level(items: DataFrame, groups: int, capacity: int, tasks: int) -> DataFrame:
