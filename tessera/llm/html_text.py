@@ -11,7 +11,7 @@ side bars, comments made of its own words put in), so that other layouts are lea
 
 Edge cases.  Null and empty pages and pages without main text give the empty string; text outside of any tag is the body's; unclosed, stray and wrongly
 nested tags are closed where the next block or the end demands; attributes without quotes, comments and CDATA are read; very deep pages need no recursion;
-with no page to learn from, nothing is extracted; repeated rows each get a row.
+with no landmark on any page to learn from, fixed log-odds (``Prior``) stand in for the trees; repeated rows each get a row.
 """
 
 from __future__ import annotations
@@ -356,6 +356,14 @@ class Boosted:
         return score
 
 
+class Prior:
+    """Log-odds for tables without any landmark: main is what no boilerplate holds, by its own or an ancestor's tag or attributes, and what is not mostly links."""
+
+    def log_odds(self, x: np.ndarray) -> np.ndarray:
+        bad, above, links = (x[:, FEATURES.index(name)] for name in ("words_bad", "above_bad", "links_share"))
+        return np.where((bad + above == 0) & (links < 0.5), 1.0, -1.0)
+
+
 def choose(parent: list[int], odds: np.ndarray) -> np.ndarray:
     """The set of blocks with the largest sum of log-odds in which every block's parent is chosen as well."""
     gain = odds.astype(float).copy()
@@ -370,12 +378,12 @@ def choose(parent: list[int], odds: np.ndarray) -> np.ndarray:
 
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Boosted | None:
     """Trees from a bounded sample of the pages with a landmark; None if there is none."""
-    known = pages.where(F.col("html").rlike(LANDMARK))
-    n = known.count()
+    draw = F.xxhash64("html").bitwiseAND((1 << 53) - 1).cast("double") / float(1 << 53)
+    known = pages.where(F.col("html").rlike(LANDMARK)).select("html", draw.alias("draw"))
+    n = known.agg(F.approx_count_distinct("draw", 0.02)).first()[0]  # copies share a draw
     if not n:
         return None
-    draw = F.xxhash64("html").bitwiseAND((1 << 53) - 1).cast("double") / float(1 << 53)
-    near = known.select("html", draw.alias("draw")).where(F.col("draw") < min(1.0, 2.0 * sample / n))
+    near = known.where(F.col("draw") < min(1.0, 2.0 * sample / n))
     rows = near.groupBy("draw").agg(F.min("html").alias("html")).orderBy("draw").limit(sample).collect()  # copies of a page count once
     x, y, chance = [], [], random.Random(17)
     for r in rows:
@@ -391,7 +399,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Boosted | None:
 
 def extract(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    sent = pages.sparkSession.sparkContext.broadcast(model or fit(pages))
+    sent = pages.sparkSession.sparkContext.broadcast(model or fit(pages) or Prior())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = sent.value
@@ -400,7 +408,7 @@ def extract(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
                 part = b.slice(begin, 256)
                 read = [Page(s) for s in part.column(2).to_pylist()]
                 values = [features(p) for p in read]
-                odds = trees.log_odds(np.concatenate(values)) if trees else np.full(sum(map(len, values)), -1.0)
+                odds = trees.log_odds(np.concatenate(values))
                 texts, at = [], 0
                 for p, v in zip(read, values):
                     taken = choose(p.parent, odds[at : at + len(v)])
