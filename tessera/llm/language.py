@@ -51,16 +51,17 @@ def fold() -> F.Column:
 
 def dictionaries(training: DataFrame, sample_docs: int = SAMPLE_DOCS, size: int = DICT_BYTES) -> dict[str, bytes]:
     """A raw dictionary for each language of training rows (doc_id, text, lang)."""
-    known = training.where("lang is not null and length(text) > 0")
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    draw = (F.xxhash64("doc_id", "text").bitwiseAND((1 << 53) - 1)).cast("double") / float(1 << 53)
+    known = training.where("lang is not null and length(text) > 0").withColumn("draw", draw)
+    # rows that repeat share a draw
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02).alias("n")).collect()}
     if not counts:
         return {}
-    draw = (F.xxhash64("doc_id", "text").bitwiseAND((1 << 53) - 1)).cast("double") / float(1 << 53)
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 2.0 * sample_docs / n))) for k, n in counts.items()])
     each = max(64, size // sample_docs)
     # a longer excerpt is kept, in case that there are fewer documents than the sample holds
     rows = (
-        known.withColumn("draw", draw).where(F.col("draw") < share)
+        known.where(F.col("draw") < share)
         .select("lang", "draw", F.substring("text", 1, 16 * each).alias("text"))
         .groupBy("lang", "draw").agg(F.min("text").alias("text")).collect()  # rows that repeat count once, however many there are
     )
