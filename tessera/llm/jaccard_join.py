@@ -18,7 +18,7 @@ many documents share last.
 
 Edge cases.  Null, empty and blank texts have an empty set and link with nothing; rows with the same doc_id are separate
 documents with one id; a null doc_id is never smaller than another; extra columns are ignored by ``near_duplicates`` and kept
-by ``one_of_each``.  Sets are compared by 64-bit hashes: two different shingles of one pair collide with a chance of about n * n / 2**64.
+by ``one_of_each``, which decides by row, also where an id stands beside several texts.  Sets are compared by 64-bit hashes: two different shingles of one pair collide with a chance of about n * n / 2**64.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 from pyspark.sql.window import Window
 
 from tessera.llm.common import beside, components, tidied
@@ -151,8 +152,8 @@ def _fits(n: str, m: str, percent: int):
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of documents (doc_id, text)."""
+def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, node, n, root, component_id) for every row of documents (doc_id, text); rows of one component have one root."""
     rows = cut(prefixes(docs, size, percent))
     filled = rows.where("n > 0")
     least = cut(filled.groupBy("node").agg(F.min("doc_id").alias("least")))
@@ -217,23 +218,54 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         links = links.unionByName(cut(verified(more, sets_for(docs, more, nodes, size), percent)))
         state = nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     state = cut(state.select("node", "root").join(nodes.select("node", "least"), "node"))
-    named = state.join(state.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    named = state.join(state.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
     return (
         rows.select("doc_id", "node", "n").join(named, "node", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", "node", "n", "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )
 
 
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of documents (doc_id, text)."""
+    return classes(docs, size, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def numbered(docs: DataFrame, size: int) -> DataFrame:
+    """(row, text, node, n): the documents' own columns, and the number and size of their sets."""
+
+    def run(batches):
+        for b in batches:
+            for part in slices(b, "text"):
+                sets = list(sets_of(part.column(1), size))
+                node, n = pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, node, n], ["row", "text", "node", "n"])
+
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return rows.mapInArrow(tidied(run), StructType(list(rows.schema.fields)).add("node", LongType()).add("n", LongType()))
+
+
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without near copies of a document with a smaller id; of rows that repeat an id and a linked text one stays.
+    """One document of each group of near copies, the one with the smallest id; documents without words all stay.
 
-    Documents without words all stay.
+    Where several rows have an id, their sets decide which of them is the one that stays; of rows equal in both, one stays.
     """
-    found = cut(near_duplicates(docs, size, percent))
-    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
-    again = cut(found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    kept = beside(docs, gone, "doc_id", "left_anti", 16)
-    if again.isEmpty():
+    found = cut(classes(docs, size, percent))
+    key = "__id"
+    while key in docs.columns:
+        key += "_"
+    # an id of one row is its document; rows of other ids are told apart by their sets
+    copy = (F.col("n") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = found.groupBy(F.col("doc_id").alias(key)).agg((F.count(F.lit(1)) > 1).alias("several"), F.max(copy).alias("copy"))
+    ids = cut(ids.withColumn("several", F.col("several") | F.col(key).isNull()).where("several or copy").select(key, "several"))
+    same_id = F.col("doc_id").cast("long").eqNullSafe(F.col(key))
+    kept = beside(docs, ids.select(key), same_id, "left_anti", 16)
+    several = ids.where("several").select(key)
+    if several.isEmpty():
         return kept
-    single = F.broadcast(again) if again.count() * 16 < (32 << 20) else again
-    return kept.join(single, "doc_id", "left_anti").unionByName(kept.join(single, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    rows = cut(numbered(beside(docs, several, same_id, "left_semi", 16), size).withColumn(key, F.col("row.doc_id").cast("long")))
+    order = F.struct(F.col("doc_id").isNull().alias("blank"), "doc_id", "node")
+    first = found.where("n > 0").groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", F.col("first.node").alias("at"))
+    first = cut(beside(first, several, same_id, "left_semi", 16).withColumnRenamed("doc_id", "of"))
+    chosen = beside(rows.where("n > 0"), first, F.col(key).eqNullSafe(F.col("of")) & (F.col("node") == F.col("at")), "left_semi", 32)
+    chosen = chosen.groupBy(key, "node").agg(F.min_by("row", F.xxhash64("text")).alias("row"))
+    return kept.unionByName(chosen.select("row.*")).unionByName(rows.where("n = 0").select("row.*"))
