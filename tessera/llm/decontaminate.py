@@ -11,8 +11,11 @@ Scale.  Documents are hashed in place.  Only windows that pass a two-probe bit t
 the benchmark) leave a task, and they meet the benchmark's windows in an ordinary join.  Only documents with hits are read
 again for verification.  Equal texts are verified once.
 
-Edge cases.  Null, empty and wordless texts never match; an item shorter than the longest mask gets a mask of its own
-length, so it is found where all its words stand; repeated items and documents each get their rows; a null id is kept as it is.
+Short items.  An item shorter than the longest mask gets a mask of its own length, so it is found where all its words stand, and from
+six words on two more: one that ignores its middle, and one without its first or last third, so that it is also found if the words replaced lie in one
+third.  An item of fewer than ``LEAST_ITEM`` words says nothing about a longer text: it is found only in a text of exactly its words.
+
+Edge cases.  Null, empty and wordless texts never match; repeated items and documents each get their rows; a null id is kept as it is.
 """
 
 from __future__ import annotations
@@ -27,9 +30,10 @@ from tessera.llm.text import FOLD, ODD, buffers, mix, run_hashes, slices, spans
 from tessera.session import cut
 
 #: 1: the word counts, 0: it may be anything.
-MASKS = ("111111", "1101011001", "1011001101", "11100010011", "1010110011")
+MASKS = ("111111", "111011", "110111", "1101011001", "1011001101", "11100010011", "1010110011")
 SLACK = 3
 MIN_RUN = 5
+LEAST_ITEM = 3
 TABLE_BITS = 22
 
 WORD = np.zeros(256, bool)
@@ -62,8 +66,18 @@ def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h & low, (h >> np.uint64(TABLE_BITS)) & low
 
 
-def hash_windows(rows: DataFrame, masks: list[str], table=None) -> DataFrame:
-    """(h, key, at) of the texts in rows (key, text); ``table``: a broadcast of two bit tables that windows must pass."""
+def short_masks(lengths: list[int]) -> dict[str, list[int]]:
+    """Masks for items of these few words, each with the lengths of the items that it is for."""
+    made: dict[str, list[int]] = {}
+    for n in sorted(lengths):
+        third = n // 3
+        for mask in ["1" * n] + (["1" * third + "0" * (n - 2 * third) + "1" * third, "1" * (n - third)] if n > MIN_RUN else []):
+            made.setdefault(mask, []).append(n)
+    return made
+
+
+def hash_windows(rows: DataFrame, masks: list[str], table=None, only: dict[str, list[int]] | None = None) -> DataFrame:
+    """(h, key, at) of the texts in rows (key, text); ``table``: a broadcast of two bit tables that windows must pass; ``only``: masks for texts of these lengths."""
 
     def run(batches):
         for b in batches:
@@ -75,6 +89,12 @@ def hash_windows(rows: DataFrame, masks: list[str], table=None) -> DataFrame:
                 keys = part.column(0).to_numpy()
                 for i, mask in enumerate(masks):
                     h, at = windows(w, ends, mask, i)
+                    if only and mask in only:
+                        meant = np.isin(n[text[at]], only[mask])
+                        h, at = h[meant], at[meant]
+                    if len(mask) < LEAST_ITEM:  # whole texts only
+                        whole = n[text[at]] == len(mask)
+                        h, at = h[whole], at[whole]
                     if table is not None:
                         one, two = _probes(h)
                         ok = table.value[0][one] & table.value[1][two]
@@ -130,8 +150,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 50, masks: tuple
 
     longest = max(map(len, masks))
     short = [r.n for r in items.select("text").mapInArrow(lengths, "n long").where((F.col("n") > 0) & (F.col("n") < longest)).distinct().collect()]
-    masks = [*masks, *("1" * n for n in sorted(short))]
-    bench = cut(hash_windows(items.select("key", "text"), masks).select("h", F.col("key").alias("item"), F.col("at").alias("item_at")).distinct())
+    own = {m: n for m, n in short_masks(short).items() if m not in masks}
+    masks = [*masks, *own]
+    bench = cut(hash_windows(items.select("key", "text"), masks, only=own).select("h", F.col("key").alias("item"), F.col("at").alias("item_at")).distinct())
     flags = spark.sparkContext.broadcast(bit_tables(bench))
     texts = docs.where("text is not null").select(F.xxhash64("text").alias("key"), "text")
     hits = hash_windows(texts, masks, flags).join(bench, "h").select("key", "item", (F.col("at") - F.col("item_at")).alias("d")).distinct()
