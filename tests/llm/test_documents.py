@@ -75,7 +75,7 @@ def shingle_set(t, k=5):
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-def brute_components(rows):
+def brute_roots(rows):
     sets = [shingle_set(r[1]) for r in rows]
     root = list(range(len(rows)))
 
@@ -89,11 +89,16 @@ def brute_components(rows):
             both = len(sets[i] & sets[j])
             if sets[i] and 100 * both >= 80 * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
+    return sets, [find(i) for i in range(len(rows))]
+
+
+def brute_components(rows):
+    sets, root = brute_roots(rows)
     least = collections.defaultdict(list)
     for i, r in enumerate(rows):
-        least[find(i)].append(r[0])
+        least[root[i]].append(r[0])
     low = {k: min([x for x in v if x is not None], default=None) for k, v in least.items()}
-    return sorted(((r[0], len(sets[i]), low[find(i)] if sets[i] else r[0]) for i, r in enumerate(rows)), key=str)
+    return sorted(((r[0], len(sets[i]), low[root[i]] if sets[i] else r[0]) for i, r in enumerate(rows)), key=str)
 
 
 def test_near_duplicates(spark, docs, rows, none):
@@ -119,17 +124,26 @@ def test_one_of_each_keeps_columns_and_blank_rows(docs, rows):
 
 
 def sorted_by_row(rows):
-    """Whether a row stays: the smallest id of its component, blank rows always, repeated rows once."""
-    found = {(a, b): c for a, b, c in brute_components(rows)}
-    seen, out = set(), []
-    for r in rows:
-        n = len(shingle_set(r[1]))
-        stays = n == 0 or found[(r[0], n)] == r[0]
-        if stays and n and r[0] is not None:
-            stays = r[0] not in seen
-            seen.add(r[0])
-        out.append(stays)
-    return out
+    """Whether a row stays: one of each component, with its smallest id (null last); rows without words always."""
+    sets, root = brute_roots(rows)
+    order = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    first = {}
+    for i in sorted(range(len(rows)), key=order):
+        first.setdefault(root[i], i)
+    return [not sets[i] or first[root[i]] == i for i in range(len(rows))]
+
+
+def test_one_of_each_decides_by_row(spark):
+    draw = random.Random(21)
+    a, b, c, d = (say(draw, "en", 60) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (3, d), (4, edit(draw, d, 1)), (5, b + " more"), (5, None), (5, ""), (None, c), (None, "a null id and a text of its own"), (None, "another text beside a null id"), (6, None)]
+    rows = [(i, t, "en", "s", 0) for i, t in rows]
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()), key=str)
+    assert kept == sorted(((r[0], r[1]) for r, stays in zip(rows, sorted_by_row(rows)) if stays), key=str)
+    assert (2, b) in kept and (3, d) in kept and (2, a) not in kept
+    one = [(7, " ".join(f"w{i}x{j}" for j in range(9)) if i % 3 else a, "en", "s", i) for i in range(60)]  # one id on all rows
+    left = jaccard_join.one_of_each(spark.createDataFrame(one, SCHEMA)).collect()
+    assert sorted(r.text for r in left) == sorted({r[1] for r in one})
 
 
 def test_decontamination(spark, none):
@@ -155,6 +169,35 @@ def test_decontamination(spark, none):
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(made)
 
 
+def test_short_items(spark):
+    """Items of 1 to 10 words: whole ones are found, with one word replaced from six words on, and very short ones only as a whole text."""
+    draw = random.Random(13)
+    items = [(n, " ".join(f"item{n}word{k}" for k in range(n))) for n in range(1, 11)]
+    bench = spark.createDataFrame([*items, (20, " ".join(f"long{k}" for k in range(40)))], "item_id long, text string")
+    made, want = [], []
+    for n, t in items:
+        made += [(100 * n, t), (100 * n + 1, say(draw, "en", 30) + " " + t + " " + say(draw, "en", 30))]
+        want += [(100 * n, n)] + [(100 * n + 1, n)] * (n >= decontaminate.LEAST_ITEM)
+        for k in range(n):
+            w = t.split()
+            w[k] = "replaced"
+            made.append((100 * n + 10 + k, say(draw, "en", 30) + " " + " ".join(w) + " " + say(draw, "en", 30)))
+            same = [p for p in range(n) if p != k]
+            want += [(100 * n + 10 + k, n)] * (len(same) >= 5)
+    made += [(5000, "long3 long4 long5 long6 " + say(draw, "en", 20)), (5001, "item1word0"), (5002, "item1word0 item1word0")]
+    want.append((5001, 1))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in made], SCHEMA)
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect())
+    assert got == sorted(want)
+
+
+def test_a_language_of_repeats_is_learned(spark):
+    many = [(7, "der hund und die katze sind nicht in der stadt " * 4, "de")] * 9000
+    one = [(i, "the dog and the cat are not in the city " * (1 + i % 5), "en") for i in range(40)]
+    docs = spark.createDataFrame([*many, *one], "doc_id long, text string, lang string")
+    assert zlib.crc32(b"7") % 5 and set(language.learned(docs)) == {"de", "en"}
+
+
 def test_language(docs, rows, none):
     got = language.identify(docs).collect()
     assert len(got) == len(rows)

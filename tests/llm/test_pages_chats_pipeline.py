@@ -52,6 +52,19 @@ def test_one_page_with_a_landmark_among_many_is_learned_from(spark, trees):
     assert model is not None and "word" in main_text(model, trees[0])
 
 
+def test_copies_of_a_page_count_once(spark, trees):
+    frame = spark.createDataFrame([(i, "u", trees[0]) for i in range(6000)] + [(9000 + i, "u", t) for i, t in enumerate(trees[1:4])], "page_id long, url string, html string")
+    model = html_text.fit(frame)
+    assert model is not None and "word" in main_text(model, trees[0])
+
+
+def test_pages_without_landmarks_use_the_prior(spark):
+    page = "<html><body><div class=menu><a href=/>Home</a></div><div><h1>Title</h1><p>The text, of the page.</p></div><ul><li><a href=/x>More</a></li></ul><div id='site-footer'>Contact</div></body></html>"
+    frame = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, "u", "")], "page_id long, url string, html string")
+    assert html_text.fit(frame) is None
+    assert {r.page_id: r.text for r in html_text.extract(frame).collect()} == {1: "Title The text, of the page.", 2: "", 3: ""}
+
+
 def test_page_reader():
     read = lambda s: [(html_text.Page(s).tag[b], t) for b, t in html_text.Page(s).text]
     assert read("<p><b>One<br>two<p>a&amp;b<i>c</i>&nbsp; d") == [("p", "One two"), ("p", "a&bc d")]
@@ -160,6 +173,22 @@ def test_stages_follow_each_other(spark, tmp_path):
     assert {r.doc_id for r in got} == set(range(25)) and len({r.sequence_id for r in got}) == -(-sum(r.length for r in got) // 2048)
 
 
+def test_stages_take_empty_tables_clashing_names_and_repeated_ids(spark, tmp_path):
+    draw = random.Random(4)
+    say = lambda n: " ".join("".join(draw.choice("the of in on er and".split()) for _ in range(3)) for _ in range(n))
+    a, b, item = say(70), say(70), say(30)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node long, component_id string, text_key int, row string"
+    rows = [(i, t, "en", "s", 0, 0, "c", 1, "r") for i, t in [(1, a), (2, a), (2, b), (3, say(20) + " " + item), (None, say(40))]]
+    docs = spark.createDataFrame(rows, schema)
+    for wanted, frame in ((3, docs), (0, docs.limit(0))):
+        for _, stage in corpus_pipeline.STAGES[:3]:
+            frame = stage(spark, frame, str(tmp_path)).cache()
+            assert frame.columns == docs.columns
+        assert frame.count() == wanted and (not wanted or {r.text for r in frame.collect()} == {a, b, rows[4][1]})
+        assert corpus_pipeline.STAGES[3][1](spark, frame, str(tmp_path)).select("doc_id").distinct().count() == wanted
+
+
 def test_rejection_margin(spark):
     docs = spark.createDataFrame([(1, "xyz", "en"), (2, "the thing and the other thing " * 9, "en"), (3, "der die das und die sache " * 9, "de"), (4, "der hund und die katze " * 9, "de"), (6, "the dog and the cat and " * 9, "en")], "doc_id long, text string, lang string")
     strict = language.predict(docs.select("doc_id", "text"), language.learned(docs), margin=0.9).collect()
