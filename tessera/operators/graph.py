@@ -1,15 +1,17 @@
 """Components and constrained merging on edge tables.
 
-Both work in rounds of joins and minima over the edges, so a component or an image of any
-size stays distributed; the number of rounds grows with the logarithm of the longest chain.
+Components work in rounds of joins and minima over the edges, so a component of any size stays distributed; the number of
+rounds grows with the logarithm of the longest chain.  Merging works on blocks of bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from tessera.session import cut
 
@@ -44,55 +46,171 @@ def connected(edges: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b")
             return state
 
 
+#: An image with at most so many edges is merged in one task; a larger one in blocks of so many node numbers.
+BLOCK_EDGES, BLOCK_NODES = 1 << 18, 1 << 16
+
+
 def merge_weakest_first(
-    edges: DataFrame, nodes: DataFrame, keys: Sequence[str], cap: Column
+    edges: DataFrame, nodes: DataFrame, keys: Sequence[str], cap: Column, block_edges: int = BLOCK_EDGES, block_nodes: int = BLOCK_NODES,
 ) -> tuple[DataFrame, DataFrame]:
     """Union nodes along edges (keys, a, b, weight), weakest first, unless the union exceeds ``cap``.
 
-    ``nodes`` is (keys, node, load).  Returns (keys, node, root) and the accepted edges.  An
-    edge that ranks first at both of its ends is exactly the one a sequential pass would
-    accept next there, so all such edges are taken in one round; loads only grow, so an
-    edge over the cap never comes back.
+    ``nodes`` is (keys, node, load).  Returns (keys, node, root) and the accepted edges.  Equal weights are taken by (a, b).
+
+    What happens to an edge depends on lower edges at its two ends only.  So a task that holds the edges between the nodes of one block
+    can settle them in order, up to the first edge at either end that leaves the block.  An image of ``block_edges`` edges or
+    fewer is one block and is done after one round, however long its chains are.  A larger image is cut into ranges of
+    ``block_nodes`` node numbers, shifted from round to round, and edges that rank first at both of their ends are taken between the
+    rounds, so every round settles at least one edge of each image.  Loads only grow: an edge over the cap never comes back.
     """
     keys = list(keys)
-    state = cut(nodes.select(*keys, "node", F.col("node").alias("root"), "load"))
-    open_edges = cut(edges.select(*keys, "a", "b", "weight", F.col("a").alias("ra"), F.col("b").alias("rb")))
-    taken = None
-    while not open_edges.isEmpty():  # ends: each round takes an edge or finds none to take
-        loads = state.where("node = root").select(*keys, F.col("root").alias("r"), "load")
-        e = (
-            open_edges.join(loads.select(*keys, F.col("r").alias("ra"), F.col("load").alias("la")), [*keys, "ra"])
-            .join(loads.select(*keys, F.col("r").alias("rb"), F.col("load").alias("lb")), [*keys, "rb"])
-            .where((F.col("ra") != F.col("rb")) & (F.col("la") + F.col("lb") <= cap))
-        )
-        e = cut(e.withColumn("rank", F.struct("weight", "a", "b")))
-        ends = e.select(*keys, F.col("ra").alias("r"), "rank").unionByName(e.select(*keys, F.col("rb").alias("r"), "rank"))
-        first = ends.groupBy(*keys, "r").agg(F.min("rank").alias("first"))
-        now = (
-            e.join(first.select(*keys, F.col("r").alias("ra"), F.col("first").alias("fa")), [*keys, "ra"])
-            .join(first.select(*keys, F.col("r").alias("rb"), F.col("first").alias("fb")), [*keys, "rb"])
-            .where("rank = fa and rank = fb")
-            .select(*keys, "a", "b", "weight", F.least("ra", "rb").alias("keep"), F.greatest("ra", "rb").alias("gone"),
-                    (F.col("la") + F.col("lb")).alias("sum"))
-        )
-        now = cut(now)
-        if now.isEmpty():
+    state = cut(nodes.select(*keys, "node", F.col("node").cast("bigint").alias("root"), F.col("load").cast("bigint").alias("load")))
+    ends = [F.col(c).cast("bigint") for c in ("a", "b")]
+    open_edges = edges.select(*keys, "a", "b", F.col("weight").cast("double").alias("weight"), ends[0].alias("ra"), ends[1].alias("rb"))
+    accepted = []
+    turn = 0
+    while True:  # ends: each round settles an edge or finds none
+        live = cut(_live(open_edges, state, keys, cap))
+        if live.isEmpty():
             break
-        taken = now.select(*keys, "a", "b", "weight") if taken is None else taken.unionByName(now.select(*keys, "a", "b", "weight"))
-        renamed = now.select(*keys, F.col("gone").alias("root"), "keep")
-        grown = now.select(*keys, F.col("keep").alias("root"), "sum")
-        state = cut(
-            state.join(renamed, [*keys, "root"], "left")
-            .withColumn("root", F.coalesce("keep", "root")).drop("keep")
-            .join(grown, [*keys, "root"], "left")
-            .select(*keys, "node", "root", F.coalesce("sum", "load").alias("load"))
-        )
-        rest = e.select(*keys, "a", "b", "weight", "ra", "rb")
-        for end in ("ra", "rb"):
-            rest = rest.join(now.select(*keys, F.col("gone").alias(end), "keep"), [*keys, end], "left").withColumn(
-                end, F.coalesce("keep", end)
-            ).drop("keep")
-        open_edges = cut(rest.select(*keys, "a", "b", "weight", "ra", "rb"))
-    if taken is None:
-        taken = edges.select(*keys, "a", "b", "weight").limit(0)
+        taken, moved, rest, whole = _merge_blocks(live, keys, cap, block_edges, block_nodes, turn)
+        accepted.append(taken)
+        state = cut(_moved(state, moved, keys))
+        if whole:
+            break
+        live = cut(_live(rest, state, keys, cap))
+        if live.isEmpty():
+            break
+        taken, moved = _merge_first_at_both_ends(live, keys)
+        accepted.append(taken)
+        state = cut(_moved(state, moved, keys))
+        open_edges = cut(_renamed(live, moved, keys))
+        turn += 1
+    taken = edges.select(*keys, "a", "b", F.col("weight").cast("double").alias("weight")).limit(0)
+    for more in accepted:
+        taken = taken.unionByName(more)
     return state.select(*keys, "node", "root"), taken
+
+
+def _live(edges: DataFrame, state: DataFrame, keys: list[str], cap: Column) -> DataFrame:
+    """Edges between different unions that could still be joined, with the loads of both."""
+    loads = state.where("node = root").select(*keys, F.col("root").alias("r"), "load")
+    return (
+        edges.select(*keys, "a", "b", "weight", "ra", "rb")
+        .join(loads.select(*keys, F.col("r").alias("ra"), F.col("load").alias("la")), [*keys, "ra"])
+        .join(loads.select(*keys, F.col("r").alias("rb"), F.col("load").alias("lb")), [*keys, "rb"])
+        .where((F.col("ra") != F.col("rb")) & (F.col("la") + F.col("lb") <= cap))
+    )
+
+
+def _moved(state: DataFrame, moved: DataFrame, keys: list[str]) -> DataFrame:
+    """The state after unions ``root`` became part of ``keep`` with the load ``sum``."""
+    return state.join(moved, [*keys, "root"], "left").select(
+        *keys, "node", F.coalesce("keep", "root").alias("root"), F.coalesce("sum", "load").alias("load")
+    )
+
+
+def _renamed(edges: DataFrame, moved: DataFrame, keys: list[str]) -> DataFrame:
+    out = edges.select(*keys, "a", "b", "weight", "ra", "rb")
+    for end in ("ra", "rb"):
+        out = out.join(moved.select(*keys, F.col("root").alias(end), "keep"), [*keys, end], "left").withColumn(
+            end, F.coalesce("keep", end)
+        ).drop("keep")
+    return out
+
+
+def _merge_blocks(live: DataFrame, keys: list[str], cap: Column, block_edges: int, block_nodes: int, turn: int):
+    """(accepted edges, moves, edges left, whether nothing is left): every block merged as far as its own edges tell."""
+    counts = cut(live.groupBy(*keys).agg((F.count(F.lit(1)) > block_edges).alias("wide")))
+    whole = counts.where("wide").isEmpty()
+    shift = (turn % 2) * (block_nodes // 2)
+
+    def block(end: str) -> Column:
+        return F.when(F.col("wide"), F.floor((F.col(end) + shift) / block_nodes)).otherwise(F.lit(0)).cast("bigint")
+
+    placed = live.join(counts, keys).withColumn("block", block("ra")).withColumn("other", block("rb")).withColumn("cap", cap.cast("bigint"))
+    columns = [*keys, "block", "a", "b", "weight", "ra", "rb", "la", "lb", "cap", "inside"]
+    rows = placed.where("block = other").withColumn("inside", F.lit(True)).select(columns)
+    across = placed.where("block <> other")
+    if not whole:
+        # of the edges that leave a block only the first one at each end matters
+        rank = F.struct("weight", "a", "b").alias("rank")
+        sides = across.select(*keys, "block", F.col("ra").alias("r"), rank).unionByName(across.select(*keys, F.col("other").alias("block"), F.col("rb").alias("r"), rank))
+        first = sides.groupBy(*keys, "block", "r").agg(F.min("rank").alias("rank"))
+        rows = rows.unionByName(first.select(
+            *keys, "block", F.col("rank.a").alias("a"), F.col("rank.b").alias("b"), F.col("rank.weight").alias("weight"), F.col("r").alias("ra"), F.col("r").alias("rb"),
+            *[F.lit(0).cast("bigint").alias(c) for c in ("la", "lb", "cap")], F.lit(False).alias("inside"),
+        ))
+    fields = [StructField("kind", StringType()), *[StructField(c, LongType()) for c in ("a", "b")], StructField("weight", DoubleType()),
+              *[StructField(c, LongType()) for c in ("ra", "rb", "sum")]]
+    schema = StructType([live.schema[c] for c in keys] + fields)
+
+    def settle(group, pdf):
+        out = [(*group[: len(keys)], *row) for row in merged_in_order(pdf)]
+        return pd.DataFrame(out, columns=schema.fieldNames()).astype({"a": "Int64", "b": "Int64", "ra": "Int64", "rb": "Int64", "sum": "Int64"})
+
+    done = cut(rows.groupBy(*keys, "block").applyInPandas(settle, schema))
+    taken = done.where("kind = 'taken'").select(*keys, "a", "b", "weight")
+    moved = done.where("kind = 'moved'").select(*keys, F.col("ra").alias("root"), F.col("rb").alias("keep"), "sum")
+    left = done.where("kind = 'left'").select(*keys, "a", "b", "weight", "ra", "rb")
+    return taken, moved, left if whole else left.unionByName(_renamed(across, moved, keys)), whole
+
+
+def merged_in_order(pdf: pd.DataFrame) -> list[tuple]:
+    """(kind, a, b, weight, ra, rb, sum) of one block: accepted edges, moved unions, and edges that wait for one outside of the block."""
+    parent: dict[int, int] = {}
+    load: dict[int, int] = {}
+    waits: dict[int, tuple] = {}  # the first edge at a union that is not settled here
+
+    def find(u: int) -> int:
+        top = u
+        while parent.get(top, top) != top:
+            top = parent[top]
+        while parent.get(u, u) != top:
+            parent[u], u = top, parent[u]
+        return top
+
+    def wait(u: int, rank: tuple) -> None:
+        waits[u] = min(waits.get(u, rank), rank)
+
+    taken, left = [], []
+    order = ["weight", "a", "b"]
+    for e in pdf[~pdf["inside"].astype(bool)].itertuples():
+        wait(e.ra, (e.weight, e.a, e.b))
+    for e in pdf[pdf["inside"].astype(bool)].sort_values(order).itertuples():
+        for u, n in ((e.ra, e.la), (e.rb, e.lb)):
+            parent.setdefault(u, u)
+            load.setdefault(u, n)
+        u, v = find(e.ra), find(e.rb)
+        rank = (e.weight, e.a, e.b)
+        if u == v or load[u] + load[v] > e.cap:
+            continue
+        if any(w in waits and waits[w] < rank for w in (u, v)):
+            wait(u, rank), wait(v, rank)
+            left.append(e)
+            continue
+        keep, gone = min(u, v), max(u, v)
+        parent[gone] = keep
+        load[keep] += load[gone]
+        if gone in waits:
+            wait(keep, waits[gone])
+        taken.append(("taken", e.a, e.b, e.weight, None, None, None))
+    tops = {u: find(u) for u in parent}
+    joined = set(u for u, top in tops.items() if u != top) | set(top for u, top in tops.items() if u != top)
+    moved = [("moved", None, None, None, u, tops[u], load[tops[u]]) for u in joined]
+    return taken + moved + [("left", e.a, e.b, e.weight, find(e.ra), find(e.rb), None) for e in left]
+
+
+def _merge_first_at_both_ends(live: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(accepted edges, moves): edges that rank first at both of their ends."""
+    e = live.withColumn("rank", F.struct("weight", "a", "b"))
+    ends = e.select(*keys, F.col("ra").alias("r"), "rank").unionByName(e.select(*keys, F.col("rb").alias("r"), "rank"))
+    first = ends.groupBy(*keys, "r").agg(F.min("rank").alias("first"))
+    now = cut(
+        e.join(first.select(*keys, F.col("r").alias("ra"), F.col("first").alias("fa")), [*keys, "ra"])
+        .join(first.select(*keys, F.col("r").alias("rb"), F.col("first").alias("fb")), [*keys, "rb"])
+        .where("rank = fa and rank = fb")
+        .select(*keys, "a", "b", "weight", F.least("ra", "rb").alias("keep"), F.greatest("ra", "rb").alias("gone"), (F.col("la") + F.col("lb")).alias("sum"))
+    )
+    moved = now.select(*keys, F.explode(F.array("gone", "keep")).alias("root"), "keep", "sum")
+    return now.select(*keys, "a", "b", "weight"), moved

@@ -27,6 +27,20 @@ def test_merging_along_a_chain_ends_complete(spark):
     assert {r.root for r in roots.collect()} == {0} and taken.count() == n
 
 
+@pytest.mark.parametrize("block_edges", [1 << 18, 1000])
+def test_a_long_ascending_chain_takes_few_rounds(spark, monkeypatch, block_edges):
+    n, cap = 100_000, 7
+    ids = spark.range(n + 1)
+    nodes = ids.select(F.lit("s").alias("scene"), F.col("id").alias("node"), F.lit(1).alias("load"))
+    edges = ids.where(F.col("id") < n).select(F.lit("s").alias("scene"), F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.col("id").cast("double").alias("weight"))
+    rounds = []
+    step = graph._merge_blocks
+    monkeypatch.setattr(graph, "_merge_blocks", lambda *args: rounds.append(1) or step(*args))
+    roots, taken = graph.merge_weakest_first(edges, nodes, ["scene"], F.lit(cap), block_edges, 1 << 15)
+    assert roots.where("root <> node - node % 7").isEmpty() and taken.count() == n + 1 - -(-(n + 1) // cap)
+    assert len(rounds) == 1 if block_edges > n else len(rounds) < 20
+
+
 def test_nearest_neighbour_of_far_and_unplaced_points(spark):
     rows = [("s", 1, 0.0, 0.0), ("s", 2, 0.0, 20.0), ("s", 3, None, 5.0), ("s", 4, float("nan"), 5.0), ("t", 5, None, None), ("t", 6, 1.0, 1.0)]
     points = spark.createDataFrame(rows, "scene string, id int, centroid_y double, centroid_x double")

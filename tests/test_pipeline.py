@@ -128,6 +128,10 @@ def test_merge_is_the_sequential_greedy(spark):
     v = spark.createDataFrame(nodes, "scene int, node long, load long")
     roots, _ = graph.merge_weakest_first(e, v, ["scene"], F.lit(10))
     assert {(r.scene, r.node): r.root for r in roots.collect()} == want
+    # in blocks of a few node numbers: edges within and across blocks, more than one round
+    roots, taken = graph.merge_weakest_first(e, v, ["scene"], F.lit(10), block_edges=2, block_nodes=4)
+    assert {(r.scene, r.node): r.root for r in roots.collect()} == want
+    assert taken.count() == sum(k[1] != r for k, r in want.items())
 
 
 def test_junction_seeds_and_merge(spark):
