@@ -3,7 +3,7 @@
 Links between two frames do not depend on links elsewhere except through what is already
 taken, so linking runs level by level (previous frame, the one before it, ...) for all
 frames of all scenes at once, instead of frame by frame.  The overlap table is a join, the
-assignment works on small independent parts of the overlap graph, and track ids come from
+assignment is an auction between blocks of objects (``matching``), and track ids come from
 following predecessor pointers.
 """
 
@@ -15,12 +15,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from tessera.operators import graph
 from tessera.operators import pixels as px
-from tessera.operators.tiles import Tiles, gather
+from tessera.operators.matching import assign
+from tessera.operators.tiles import Tiles
 from tessera.session import cut, look_up
 
 
@@ -93,126 +93,6 @@ def cell_table(t: Tiles, labels: str, shape: DataFrame) -> DataFrame:
     ).agg(F.sum("area").alias("area"))
 
 
-# ---------------------------------------------------------------- assignment
-
-
-def best_assignment(a: Sequence[int], b: Sequence[int], gain: Sequence[float]) -> list[int]:
-    """Indices of edges of a one-to-one assignment with the largest total gain.
-
-    Sparse shortest augmenting paths; every node may also stay unassigned.
-    """
-    left: dict[int, list[tuple[int, float, int]]] = {}
-    for i, (u, v, g) in enumerate(zip(a, b, gain)):
-        left.setdefault(u, []).append((v, g, i))
-    match_l: dict[int, tuple[int, float, int]] = {}
-    match_r: dict[int, int] = {}
-    for start in sorted(left):
-        # best gain of moving along alternating paths (Bellman-Ford over right nodes)
-        gain_to: dict[int, float] = {}
-        came: dict[int, tuple[int, float, int]] = {}
-        frontier = {start: 0.0}
-        best_left = {start: 0.0}
-        while frontier:
-            nxt: dict[int, float] = {}
-            for u, base in frontier.items():
-                if base < best_left.get(u, -np.inf):
-                    continue
-                for v, g, i in left[u]:
-                    if match_l.get(u, (None,))[0] == v:
-                        continue
-                    new = base + g
-                    if new > gain_to.get(v, -np.inf) + 1e-12:
-                        gain_to[v] = new
-                        came[v] = (u, g, i)
-                        owner = match_r.get(v)
-                        if owner is not None and owner != start:
-                            moved = new - match_l[owner][1]
-                            if moved > best_left.get(owner, -np.inf) + 1e-12:
-                                best_left[owner] = moved
-                                nxt[owner] = moved
-            frontier = nxt
-        # end at a free right node, or leave a previously assigned left node alone
-        options = [(g, 0, v) for v, g in gain_to.items() if v not in match_r]
-        options += [(g, 1, u) for u, g in best_left.items() if u != start]
-        if not options:
-            continue
-        top, kind, end = max(options, key=lambda o: (o[0], -o[1], -o[2]))
-        if top <= 1e-12:
-            continue
-        if kind == 1:
-            v = match_l.pop(end)[0]
-            del match_r[v]
-        else:
-            v = end
-        while True:
-            u, g, i = came[v]
-            previous = match_l.get(u)
-            match_l[u] = (v, g, i)
-            match_r[v] = u
-            if u == start:
-                break
-            v = previous[0]
-    return [m[2] for m in match_l.values()]
-
-
-def assign(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One-to-one pairs (keys, a, b, iou) with the largest summed IoU per key.
-
-    An edge that outweighs the best alternatives of both ends together is in an optimal
-    assignment, so such edges are settled by minima and joins.  What remains falls into
-    connected parts of the overlap graph of one frame pair, each solved on its own.
-    """
-    keys = list(keys)
-    rest = cut(candidates.select(*keys, "a", "b", "iou"))
-    settled = None
-    for _ in range(3):
-        # two best weights per end are enough to know the best alternative
-        def rivals(end, name):
-            top = rest.groupBy(*keys, end).agg(F.max(F.struct("iou", "b" if end == "a" else "a")).alias("__t"), F.count(F.lit(1)).alias("__n"))
-            others = rest.join(top, [*keys, end]).where(F.struct("iou", "b" if end == "a" else "a") != F.col("__t"))
-            second = others.groupBy(*keys, end).agg(F.max("iou").alias("__s"))
-            return top.join(second, [*keys, end], "left").select(
-                *keys, end, F.col("__t.iou").alias(f"top_{name}"), F.col("__t").getField("b" if end == "a" else "a").alias(f"who_{name}"),
-                F.coalesce("__s", F.lit(0.0)).alias(f"second_{name}"),
-            )
-
-        scored = rest.join(rivals("a", "a"), [*keys, "a"]).join(rivals("b", "b"), [*keys, "b"])
-        alt_a = F.when(F.col("who_a") == F.col("b"), F.col("second_a")).otherwise(F.col("top_a"))
-        alt_b = F.when(F.col("who_b") == F.col("a"), F.col("second_b")).otherwise(F.col("top_b"))
-        sure = cut(scored.where(F.col("iou") > alt_a + alt_b).select(*keys, "a", "b", "iou"))
-        if sure.isEmpty():
-            break
-        settled = sure if settled is None else settled.unionByName(sure)
-        rest = cut(
-            rest.join(sure.select(*keys, "a"), [*keys, "a"], "left_anti").join(sure.select(*keys, "b"), [*keys, "b"], "left_anti")
-        )
-        if rest.isEmpty():
-            return settled
-    if not rest.isEmpty():
-        # both ends as nodes of one graph: even numbers for a, odd for b
-        nodes = rest.select(*keys, (F.col("a") * 2).alias("u"), (F.col("b") * 2 + 1).alias("v"))
-        parts = graph.connected(nodes, keys, "u", "v")
-        tagged = rest.withColumn("u", F.col("a") * 2).join(
-            parts.select(*keys, F.col("node").alias("u"), "root"), [*keys, "u"]
-        )
-        schema = StructType([rest.schema[c] for c in [*keys, "a", "b"]] + [StructField("iou", DoubleType())])
-
-        def solve(batches):
-            for pdf in batches:
-                out = []
-                for g in pdf.to_dict("records"):
-                    at = sorted(range(len(g["a"])), key=lambda i: (g["a"][i], g["b"][i]))
-                    a, b, iou = ([g[c][i] for i in at] for c in ("a", "b", "iou"))
-                    base = [g[c] for c in keys]
-                    out += [(*base, a[i], b[i], iou[i]) for i in sorted(best_assignment(a, b, iou))]
-                yield pd.DataFrame(out, columns=schema.fieldNames())
-
-        # a list holds the overlaps of one connected part of one frame pair
-        solved = cut(gather(tagged, [*keys, "root"], ["a", "b", "iou"]).mapInPandas(solve, schema))
-        settled = solved if settled is None else settled.unionByName(solved)
-    return settled if settled is not None else rest
-
-
 # ---------------------------------------------------------------- linking
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from test_tiles import make  # noqa: F401
 
+from tessera.operators import matching
 from tessera.operators import tracking as tr
 from tessera.operators.tiles import tile_images
 
@@ -23,19 +24,64 @@ def table(tracks):
     return {(r.timepoint, r.cell_id): (r.track_id, r.parent_track_id, r.frames_bridged) for r in tracks.collect()}
 
 
+def best_total(w):
+    """The largest total over all one-to-one choices of a gain matrix."""
+    small, big = (w, w.shape[1]) if w.shape[0] <= w.shape[1] else (w.T, w.shape[0])
+    return max(sum(small[i, j] for i, j in enumerate(perm)) for perm in itertools.permutations(range(big), small.shape[0]))
+
+
 def test_assignment_is_optimal():
     rng = np.random.default_rng(3)
     for _ in range(300):
         n, m = rng.integers(1, 6, 2)
         w = np.where(rng.random((n, m)) < 0.6, rng.integers(1, 20, (n, m)), 0)
         a, b = np.nonzero(w)
-        picked = tr.best_assignment(a.tolist(), b.tolist(), w[a, b].astype(float).tolist())
+        picked, gap = matching.best_assignment(a.tolist(), b.tolist(), w[a, b].astype(float).tolist())
         assert len({a[i] for i in picked}) == len(picked) == len({b[i] for i in picked})
-        best = 0
-        small, big = (w, m) if n <= m else (w.T, n)
-        for perm in itertools.permutations(range(big), small.shape[0]):
-            best = max(best, sum(small[i, j] for i, j in enumerate(perm)))
-        assert sum(w[a[i], b[i]] for i in picked) == best
+        assert sum(w[a[i], b[i]] for i in picked) == best_total(w)
+        assert 0 <= gap <= (n + m) * matching.UNIT
+
+
+def random_edges(rng, pairs, n, m, share, values):
+    out, want = [], {}
+    for k in range(pairs):
+        w = np.where(rng.random((n, m)) < share, rng.choice(values, (n, m)), 0.0)
+        out += [(k, int(a), int(b), float(w[a, b])) for a, b in zip(*np.nonzero(w))]
+        if (w > 0).any():
+            want[k] = best_total(w)
+    return out, want
+
+
+def totals(pairs):
+    got = {}
+    for r in pairs.collect():
+        used = got.setdefault(r.k, ([], [], []))
+        for c, v in zip(used, (r.a, r.b, r.iou)):
+            c.append(v)
+    assert all(len(set(a)) == len(a) and len(set(b)) == len(b) for a, b, _ in got.values())
+    return {k: sum(g) for k, (_, _, g) in got.items()}
+
+
+@pytest.mark.parametrize("block", [2, 3, 4096])
+def test_blocks_do_not_change_the_total(spark, block):
+    # many equal gains and many parts that span several blocks
+    edges, want = random_edges(np.random.default_rng(5), 12, 6, 6, 0.4, [0.25, 0.3, 0.5, 0.5, 0.75])
+    df = spark.createDataFrame(edges, "k int, a bigint, b bigint, iou double")
+    assert totals(matching.assign(df, ["k"], block)) == pytest.approx(want, abs=1e-9)
+    assert matching.assign(df.where("k < 0"), ["k"], block).count() == 0
+
+
+def test_one_part_of_ten_thousand_objects(spark):
+    # a chain: the best total follows from a recurrence over its edges
+    n = 10_000
+    gain = np.random.default_rng(7).uniform(0.3, 0.35, 2 * n - 1)
+    best = [0.0, gain[0]]
+    for g in gain[1:]:
+        best.append(max(best[-1], best[-2] + g))
+    edges = [(0, (i + 1) // 2, i // 2, float(g)) for i, g in enumerate(gain)]
+    df = spark.createDataFrame(edges, "k int, a bigint, b bigint, iou double")
+    assert totals(matching.assign(df, ["k"], 700))[0] == pytest.approx(best[-1], abs=1e-7)
+    assert totals(matching.assign(df, ["k"]))[0] == pytest.approx(best[-1], abs=1e-7)
 
 
 def test_worked_division(spark):
