@@ -6,6 +6,7 @@ rounds grows with the logarithm of the longest chain.  Merging works on blocks o
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Sequence
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from tessera.operators.tiles import HELD_ROWS
 from tessera.session import cut
 
 
@@ -49,6 +51,8 @@ def connected(edges: DataFrame, keys: Sequence[str], a: str = "a", b: str = "b")
 #: An image with at most so many edges is merged in one task; a larger one in blocks of so many node numbers.
 BLOCK_EDGES, BLOCK_NODES = 1 << 18, 1 << 16
 
+Edge = namedtuple("Edge", "a b weight ra rb la lb cap inside")
+
 
 def merge_weakest_first(
     edges: DataFrame, nodes: DataFrame, keys: Sequence[str], cap: Column, block_edges: int = BLOCK_EDGES, block_nodes: int = BLOCK_NODES,
@@ -145,19 +149,43 @@ def _merge_blocks(live: DataFrame, keys: list[str], cap: Column, block_edges: in
               *[StructField(c, LongType()) for c in ("ra", "rb", "sum")]]
     schema = StructType([live.schema[c] for c in keys] + fields)
 
-    def settle(group, pdf):
-        out = [(*group[: len(keys)], *row) for row in merged_in_order(pdf)]
-        return pd.DataFrame(out, columns=schema.fieldNames()).astype({"a": "Int64", "b": "Int64", "ra": "Int64", "rb": "Int64", "sum": "Int64"})
-
-    done = cut(rows.groupBy(*keys, "block").applyInPandas(settle, schema))
+    at, ends = [*keys, "block"], columns[len(keys) + 1:]
+
+    def settle(batches):
+        # a block may lie in several batches, and a batch usually holds many blocks: rows of one block follow each other
+        group, held, out = None, [], []
+        for pdf in batches:
+            for where, row in zip(zip(*[pdf[c].tolist() for c in at]), zip(*[pdf[c].tolist() for c in ends])):
+                if where != group:
+                    out += [(*group[: len(keys)], *r) for r in settled(held)] if held else []
+                    group, held = where, []
+                    if len(out) >= HELD_ROWS:
+                        yield _frame(out, schema)
+                        out = []
+                held.append(row)
+        if held:
+            out += [(*group[: len(keys)], *r) for r in settled(held)]
+        if out:
+            yield _frame(out, schema)
+
+    # edges that leave the block come first, then the others in their order
+    placed = rows.repartition(*at).sortWithinPartitions(*at, "inside", "weight", "a", "b")
+    done = cut(placed.mapInPandas(settle, schema))
     taken = done.where("kind = 'taken'").select(*keys, "a", "b", "weight")
     moved = done.where("kind = 'moved'").select(*keys, F.col("ra").alias("root"), F.col("rb").alias("keep"), "sum")
     left = done.where("kind = 'left'").select(*keys, "a", "b", "weight", "ra", "rb")
     return taken, moved, left if whole else left.unionByName(_renamed(across, moved, keys)), whole
 
 
-def merged_in_order(pdf: pd.DataFrame) -> list[tuple]:
-    """(kind, a, b, weight, ra, rb, sum) of one block: accepted edges, moved unions, and edges that wait for one outside of the block."""
+def _frame(rows: list[tuple], schema: StructType) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=schema.fieldNames()).astype({c: "Int64" for c in ("a", "b", "ra", "rb", "sum")})
+
+
+def settled(rows: list[tuple]) -> list[tuple]:
+    """(kind, a, b, weight, ra, rb, sum) of one block: accepted edges, moved unions, and edges that wait for one outside of the block.
+
+    ``rows`` are (a, b, weight, ra, rb, la, lb, cap, inside): those that leave the block first, then the others by (weight, a, b).
+    """
     parent: dict[int, int] = {}
     load: dict[int, int] = {}
     waits: dict[int, tuple] = {}  # the first edge at a union that is not settled here
@@ -174,10 +202,10 @@ def merged_in_order(pdf: pd.DataFrame) -> list[tuple]:
         waits[u] = min(waits.get(u, rank), rank)
 
     taken, left = [], []
-    order = ["weight", "a", "b"]
-    for e in pdf[~pdf["inside"].astype(bool)].itertuples():
-        wait(e.ra, (e.weight, e.a, e.b))
-    for e in pdf[pdf["inside"].astype(bool)].sort_values(order).itertuples():
+    for e in map(Edge._make, rows):
+        if not e.inside:
+            wait(e.ra, (e.weight, e.a, e.b))
+            continue
         for u, n in ((e.ra, e.la), (e.rb, e.lb)):
             parent.setdefault(u, u)
             load.setdefault(u, n)

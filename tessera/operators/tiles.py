@@ -39,6 +39,77 @@ def gather(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFr
     return packed.select(*keys, *[F.col("__s")[c].alias(c) for c in columns])
 
 
+#: A Python worker hands its rows on as soon as it holds so many rows or bytes, and opens so many input rows at a time.
+HELD_ROWS, HELD_BYTES, OPENED_ROWS = 16384, 8 << 20, 256
+
+
+def _records(pdf: pd.DataFrame):
+    for i in range(0, len(pdf), OPENED_ROWS):
+        yield from pdf.iloc[i:i + OPENED_ROWS].to_dict("records")
+
+
+def chained(head: Callable | None, steps: Sequence[Callable], finish: Callable, schema: StructType) -> Callable:
+    """For ``mapInPandas``: rows opened by ``head``, passed through ``steps`` and turned by ``finish`` into equally long columns.
+
+    What a worker holds does not depend on the rows of a batch or on how many rows come of one.
+    """
+    opened, steps, columns = head or _records, tuple(steps), schema.fieldNames()
+    blobs = [f.name for f in schema if isinstance(f.dataType, BinaryType)]
+
+    def run(batches):
+        held: dict = {c: [] for c in columns}
+        rows = weight = 0
+        for pdf in batches:
+            for row in opened(pdf):
+                for step in steps:
+                    row = step(row)
+                made = finish(row)
+                for c in columns:
+                    held[c].extend(made[c])
+                rows += len(made[columns[0]])
+                weight += sum(len(v or b"") for c in blobs for v in made[c])
+                if rows >= HELD_ROWS or weight >= HELD_BYTES:
+                    yield pd.DataFrame(held, columns=columns)
+                    held = {c: [] for c in columns}
+                    rows = weight = 0
+        if rows:
+            yield pd.DataFrame(held, columns=columns)
+
+    return run
+
+
+@dataclasses.dataclass(frozen=True)
+class Chain:
+    """How the rows of a table of tiles come about: rows of ``source``, opened by ``head``, passed through ``steps``.
+
+    Functions that need nothing of another tile are put behind each other in one Python worker; a table of its own for each
+    would keep one more worker per core alive and send every tile through all of them.
+    """
+
+    source: DataFrame
+    head: Callable | None = None
+    steps: tuple[Callable, ...] = ()
+    scalars: Mapping[str, str] = dataclasses.field(default_factory=dict)  # plain column -> its name in ``source``
+    placed: bool = True  # ``source`` has one row per tile, with ``ty`` and ``tx``
+
+
+def _shape(row, size: int) -> tuple[int, int, int, int]:
+    y, x = row["ty"] * size, row["tx"] * size
+    return y, x, min(size, row["height"] - y), min(size, row["width"] - x)
+
+
+def _array(value, dtype: str, h: int, w: int) -> np.ndarray:
+    if isinstance(value, (bytes, bytearray)):
+        value = np.frombuffer(value, dtype)
+    return np.array(value, dtype).reshape(h, w)
+
+
+def _bytes(value, dtype: str):
+    if value is None or isinstance(value, bytes):
+        return value
+    return np.ascontiguousarray(value, dtype=dtype).tobytes()
+
+
 class Block:
     """What a tile function sees: the tile, its surroundings, and where they are."""
 
@@ -81,17 +152,39 @@ class Tiles:
     size: int
     layers: Mapping[str, str]  # layer -> numpy dtype
     single: bool = False  # every image fits one tile
+    chain: Chain | None = None  # None: ``df`` is read as it is
 
     def _position(self) -> list[StructField]:
         return [self.df.schema[k] for k in self.keys] + [StructField(p, IntegerType()) for p in POSITION]
 
     def select(self, *layers: str) -> Tiles:
-        return self._with(
-            self.df.select(*self.keys, *POSITION, *layers), {n: self.layers[n] for n in layers}
+        return dataclasses.replace(
+            self, df=self.df.select(*self.keys, *POSITION, *layers), layers={n: self.layers[n] for n in layers}
         )
 
     def _with(self, df: DataFrame, layers: Mapping[str, str]) -> Tiles:
-        return dataclasses.replace(self, df=df, layers=dict(layers))
+        return dataclasses.replace(self, df=df, layers=dict(layers), chain=None)
+
+    def _open(self) -> Chain:
+        plain = [c for c in self.df.columns if c not in (*self.keys, *POSITION, *self.layers)]
+        return self.chain or Chain(self.df, scalars={c: c for c in plain})
+
+    def _close(self, chain: Chain, layers: Mapping[str, str], counters: Sequence[str] = (), plain: Sequence[StructField] = ()) -> Tiles:
+        """The table that ``chain`` makes."""
+        layers, scalars = dict(layers), dict(chain.scalars)
+        schema = StructType(
+            self._position() + [StructField(n, BinaryType()) for n in layers] + [StructField(n, LongType()) for n in counters] + list(plain)
+        )
+        meta, extra = [*self.keys, *POSITION, *counters], [f.name for f in plain]
+
+        def finish(row):
+            out = {c: [row[c]] for c in meta}
+            out.update({n: [_bytes(row[n], d)] for n, d in layers.items()})
+            out.update({n: [row[scalars[n]]] for n in extra})
+            return out
+
+        df = chain.source.mapInPandas(chained(chain.head, chain.steps, finish, schema), schema)
+        return dataclasses.replace(self, df=df, layers=layers, chain=chain)
 
     def join(self, other: Tiles) -> Tiles:
         """Layers of both tables side by side."""
@@ -114,23 +207,31 @@ class Tiles:
         tiles where it is false lend their edges and are not computed.
         """
         keep = [n for n in self.layers if n not in outputs]
-        schema = StructType(
-            self._position()
-            + [StructField(n, BinaryType()) for n in [*keep, *outputs]]
-            + [StructField(n, LongType()) for n in counters]
-        )
-
-        def finish(block, row):
-            made = fn(block)
-            out = {k: row[k] for k in keep}
-            for name, dtype in outputs.items():
-                out[name] = np.ascontiguousarray(made[name], dtype=dtype).tobytes()
+        layers = {**{n: self.layers[n] for n in keep}, **outputs}
+        size, made_as = self.size, dict(outputs)
+
+        def made(block, row):
+            got = fn(block)
+            out = dict(row)
+            for name, dtype in made_as.items():
+                out[name] = np.ascontiguousarray(got[name], dtype=dtype).reshape(_shape(row, size)[2:])
             for name in counters:
-                out[name] = int(made[name])
-            return [out]
+                out[name] = int(got[name])
+            return out
+
+        if halo == 0 or self.single:
+            chain = (self._with(self.df.where(only), self.layers) if only else self)._open()
+            block_of = self._block_of(inputs, halo, per_image, chain.scalars)
+            chain = dataclasses.replace(chain, steps=(*chain.steps, lambda row: made(block_of(row), row)))
+            return self._close(chain, layers, counters)
+
+        source, assembled = self._surrounded(list(inputs), keep, halo, per_image, only)
 
-        df = self._run(list(inputs), keep, finish, halo, schema, per_image, only)
-        return self._with(df, {**{n: self.layers[n] for n in keep}, **outputs})
+        def head(pdf):
+            for block, row in assembled(pdf):
+                yield made(block, row)
+
+        return self._close(Chain(source, head), layers, counters)
 
     def rows(self, inputs: Sequence[str], schema: StructType | str, fn: Callable, halo: int = 0,
              per_image: Sequence[str] = ()) -> DataFrame:
@@ -138,108 +239,104 @@ class Tiles:
         if isinstance(schema, str):
             schema = StructType.fromDDL(schema)
         full = StructType([self.df.schema[k] for k in self.keys] + list(schema))
-        names = schema.fieldNames()
+        names, keys = schema.fieldNames(), list(self.keys)
 
-        def finish(block, row):
+        def listed(block, row):
             made = fn(block)
-            return [dict(zip(names, values)) for values in zip(*[made[n] for n in names])]
-
-        return self._run(list(inputs), [], finish, halo, full, per_image)
-
-    def _run(self, inputs, keep, finish, halo, schema, per_image, only=None):
-        keys, size, dtypes = list(self.keys), self.size, dict(self.layers)
-        columns = schema.fieldNames()
-        meta = [*keys, *POSITION]
-        chosen = F.col(only) if only else F.lit(True)
-        source = self.df.select(*meta, *per_image, *dict.fromkeys([*inputs, *keep]), chosen.alias("__only"))
-
-        def emit(block, row, scalars):
-            for name in per_image:
-                setattr(block, name, scalars[name])
-            base = {k: row[k] for k in meta if k in columns}
-            return [{**base, **out} for out in finish(block, row)]
-
-        def shape_of(row):
-            y, x = row["ty"] * size, row["tx"] * size
-            return y, x, min(size, row["height"] - y), min(size, row["width"] - x)
-
-        def block_of(row, arrays, reach):
-            return Block(tuple(row[k] for k in keys), row["ty"], row["tx"], row["height"], row["width"], size, reach, arrays)
+            return {**{k: [row[k]] * len(made[names[0]]) for k in keys}, **{n: made[n] for n in names}}
 
         if halo == 0 or self.single:
-
-            def whole(batches):
-                for pdf in batches:
-                    out = []
-                    for row in pdf[pdf["__only"]].to_dict("records"):
-                        _, _, h, w = shape_of(row)
-                        arrays = {n: np.frombuffer(row[n], dtypes[n]).reshape(h, w).copy() for n in inputs}
-                        out += emit(block_of(row, arrays, halo), row, row)
-                    yield pd.DataFrame(out, columns=columns)
-
-            return source.mapInPandas(whole, schema)
-
-        reach = -(-halo // size)
-        extra = [f for f in source.schema if f.name in per_image]
+            chain = self._open()
+            block_of = self._block_of(inputs, halo, per_image, chain.scalars)
+            run = chained(chain.head, chain.steps, lambda row: listed(block_of(row), row), full)
+            return chain.source.mapInPandas(run, full)
+        source, assembled = self._surrounded(list(inputs), [], halo, per_image, None)
+        return source.mapInPandas(chained(assembled, (), lambda met: listed(*met), full), full)
+
+    def _block_of(self, inputs, halo, per_image, scalars) -> Callable:
+        """A function from the row of a tile to its block, for functions that need nothing of another tile."""
+        keys, size = list(self.keys), self.size
+        dtypes = {n: self.layers[n] for n in inputs}
+        named = {n: scalars[n] for n in per_image}
+
+        def block_of(row):
+            _, _, h, w = _shape(row, size)
+            arrays = {n: _array(row[n], d, h, w) for n, d in dtypes.items()}
+            block = Block(tuple(row[k] for k in keys), row["ty"], row["tx"], row["height"], row["width"], size, halo, arrays)
+            for name, column in named.items():
+                setattr(block, name, row[column])
+            return block
+
+        return block_of
+
+    def _surrounded(self, inputs, keep, halo, per_image, only=None):
+        """(table, opener): tiles met with the edges of their neighbours, and a function from its batches to (block, row)."""
+        keys, size, dtypes = list(self.keys), self.size, dict(self.layers)
+        meta, reach = [*keys, *POSITION], -(-halo // size)
+        lent, kept = list(dict.fromkeys(inputs)), [n for n in keep]
+        chain = self._open() if only is None else Chain(self.df, scalars={c: c for c in (*per_image, only)})
+        named = {n: chain.scalars[n] for n in per_image}
+        chosen = chain.scalars[only] if only else None
+        extra = [StructField(n, chain.source.schema[c].dataType) for n, c in named.items()]
         piece = StructType(
             self._position()
             + extra
             + [StructField("own", BooleanType())]
             + [StructField(n, IntegerType()) for n in ("py", "px", "ph", "pw")]
-            + [StructField(f"p_{n}", BinaryType()) for n in inputs]
-            + [StructField(f"k_{n}", BinaryType()) for n in keep]
+            + [StructField(f"p_{n}", BinaryType()) for n in lent]
+            + [StructField(f"k_{n}", BinaryType()) for n in kept]
         )
-
-        def ship(batches):
-            for pdf in batches:
-                out = []
-                for row in pdf.to_dict("records"):
-                    y, x, h, w = shape_of(row)
-                    arrays = {n: np.frombuffer(row[n], dtypes[n]).reshape(h, w) for n in inputs}
-                    for ty in range(max(0, row["ty"] - reach), row["ty"] + reach + 1):
-                        for tx in range(max(0, row["tx"] - reach), row["tx"] + reach + 1):
-                            if ty * size >= row["height"] or tx * size >= row["width"]:
-                                continue
-                            a0, a1 = max(y, ty * size - halo), min(y + h, (ty + 1) * size + halo)
-                            b0, b1 = max(x, tx * size - halo), min(x + w, (tx + 1) * size + halo)
-                            if a0 >= a1 or b0 >= b1:
-                                continue
-                            own = ty == row["ty"] and tx == row["tx"]
-                            # a tile that is not computed is dropped where its pieces would meet
-                            one = {k: row[k] for k in [*meta, *per_image]}
-                            one.update(ty=ty, tx=tx, own=own and row["__only"], py=a0, px=b0, ph=a1 - a0, pw=b1 - b0)
-                            for n in inputs:
-                                one[f"p_{n}"] = arrays[n][a0 - y: a1 - y, b0 - x: b1 - x].tobytes()
-                            for n in keep:
-                                one[f"k_{n}"] = row[n] if own else None
-                            out.append(one)
-                yield pd.DataFrame(out, columns=piece.fieldNames())
-
-        lists = [f for f in piece.fieldNames() if f not in (*keys, "ty", "tx")]
-
-        def assemble(batches):
-            for pdf in batches:
-                out = []
-                for group in pdf.to_dict("records"):
-                    if not any(group["own"]):
+        columns = piece.fieldNames()
+
+        def ship(row):
+            out: dict = {c: [] for c in columns}
+            y, x, h, w = _shape(row, size)
+            arrays = {n: _array(row[n], dtypes[n], h, w) for n in lent}
+            for ty in range(max(0, row["ty"] - reach), row["ty"] + reach + 1):
+                for tx in range(max(0, row["tx"] - reach), row["tx"] + reach + 1):
+                    if ty * size >= row["height"] or tx * size >= row["width"]:
                         continue
-                    n = int(np.argmax(group["own"]))
-                    mine = {k: group[k] for k in (*keys, "ty", "tx")}
-                    mine.update({c: group[c][n] for c in ("height", "width", *per_image)})
-                    y, x, h, w = shape_of(mine)
-                    y0, x0 = max(0, y - halo), max(0, x - halo)
-                    y1, x1 = min(mine["height"], y + h + halo), min(mine["width"], x + w + halo)
-                    arrays = {m: np.zeros((y1 - y0, x1 - x0), dtypes[m]) for m in inputs}
-                    for i, (py, px_, ph, pw) in enumerate(zip(group["py"], group["px"], group["ph"], group["pw"])):
-                        at = slice(py - y0, py - y0 + ph), slice(px_ - x0, px_ - x0 + pw)
-                        for m in inputs:
-                            arrays[m][at] = np.frombuffer(group[f"p_{m}"][i], dtypes[m]).reshape(ph, pw)
-                    row = {**mine, **{m: group[f"k_{m}"][n] for m in keep}}
-                    out += emit(block_of(mine, arrays, halo), row, mine)
-                yield pd.DataFrame(out, columns=columns)
+                    a0, a1 = max(y, ty * size - halo), min(y + h, (ty + 1) * size + halo)
+                    b0, b1 = max(x, tx * size - halo), min(x + w, (tx + 1) * size + halo)
+                    if a0 >= a1 or b0 >= b1:
+                        continue
+                    own = ty == row["ty"] and tx == row["tx"]
+                    # a tile that is not computed is dropped where its pieces would meet
+                    one = {k: row[k] for k in meta} | {n: row[c] for n, c in named.items()}
+                    one.update(ty=ty, tx=tx, own=own and (chosen is None or bool(row[chosen])), py=a0, px=b0, ph=a1 - a0, pw=b1 - b0)
+                    for n in lent:
+                        one[f"p_{n}"] = arrays[n][a0 - y: a1 - y, b0 - x: b1 - x].tobytes()
+                    for n in kept:
+                        one[f"k_{n}"] = _bytes(row[n], dtypes[n]) if own else None
+                    for c in columns:
+                        out[c].append(one[c])
+            return out
 
+        lists = [f for f in columns if f not in (*keys, "ty", "tx")]
+
+        def assembled(pdf):
+            for group in _records(pdf):
+                if not any(group["own"]):
+                    continue
+                n = int(np.argmax(group["own"]))
+                mine = {k: group[k] for k in (*keys, "ty", "tx")}
+                mine.update({c: group[c][n] for c in ("height", "width")})
+                y, x, h, w = _shape(mine, size)
+                y0, x0 = max(0, y - halo), max(0, x - halo)
+                y1, x1 = min(mine["height"], y + h + halo), min(mine["width"], x + w + halo)
+                arrays = {m: np.zeros((y1 - y0, x1 - x0), dtypes[m]) for m in lent}
+                for i, (py, px_, ph, pw) in enumerate(zip(group["py"], group["px"], group["ph"], group["pw"])):
+                    at = slice(py - y0, py - y0 + ph), slice(px_ - x0, px_ - x0 + pw)
+                    for m in lent:
+                        arrays[m][at] = np.frombuffer(group[f"p_{m}"][i], dtypes[m]).reshape(ph, pw)
+                block = Block(tuple(mine[k] for k in keys), mine["ty"], mine["tx"], mine["height"], mine["width"], size, halo, arrays)
+                for name in named:
+                    setattr(block, name, group[name][n])
+                yield block, {**mine, **{m: group[f"k_{m}"][n] for m in kept}}
+
+        pieces = chain.source.mapInPandas(chained(chain.head, chain.steps, ship, piece), piece)
         # at most (2 * reach + 1)^2 pieces meet in one group
-        return gather(source.mapInPandas(ship, piece), [*keys, "ty", "tx"], lists).mapInPandas(assemble, schema)
+        return gather(pieces, [*keys, "ty", "tx"], lists), assembled
 
     def repeat(self, inputs, outputs, fn, halo: int = 1) -> Tiles:
         """Apply a relaxing ``fn`` until no tile reports a change (its ``changed`` counter).
@@ -250,7 +347,7 @@ class Tiles:
         """
         step = self.transform(inputs, outputs, fn, halo, counters=["changed"])
         if self.single:
-            return self._with(step.df.drop("changed"), step.layers)
+            return dataclasses.replace(step, df=step.df.drop("changed"))
         at, reach = [*self.keys, "ty", "tx"], -(-halo // self.size)
         raw = self.select(*[n for n in self.layers if n not in outputs]).cut()
         rounds = [cut(step.df.select(*at, *outputs, "height", "width", "changed"))]
@@ -307,7 +404,7 @@ class Tiles:
         def run(batches):
             for pdf in batches:
                 out = []
-                for g in pdf.to_dict("records"):
+                for g in _records(pdf):
                     at = np.argsort(g[order])
                     rows, parts = [], []
                     for i in at:
@@ -322,14 +419,18 @@ class Tiles:
                     for row, a in zip(rows, np.split(made, ends, axis=axis)):
                         row[output] = np.ascontiguousarray(a, dtype=dtype).tobytes()
                     out += rows
-                yield pd.DataFrame(out)[schema.fieldNames()]
+                    if len(out) >= OPENED_ROWS:
+                        yield pd.DataFrame(out)[schema.fieldNames()]
+                        out = []
+                if out:
+                    yield pd.DataFrame(out)[schema.fieldNames()]
 
         df = gather(self.df, [*keys, across], columns).mapInPandas(run, schema)
         return self._with(df, {**{n: self.layers[n] for n in keep}, output: dtype})
 
     def relabel(self, layer: str, mapping: DataFrame, missing: str = "keep") -> Tiles:
         """Replace labels by ``mapping`` (keys, label, new); others stay or become 0."""
-        dtype, size, columns = self.layers[layer], self.size, self.df.columns
+        dtype, size = self.layers[layer], self.size
         here = self.rows(
             [layer], "ty int, tx int, label bigint",
             lambda b: (lambda u: {"ty": [b.ty] * len(u), "tx": [b.tx] * len(u), "label": u.tolist()})(
@@ -343,27 +444,28 @@ class Tiles:
             .agg(F.collect_list("label").alias("__from"), F.collect_list("new").alias("__to"))
         )
 
-        def apply(batches):
-            for pdf in batches:
-                out = []
-                for blob, old, new in zip(pdf[layer], pdf["__from"], pdf["__to"]):
-                    a = np.frombuffer(blob, dtype)
-                    has = old is not None and len(old) > 0
-                    res = a.copy() if missing == "keep" else np.zeros_like(a)
-                    if has:
-                        o = np.asarray(old, dtype=np.int64)
-                        order = np.argsort(o)
-                        o, n = o[order], np.asarray(new, dtype=np.int64)[order]
-                        at = np.minimum(np.searchsorted(o, a), len(o) - 1)
-                        hit = o[at] == a
-                        res[hit] = n[at[hit]]
-                    out.append(res.astype(dtype).tobytes())
-                pdf = pdf.drop(columns=["__from", "__to"])
-                pdf[layer] = out
-                yield pdf[columns]
-
-        joined = self.df.join(lists, [*self.keys, "ty", "tx"], "left").select(*columns, "__from", "__to")
-        return self._with(joined.mapInPandas(apply, self.df.schema), self.layers)
+        opened = self._open()
+        chain = opened if opened.placed else dataclasses.replace(self, chain=None)._open()
+        old_as, new_as = (f"__{c}{len(chain.steps)}_{len(chain.source.columns)}" for c in ("from", "to"))
+
+        def apply(row):
+            _, _, h, w = _shape(row, size)
+            a = _array(row[layer], dtype, h, w)
+            old, new = row[old_as], row[new_as]
+            res = a.copy() if missing == "keep" else np.zeros_like(a)
+            if old is not None and len(old) > 0:
+                o = np.asarray(old, dtype=np.int64)
+                order = np.argsort(o)
+                o, n = o[order], np.asarray(new, dtype=np.int64)[order]
+                at = np.minimum(np.searchsorted(o, a), len(o) - 1)
+                hit = o[at] == a
+                res[hit] = n[at[hit]]
+            return {**row, layer: res.astype(dtype)}
+
+        lists = lists.withColumnsRenamed({"__from": old_as, "__to": new_as})
+        joined = chain.source.join(lists, [*self.keys, "ty", "tx"], "left")
+        plain = [f for f in self.df.schema if f.name not in (*self.keys, *POSITION, *self.layers)]
+        return self._close(dataclasses.replace(chain, source=joined, steps=(*chain.steps, apply)), self.layers, plain=plain)
 
     def labels_table(self, layer: str) -> DataFrame:
         """(keys, y, x, label): the layer as pixels, for modest images."""
@@ -391,7 +493,15 @@ class Tiles:
 
     def with_scalar(self, values: DataFrame) -> Tiles:
         """Attach per-image columns (for ``per_image``)."""
-        return self._with(look_up(self.df, values, list(self.keys)), self.layers)
+        names = [c for c in values.columns if c not in self.keys]
+        if self.chain is None or any(c in self.df.columns for c in names):
+            return self._with(look_up(self.df, values, list(self.keys)), self.layers)
+        chain, n = self.chain, len(self.chain.steps)
+        inside = {c: f"__{c}{n}_{len(chain.source.columns)}" for c in names}
+        source = look_up(chain.source, values.withColumnsRenamed(inside), list(self.keys))
+        chain = dataclasses.replace(chain, source=source, scalars={**chain.scalars, **inside})
+        plain = [f for f in self.df.schema if f.name not in (*self.keys, *POSITION, *self.layers)]
+        return self._close(chain, self.layers, plain=plain + [StructField(c, values.schema[c].dataType) for c in names])
 
 
 def tile_images(
@@ -408,30 +518,19 @@ def tile_images(
     if single is None:
         top = images.agg(F.max("height"), F.max("width")).first()
         single = top[0] is not None and max(top) <= size
-    schema = StructType(
-        [images.schema[k] for k in keys]
-        + [StructField(p, IntegerType()) for p in POSITION]
-        + [StructField(n, BinaryType()) for n in names]
-    )
+    if single:
+        at = [F.lit(0).alias("ty"), F.lit(0).alias("tx"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width")]
+        chain = Chain(deal(images.select(*keys, *at, *names)))
+    else:
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
+        def cut_up(pdf):
+            for row in _records(pdf):
                 h, w = int(row["height"]), int(row["width"])
-                arrays = {}
-                for n in names:
-                    raw = row[n]
-                    a = np.frombuffer(raw, dtypes[n]) if isinstance(raw, (bytes, bytearray)) else np.asarray(raw, dtypes[n])
-                    arrays[n] = a.reshape(h, w)
+                arrays = {n: _array(row[n], dtypes[n], h, w) for n in names}
                 for ty in range(-(-h // size)):
                     for tx in range(-(-w // size)):
                         at = slice(ty * size, (ty + 1) * size), slice(tx * size, (tx + 1) * size)
-                        one = {k: row[k] for k in keys}
-                        one.update(ty=ty, tx=tx, height=h, width=w)
-                        one.update({n: np.ascontiguousarray(arrays[n][at]).tobytes() for n in names})
-                        out.append(one)
-            yield pd.DataFrame(out, columns=schema.fieldNames())
-
-    df = deal(images.select(*keys, "height", "width", *names)).mapInPandas(run, schema)
-    return Tiles(df, tuple(keys), size, dtypes, single)
+                        yield {**row, "ty": ty, "tx": tx, "height": h, "width": w, **{n: arrays[n][at] for n in names}}
+
+        chain = Chain(deal(images.select(*keys, "height", "width", *names)), cut_up, placed=False)
+    return Tiles(images.select(*keys), tuple(keys), size, {}, bool(single))._close(chain, dtypes)

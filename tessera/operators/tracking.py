@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -20,7 +19,7 @@ from pyspark.sql.window import Window
 
 from tessera.operators import pixels as px
 from tessera.operators.matching import assign
-from tessera.operators.tiles import Tiles
+from tessera.operators.tiles import Tiles, chained
 from tessera.session import cut, look_up
 
 
@@ -54,19 +53,14 @@ def tile_overlaps(t: Tiles, labels: str, time: str, levels: int = 1) -> DataFram
         a = np.frombuffer(blob, dt).reshape(min(size, h - y), min(size, w - x))
         return a[: max(0, row["__h"] - y), : max(0, row["__w"] - x)]
 
-    def count(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                b = block(row["__b"], row, row["height"], row["width"], dtype)
-                a = block(row["__a"], row, row["__ph"], row["__pw"], dtype)
-                both = (a > 0) & (b > 0)
-                u, n = np.unique(np.stack([a[both], b[both]]), axis=1, return_counts=True)
-                base = [row[c] for c in names[:-3]]
-                out += [(*base, int(i), int(j), int(m)) for i, j, m in zip(u[0], u[1], n)]
-            yield pd.DataFrame(out, columns=names)
-
-    shared = met.mapInPandas(count, schema).groupBy(*names[:-1]).agg(F.sum("shared").alias("shared"))
+    def count(row):
+        b = block(row["__b"], row, row["height"], row["width"], dtype)
+        a = block(row["__a"], row, row["__ph"], row["__pw"], dtype)
+        both = (a > 0) & (b > 0)
+        u, n = np.unique(np.stack([a[both], b[both]]), axis=1, return_counts=True)
+        return {**{c: [row[c]] * len(n) for c in names[:-3]}, "a": u[0].tolist(), "b": u[1].tolist(), "shared": n.tolist()}
+
+    shared = met.mapInPandas(chained(None, (), count, schema), schema).groupBy(*names[:-1]).agg(F.sum("shared").alias("shared"))
     sizes = cell_table(t, labels, shape)
     area_a = sizes.select(*keys, F.col(time).alias(f"{time}_prev"), F.col("label").alias("a"), F.col("area").alias("area_a"))
     area_b = sizes.select(*keys, time, F.col("label").alias("b"), F.col("area").alias("area_b"))
