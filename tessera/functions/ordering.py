@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 _MANTISSA = 1 << 52
 _SMALLEST = 2.0**-1022
+_LARGEST = 1.7976931348623157e308
 
 
 def order_key(value: Column) -> Column:
@@ -42,3 +43,11 @@ def high_bucket(key: Column) -> Column:
 def middle_bucket(key: Column) -> Column:
     """The next 21 bits; what is left inside one pair of buckets is 22 bits wide."""
     return (F.shiftright(key, 22).bitwiseAND(F.lit((1 << 21) - 1))).cast("int")
+
+
+def log_bucket(value: Column) -> Column:
+    """A bucket that never falls as the value grows, 512 to the octave; cheaper than bits of ``order_key``."""
+    x = F.abs(value.cast("double"))
+    steps = F.floor(F.log2(F.greatest(F.least(x, F.lit(_LARGEST)), F.lit(5e-324))) * 512) + F.lit(1075 * 512)
+    bucket = F.when(x == 0, 0).when(x > _LARGEST, 2100 * 512).otherwise(steps).cast("int")
+    return F.when(value < 0, -bucket).otherwise(bucket)

@@ -18,11 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.ordering import high_bucket, middle_bucket, order_key
-from tessera.session import is_small
+from tessera.functions.ordering import high_bucket, log_bucket, middle_bucket, order_key
+from tessera.session import cut, is_small, side
 
 _BEFORE = (Window.unboundedPreceding, -1)
 
+#: Values of groups of at most so many rows are collected into lists; an aggregating task holds those of 128 groups at once.
+GROUP_ROWS = 1 << 13
+
 
 def value_counts(
     df: DataFrame,
@@ -130,17 +133,100 @@ def quantiles(
 
     ``probs`` maps output column to probability, for example ``{"median": 0.5}``.  The
     built-in percentile keeps the distinct values of a group in one task, so it is used
-    for inputs of a checked size only; larger inputs are ranked in spread form.
+    for inputs of a checked size only; see ``column_quantiles`` for larger ones.
     """
     if spread is None:
         spread = not is_small(df)
+    v = _known(value)
     if not spread:
-        v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
         q = F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs.values()]))
         kept = df.select(*keys, v.alias("__v")).where(F.col("__v").isNotNull())
         one = kept.groupBy(*keys).agg(q.alias("__q")).where(F.col("__q").isNotNull())
         return one.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(probs)])
-    return quantiles_of_counts(value_counts(df, keys, value), keys, value, probs, spread)
+    kept = df.select(*keys, v.alias("__v")).where(F.col("__v").isNotNull())
+    return _spread_quantiles(kept, keys, ["__v"], probs).drop("__column")
+
+
+def column_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    probs: Mapping[str, float],
+    spread: bool | None = None,
+) -> DataFrame:
+    """Quantiles of several columns: one row (keys, column, probs) per group and column that has values."""
+    if spread is None:
+        spread = not is_small(df)
+    slim = df.select(*keys, *[_known(c).alias(c) for c in columns])
+    if not spread:
+        return quantiles(slim.unpivot(list(keys), list(columns), "column", "__v"), [*keys, "column"], "__v", probs, False)
+    return _spread_quantiles(slim, keys, columns, probs).withColumnRenamed("__column", "column")
+
+
+def _spread_quantiles(slim: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """(keys, __column, probs), by the sizes of the groups, which are counted first.
+
+    The values of a small group meet in one list per column, so a row is moved once for all
+    its columns.  In larger groups the values are counted by bucket, and only buckets that
+    hold a wanted rank are looked into.
+    """
+    sizes = cut(slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
+    few = F.col("__n") <= GROUP_ROWS
+    some, many = sizes.agg(F.bool_or(few), F.bool_or(~few)).first()
+    parts = []
+    if many:
+        large = side(sizes.where(~few).select(_grouped(keys).alias("__g"), F.monotonically_increasing_id().alias("__id")))
+        keyed = slim.select(_grouped(keys).alias("__g"), *columns)
+        parts.append(_quantiles_of_large(keyed, large, keys, columns, probs))
+        slim = keyed.join(large.select("__g"), "__g", "left_anti").select(*_ungroup(keys), *columns)
+    if some or not many:
+        parts.append(_quantiles_of_few(slim, keys, columns, probs))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _known(c: str) -> Column:
+    return F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+
+
+def _quantiles_of_few(slim: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """Quantiles of groups of at most ``GROUP_ROWS`` rows, whose sorted values are one list per column."""
+    # groups are told apart by a number before their keys are compared as text
+    mark = F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0).cast("bigint")
+    lists = slim.groupBy(mark.alias("__k"), *keys).agg(*[F.sort_array(F.collect_list(f"`{c}`")).alias(f"__l{i}") for i, c in enumerate(columns)])
+    named = F.array(*[F.struct(F.lit(c).alias("__column"), F.col(f"__l{i}").alias("__l")) for i, c in enumerate(columns)])
+    each = lists.select(*keys, F.explode(named).alias("__s")).select(*keys, "__s.__column", "__s.__l").where(F.size("__l") > 0)
+    out = []
+    for name, p in probs.items():
+        position = (F.size("__l") - 1) * F.lit(float(p))
+        lo, hi = F.get("__l", F.floor(position).cast("int")), F.get("__l", F.ceil(position).cast("int"))
+        out.append((lo + (hi - lo) * (position - F.floor(position))).alias(name))
+    return each.select(*keys, "__column", *out)
+
+
+def _quantiles_of_large(
+    keyed: DataFrame, large: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Mapping[str, float]
+) -> DataFrame:
+    """Quantiles of the groups in ``large`` (``__g``, ``__id``): counts by bucket, then the values of the buckets that hold a rank."""
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").alias("v")) for i, c in enumerate(columns)]))
+    long = keyed.join(large, "__g").select("__id", values.alias("__s")).select("__id", F.col("__s.c").alias("__c"), F.col("__s.v").alias("__v"))
+    long = long.where(F.col("__v").isNotNull()).withColumn("__h", log_bucket(F.col("__v")))
+    by = Window.partitionBy("__id", "__c")
+    buckets = long.groupBy("__id", "__c", "__h").agg(F.count(F.lit(1)).alias("cnt")).select(
+        "*", _zero(F.sum("cnt").over(by.orderBy("__h").rowsBetween(*_BEFORE))).alias("cnt_below"), F.sum("cnt").over(by).alias("cnt_total")
+    )
+    covers = F.lit(False)
+    for p in probs.values():
+        position = (F.col("cnt_total") - 1) * F.lit(float(p))
+        covers = covers | _holds(F.floor(position)) | _holds(F.ceil(position))
+    # at most two buckets per group, column and probability
+    wanted = side(buckets.where(covers).select("__id", "__c", "__h", F.col("cnt_below").alias("__b"), F.col("cnt_total").alias("__n")))
+    at = ["__id", "__c", "__h"]
+    inside = cut(long.join(wanted.select(*at), at).groupBy(*at, "__v").agg(F.count(F.lit(1)).alias("cnt")))
+    ranked = running_below(inside, at, "__v").join(wanted, at).select(
+        "__id", "__c", "__v", "cnt", (F.col("__b") + F.col("cnt_below")).alias("cnt_below"), F.col("__n").alias("cnt_total")
+    )
+    named = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("__c") + 1).alias("__column")
+    return _pick(ranked, ["__id", "__c"], "__v", probs).join(large, "__id").select(*_ungroup(keys), named, *probs)
 
 
 def quantiles_of_counts(
@@ -151,17 +237,21 @@ def quantiles_of_counts(
     spread: bool | None = None,
 ) -> DataFrame:
     """Same, from a table of distinct values with their ``cnt``."""
-    ranked = running_below(counts, keys, value, spread=spread)
+    return _pick(running_below(counts, keys, value, spread=spread), keys, value, probs)
+
+
+def _holds(rank: Column) -> Column:
+    return (F.col("cnt_below") <= rank) & (rank < F.col("cnt_below") + F.col("cnt"))
+
+
+def _pick(ranked: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """Quantiles from values with their ``cnt``, ``cnt_below`` and ``cnt_total``."""
     last = F.col("cnt_total") - 1
     covers = F.lit(False)
     picks, out = [], []
-
-    def holds(rank):
-        return (F.col("cnt_below") <= rank) & (rank < F.col("cnt_below") + F.col("cnt"))
-
     for name, p in probs.items():
         position = last * F.lit(float(p))
-        lo, hi = holds(F.floor(position)), holds(F.ceil(position))
+        lo, hi = _holds(F.floor(position)), _holds(F.ceil(position))
         covers = covers | lo | hi
         picks += [
             F.max(F.when(lo, F.col(value))).alias(f"__lo_{name}"),
@@ -191,7 +281,7 @@ def _levels(df: DataFrame, keys: Sequence[str], value: str, aggs):
     """Bucketed source plus its two summary levels."""
     others = [c for c in df.columns if c not in keys and c != value]
     keyed = df.select(
-        (F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))).alias("__g"),
+        _grouped(keys).alias("__g"),
         value,
         *others,
         order_key(F.col(value)).alias("__k"),
@@ -206,6 +296,10 @@ def _levels(df: DataFrame, keys: Sequence[str], value: str, aggs):
     return src, mid, top, others
 
 
+def _grouped(keys: Sequence[str]) -> Column:
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+
+
 def _ungroup(keys: Sequence[str]) -> list[Column]:
     return [F.col("__g").getField(k).alias(k) for k in keys]
 

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from tessera.functions import text
 from tessera.functions.probability import rank_sum_p, welch_p
 from tessera.operators.prefix import (
+    column_quantiles,
     quantiles,
     running_below,
     running_min_from_above,
@@ -87,9 +88,9 @@ def describe_groups(long: DataFrame, keys: Sequence[str], spread: bool | None =
     return moments.join(cuts, list(keys))
 
 
-def replicate_medians(long: DataFrame, keys: Sequence[str], replicate: str, spread: bool | None = None) -> DataFrame:
-    """Median per key and replicate."""
-    return quantiles(long, [*keys, replicate], "value", {"median": 0.5}, spread)
+def replicate_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str], replicate: str, spread: bool | None = None) -> DataFrame:
+    """(keys, replicate, column, median): median of every column per key and replicate."""
+    return column_quantiles(df, [*keys, replicate], columns, {"median": 0.5}, spread)
 
 
 def describe_replicates(medians: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -204,20 +205,18 @@ def summarise(
     )
     sizes = side(sizes)
     flagged = known.join(sizes, group)
-    # seven passes follow; they read columns of one written table instead of redoing the joins
-    long = cut(long_values(flagged, [group, "__ctrl", "__rows", replicate], columns))
+    # several passes follow; they read columns of one written table instead of redoing the joins
+    wide = cut(flagged.select(group, "__ctrl", "__rows", replicate, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]))
+    long = long_values(wide, [group, "__ctrl", "__rows"], columns)
     shown = long.where(F.col("__rows") >= min_cells)
 
+    kept = wide.where(F.col("__rows") >= min_cells)
     cells = describe_groups(shown.select(group, "column", "value"), ["column", group], spread)
-    medians = replicate_medians(
-        long.select("column", group, "__ctrl", "__rows", replicate, "value"),
-        ["column", group, "__ctrl", "__rows"], replicate, spread,
-    )
-    reps = describe_replicates(medians.where(F.col("__rows") >= min_cells), ["column", group])
-    pooled = long.where("__ctrl")
-    control_median = quantiles(pooled, ["column"], "value", {"ctrl_median": 0.5}, spread)
+    reps = describe_replicates(replicate_medians(kept, [group], columns, replicate, spread), ["column", group])
+    pooled = wide.where("__ctrl")
+    control_median = column_quantiles(pooled, [], columns, {"ctrl_median": 0.5}, spread)
     # a replicate that spans several control groups is one replicate of the pooled controls
-    control_reps = quantiles(pooled, ["column", replicate], "value", {"median": 0.5}, spread)
+    control_reps = replicate_medians(pooled, [], columns, replicate, spread)
     control_reps = describe_replicates(control_reps, ["column"]).select(
         "column",
         F.col("n_replicates").alias("__cn"),
@@ -278,15 +277,14 @@ def robust_shift(
     any_control = flags.agg(F.coalesce(F.bool_or("is_control"), F.lit(False)).alias("__any"))
     flagged = df.where(F.col(group).isNotNull()).join(flags.withColumnRenamed("is_control", "__ctrl"), group)
     flagged = flagged.crossJoin(F.broadcast(any_control))  # exactly one row
-    long = long_values(flagged, [group, "__ctrl", "__any"], columns)
-    ref = long.where(F.col("__ctrl") | ~F.col("__any"))
-    mid = quantiles(ref, ["column"], "value", {"__med": 0.5}, spread)
+    wide = flagged.select(group, "__ctrl", "__any", *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    ref = wide.where(F.col("__ctrl") | ~F.col("__any"))
+    mid = column_quantiles(ref, [], columns, {"__med": 0.5}, spread)
     # one row per value column: as many rows as there are column names in this call
-    dev = ref.join(F.broadcast(mid), "column").select(
-        "column", F.abs(F.col("value") - F.col("__med")).alias("value")
-    )
-    mad = quantiles(dev, ["column"], "value", {"__mad": 0.5}, spread)
-    sd = ref.groupBy("column").agg(F.stddev_samp("value").alias("__sd"))
+    centre = mid.agg(F.map_from_entries(F.collect_list(F.struct("column", "__med"))).alias("__at"))
+    dev = ref.crossJoin(F.broadcast(centre)).select(*[F.abs(F.col(f"`{c}`") - F.col("__at")[c]).alias(c) for c in columns])
+    mad = column_quantiles(dev, [], columns, {"__mad": 0.5}, spread)
+    sd = long_values(ref, [], columns).groupBy("column").agg(F.stddev_samp("value").alias("__sd"))
     scale = mid.join(mad, "column").join(sd, "column").select(
         "column",
         "__med",
@@ -294,7 +292,7 @@ def robust_shift(
             F.nullif(1.4826 * F.col("__mad"), F.lit(0.0)), F.nullif(F.col("__sd"), F.lit(0.0)), F.lit(1.0)
         ).alias("__scale"),
     )
-    meds = quantiles(long, [group, "column"], "value", {"median": 0.5}, spread)
+    meds = column_quantiles(wide, [group], columns, {"median": 0.5}, spread)
     return meds.join(F.broadcast(scale), "column").select(
         group, "column", ((F.col("median") - F.col("__med")) / F.col("__scale")).alias("shift")
     )
@@ -322,10 +320,11 @@ def plate_names(df: DataFrame) -> DataFrame:
         (F.bool_or(F.col("plate_num").isNotNull()) if "plate_num" in have else F.lit(False)).alias("__plates"),
         (F.bool_or(F.col("sample_num").isNotNull()) if "sample_num" in have else F.lit(False)).alias("__samples"),
     )
-    named = df.crossJoin(F.broadcast(facts)).withColumn("plate_name", name)  # exactly one row
+    # the facts are one row each, written so that no later pass over the table repeats them
+    named = df.crossJoin(F.broadcast(cut(facts))).withColumn("plate_name", name)
     wells = named.select("plate_name", "well_row", "well_column").distinct().groupBy("plate_name").count()
     multi = wells.agg((F.max("count") >= 2).alias("__multi"))
-    return named.crossJoin(F.broadcast(multi)).withColumn(
+    return named.crossJoin(F.broadcast(cut(multi))).withColumn(
         "plate_name", F.when(F.col("__multi"), F.col("plate_name")).otherwise("all data")
     ).drop("__plates", "__samples", "__multi")
 
@@ -335,8 +334,7 @@ def plate_medians(df: DataFrame, columns: Sequence[str], spread: bool | None = N
     placed = df.withColumn("plate_row", text.row_index(F.col("well_row"))).withColumn(
         "plate_col", F.expr("try_cast(well_column as int)") - 1
     ).where("plate_row is not null and plate_col is not null")
-    long = long_values(plate_names(placed), ["plate_name", "plate_row", "plate_col"], columns)
-    return quantiles(long, ["column", "plate_name", "plate_row", "plate_col"], "value", {"median": 0.5}, spread)
+    return column_quantiles(plate_names(placed), ["plate_name", "plate_row", "plate_col"], columns, {"median": 0.5}, spread)
 
 
 def heatmap_limits(medians: DataFrame) -> DataFrame:
@@ -348,8 +346,8 @@ def time_course(
     df: DataFrame, group: str, columns: Sequence[str], time: str = "timepoint", spread: bool | None = None
 ) -> DataFrame:
     """Quartiles per group and time."""
-    long = long_values(df.where(F.col(group).isNotNull()), [group, time], columns)
-    return quantiles(long, ["column", group, time], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, spread)
+    known = df.where(F.col(group).isNotNull())
+    return column_quantiles(known, [group, time], columns, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, spread)
 
 
 def box_stats(long: DataFrame, keys: Sequence[str], spread: bool | None = None) -> DataFrame:

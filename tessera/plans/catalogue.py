@@ -495,7 +495,7 @@ def _rounded(df, skip=()):
         round(stddev_samp(med),6)+0.0 AS replicate_median_sd FROM m GROUP BY ALL""",
 )
 def _(spark, sf):
-    med = summary.replicate_medians(_long(spark, sf, ["treatment", "replicate"]), ["column", "treatment"], "replicate")
+    med = summary.replicate_medians(cells(spark, sf), ["treatment"], MEASURES, "replicate")
     return _rounded(summary.describe_replicates(med, ["column", "treatment"]).drop("replicate_median_var"))
 
 
@@ -556,9 +556,7 @@ WELCH = """m AS (SELECT "column", treatment, is_control, replicate, median(value
 
 
 def _welch_td(spark, sf):
-    med = summary.replicate_medians(
-        _long(spark, sf, ["treatment", "is_control", "replicate"]), ["column", "treatment", "is_control"], "replicate"
-    )
+    med = summary.replicate_medians(cells(spark, sf), ["treatment", "is_control"], MEASURES, "replicate")
     s = summary.describe_replicates(med, ["column", "treatment", "is_control"])
     c = s.where("is_control").select(
         "column", F.col("replicate_median_mean").alias("cm"), F.col("replicate_median_var").alias("cv"), F.col("n_replicates").alias("cn")

@@ -5,9 +5,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import ordering
 from tessera.functions.ordering import order_key
 from tessera.functions.probability import exact_rank_sum_two_sided, student_two_sided
 from tessera.functions.register import register_functions
+from tessera.functions import ordering
 from tessera.operators import prefix, summary
 
 RNG = np.random.default_rng(9)
@@ -139,3 +141,43 @@ def test_robust_shift_scale_falls_back(spark):
     got = {(r.g, r["column"]): r["shift"] for r in summary.robust_shift(df, "g", ["v", "w"]).collect()}
     assert got["a", "v"] == 3.0  # no spread at all: scale one
     assert np.isclose(got["a", "w"], 8 / np.std([1, 1, 1, 5], ddof=1))  # zero MAD: sample sd
+
+
+def test_quantiles_of_groups_of_all_sizes(spark, monkeypatch):
+    # small groups as lists, large ones by buckets, a row moved once for all columns
+    monkeypatch.setattr(prefix, "GROUP_ROWS", 20)
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"column": rng.choice(["a", "b", "c", None], 3000, p=[0.9, 0.09, 0.005, 0.005]), "l": rng.integers(0, 2, 3000)})
+    pdf["v"] = np.where(rng.random(3000) < 0.1, np.nan, np.round(rng.normal(0, 3, 3000), 1))
+    pdf["w"] = np.where(pdf["column"] == "b", 1.0 + rng.random(3000) * 2**-20, 0.0)
+    pdf["x"] = np.where(pdf["column"] == "a", np.nan, rng.choice([-1e300, -5e-324, 0.0, 5e-324, 1e300], 3000))
+    probs = {"a": 0.0, "b": 0.5, "c": 0.98}
+    for c in "vwx":
+        one = prefix.quantiles(spark.createDataFrame(pdf), ["column", "l"], c, probs, True).toPandas()
+        want = {(k, j): np.nanquantile(g[c], list(probs.values())) for (k, j), g in pdf.groupby(["column", "l"], dropna=False) if g[c].notna().any()}
+        got = {(r.column, r.l): (r.a, r.b, r.c) for r in one.itertuples()}
+        assert len(got) == len(want)
+        for (k, j), q in want.items():
+            assert got[None if k is None or k != k else k, j] == pytest.approx(q)
+    every = prefix.column_quantiles(spark.createDataFrame(pdf).withColumnRenamed("column", "g"), ["g"], ["v", "w", "x"], probs, True)
+    short = prefix.column_quantiles(spark.createDataFrame(pdf).withColumnRenamed("column", "g"), ["g"], ["v", "w", "x"], probs, False)
+    got, want = ({(r.g, r.column): (r.a, r.b, r.c) for r in f.collect()} for f in (every, short))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(q) for k, q in want.items())
+
+
+def test_buckets_never_fall(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 1, 500) * 10.0 ** rng.integers(-320, 308, 500), 2.0 ** np.arange(-1074, 1024, 7), [0.0, np.inf, 1.7976931348623157e308]])
+    x = np.sort(np.concatenate([x, -x, np.nextafter(x, np.inf), np.nextafter(x, -np.inf)]))
+    x = x[~np.isnan(x)]
+    df = spark.createDataFrame(pd.DataFrame({"i": range(len(x)), "v": x}))
+    got = df.select("i", ordering.log_bucket(F.col("v")).alias("b")).orderBy("i").toPandas()["b"].to_numpy()
+    assert (np.diff(got) >= 0).all() and len(np.unique(got)) > 700
+
+
+def test_medians_move_a_row_once_for_all_columns(spark):
+    df = spark.createDataFrame(pd.DataFrame({"g": [1, 1, 2], "v": [1.0, 2.0, 3.0], "w": [4.0, None, 6.0]}))
+    out = prefix.column_quantiles(df, ["g"], ["v", "w"], {"m": 0.5}, True)
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    # before, every row was copied for each column first
+    assert sorted(map(tuple, out.collect())) == [(1, "v", 1.5), (1, "w", 4.0), (2, "v", 3.0), (2, "w", 6.0)]
