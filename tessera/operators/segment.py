@@ -280,10 +280,12 @@ def peaks(t: Tiles, value: str, mask: str, out: str, reach: int) -> Tiles:
         after = k.settle_peaks(b[value], b["__state"], b.positions(), reach, b.core)[b.core]
         return {"__state": after, "changed": int((after != before).sum())}
 
-    t = t.transform([value, mask], {"__state": "u1"}, candidates, halo=reach)
-    t = t.repeat([value, "__state"], {"__state": "u1"}, space, halo=reach)
-    t = pointwise(t, ["__state"], out, LABEL, lambda b: np.where(b["__state"] == 1, b.positions(), 0))
-    return number(_drop(t, "__state").cut(), out)
+    def spaced(t):
+        t = t.transform([value, mask], {"__state": "u1"}, candidates, halo=reach)
+        t = t.repeat([value, "__state"], {"__state": "u1"}, space, halo=reach)
+        return _drop(pointwise(t, ["__state"], out, LABEL, lambda b: np.where(b["__state"] == 1, b.positions(), 0)), "__state")
+
+    return number(t.in_blocks(spaced).cut(), out)
 
 
 def watershed(t: Tiles, surface: str, markers: str, out: str, mask: str | None = None) -> Tiles:
@@ -320,30 +322,35 @@ def watershed(t: Tiles, surface: str, markers: str, out: str, mask: str | None =
         after = k.settle_labels(b["__level"], b["__steps"], fixed, b[out])[b.core]
         return {out: after, "changed": int((after != b[out][b.core]).sum())}
 
-    t = t.transform(inputs, {"__in": "u1", "__level": "f8", "__steps": LABEL, out: LABEL}, start)
-    t = t.repeat([surface, "__in", "__level", "__steps"], {"__level": "f8", "__steps": LABEL}, rise)
-    t = t.repeat(["__level", "__steps", markers, out], {out: LABEL}, colour)
-    return _drop(t, "__in", "__level", "__steps")
+    def flooded(t):
+        t = t.transform(inputs, {"__in": "u1", "__level": "f8", "__steps": LABEL, out: LABEL}, start)
+        t = t.repeat([surface, "__in", "__level", "__steps"], {"__level": "f8", "__steps": LABEL}, rise)
+        t = t.repeat(["__level", "__steps", markers, out], {out: LABEL}, colour)
+        return _drop(t, "__in", "__level", "__steps")
+
+    return t.in_blocks(flooded)
 
 
 def deep_minima(t: Tiles, layer: str, out: str, depth: DataFrame) -> Tiles:
     """Mask of minima at least ``depth`` (keys, depth) deep, with 8 neighbours."""
-    t = t.with_scalar(depth)
-    t = t.transform([layer], {"__fill": "f8"}, lambda b: {"__fill": b[layer].astype(float) + b.depth}, per_image=["depth"])
 
     def sink(b):
         before = b["__fill"][b.core].copy()
         after = k.settle_fill(b[layer], b["__fill"])[b.core]
         return {"__fill": after, "changed": int((after != before).sum())}
 
-    t = t.repeat([layer, "__fill"], {"__fill": "f8"}, sink).with_scalar(depth)
-
     def deep(b):
         # a sum and a difference of rounded numbers are off by less than this
         v = b[layer].astype(float)
         return (b["__fill"] - v) >= b.depth - 1e-15 * (np.abs(v) + b.depth)
 
-    return _drop(pointwise(t, [layer, "__fill"], out, "u1", deep, per_image=["depth"]), "__fill")
+    def filled(t):
+        t = t.with_scalar(depth)
+        t = t.transform([layer], {"__fill": "f8"}, lambda b: {"__fill": b[layer].astype(float) + b.depth}, per_image=["depth"])
+        t = t.repeat([layer, "__fill"], {"__fill": "f8"}, sink).with_scalar(depth)
+        return _drop(pointwise(t, [layer, "__fill"], out, "u1", deep, per_image=["depth"]), "__fill")
+
+    return t.in_blocks(filled)
 
 
 # ---------------------------------------------------------------- label image tables

@@ -25,7 +25,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from tessera.session import cut, deal, look_up
+from tessera.session import bounded_batches, cut, deal, look_up
 
 POSITION = ("ty", "tx", "height", "width")
 
@@ -42,6 +42,9 @@ def gather(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFr
 #: A Python worker hands its rows on as soon as it holds so many rows or bytes, and opens so many input rows at a time.
 HELD_ROWS, HELD_BYTES, OPENED_ROWS = 16384, 8 << 20, 256
 
+#: Functions that repeat until nothing changes work in blocks of tiles of at most this height and width.
+BLOCK = 256
+
 
 def _records(pdf: pd.DataFrame):
     for i in range(0, len(pdf), OPENED_ROWS):
@@ -194,6 +197,60 @@ class Tiles:
     def cut(self) -> Tiles:
         return self._with(cut(self.df), self.layers)
 
+    # ------------------------------------------------------------------ blocks
+
+    def in_blocks(self, run: Callable[[Tiles], Tiles], limit: int | None = None) -> Tiles:
+        """``run`` on tiles that are joined to blocks of at most ``limit`` pixels in height and width, cut up again afterwards.
+
+        For functions whose results do not depend on tile borders: what lies within one block needs no further round, and an
+        image of one block none at all.  A task holds one block.
+        """
+        side = (BLOCK if limit is None else limit) // self.size
+        if self.single or side < 2:
+            return run(self)
+        return run(self._joined(side))._cut_up(self.size)
+
+    def _joined(self, side: int) -> Tiles:
+        """The layers in tiles of ``side`` times the height and width."""
+        small, size, dtypes = self.size, self.size * side, dict(self.layers)
+        meta = [*self.keys, *POSITION]
+        top = self._open().source.agg(F.max("height"), F.max("width")).first()
+        at = [(F.floor(F.col(c) / side)).cast("int").alias(c) for c in ("ty", "tx")]
+        inner = [(F.col(c) % side).cast("int").alias(f"__{c}") for c in ("ty", "tx")]
+        parts = self.df.select(*self.keys, *at, "height", "width", *inner, *dtypes)
+        # at most side * side tiles meet in one group
+        source = gather(parts, meta, ["__ty", "__tx", *dtypes])
+
+        def head(pdf):
+            for row in _records(pdf):
+                _, _, h, w = _shape(row, size)
+                made = {n: np.zeros((h, w), d) for n, d in dtypes.items()}
+                for i, (ty, tx) in enumerate(zip(row["__ty"], row["__tx"])):
+                    y, x = ty * small, tx * small
+                    th, tw = min(small, h - y), min(small, w - x)
+                    for n, d in dtypes.items():
+                        made[n][y: y + th, x: x + tw] = _array(row[n][i], d, th, tw)
+                yield {**row, **made}
+
+        joined = dataclasses.replace(self, size=size, single=top[0] is not None and max(top) <= size, df=self.df.select(*self.keys))
+        return joined._close(Chain(source, head), dtypes)
+
+    def _cut_up(self, size: int) -> Tiles:
+        """The layers in tiles of ``size``, which divides the present one."""
+        big, dtypes = self.size, dict(self.layers)
+
+        def head(pdf):
+            for row in _records(pdf):
+                y, x, h, w = _shape(row, big)
+                arrays = {n: _array(row[n], d, h, w) for n, d in dtypes.items()}
+                for dy in range(0, h, size):
+                    for dx in range(0, w, size):
+                        at = slice(dy, dy + size), slice(dx, dx + size)
+                        yield {**row, "ty": (y + dy) // size, "tx": (x + dx) // size, **{n: a[at] for n, a in arrays.items()}}
+
+        small = dataclasses.replace(self, size=size, single=False)
+        return small._close(Chain(self.df.select(*self.keys, *POSITION, *dtypes), head, placed=False), dtypes)
+
     # ------------------------------------------------------------------ tile functions
 
     def transform(
@@ -319,7 +376,8 @@ class Tiles:
                 if not any(group["own"]):
                     continue
                 n = int(np.argmax(group["own"]))
-                mine = {k: group[k] for k in (*keys, "ty", "tx")}
+                # what was joined to the met tiles since stays with them
+                mine = {k: v for k, v in group.items() if k not in lists}
                 mine.update({c: group[c][n] for c in ("height", "width")})
                 y, x, h, w = _shape(mine, size)
                 y0, x0 = max(0, y - halo), max(0, x - halo)
@@ -513,6 +571,7 @@ def tile_images(
     A row is one plane of one file and is cut where it was read; only a small input is dealt
     out over the cores first.
     """
+    bounded_batches(images.sparkSession)
     keys, names = list(keys), list(layers)
     dtypes = dict(layers)
     if single is None:

@@ -20,6 +20,7 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # rows of the image plane carry a whole tile, so few rows make a batch
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     "spark.sql.python.filterPushdown.enabled": "true",
     # call sites of every column expression are only needed while debugging
     "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -56,6 +57,12 @@ def deal(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of tiles as in ``DEFAULTS``, also in a session with other defaults: a Python worker holds a batch or two."""
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.set(key, DEFAULTS[key])
+
+
 def build_session(app: str = "tessera", master: str | None = None, **conf) -> SparkSession:
     """A session with the defaults above; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)

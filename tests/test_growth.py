@@ -57,3 +57,56 @@ def test_blocks_are_settled_without_a_frame_each():
     # the rows of a block come as plain tuples, in order
     rows = [(1, 2, 0.5, 1, 2, 1, 1, 3, True), (2, 3, 0.6, 2, 3, 1, 1, 3, True), (3, 4, 0.7, 3, 4, 1, 1, 3, True)]
     assert [r[:3] for r in graph.settled(rows) if r[0] == "taken"] == [("taken", 1, 2), ("taken", 2, 3)]
+
+
+def test_an_image_of_one_block_takes_no_rounds(spark, monkeypatch):
+    t = tiles.tile_images(images(spark, 20), ["vec_id"], {"v": "<f4"}, 2, single=False)
+    monkeypatch.setattr(tiles.Tiles, "repeat", (lambda f: lambda self, *a, **b: seen.append(self.single) or f(self, *a, **b))(tiles.Tiles.repeat))
+    seen = []
+    t = sg.pointwise(t, ["v"], "m", sg.LABEL, lambda b: sg.np.where(b["v"] == 0, b.positions(), 0))
+    t = sg.pointwise(t, ["v"], "h", "f8", lambda b: b["v"].astype(float))
+    assert sg.watershed(t, "h", "m", "w").df.count() == 80
+    assert seen == [True, True]
+
+
+def test_blocks_of_tiles_give_what_tiles_give(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, h, w, bytearray(rng.random((h, w)).astype("<f4").tobytes())) for i, (h, w) in enumerate([(7, 12), (4, 4)])]
+    df = spark.createDataFrame(rows, "scene int, height int, width int, v binary")
+
+    def flooded(block):
+        monkeypatch.setattr(tiles, "BLOCK", block)
+        t = tiles.tile_images(df, ["scene"], {"v": "<f4"}, 4, single=False)
+        t = sg.pointwise(t, ["v"], "k", "u1", lambda b: sg.np.ones(b["v"].shape))
+        t = sg.peaks(t, "v", "k", "p", 1)
+        t = sg.watershed(sg.pointwise(t, ["v"], "h", "f8", lambda b: -b["v"].astype(float)), "h", "p", "w")
+        t = sg.deep_minima(t, "v", "o", spark.range(2).selectExpr("cast(id as int) as scene", "0.3D as depth"))
+        assert t.size == 4
+        return {(r.scene, r.ty, r.tx, r.height, r.width): (bytes(r.w), bytes(r.o)) for r in t.df.collect()}
+
+    # 4: tiles as they are, 8: blocks of 2 x 2 tiles, 256: every image is one block
+    want = flooded(4)
+    assert len(want) == 2 * 3 + 1 and flooded(8) == want and flooded(256) == want
+
+
+def test_batches_of_tiles_are_bounded_in_any_session(spark):
+    before = {c: spark.conf.get(c) for c in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        t = tiles.tile_images(images(spark, 5000).coalesce(1), ["vec_id"], {"v": "<f4"}, 4, single=True)
+        sizes = t.df.mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches), "n long").collect()
+        assert sum(r.n for r in sizes) == 5000 and max(r.n for r in sizes) <= 256
+        wide = spark.range(64).coalesce(1).selectExpr("id", "cast(repeat('x', 1 << 20) as binary) as v")
+        sizes = wide.mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches), "n long").collect()
+        assert sum(r.n for r in sizes) == 64 and max(r.n for r in sizes) <= 16
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+
+
+def test_facts_may_be_joined_after_tiles_met(spark):
+    t = tiles.tile_images(images(spark, 3), ["vec_id"], {"v": "<f4"}, 2, single=False)
+    t = sg.box_maximum(t, "v", "m", 1).with_scalar(spark.range(3).selectExpr("id as vec_id", "cast(id as double) as more"))
+    out = sg.pointwise(t, ["m"], "m", "f8", lambda b: b["m"] * 0 + b.more, per_image=["more"]).pixels_table("m")
+    got = out.collect()
+    assert len(got) == 48 and all(r.v == r.vec_id for r in got)
