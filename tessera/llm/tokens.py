@@ -21,6 +21,8 @@ from tokenizers import Tokenizer
 SIMPLE = regex.compile(r"(?:[\x21-\x7EÀ-ÖØ-öø-ÿ](?!\|)| )*")
 OTHER = regex.compile(r"[^ ]*(?:[^\x20-\x7EÀ-ÖØ-öø-ÿ]|[^ ]\|)[^ ]*")
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: So many different chunks are encoded at a time, and the ids of so many chunks are put in place at a time.
+CODED, PLACED = 1 << 13, 1 << 17
 #: Ends a part of a word; of three bytes, which merge before all others.
 MARK = "\ue000"
 
@@ -80,17 +82,28 @@ class WordIds:
         chunks = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         if isinstance(chunks, pa.ChunkedArray):
             chunks = chunks.combine_chunks()
-        coded = chunks.flatten().dictionary_encode()
         words = np.append(0, np.cumsum(pc.list_value_length(chunks).to_numpy()))[1:]
+        coded = chunks.flatten().dictionary_encode()
+        del chunks
         if not len(coded):
             return np.zeros(0, "<u4"), np.zeros(len(words), np.int64)
         codes, different = coded.indices.to_numpy(), coded.dictionary
-        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(different)], pa.int32()), different.cast(pa.string())), " ")[0].as_py()
-        flat, begin, size = self.chunks(joined)
-        n = size[codes]
-        ends = np.cumsum(n)
-        ids = flat[np.repeat(begin[codes] - (ends - n), n) + np.arange(ends[-1])]
-        return ids, np.append(0, ends)[words]
+        flat, begin, size, known = [], [], [], 0
+        for k in range(0, len(different), CODED):
+            some = different.slice(k, CODED).cast(pa.string())
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), " ")[0].as_py()
+            made, at, n = self.chunks(joined)
+            flat.append(made), begin.append(at + known), size.append(n)
+            known += len(made)
+        flat, begin, size = np.concatenate(flat), np.concatenate(begin), np.concatenate(size)
+        ends = np.append(0, np.cumsum(size[codes]))
+        ids = np.empty(ends[-1], "<u4")
+        for k in range(0, len(codes), PLACED):
+            some = codes[k : k + PLACED]
+            n = size[some]
+            low, high = ends[k], ends[min(k + PLACED, len(codes))]
+            ids[low:high] = flat[np.repeat(begin[some] - ends[k : k + len(some)], n) + np.arange(low, high)]
+        return ids, ends[words]
 
     def of(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian bytes."""

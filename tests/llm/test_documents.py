@@ -452,3 +452,16 @@ def test_rules_hold_their_keywords_and_settle():
     assert len(s.rules) > 300 and all(r.keywords for r in s.rules)
     found = s.settle(s.detections("licensed under the terms of the mozilla public license, version 2.0"))
     assert [(r.label, r.priority) for _, _, r in found] == [("mpl", 2)]
+
+
+def test_chunks_are_encoded_and_placed_in_bounded_parts(monkeypatch):
+    path = packing.tokenizer_path()
+    ids, seen = tokens.WordIds(path), []
+    texts = [" ".join(f"word{(i * j) % 9973} Ünïted 12.5" for i in range(2000)) for j in (1, 7, 31)] + [None, "", " \n", "Größe 漢字 a|b"]
+    monkeypatch.setattr(ids, "chunks", lambda joined: seen.append(joined.count(" ") + 1) or tokens.WordIds.chunks(ids, joined))
+    monkeypatch.setattr(tokens, "CODED", 1000, raising=False)
+    monkeypatch.setattr(tokens, "PLACED", 777, raising=False)
+    got, ends = ids.of_all(pa.array(texts, pa.string()))
+    assert len(seen) == 5 and max(seen) <= 1000
+    want = [ids.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert got.tolist() == [i for w in want for i in w] and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
