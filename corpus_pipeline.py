@@ -11,23 +11,27 @@ from tessera.llm import decontaminate, jaccard_join, language, packing
 from tessera.llm.common import bounded_batches, table
 from tessera.session import cut
 
+#: Bytes of a batch in the stages whose results do not depend on it; packing encodes the different chunks of a larger batch together.
+BATCH = 2 << 20
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is rejected."""
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH)
     return language.identified(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH)
     return jaccard_join.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    bounded_batches(spark)
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+    benchmark = table(spark, sf_dir, "benchmark")
+    bounded_batches(spark, BATCH)
+    return decontaminate.clean(docs, benchmark)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,10 +16,10 @@ from tessera.session import cut
 SMALL_SIDE = 32 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Rows go to Python workers in batches of bounded size: whole texts are long, and a worker keeps the memory of its largest batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def tidy() -> None:

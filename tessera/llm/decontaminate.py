@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import beside, tidied
-from tessera.llm.text import FOLD, ODD, buffers, mix, run_hashes, slices, spans
+from tessera.llm.text import FINE, FOLD, ODD, buffers, mix, run_hashes, slices, spans
 from tessera.session import cut
 
 #: 1: the word counts, 0: it may be anything.
@@ -81,7 +81,7 @@ def hash_windows(rows: DataFrame, masks: list[str], table=None, only: dict[str,
 
     def run(batches):
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", FINE):
                 w, n = word_list(part.column(1))
                 ends = np.repeat(np.cumsum(n), n)
                 text = np.repeat(np.arange(len(n)), n)
@@ -160,7 +160,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 50, masks: tuple
 
     def arrays(batches):
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", FINE):
                 w, n = word_list(part.column(1))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(w.view(np.int64)))], ["key", "words"]

@@ -33,7 +33,7 @@ from pyspark.sql.types import LongType, StructType
 from pyspark.sql.window import Window
 
 from tessera.llm.common import beside, components, tidied
-from tessera.llm.text import mix, shingles, slices, words
+from tessera.llm.text import FINE, mix, shingles, slices, words
 from tessera.session import cut
 
 SKETCH_BITS = 18
@@ -60,7 +60,7 @@ def shingle_counts(docs: DataFrame, size: int = 5) -> np.ndarray:
     def run(batches):
         cells = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", FINE):
                 found = [s >> _SHIFT for s in sets_of(part.column(0), size)]
                 cells += np.bincount(np.concatenate(found).astype(np.int64), minlength=len(cells))
         at = np.flatnonzero(cells)
@@ -79,7 +79,7 @@ def prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def run(batches):
         cells = counts.value
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", FINE):
                 node, n, prefix, ends = [], [], [], [0]
                 for s in sets_of(part.column(1), size):
                     k = len(s)
@@ -100,7 +100,7 @@ def whole_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", FINE):
                 keep, items, ends = [], [], [0]
                 for want, s in zip(part.column(1).to_pylist(), sets_of(part.column(0), size)):
                     if len(s) and node_of(s) == want:
@@ -235,7 +235,7 @@ def numbered(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", FINE):
                 sets = list(sets_of(part.column(1), size))
                 node, n = pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns, node, n], ["row", "text", "node", "n"])

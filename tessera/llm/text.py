@@ -9,7 +9,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
+#: For functions that make several numbers a word: so many bytes of text at a time.
+FINE = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 FOLD = np.arange(256, dtype=np.uint8)

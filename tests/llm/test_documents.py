@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -70,6 +71,21 @@ def test_words_are_hashed_alike_wherever_they_stand():
     assert (text.words(pa.array(texts).slice(3, 2))[0] == h[n[:3].sum() : n[:5].sum()]).all()
 
 
+def test_window_hashes_hold_a_bounded_part_of_a_batch():
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = decontaminate.hash_windows(Rows(), list(decontaminate.MASKS))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(256)), pa.array([f"{i:03d} hold these few words " * 1200 for i in range(256)])], ["key", "text"])
+    tracemalloc.start()
+    made = sum(len(b) for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == sum(256 * (6000 - len(m) + 1) for m in decontaminate.MASKS)
+    assert peak < 60 << 20, peak
+
+
 def shingle_set(t, k=5):
     w = split(t)
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
