@@ -26,11 +26,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.text import FOLD, SPACE, buffers, run_hashes, slices, spans
+from tessera.llm.text import buffers, run_hashes, slices, spans
 from tessera.session import cut
 
 #: The first words and the rare ones are classes of one; all further words share classes.
@@ -42,6 +43,12 @@ NOISE = 32
 #: Noise words of the target's own class.
 INSIDE = 8
 BATCH = 512
+#: Noise is drawn for so many windows at a time.
+PLANNED = 64 * BATCH
+#: Up to so many rows of one number are added up together with those of other numbers; numpy adds longer runs in another order.
+LAYERS = 8
+#: About so many logits are made at a time, so that they stay in a core's own cache.
+TILE = 1 << 17
 RATE = 0.15
 ROUNDS = 2
 HOT = 1 << 16
@@ -62,12 +69,16 @@ def held_out() -> F.Column:
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes with an END after each text, a suffix bucket for each token, and the number of tokens of each text."""
     data, offsets = buffers(column)
-    data_folded = FOLD[data]
-    s, e, n = spans(~SPACE[data], offsets)
+    blank = data - np.uint8(9) < 5
+    blank |= data == 32
+    s, e, n = spans(~blank, offsets)
+    data = data + ((data - np.uint8(65) < 26).view(np.uint8) << 5)
     at = np.cumsum(n)  # an END goes before the first word of the next text
-    h = np.insert(run_hashes(data_folded, s, e), at, END)
-    tail = data_folded[e - 1].astype(np.int64) * 31 + np.where(e - s > 1, data_folded[np.maximum(e - 2, 0)], 0) if len(e) else np.zeros(0, np.int64)
-    return h, np.insert(tail % SUFFIXES, at, 0), n + 1
+    h = np.insert(run_hashes(data, s, e), at, END)
+    last = data.take(e - 1).astype(np.uint16)
+    before = data.take(np.maximum(e - 2, 0))
+    before[e - s == 1] = 0
+    return h, np.insert((last * 31 + before) % SUFFIXES, at, 0).astype(np.int64), n + 1
 
 
 class Vocabulary:
@@ -82,9 +93,7 @@ class Vocabulary:
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place among the hot words (-1: none) and number of each token."""
-        at = np.searchsorted(self.hot, h)
-        at[at == len(self.hot)] = 0
-        at[self.hot[at] != h] = -1
+        at = pc.index_in(pa.array(h), value_set=pa.array(self.hot)).fill_null(-1).to_numpy()
         return at, np.where(at < 0, self.size - 1, self.number[at])
 
 
@@ -128,76 +137,262 @@ class LogBilinear:
 
     def predicted(self, ctx: np.ndarray) -> np.ndarray:
         """The predicted vectors, with a one for the bias."""
-        out = np.ones((len(ctx), WIDTH + 1), np.float32)
-        out[:, :-1] = sum(self.c[j, :-1] * self.r[ctx[:, j], :-1] for j in range(CONTEXT))
+        return self.summed(self.r.take(ctx, axis=0))
+
+    def summed(self, inputs: np.ndarray) -> np.ndarray:
+        """The predicted vectors of (tokens, CONTEXT) input vectors."""
+        parts = inputs * self.c
+        out = parts[:, 0] + parts[:, 1]
+        for j in range(2, CONTEXT):
+            out += parts[:, j]
+        out[:, -1] = 1
         return out
 
     def train(self, ctx: np.ndarray, target: np.ndarray, draw: np.random.Generator, squares: np.ndarray) -> None:
         """Noise-contrastive steps with Adagrad, for the class and for the word inside it; ``squares`` are the sums of squared gradients so far."""
         shift, within = np.log(NOISE * self.noise).astype(np.float32), np.log(INSIDE * self.inside).astype(np.float32)
-        cumulative, running = np.cumsum(self.noise), np.append(0, np.cumsum(self.unigram))
-        squares = squares.reshape(self.table.shape)
-        for k in range(0, len(target), BATCH):
-            x, y = ctx[k : k + BATCH], target[k : k + BATCH]
-            cls = self.class_of[y]
-            p = self.predicted(x)
-            noise = np.minimum(np.searchsorted(cumulative, draw.random(NOISE)), len(self.noise) - 1)
-            q, qn = self.q[cls], self.q[noise]
-            right = 1 / (1 + np.exp(np.einsum("ij,ij->i", p, q) - shift[cls]))  # 1 - sigmoid
-            wrong = 1 / (1 + np.exp(shift[noise] - p @ qn.T))
-            dp = right[:, None] * q - wrong @ qn
-            at, rows = [cls + self.at[2], noise + self.at[2]], [right[:, None] * p, -(wrong.T @ p)]
-            some = np.flatnonzero(cls > self.single)
-            if len(some):
-                own, low = y[some], (cls[some] - self.single - 1) * self.share + self.single
-                high = np.minimum(low + self.share, len(self.unigram) - 1)
-                u = running[low, None] + draw.random((len(some), INSIDE)) * (running[high] - running[low])[:, None]
-                z = np.clip(np.searchsorted(running, u, "right") - 1, low[:, None], high[:, None] - 1)
-                z = np.concatenate([own[:, None], z], axis=1)
-                qz, ps = self.w[z], p[some]
-                e = -1 / (1 + np.exp(within[z] - np.matmul(qz, ps[:, :, None])[:, :, 0]))
-                e[:, 0] += 1
-                dp[some] += np.matmul(e[:, None, :], qz)[:, 0]
-                at.append(z.reshape(-1) + self.at[3]), rows.append((e[:, :, None] * ps[:, None, :]).reshape(-1, WIDTH + 1))
-            dp[:, -1] = 0
-            for j in range(CONTEXT):
-                at += [x[:, j], [j + self.at[1]]]
-                rows += [dp * self.c[j], (dp * self.r[x[:, j]]).sum(axis=0, keepdims=True)]
-            self.step(np.concatenate(at), np.concatenate(rows), squares)
-
-    def step(self, at: np.ndarray, rows: np.ndarray, squares: np.ndarray) -> None:
-        """One step for the rows ``at``, which may repeat."""
-        key = np.sort(at.astype(np.int64) * len(at) + np.arange(len(at)))
-        at, order = np.divmod(key, len(key))
-        begins = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        at = at[begins]
-        g = np.add.reduceat(rows[order], begins, axis=0)
-        s = squares[at] + g * g
-        squares[at] = s
-        self.table[at] += RATE * g / np.sqrt(s)
-        self.used[at] += np.diff(np.append(begins, len(key)))
-
-    def log_probabilities(self, ctx: np.ndarray, target: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+        sampler, squares = Sampler(self), squares.reshape(self.table.shape)
+        places = Places()
+        rows = np.empty((places.end, WIDTH + 1), np.float32)
+        each_input = np.repeat(np.arange(BATCH), CONTEXT)
+        for begin in range(0, len(target), PLANNED):
+            x, y = ctx[begin : begin + PLANNED], target[begin : begin + PLANNED]
+            classes = self.class_of.take(y)
+            noises, inner, bounds, words = sampler.draws(y, classes, draw)
+            steps = Steps(places, self.at, x, classes, noises, inner, bounds, words)
+            for k in range(len(noises)):
+                low, high = k * BATCH, min((k + 1) * BATCH, len(y))
+                n, own, cls, noise = high - low, slice(bounds[k], bounds[k + 1]), classes[low:high], noises[k]
+                inputs = self.r.take(x[low:high], axis=0)
+                p = self.summed(inputs)
+                q, qn = self.q.take(cls, axis=0), self.q.take(noise, axis=0)
+                right = _missing(np.einsum("ij,ij->i", p, q), shift.take(cls), 1)
+                wrong = _missing(p @ qn.T, shift.take(noise), -1)
+                right = right[:, None]
+                dp = right * q
+                dp -= wrong @ qn
+                np.multiply(right, p, out=rows[:n])
+                np.negative(wrong.T @ p, out=rows[places.noise : places.words])
+                some, z = inner[own] - low, words[own]
+                if len(some):
+                    qz, ps = self.w.take(z, axis=0), p.take(some, axis=0)
+                    e = _missing(np.matmul(qz, ps[:, :, None])[:, :, 0], within.take(z), -1)
+                    np.negative(e, out=e)
+                    e[:, 0] += 1
+                    _items(dp)[some] = _items(dp.take(some, axis=0) + np.matmul(e[:, None, :], qz)[:, 0])
+                    np.einsum("ij,ik->ijk", e, ps, out=rows[places.words : places.words + z.size].reshape(*z.shape, WIDTH + 1))
+                dp[:, -1] = 0
+                dp = dp.take(each_input[: CONTEXT * n], axis=0).reshape(inputs.shape)
+                np.multiply(dp, self.c, out=rows[places.inputs : places.inputs + CONTEXT * n].reshape(inputs.shape))
+                inputs *= dp
+                inputs.sum(axis=0, out=rows[places.weights :])
+                self.step(*steps.summed(k, rows), squares)
+            self.used += steps.used(len(self.used))
+
+    def step(self, at: np.ndarray, g: np.ndarray, squares: np.ndarray) -> None:
+        """One step for the different rows ``at`` with gradients ``g``, which are used up."""
+        s = squares.take(at, axis=0)
+        s += g * g
+        _items(squares)[at] = _items(s)
+        g *= np.float32(RATE)
+        g /= np.sqrt(s, out=s)
+        g += self.table.take(at, axis=0)
+        _items(self.table)[at] = _items(g)
+
+    def log_probabilities(self, ctx: np.ndarray, target: np.ndarray, step: int = 1 << 18) -> np.ndarray:
         """Normalised natural log-probabilities of the target words: of the class, and of the word inside it."""
         out = np.empty(len(target), np.float32)
         for k in range(0, len(target), step):
-            y = target[k : k + step]
-            p, cls = self.predicted(ctx[k : k + step]), self.class_of[y]
-            own = _log_share(p @ self.q.T, cls)
-            order = np.argsort(cls, kind="stable")
-            begins = np.searchsorted(cls[order], np.arange(self.single + 1, len(self.noise) + 1))
+            y, own = target[k : k + step], out[k : k + step]
+            p, cls = np.empty((len(y), WIDTH + 1), np.float32), self.class_of.take(y)
+            for some in _tiles(0, len(y), len(self.q)):
+                p[some] = self.predicted(ctx[k : k + step][some])
+                own[some] = _log_share(p[some], self.q, cls[some])
+            order = np.argsort(cls.astype(np.min_scalar_type(len(self.noise))), kind="stable")
+            begins = np.searchsorted(cls.take(order), np.arange(self.single + 1, len(self.noise) + 1))
             for g in np.flatnonzero(begins[1:] > begins[:-1]):
-                some, low = order[begins[g] : begins[g + 1]], self.single + g * self.share
-                high = min(low + self.share, len(self.unigram) - 1)
-                own[some] += _log_share(p[some] @ self.w[low:high].T, y[some] - low)
-            out[k : k + step] = own
+                low = self.single + g * self.share
+                words = self.w[low : min(low + self.share, len(self.unigram) - 1)]
+                for tile in _tiles(begins[g], begins[g + 1], len(words)):
+                    some = order[tile]
+                    own[some] += _log_share(p.take(some, axis=0), words, y.take(some) - low)
         return out
 
 
-def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    picked = logits[np.arange(len(logits)), at]
+class Sampler:
+    """Draws noise classes and noise words of all minibatches of some windows at once, from the same numbers and in the same order as one by one."""
+
+    def __init__(self, model: LogBilinear):
+        self.single, self.share, self.last = model.single, model.share, len(model.unigram) - 1
+        self.cumulative, self.running = np.cumsum(model.noise), np.append(0, np.cumsum(model.unigram))
+        low = self.single + self.share * np.arange(len(model.noise) - self.single - 1)
+        self.base = self.running[low]
+        self.span = self.running[np.minimum(low + self.share, self.last)] - self.base
+        # where the search for a word of a class begins, by the first bits of the number drawn: at the word of the least such number
+        self.cells = 1 << self.share.bit_length()
+        least = self.base[:, None] + np.arange(self.cells) / self.cells * self.span[:, None]
+        self.guide = np.searchsorted(self.running, least.reshape(-1), "right") - 1
+
+    def draws(self, target: np.ndarray, classes: np.ndarray, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(minibatches, NOISE) classes; places of the windows whose word is inside a class; where each minibatch's begin; their own words, each followed by INSIDE noise words."""
+        batches = -(-len(target) // BATCH)
+        inner = np.flatnonzero(classes > self.single)
+        bounds = np.searchsorted(inner, BATCH * np.arange(batches + 1))
+        numbers = draw.random(NOISE * batches + INSIDE * len(inner))
+        first = (NOISE * np.arange(batches) + INSIDE * bounds[:-1])[:, None] + np.arange(NOISE)
+        noises = np.minimum(np.searchsorted(self.cumulative, numbers[first]), len(self.cumulative) - 1)
+        rest = np.ones(len(numbers), bool)
+        rest[first] = False
+        group = classes.take(inner) - self.single - 1
+        words = np.empty((len(inner), 1 + INSIDE), np.int64)
+        words[:, 0] = target[inner]
+        words[:, 1:] = self.inside(np.repeat(group, INSIDE), numbers[rest]).reshape(-1, INSIDE)
+        return noises, inner, bounds, words
+
+    def inside(self, group: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """For each number from 0 to 1 a word of the group, by the words' shares."""
+        u = self.base.take(group) + number * self.span.take(group)
+        top = np.minimum(self.single + self.share * (group + 1), self.last) - 1
+        z = np.minimum(self.guide.take(group * self.cells + (number * self.cells).astype(np.int64)), top)
+        ahead = np.flatnonzero((z < top) & (self.running.take(z + 1) <= u))
+        while len(ahead):
+            z[ahead] += 1
+            further = z.take(ahead)
+            ahead = ahead[(further < top.take(ahead)) & (self.running.take(further + 1) <= u.take(ahead))]
+        return z
+
+
+class Places:
+    """Where a minibatch's gradients stand: for its windows' classes, the noise classes, own and noise words, inputs and place weights."""
+
+    def __init__(self):
+        self.noise = BATCH
+        self.words = self.noise + NOISE
+        self.inputs = self.words + (1 + INSIDE) * BATCH
+        self.weights = self.inputs + CONTEXT * BATCH
+        self.end = self.weights + CONTEXT
+        # those of one input are added up by its place in the context first
+        self.order = np.arange(self.end)
+        self.order[self.inputs : self.weights] = self.inputs + np.arange(CONTEXT * BATCH).reshape(BATCH, CONTEXT).T.reshape(-1)
+
+
+class Steps:
+    """For each minibatch of some windows, the different rows it changes and the places of their gradients.
+
+    A row's gradients are added up in the order of ``np.add.reduceat``, but those with up to ``LAYERS`` of them all at once: first all second ones to the third ones
+    and so on, each time of all rows that have so many, and then the sums to the first ones.
+    """
+
+    def __init__(self, places: Places, at: np.ndarray, x: np.ndarray, classes: np.ndarray, noises: np.ndarray, inner: np.ndarray, bounds: np.ndarray, words: np.ndarray):
+        batches, windows = np.arange(len(noises)), np.arange(len(x))
+        bits, row_bits = places.end.bit_length(), int(at[-1]).bit_length()
+
+        def keys(batch, row, place):
+            return (((batch << row_bits) | row) << bits) | place
+
+        of, i = windows // BATCH, windows % BATCH
+        own = inner // BATCH
+        key = np.concatenate([x.reshape(-1) for x in (
+            keys(of, classes + at[2], i),
+            keys(batches[:, None], noises + at[2], places.noise + np.arange(NOISE)),
+            keys(own[:, None], words + at[3], (places.words + (1 + INSIDE) * (np.arange(len(inner)) - bounds[own]))[:, None] + np.arange(1 + INSIDE)),
+            keys(of[:, None], x, (places.inputs + i)[:, None] + BATCH * np.arange(CONTEXT)),
+            keys(batches[:, None], at[1] + np.arange(CONTEXT), places.weights + np.arange(CONTEXT)),
+        )])
+        key.sort()
+        order = places.order.take(key & ((1 << bits) - 1))
+        key >>= bits
+        begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count = np.diff(np.append(begins, len(key)))
+        key &= (1 << row_bits) - 1
+        self.rows = key
+        ends = np.searchsorted(begins, np.append(0, np.cumsum(self._sizes(len(x), bounds))))  # of the minibatches' different rows
+        single, more = np.flatnonzero(count == 1), np.flatnonzero(count > 1)
+        self.once = begins[single]
+        self.once_bounds = np.searchsorted(single, ends)
+        # rows with several gradients by their number, those with the most first
+        fewer = LAYERS + 1 - np.minimum(count[more], LAYERS + 1)
+        group = np.repeat(batches, np.diff(np.searchsorted(more, ends))) * LAYERS + fewer
+        more = more[np.argsort(group.astype(np.min_scalar_type(len(batches) * LAYERS)), kind="stable")]
+        sizes = np.bincount(group, minlength=len(batches) * LAYERS).reshape(len(batches), LAYERS).cumsum(axis=1)  # [:, LAYERS - j]: rows with more than j gradients
+        begins, count = begins[more], count[more]
+        self.several_bounds = np.append(0, np.cumsum(sizes[:, -1]))
+        self.many = sizes[:, 0]
+        often = _ranges(self.several_bounds[:-1], self.many)
+        self.often = order.take(_ranges(begins[often], count[often]))
+        self.often_begins, self.often_bounds = np.append(0, np.cumsum(count[often])), np.append(0, np.cumsum(self.many))
+        self.layers = []
+        for j in range(1, LAYERS):
+            size = sizes[:, LAYERS - j] - self.many
+            self.layers.append((order.take(begins[_ranges(self.several_bounds[:-1] + self.many, size)] + j), np.append(0, np.cumsum(size))))
+        self.once_at, self.once = key.take(self.once), order.take(self.once)
+        self.several_at, self.several = key.take(begins), order.take(begins)
+
+    @staticmethod
+    def _sizes(windows: int, bounds: np.ndarray) -> np.ndarray:
+        """How many gradients each minibatch has."""
+        full = np.full(len(bounds) - 1, BATCH)
+        full[-1] = windows - BATCH * (len(full) - 1)
+        return (1 + CONTEXT) * full + NOISE + (1 + INSIDE) * np.diff(bounds) + CONTEXT
+
+    def summed(self, k: int, gradients: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different rows of a minibatch, and for each the sum of its gradients."""
+        once, several, many = slice(*self.once_bounds[k : k + 2]), slice(*self.several_bounds[k : k + 2]), self.many[k]
+        at = np.concatenate([self.several_at[several], self.once_at[once]])
+        out = gradients.take(np.concatenate([self.several[several], self.once[once]]), axis=0)
+        if many:
+            begins = self.often_begins[self.often_bounds[k] : self.often_bounds[k + 1] + 1]
+            out[:many] = np.add.reduceat(gradients.take(self.often[begins[0] : begins[-1]], axis=0), begins[:-1] - begins[0], axis=0)
+        rest = None
+        for places, bounds in self.layers:
+            some = places[bounds[k] : bounds[k + 1]]
+            if not len(some):
+                break
+            if rest is None:
+                rest = gradients.take(some, axis=0)
+            else:
+                rest[: len(some)] += gradients.take(some, axis=0)
+        if rest is not None:
+            out[many : many + len(rest)] += rest
+        return at, out
+
+    def used(self, rows: int) -> np.ndarray:
+        """How often each row is used."""
+        return np.bincount(self.rows, minlength=rows)
+
+
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each beginning on, so many of them."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _items(table: np.ndarray) -> np.ndarray:
+    """Each row of a table as one value."""
+    return table.view(f"V{table.strides[0]}")[:, 0]
+
+
+def _missing(logit: np.ndarray, shift: np.ndarray, sign: int) -> np.ndarray:
+    """The probability that a word is noise (sign 1) or not (sign -1), given its logit and its noise's."""
+    x = logit - shift if sign > 0 else shift - logit
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
+
+
+def _tiles(begin: int, end: int, columns: int):
+    """Parts of begin:end with about ``TILE`` logits."""
+    size = max(64, TILE // columns)
+    for k in range(begin, end, size):
+        yield slice(k, min(k + size, end))
+
+
+def _log_share(p: np.ndarray, vectors: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithms of the shares that the vectors numbered ``at`` have of all, one for each predicted vector."""
+    logits = p @ vectors.T
+    picked = logits.reshape(-1).take(np.arange(0, logits.size, len(vectors)) + at)
     np.exp(logits, out=logits)
-    return picked - np.log(logits.sum(axis=1))
+    return picked - np.log(logits @ np.ones(len(vectors), np.float32))
 
 
 def dealt(r: int, count: int) -> np.ndarray:
@@ -266,7 +461,7 @@ def fit(training: DataFrame) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
                         hot += np.bincount(at[at >= 0], minlength=len(hot))
                         rare += int((at < 0).sum())
                     pick = draw.permutation(dealt(r, len(number)))
-                    model.train(contexts(number, suffix, n, voc.size)[pick], number[pick], draw, squares)
+                    model.train(contexts(number, suffix, n, voc.size).take(pick, axis=0), number.take(pick), draw, squares)
                     seen += len(pick)
             if seen:
                 sums = np.column_stack([model.table * model.used[:, None], model.used])

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 
@@ -417,6 +418,111 @@ def test_rounds_train_on_every_window():
     assert sorted(np.concatenate([language_model.dealt(r, 1001) for r in range(language_model.ROUNDS)]).tolist()) == list(range(1001))
 
 
+def plain_training(model, ctx, target, draw, squares):
+    """The minibatches one after the other, every gradient as a row of its own."""
+    m, lm = model, language_model
+    shift, within = np.log(lm.NOISE * m.noise).astype(np.float32), np.log(lm.INSIDE * m.inside).astype(np.float32)
+    cumulative, running = np.cumsum(m.noise), np.append(0, np.cumsum(m.unigram))
+    squares = squares.reshape(m.table.shape)
+    for k in range(0, len(target), lm.BATCH):
+        x, y = ctx[k : k + lm.BATCH], target[k : k + lm.BATCH]
+        cls = m.class_of[y]
+        p = np.ones((len(x), lm.WIDTH + 1), np.float32)
+        p[:, :-1] = sum(m.c[j, :-1] * m.r[x[:, j], :-1] for j in range(lm.CONTEXT))
+        noise = np.minimum(np.searchsorted(cumulative, draw.random(lm.NOISE)), len(m.noise) - 1)
+        q, qn = m.q[cls], m.q[noise]
+        right = 1 / (1 + np.exp(np.einsum("ij,ij->i", p, q) - shift[cls]))
+        wrong = 1 / (1 + np.exp(shift[noise] - p @ qn.T))
+        dp = right[:, None] * q - wrong @ qn
+        at, rows = [cls + m.at[2], noise + m.at[2]], [right[:, None] * p, -(wrong.T @ p)]
+        some = np.flatnonzero(cls > m.single)
+        if len(some):
+            low = (cls[some] - m.single - 1) * m.share + m.single
+            high = np.minimum(low + m.share, len(m.unigram) - 1)
+            u = running[low, None] + draw.random((len(some), lm.INSIDE)) * (running[high] - running[low])[:, None]
+            z = np.clip(np.searchsorted(running, u, "right") - 1, low[:, None], high[:, None] - 1)
+            z = np.concatenate([y[some][:, None], z], axis=1)
+            e = -1 / (1 + np.exp(within[z] - np.matmul(m.w[z], p[some][:, :, None])[:, :, 0]))
+            e[:, 0] += 1
+            dp[some] += np.matmul(e[:, None, :], m.w[z])[:, 0]
+            at.append(z.reshape(-1) + m.at[3]), rows.append((e[:, :, None] * p[some][:, None, :]).reshape(-1, lm.WIDTH + 1))
+        dp[:, -1] = 0
+        for j in range(lm.CONTEXT):
+            at += [x[:, j], [j + m.at[1]]]
+            rows += [dp * m.c[j], (dp * m.r[x[:, j]]).sum(axis=0, keepdims=True)]
+        at, rows = np.concatenate(at), np.concatenate(rows)
+        to, order = np.divmod(np.sort(at * len(at) + np.arange(len(at))), len(at))
+        begins = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+        g, to = np.add.reduceat(rows[order], begins, axis=0), to[begins]
+        m.used[to] += np.diff(np.append(begins, len(at)))
+        squares[to] += g * g
+        m.table[to] += lm.RATE * g / np.sqrt(squares[to])
+
+
+def made_windows(draw, size, k):
+    word = np.minimum((size * draw.random(k) ** 4).astype(np.int64), size - 1)  # frequent words, and words that come once
+    unigram = (np.bincount(word, minlength=size) + 1.0) / (k + size)
+    return language_model.contexts(word, draw.integers(0, language_model.SUFFIXES, k), np.full(k // 50, 50), size), word, unigram
+
+
+@pytest.mark.parametrize("size,k", [(60, 1300), (300, 5000), (5000, 4950), (5000, 200)])
+def test_steps_planned_together_are_those_of_one_minibatch_after_the_other(monkeypatch, size, k):
+    monkeypatch.setattr(language_model, "PLANNED", 3 * language_model.BATCH)
+    ctx, word, unigram = made_windows(np.random.default_rng(3), size, k)
+    models, squares, draws = [language_model.LogBilinear(unigram) for _ in "ab"], [], []
+    for m, train in zip(models, (plain_training, language_model.LogBilinear.train)):
+        squares.append(np.full(len(m.flat), 1e-3, np.float32)), draws.append(np.random.default_rng(2))
+        train(m, ctx, word, draws[-1], squares[-1])
+    a, b = models
+    assert np.array_equal(a.used, b.used) and draws[0].random() == draws[1].random()
+    assert np.allclose(a.table, b.table, rtol=1e-4, atol=1e-5) and np.allclose(*squares, rtol=1e-4, atol=1e-6)
+
+
+def test_training_takes_less_time_than_one_minibatch_after_the_other():
+    ctx, word, unigram = made_windows(np.random.default_rng(3), 1 << 16, 40_000)
+    least = {}
+    for train in 3 * (plain_training, language_model.LogBilinear.train):
+        model = language_model.LogBilinear(unigram)
+        squares, begin = np.full(len(model.flat), 1e-3, np.float32), time.process_time()
+        train(model, ctx, word, np.random.default_rng(2), squares)
+        least[train] = min(least.get(train, math.inf), time.process_time() - begin)
+    assert least[language_model.LogBilinear.train] < 0.75 * least[plain_training], least
+
+
+def test_scoring_holds_few_logits_at_a_time():
+    ctx, word, unigram = made_windows(np.random.default_rng(3), 1 << 16, 40_000)
+    model = language_model.LogBilinear(unigram)
+    tracemalloc.start()
+    got = model.log_probabilities(ctx, word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20  # all classes of 16,384 tokens are 25 MB
+    some = np.arange(0, len(word), 40)
+    p, cls = model.predicted(ctx[some]).astype(float), model.class_of[word[some]]
+    logits = p @ model.q.T.astype(float)
+    want = logits[np.arange(len(some)), cls] - np.log(np.exp(logits).sum(axis=1))
+    for i, w in enumerate(word[some]):
+        same = np.flatnonzero(model.class_of == cls[i])
+        if len(same) > 1:
+            inside = model.w[same].astype(float) @ p[i]
+            want[i] += inside[w - same[0]] - np.log(np.exp(inside).sum())
+    assert np.allclose(got[some], want, rtol=1e-5, atol=1e-5)
+
+
+def test_tokens_and_their_places():
+    texts = ["Aa Zz @[`{", None, "", "q \t\nQ\x0b\x0c\rä É\x1f", "x", "aZ"]
+    h, suffix, n = language_model.tokens(pa.array(["left out", *texts]).slice(1))
+    each = [w for t in texts for w in [*re.findall(rb"[^ \t-\r]+", (t or "").encode().lower()), None]]
+    assert n.tolist() == [4, 1, 1, 5, 2, 2] and len(h) == len(each)
+    assert suffix.tolist() == [0 if w is None else (w[-1] * 31 + (w[-2] if len(w) > 1 else 0)) % language_model.SUFFIXES for w in each]
+    assert len(set(zip(h.tolist(), each))) == len(set(each)) == len(set(h.tolist()))
+    vocabulary = language_model.Vocabulary(h[[0, 9]], np.array([3, 5]))
+    at, number = vocabulary.look_up(h)
+    known = [vocabulary.hot.tolist().index(x) if x in vocabulary.hot else -1 for x in h]
+    assert at.tolist() == known and [i for i, a in enumerate(known) if a < 0] == [i for i, w in enumerate(each) if w not in (each[0], each[9], None)]
+    assert number.tolist() == [vocabulary.number[a] if a >= 0 else vocabulary.size - 1 for a in known]
+
+
 def test_license_scan(docs, rows, none, spark):
     made = [
         (1, "Released under the MIT License."), (2, "X. This work is licensed under the GNU\n# General Public License, version 3."), (3, "Licensed under CC BY-NC 4.0."),
